@@ -144,3 +144,7 @@ SELECT cm.window_id, {sql_ts_text('cm.wstart')} AS wstart, {sql_ts_text('cm.wend
        n_pos, n_neg, tp, fp, fn, tn, {', '.join(METRIC_COLS)},
        {sql_r10('rk.auc')} AS auc, {sql_r10('rk.pr_auc')} AS pr_auc
 FROM cm JOIN rk ON cm.window_id = rk.window_id AND cm.seed = rk.seed AND cm.variant = rk.variant""")
+
+
+# Register the query groups (each module adds to QUERIES on import).
+from lowdata.plans import q_splits  # noqa: E402,F401
