@@ -148,3 +148,4 @@ FROM cm JOIN rk ON cm.window_id = rk.window_id AND cm.seed = rk.seed AND cm.vari
 
 # Register the query groups (each module adds to QUERIES on import).
 from lowdata.plans import q_splits  # noqa: E402,F401
+from lowdata.plans import q_sampling  # noqa: E402,F401
