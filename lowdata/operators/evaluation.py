@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import point_metrics
+from lowdata.operators.ranking import join_null_safe
 
 SCORE_BINS = 1 << 16
 
@@ -82,7 +83,7 @@ def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
         Window.unboundedPreceding, -1)
     h = h.select("*", F.coalesce(F.sum("pos").over(w_in), F.lit(0)).alias("_ip"),
                  F.coalesce(F.sum("neg").over(w_in), F.lit(0)).alias("_in"))
-    return (h.join(coarse, on=[*keys, "_bin"], how="inner")
+    return (join_null_safe(h, coarse, [*keys, "_bin"], "inner")
             .select(*keys, "score", "pos", "neg",
                     (F.col("_op") + F.col("_ip")).alias("pos_gt"),
                     (F.col("_on") + F.col("_in")).alias("neg_gt")))
@@ -116,7 +117,8 @@ def evaluate(preds: DataFrame, by, y: str = "y_true", p: str = "proba", threshol
     keys = _keys(by)
     cm = with_point_metrics(confusion(preds, keys, y, p, threshold))
     rk = ranking_metrics(preds, keys, y, p)
-    return cm.join(rk, on=keys, how="left") if keys else cm.crossJoin(rk)
+    # run keys may be null (e.g. const_train_size of real-only runs): null-safe equality
+    return join_null_safe(cm, rk, keys, "left")
 
 
 def classification_report(preds: DataFrame, by=None, y: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -148,16 +150,19 @@ def classification_report(preds: DataFrame, by=None, y: str = "y_true", pred: st
                      ((d("tp") + d("tn")) / F.when(n > 0, n.cast("double"))).alias("acc"))
     wavg = lambda a, b: (F.col(a) * F.col("s0") + F.col(b) * F.col("s1")) / F.when(
         F.col("s0") + F.col("s1") > 0, (F.col("s0") + F.col("s1")).cast("double"))
+    def row(label, prec, rec, f1, sup):
+        return F.struct(F.lit(label).alias("label"), prec.cast("double").alias("precision"),
+                        rec.cast("double").alias("recall"), f1.cast("double").alias("f1"),
+                        sup.cast("long").alias("support"))
+
+    tot = F.col("s0") + F.col("s1")
     rows = F.array(
-        F.struct(F.lit("0").alias("label"), F.col("p0").alias("precision"), F.col("r0").alias("recall"),
-                 F.col("f0").alias("f1"), F.col("s0").alias("support")),
-        F.struct(F.lit("1"), F.col("p1"), F.col("r1"), F.col("f1"), F.col("s1")),
-        F.struct(F.lit("accuracy"), F.lit(None).cast("double"), F.lit(None).cast("double"),
-                 F.col("acc"), F.col("s0") + F.col("s1")),
-        F.struct(F.lit("macro avg"), (F.col("p0") + F.col("p1")) / 2, (F.col("r0") + F.col("r1")) / 2,
-                 (F.col("f0") + F.col("f1")) / 2, F.col("s0") + F.col("s1")),
-        F.struct(F.lit("weighted avg"), wavg("p0", "p1"), wavg("r0", "r1"), wavg("f0", "f1"),
-                 F.col("s0") + F.col("s1")))
+        row("0", F.col("p0"), F.col("r0"), F.col("f0"), F.col("s0")),
+        row("1", F.col("p1"), F.col("r1"), F.col("f1"), F.col("s1")),
+        row("accuracy", F.lit(None), F.lit(None), F.col("acc"), tot),
+        row("macro avg", (F.col("p0") + F.col("p1")) / 2, (F.col("r0") + F.col("r1")) / 2,
+            (F.col("f0") + F.col("f1")) / 2, tot),
+        row("weighted avg", wavg("p0", "p1"), wavg("r0", "r1"), wavg("f0", "f1"), tot))
     return base.select(*keys, F.inline(rows))
 
 

@@ -52,6 +52,19 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(side, on=on, how=how)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null matches null (planned as a hash/sort-merge equi-join)."""
+    if not keys:
+        return (left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how)
+                .drop("_one"))
+    r = right.select(*[F.col(k).alias(f"_ns_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_ns_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_ns_{k}" for k in keys])
+
+
 def hash_rank(df: DataFrame, by, u: str = "u", tie: str = "row_id",
               out: str = "rank", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add the exact 1-based rank of each row within ``by`` ordered by ``(u, tie)``."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import objective, point_metrics
-from lowdata.operators.ranking import join_small
+from lowdata.operators.ranking import join_null_safe, join_small
 
 
 def _keys(by) -> list[str]:
@@ -43,7 +43,7 @@ def grid_counts(preds: DataFrame, by, grid: int = 200, y: str = "y_true", p: str
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     runs = h.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = runs.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(grid - 1))))
-    j = pts.join(h, on=[*keys, "i"], how="left").fillna(0, subset=["pos", "neg"])
+    j = join_null_safe(pts, h, [*keys, "i"], "left").fillna(0, subset=["pos", "neg"])
     w = Window.partitionBy(*keys).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
     j = j.select(*keys, "i", "P", "N", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
     return j.select(*keys, "i", (F.col("i").cast("double") * F.lit(step)).alias("threshold"),
@@ -115,13 +115,13 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
     w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("is_grid")).rowsBetween(
         Window.unboundedPreceding, 0)
     c = u.select(*keys, "value", "is_grid", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-    c = c.filter(F.col("is_grid") == 1).join(st.select(*keys, "n", "n_pos", "n_neg"), on=keys, how="inner")
+    c = join_null_safe(c.filter(F.col("is_grid") == 1), st.select(*keys, "n", "n_pos", "n_neg"), keys, "inner")
     c = c.filter((F.col("tp") + F.col("fp") > 0) & (F.col("tp") + F.col("fp") < F.col("n")))
     c = c.withColumn("fn", F.col("n_pos") - F.col("tp")).withColumn("tn", F.col("n_neg") - F.col("fp"))
     c = c.withColumn("score", objective(which, "tp", "fp", "fn", "tn")).filter(F.col("score") > -1.0)
     best = c.groupBy(*keys).agg(F.max_by(F.struct("value", "score"),
                                          F.struct(F.col("score"), -F.col("value"))).alias("b"))
-    out = st.select(*keys, "n_pos", "n_neg").join(best, on=keys, how="left")
+    out = join_null_safe(st.select(*keys, "n_pos", "n_neg"), best, keys, "left")
     return out.select(*keys, F.coalesce(F.col("b.value"), F.lit(0.5)).alias("threshold"),
                       F.col("b.score").alias("best_score"), "n_pos", "n_neg")
 
