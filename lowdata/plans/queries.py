@@ -150,3 +150,4 @@ FROM cm JOIN rk ON cm.window_id = rk.window_id AND cm.seed = rk.seed AND cm.vari
 from lowdata.plans import q_splits  # noqa: E402,F401
 from lowdata.plans import q_sampling  # noqa: E402,F401
 from lowdata.plans import q_eval  # noqa: E402,F401
+from lowdata.plans import q_results  # noqa: E402,F401
