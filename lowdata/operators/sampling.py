@@ -152,7 +152,7 @@ def family_capped_subset(df: DataFrame, cap: int, seed: int = 42, family: str =
     q = fams.select(family, F.least(F.col("n_f"), F.greatest(F.lit(1), F.floor(
         F.lit(float(cap)) * F.col("n_f") / F.lit(float(n))))).cast("long").alias("quota"))
     total = q.agg(F.sum("quota")).first()[0]
-    d = mark_first(with_u(df, seed, "fam", key), family, q, "u", key, out="_take").drop("u")
+    d = mark_first(with_u(df, seed, "fam", key), family, q, "u", key, out="_take", bounded=False).drop("u")
     taken = d.filter("_take").drop("_take")
     if total < cap:
         rest = d.filter(~F.col("_take")).drop("_take")

@@ -17,7 +17,8 @@ from lowdata.operators import evaluation as ev
 from lowdata.operators import thresholds as th
 from lowdata.plans.grid import explode_values
 from lowdata.plans.queries import (EVENTS_CUTOFF, EVENTS_WIN_DAYS, QUERIES, SQL_EVENTS_TEST_WINDOWS,
-                                   _sql_values, events_test_windows, r10, sql_r10, sql_ts_text, ts_text)
+                                   _sql_values, events_test_windows, events_windows, r10, sql_r10, sql_ts_text,
+                                   ts_text)
 from lowdata.sources import fixtures as fx
 
 PREFIX = "cut2024_01"
@@ -37,18 +38,22 @@ def reg(name, sql):
 
 # ------------------------------------------------------------------ run fixture
 
-def run_preds(spark, sf):
-    rows = events_test_windows(spark, sf).select("window_id", "wstart", "wend", "row_id", "y")
-    p = explode_values(rows, "seed", SEEDS, "int")
-    p = explode_values(p, "frac", FRACS, "double")
-    p = explode_values(p, "variant", VARIANTS, "string")
-    const = F.when(F.col("variant") == "real", F.lit(None).cast("int")).otherwise(F.lit(CONST))
-    p = p.withColumn("const_train_size", const).withColumn("prefix", F.lit(PREFIX))
-    p = p.withColumn("tag", run_tag("prefix", "window_id", "seed", "variant", "frac", "const_train_size"))
+def run_grid(spark, sf):
+    """Windows x seeds x fractions x variants with tag (P12) and sweep order ``run_idx``."""
+    from lowdata.plans.grid import run_grid as grid_of
+    _, win = events_windows(spark, sf)
+    g = grid_of(win.select("window_id"), SEEDS, FRACS, VARIANTS, PREFIX, CONST)
     idx = lambda c, vals: F.array_position(F.array(*[F.lit(v) for v in vals]), F.col(c)) - 1
     run_idx = ((F.col("window_id") * len(SEEDS) + idx("seed", SEEDS)) * len(FRACS) + idx("frac", FRACS)) \
         * len(VARIANTS) + idx("variant", VARIANTS)
-    p = p.withColumn("run_idx", run_idx.cast("long"))
+    return g.withColumn("run_idx", run_idx.cast("long"))
+
+
+def run_preds(spark, sf):
+    """Every windowed test row scored by every run of its window (broadcast fan-out on window_id;
+    the grid has one row per run)."""
+    rows = events_test_windows(spark, sf).select("window_id", "wstart", "wend", "row_id", "y")
+    p = rows.join(F.broadcast(run_grid(spark, sf)), on="window_id", how="inner")
     score = round_half_up(F.lit(0.8) * uniform(F.col("tag"), F.col("row_id")) + F.lit(0.2) * F.col("y").cast("double"), 2)
     return p.withColumn("y_true", F.col("y").cast("int")).withColumn("proba", score)
 
@@ -93,7 +98,7 @@ def run_raw(spark, sf):
     n_total = F.when(F.col("variant") == "real", n_real).otherwise(F.col("const_train_size").cast("long"))
     return e.select(
         "prefix", F.lit("temporal").alias("kind"), "frac", "const_train_size", "variant",
-        (F.col("variant") == "gan").alias("used_gan"), "tag", r10("auc").alias("auc"), r10("pr_auc").alias("pr_auc"),
+        (F.col("variant") == "gan").alias("used_gan"), "tag", "auc", "pr_auc",
         "accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "mcc",
         n_real.alias("n_train_real"), (n_total - n_real).alias("n_train_synth"), n_total.alias("n_train_total"),
         "tn", "fp", "fn", "tp", F.lit(0.5).alias("threshold"), "seed",
@@ -130,7 +135,7 @@ rrk AS {_sql_rank('rp', 'tag')},
 raw0 AS (SELECT rcm.*, rrk.auc, rrk.pr_auc, greatest(1, CAST(round_even(frac * CAST(ntr.N AS DOUBLE), 0) AS BIGINT)) AS n_real
          FROM rcm JOIN rrk ON rcm.tag = rrk.tag CROSS JOIN ntr),
 raw AS (SELECT prefix, 'temporal' AS kind, frac, const_train_size, variant, variant = 'gan' AS used_gan, tag,
-               {sql_r10('auc')} AS auc, {sql_r10('pr_auc')} AS pr_auc, accuracy, precision, recall, f1, specificity,
+               auc, pr_auc, accuracy, precision, recall, f1, specificity,
                balanced_accuracy, mcc, n_real AS n_train_real,
                (CASE WHEN variant = 'real' THEN n_real ELSE CAST(const_train_size AS BIGINT) END) - n_real AS n_train_synth,
                CASE WHEN variant = 'real' THEN n_real ELSE CAST(const_train_size AS BIGINT) END AS n_train_total,
@@ -138,10 +143,12 @@ raw AS (SELECT prefix, 'temporal' AS kind, frac, const_train_size, variant, vari
                {sql_ts_text('wend')} AS test_end, {EVENTS_WIN_DAYS} AS test_window_days, window_id, run_idx FROM raw0)"""
 
 
-@reg("run_results", "WITH " + SQL_RAW + " SELECT * FROM raw")
+@reg("run_results", "WITH " + SQL_RAW + " SELECT * REPLACE (" + sql_r10("auc") + " AS auc, "
+     + sql_r10("pr_auc") + " AS pr_auc) FROM raw")
 def q_run_results(spark, sf):
     """D22 + P12 + E1-E4: the results table of a windows x seeds x fractions x variants sweep."""
-    return run_raw(spark, sf)
+    r = run_raw(spark, sf)
+    return r.withColumn("auc", r10("auc")).withColumn("pr_auc", r10("pr_auc"))
 
 
 # ------------------------------------------------------------------ E1 / E2 / E3 / E4 on the full test set
@@ -157,8 +164,9 @@ tpp AS (SELECT t.row_id, s.seed, v.variant, t.y AS y_true,
 def test_preds(spark, sf):
     from lowdata.operators import splits as sp
     from lowdata.plans.grid import fixture_preds
+    from lowdata.operators.layout import spread
     t = sp.temporal_holdout(fx.events(spark, sf).select("row_id", "y", "ts"), EVENTS_CUTOFF)
-    return fixture_preds(t.filter(F.col("part") == "test").select("row_id", "y"), SEEDS, VARIANTS)
+    return fixture_preds(spread(t.filter(F.col("part") == "test").select("row_id", "y"), "row_id"), SEEDS, VARIANTS)
 
 
 @reg("confusion_metrics", f"""WITH {SQL_TEST_PREDS}

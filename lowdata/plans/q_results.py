@@ -36,14 +36,14 @@ def results(spark, sf) -> DataFrame:
     raw = run_raw(spark, sf)
     rerun = raw.filter(F.col("window_id") == 0).select(
         *[F.col(c) for c in raw.columns if c not in ("auc", "f1", "mcc", "run_idx")],
-        r10(F.lit(1.0) - F.col("auc")).alias("auc"), (F.col("f1") / 2).alias("f1"),
+        (F.lit(1.0) - F.col("auc")).alias("auc"), (F.col("f1") / 2).alias("f1"),
         (-F.col("mcc")).alias("mcc"), (F.col("run_idx") + 100000).alias("run_idx"))
     return raw.unionByName(rerun)
 
 
 SQL_RESULTS = SQL_RAW + """,
 res AS (SELECT * FROM raw UNION ALL
-        SELECT * REPLACE (""" + sql_r10("1.0 - auc") + """ AS auc, f1 / 2 AS f1, -mcc AS mcc, run_idx + 100000 AS run_idx)
+        SELECT * REPLACE (1.0 - auc AS auc, f1 / 2 AS f1, -mcc AS mcc, run_idx + 100000 AS run_idx)
         FROM raw WHERE window_id = 0)"""
 
 

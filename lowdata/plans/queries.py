@@ -17,6 +17,7 @@ from lowdata.functions.hashing import round_half_up, sql_round_half_up
 from lowdata.functions.metrics import sql_point_metrics
 from lowdata.operators import evaluation as ev
 from lowdata.operators import splits as sp
+from lowdata.operators.layout import spread
 from lowdata.plans import grid
 from lowdata.sources import fixtures as fx
 
@@ -63,12 +64,16 @@ def _sql_values(name: str, values, typ: str) -> str:
 
 # ------------------------------------------------------------------ shared parts
 
-def events_test_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> D1 -> test rows -> D11 windows -> J7 (row, window) pairs."""
+def events_windows(spark: SparkSession, sf_dir: str):
+    """events -> D1 -> test rows -> D11 windows -> J7; returns ((row, window) pairs, windows)."""
     s = sp.temporal_holdout(fx.events(spark, sf_dir).select("row_id", "y", "ts"), EVENTS_CUTOFF)
     test = s.filter(F.col("part") == "test")
     win = sp.rolling_windows(test, EVENTS_WIN_DAYS, EVENTS_WIN_STEP)
-    return sp.assign_windows(test, win, EVENTS_WIN_DAYS, EVENTS_WIN_STEP)
+    return sp.assign_windows(spread(test, "row_id"), win, EVENTS_WIN_DAYS, EVENTS_WIN_STEP), win
+
+
+def events_test_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_windows(spark, sf_dir)[0]
 
 
 SQL_EVENTS_TEST_WINDOWS = f"""
@@ -144,10 +149,3 @@ SELECT cm.window_id, {sql_ts_text('cm.wstart')} AS wstart, {sql_ts_text('cm.wend
        n_pos, n_neg, tp, fp, fn, tn, {', '.join(METRIC_COLS)},
        {sql_r10('rk.auc')} AS auc, {sql_r10('rk.pr_auc')} AS pr_auc
 FROM cm JOIN rk ON cm.window_id = rk.window_id AND cm.seed = rk.seed AND cm.variant = rk.variant""")
-
-
-# Register the query groups (each module adds to QUERIES on import).
-from lowdata.plans import q_splits  # noqa: E402,F401
-from lowdata.plans import q_sampling  # noqa: E402,F401
-from lowdata.plans import q_eval  # noqa: E402,F401
-from lowdata.plans import q_results  # noqa: E402,F401
