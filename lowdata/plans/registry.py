@@ -1,6 +1,6 @@
 """All registered queries: importing this module fills ``QUERIES`` with every group."""
 
-from lowdata.plans import q_augment, q_eval, q_results, q_sampling, q_splits  # noqa: F401
+from lowdata.plans import q_augment, q_eval, q_model, q_results, q_sampling, q_splits  # noqa: F401
 from lowdata.plans.queries import QUERIES
 
 __all__ = ["QUERIES"]

@@ -38,6 +38,8 @@ def get_spark(master: str | None = None, app: str = "lowdata",
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        b = b.config("spark.driver.memory", "16g")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
