@@ -1,6 +1,13 @@
 """All registered queries: importing this module fills ``QUERIES`` with every group."""
 
-from lowdata.plans import q_augment, q_eval, q_model, q_results, q_sampling, q_splits  # noqa: F401
+# order matters: later groups may refine entries of earlier ones
+from lowdata.plans import q_splits  # noqa: F401,I001
+from lowdata.plans import q_sampling  # noqa: F401
+from lowdata.plans import q_eval  # noqa: F401
+from lowdata.plans import q_results  # noqa: F401
+from lowdata.plans import q_augment  # noqa: F401
+from lowdata.plans import q_model  # noqa: F401
+from lowdata.plans import q_misc  # noqa: F401
 from lowdata.plans.queries import QUERIES
 
 __all__ = ["QUERIES"]
