@@ -90,35 +90,52 @@ def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
 
 
 def ranking_metrics(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
-                    hist: DataFrame | None = None) -> DataFrame:
+                    hist: DataFrame | None = None, threshold=None) -> DataFrame:
     """E3 + E4: exact ROC AUC (ties count 1/2) and step average precision per run.
 
-    One class in y_true -> null for both.
+    One class in y_true -> null for both.  With ``threshold`` (number, or a
+    column that is constant per run and part of ``by``) the confusion counts
+    at ``score >= threshold`` come out of the same aggregate (E1).
     """
     keys = _keys(by)
     h = hist if hist is not None else score_histogram(preds, keys, y, p)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pos_ge = (F.col("pos_gt") + F.col("pos")).cast("double")
     neg_ge = (F.col("neg_gt") + F.col("neg")).cast("double")
-    agg = h.groupBy(*keys).agg(
-        F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
-        F.sum(neg * (F.col("pos_gt").cast("double") + F.lit(0.5) * pos)).alias("_auc_num"),
-        F.sum(pos * pos_ge / (pos_ge + neg_ge)).alias("_ap_num"))
+    aggs = [F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
+            F.sum(neg * (F.col("pos_gt").cast("double") + F.lit(0.5) * pos)).alias("_auc_num"),
+            F.sum(pos * pos_ge / (pos_ge + neg_ge)).alias("_ap_num")]
+    if threshold is not None:
+        t = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+        hit = F.col("score") >= t
+        aggs += [F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).cast("long").alias("tp"),
+                 F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).cast("long").alias("fp")]
+    agg = h.groupBy(*keys).agg(*aggs)
     two = (F.col("_P") > 0) & (F.col("_N") > 0)
-    return agg.select(
-        *keys,
+    out = agg.select(
+        "*",
         F.when(two, F.col("_auc_num") / (F.col("_P").cast("double") * F.col("_N").cast("double")))
         .alias("auc"),
         F.when(two, F.col("_ap_num") / F.col("_P").cast("double")).alias("pr_auc"))
+    if threshold is None:
+        return out.select(*keys, "auc", "pr_auc")
+    return out.select(*keys, F.col("_P").cast("long").alias("n_pos"), F.col("_N").cast("long").alias("n_neg"),
+                      "tp", "fp", (F.col("_P") - F.col("tp")).cast("long").alias("fn"),
+                      (F.col("_N") - F.col("fp")).cast("long").alias("tn"), "auc", "pr_auc")
 
 
 def evaluate(preds: DataFrame, by, y: str = "y_true", p: str = "proba", threshold=0.5) -> DataFrame:
-    """E1-E4 together: one row per run with counts, point metrics, auc, pr_auc."""
+    """E1-E4 together: one row per run with counts, point metrics, auc, pr_auc.
+
+    One pass over the predictions: the per-run score histogram feeds the
+    cumulative counts (AUC, AP) and the confusion counts at the threshold.
+    A threshold column must be constant per run; it is added to the keys.
+    """
     keys = _keys(by)
-    cm = with_point_metrics(confusion(preds, keys, y, p, threshold))
-    rk = ranking_metrics(preds, keys, y, p)
-    # run keys may be null (e.g. const_train_size of real-only runs): null-safe equality
-    return join_null_safe(cm, rk, keys, "left")
+    if isinstance(threshold, str) and threshold not in keys:
+        keys = keys + [threshold]
+    r = ranking_metrics(preds, keys, y, p, threshold=threshold)
+    return with_point_metrics(r)
 
 
 def classification_report(preds: DataFrame, by=None, y: str = "y_true", pred: str = "y_pred") -> DataFrame:

@@ -101,17 +101,17 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
     """
     keys = list(keys)
     lv = quantile_levels(n_grid)
-    st = preds.groupBy(*keys).agg(
-        F.min(p).alias("pmin"), F.max(p).alias("pmax"), F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(y) == 1).alias("n_pos"), F.count_if(F.col(y) != 1).alias("n_neg"),
-        F.percentile(F.col(p), F.array(*[F.lit(q) for q in lv])).alias("qs"))
+    # one pass over the predictions: (group, score) counts; everything below works on them
+    h = preds.groupBy(*keys, F.col(p).alias("value")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    st = h.groupBy(*keys).agg(
+        F.min("value").alias("pmin"), F.max("value").alias("pmax"),
+        F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+        F.percentile(F.col("value"), F.array(*[F.lit(q) for q in lv]), F.col("pos") + F.col("neg")).alias("qs"))
     grid_pts = (st.select(*keys, "pmin", "pmax", F.explode(F.array_distinct("qs")).alias("value"))
                 .filter((F.col("value") > F.col("pmin")) & (F.col("value") < F.col("pmax")))
                 .select(*keys, "value", F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(1).alias("is_grid")))
-    h = preds.groupBy(*keys, F.col(p).alias("value")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")
-    ).withColumn("is_grid", F.lit(0))
-    u = h.unionByName(grid_pts)
+    u = h.withColumn("is_grid", F.lit(0)).unionByName(grid_pts)
     w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("is_grid")).rowsBetween(
         Window.unboundedPreceding, 0)
     c = u.select(*keys, "value", "is_grid", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
