@@ -63,30 +63,41 @@ def with_point_metrics(cm: DataFrame, report_zero_cm_one_class: bool = True) ->
     return out
 
 
+def run_key(keys: list[str]):
+    """All run keys as one struct column: null fields compare equal in joins and windows."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
+
+
 def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
-                    bins: int = SCORE_BINS) -> DataFrame:
+                    bins: int = SCORE_BINS, keep_key: bool = False) -> DataFrame:
     """Distinct scores per run with ``pos, neg`` counts and exact counts strictly above.
 
-    Output: keys, score, pos, neg, pos_gt, neg_gt.
+    Output: keys, score, pos, neg, pos_gt, neg_gt.  The per-run cumulative is
+    two-level: a window inside each coarse score bin (also yielding the bin
+    totals) and a running sum over the bins of a run, joined back on
+    ``(run, bin)``.  No run's distinct scores need to fit in one task.
     """
     keys = _keys(by)
-    h = preds.groupBy(*keys, F.col(p).alias("score")).agg(
+    h = preds.groupBy(run_key(keys).alias("_k"), F.col(p).alias("score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
     h = h.withColumn("_bin", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
                                      * F.lit(bins)))
-    coarse = h.groupBy(*keys, "_bin").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    w_hi = Window.partitionBy(*keys).orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(*keys, "_bin",
-                           F.coalesce(F.sum("_bp").over(w_hi), F.lit(0)).alias("_op"),
-                           F.coalesce(F.sum("_bn").over(w_hi), F.lit(0)).alias("_on"))
-    w_in = Window.partitionBy(*keys, "_bin").orderBy(F.col("score").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
+    w_bin = Window.partitionBy("_k", "_bin")
+    w_in = w_bin.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     h = h.select("*", F.coalesce(F.sum("pos").over(w_in), F.lit(0)).alias("_ip"),
-                 F.coalesce(F.sum("neg").over(w_in), F.lit(0)).alias("_in"))
-    return (join_null_safe(h, coarse, [*keys, "_bin"], "inner")
-            .select(*keys, "score", "pos", "neg",
-                    (F.col("_op") + F.col("_ip")).alias("pos_gt"),
-                    (F.col("_on") + F.col("_in")).alias("neg_gt")))
+                 F.coalesce(F.sum("neg").over(w_in), F.lit(0)).alias("_in"),
+                 F.sum("pos").over(w_bin).alias("_bp"), F.sum("neg").over(w_bin).alias("_bn"),
+                 F.row_number().over(w_bin.orderBy(F.col("score").desc())).alias("_first"))
+    coarse = h.filter(F.col("_first") == 1).select("_k", "_bin", "_bp", "_bn")
+    w_hi = Window.partitionBy("_k").orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select("_k", "_bin", F.coalesce(F.sum("_bp").over(w_hi), F.lit(0)).alias("_op"),
+                           F.coalesce(F.sum("_bn").over(w_hi), F.lit(0)).alias("_on"))
+    out = h.join(coarse, on=["_k", "_bin"], how="inner").select(
+        "_k", "score", "pos", "neg", (F.col("_op") + F.col("_ip")).alias("pos_gt"),
+        (F.col("_on") + F.col("_in")).alias("neg_gt"))
+    if keep_key:
+        return out
+    return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "score", "pos", "neg", "pos_gt", "neg_gt")
 
 
 def ranking_metrics(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
@@ -98,7 +109,12 @@ def ranking_metrics(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
     at ``score >= threshold`` come out of the same aggregate (E1).
     """
     keys = _keys(by)
-    h = hist if hist is not None else score_histogram(preds, keys, y, p)
+    if isinstance(threshold, str) and threshold in keys:
+        # a per-run threshold column travels inside the run key
+        h = hist if hist is not None else score_histogram(preds, keys, y, p, keep_key=True)
+        h = h.withColumn(threshold, F.col(f"_k.{threshold}"))
+    else:
+        h = hist if hist is not None else score_histogram(preds, keys, y, p, keep_key=True)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pos_ge = (F.col("pos_gt") + F.col("pos")).cast("double")
     neg_ge = (F.col("neg_gt") + F.col("neg")).cast("double")
@@ -110,7 +126,8 @@ def ranking_metrics(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
         hit = F.col("score") >= t
         aggs += [F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).cast("long").alias("tp"),
                  F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).cast("long").alias("fp")]
-    agg = h.groupBy(*keys).agg(*aggs)
+    agg = h.groupBy("_k").agg(*aggs)
+    agg = agg.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *[c for c in agg.columns if c != "_k"])
     two = (F.col("_P") > 0) & (F.col("_N") > 0)
     out = agg.select(
         "*",

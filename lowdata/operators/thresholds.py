@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import objective, point_metrics
+from lowdata.operators.evaluation import run_key
 from lowdata.operators.ranking import join_null_safe, join_small
 
 
@@ -35,19 +36,32 @@ def grid_cell(p, grid: int):
     return (c0 + F.when(up, 1).otherwise(0) - F.when(down, 1).otherwise(0)).cast("int")
 
 
-def grid_counts(preds: DataFrame, by, grid: int = 200, y: str = "y_true", p: str = "proba") -> DataFrame:
-    """Per run and grid point i (1..grid-1): threshold, tp, fp, fn, tn at ``p >= i/grid``."""
+def grid_counts(preds: DataFrame, by, grid: int = 200, y: str = "y_true", p: str = "proba",
+                keep_key: bool = False) -> DataFrame:
+    """Per run and grid point i (1..grid-1): threshold, tp, fp, fn, tn at ``p >= i/grid``.
+
+    Cell counts (one partial aggregate over the predictions) and zero-count grid
+    points are unioned and swept by one reverse running sum per run.
+    """
     keys = _keys(by)
     step = 1.0 / grid
-    h = preds.groupBy(*keys, grid_cell(p, grid).alias("i")).agg(
+    h = preds.groupBy(run_key(keys).alias("_k"), grid_cell(p, grid).alias("i")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    runs = h.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pts = runs.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(grid - 1))))
-    j = join_null_safe(pts, h, [*keys, "i"], "left").fillna(0, subset=["pos", "neg"])
-    w = Window.partitionBy(*keys).orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    j = j.select(*keys, "i", "P", "N", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
-    return j.select(*keys, "i", (F.col("i").cast("double") * F.lit(step)).alias("threshold"),
-                    "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"))
+    pts = (h.select("_k").distinct()
+           .select("_k", F.explode(F.sequence(F.lit(1), F.lit(grid - 1))).alias("i"))
+           .select("_k", "i", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"),
+                   F.lit(1).alias("_pt")))
+    u = h.withColumn("_pt", F.lit(0)).unionByName(pts)
+    w_run = Window.partitionBy("_k")
+    w = w_run.orderBy(F.col("i").desc(), F.col("_pt")).rowsBetween(Window.unboundedPreceding, 0)
+    j = u.select("_k", "i", "_pt", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
+                 F.sum("pos").over(w_run).alias("P"), F.sum("neg").over(w_run).alias("N"))
+    j = j.filter(F.col("_pt") == 1)
+    out = j.select("_k", "i", (F.col("i").cast("double") * F.lit(step)).alias("threshold"),
+                   "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"))
+    if keep_key:
+        return out
+    return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], *[c for c in out.columns if c != "_k"])
 
 
 def pick_threshold(preds: DataFrame, which: str = "balacc", grid: int = 200, by=None,
@@ -57,25 +71,29 @@ def pick_threshold(preds: DataFrame, which: str = "balacc", grid: int = 200, by=
     Output: keys, threshold, score.
     """
     keys = _keys(by)
-    g = grid_counts(preds, keys, grid, y, p)
+    g = grid_counts(preds, keys, grid, y, p, keep_key=True)
     g = g.withColumn("score", objective(which, "tp", "fp", "fn", "tn", style=style))
-    best = g.filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy(*keys).agg(
+    best = g.filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("_k").agg(
         F.max_by(F.struct("threshold", "score"), F.struct(F.col("score"), -F.col("i"))).alias("b"))
-    return best.select(*keys, F.col("b.threshold").alias("threshold"), F.col("b.score").alias("score"))
+    return best.select(*[F.col(f"_k.{k}").alias(k) for k in keys], F.col("b.threshold").alias("threshold"),
+                       F.col("b.score").alias("score"))
 
 
 def rethreshold(raw: DataFrame, preds: DataFrame, metrics: Sequence[str] = ("f1", "balanced_accuracy", "mcc"),
                 grid: int = 2000, tag: str = "tag", y: str = "y_true", p: str = "proba") -> DataFrame:
     """Re-tune every run on its own test predictions (grid 2000): overwrite each metric
     with its best value and add ``{m}_thr_test``; runs without predictions are dropped."""
-    g = grid_counts(preds, [tag], grid, y, p).cache()
-    out = raw
+    g = grid_counts(preds, [tag], grid, y, p)
+    # all objectives in one aggregate over the grid: first maximum per objective
+    aggs = []
+    for m in metrics:
+        sc = objective(m, "tp", "fp", "fn", "tn", style="plain")
+        aggs.append(F.max_by(F.struct(F.col("threshold"), sc.alias("score")), F.struct(sc, -F.col("i"))).alias(f"_b_{m}"))
+    b = g.groupBy(tag).agg(*aggs)
+    b = b.select(tag, *[x for m in metrics for x in (F.col(f"_b_{m}.score").alias(f"_{m}"),
+                                                       F.col(f"_b_{m}.threshold").alias(f"{m}_thr_test"))])
+    out = raw.join(b, on=tag, how="inner")
     for m in metrics:
-        s = g.withColumn("score", objective(m, "tp", "fp", "fn", "tn", style="plain"))
-        b = s.groupBy(tag).agg(F.max_by(F.struct("threshold", "score"),
-                                        F.struct(F.col("score"), -F.col("i"))).alias("b"))
-        b = b.select(tag, F.col("b.score").alias(f"_{m}"), F.col("b.threshold").alias(f"{m}_thr_test"))
-        out = out.join(b, on=tag, how="inner")
         out = out.withColumn(m, F.col(f"_{m}")).drop(f"_{m}")
     return out
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lowdata.functions.hashing import round_half_up, sql_round_half_up, sql_uniform
+from lowdata.functions.hashing import round_half_up, sql_normal, sql_round_half_up, sql_uniform
 from lowdata.operators import augment as au
 from lowdata.operators import knn as kn
 from lowdata.operators import sampling as sa
@@ -116,7 +116,13 @@ def diag_candidates(spark, sf):
     return au.sample_diag_gaussian(spark, s, N_GEN, SEED)
 
 
-@reg("diag_gaussian_sample", None)
+SQL_DIAG = f"""{SQL_SCALER},
+gg AS (SELECT unnest(generate_series(0, {N_GEN} - 1)) AS gen_id),
+xv AS (SELECT gg.gen_id, sc.j, sc.m + sc.s * {sql_normal(str(SEED), "'diag'", 'gg.gen_id', 'sc.j')} AS v FROM gg CROSS JOIN sc),
+cand AS (SELECT gen_id, list(v ORDER BY j) AS features FROM xv GROUP BY gen_id)"""
+
+
+@reg("diag_gaussian_sample", f"WITH {SQL_DIAG} SELECT gen_id, {s6('list_sum(features)')} AS checksum FROM cand")
 def q_diag_gaussian_sample(spark, sf):
     """A16 (re-aimed generator) + A6: diagonal-Gaussian draws from the positives' moments."""
     c = diag_candidates(spark, sf)
@@ -240,7 +246,9 @@ def q_smote_segment_check(spark, sf):
     return a.agg(F.count(F.lit(1)).alias("n_synth"), F.count_if((F.col("_t") > 0) & (F.col("_t") < 1)).alias("n_inside"))
 
 
-@reg("smote_nn_median", None)
+@reg("smote_nn_median", f"""WITH {SQL_SMOTE},
+dd AS (SELECT s.uid, min(list_distance(s.x, p.features)) AS d FROM syn s CROSS JOIN pos p GROUP BY s.uid)
+SELECT {s6('quantile_cont(d, 0.5)')} AS smote_med_nn_dist FROM dd""")
 def q_smote_nn_median(spark, sf):
     """Median distance of the SMOTE points to their nearest real positive."""
     a = smoted(spark, sf).drop("_nbr", "_t", "_draw")
@@ -285,7 +293,10 @@ def q_quality_gate_none(spark, sf):
     return au.quality_gate(c, N_KEEP, "none").select("gen_id")
 
 
-@reg("quality_gate_nn", None)
+@reg("quality_gate_nn", f"""WITH {SQL_DIAG},
+pos AS (SELECT features FROM {EMB} e WHERE y = 1),
+d AS (SELECT c.gen_id, min(list_distance(c.features, p.features)) AS dpos FROM cand c CROSS JOIN pos p GROUP BY c.gen_id)
+SELECT gen_id FROM d ORDER BY dpos, gen_id LIMIT {N_KEEP}""")
 def q_quality_gate_nn(spark, sf):
     """The n candidates closest to the positive set."""
     e = fx.embeddings(spark, sf)

@@ -153,7 +153,14 @@ def _raw_csv(spark, sf):
     return io.read_raw(spark, path)
 
 
-@reg("read_raw", None)
+def _sql_raw_based(body: str) -> str:
+    from lowdata.plans.q_eval import SQL_RAW
+    return "WITH " + SQL_RAW + " " + body
+
+
+@reg("read_raw", _sql_raw_based(
+    "SELECT variant, variant = 'gan' AS used_gan, count(*) AS n, CAST(sum(tp) AS BIGINT) AS tp, 0 AS seed "
+    "FROM raw GROUP BY ALL"))
 def q_read_raw(spark, sf):
     """S10 + S11 + P5 + P6 + P10: results appended as CSV text and read back with coercion."""
     r = _raw_csv(spark, sf)
@@ -225,7 +232,7 @@ def q_split_roundtrip(spark, sf):
     return io.read_split(spark, path).groupBy("split_id", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@reg("index_json", None)
+@reg("index_json", f"""SELECT 3 * count(*) AS n, count(*) AS n_distinct FROM {fx.SQL_DOCUMENTS} d WHERE y = 1""")
 def q_index_json(spark, sf):
     """Index files in the three accepted shapes written from data and read back."""
     d = fx.documents(spark, sf)
@@ -238,7 +245,9 @@ def q_index_json(spark, sf):
                                                                 F.countDistinct("row_id").alias("n_distinct"))
 
 
-@reg("run_metrics_json", None)
+@reg("run_metrics_json", _sql_raw_based(
+    "SELECT variant, count(*) AS n, CAST(max(6) AS BIGINT) AS days, CAST(400 * count(*) AS BIGINT) AS trees "
+    "FROM raw GROUP BY variant"))
 def q_run_metrics_json(spark, sf):
     """S7 + S6: run metrics written as JSON with the nested audit and read back by file glob."""
     from lowdata.plans.q_eval import run_raw
@@ -257,7 +266,13 @@ def q_run_metrics_json(spark, sf):
                                        F.sum("audit.rf_params.n_estimators").alias("trees"))
 
 
-@reg("scaler_roundtrip", None)
+def _sql_scaler_roundtrip() -> str:
+    from lowdata.plans.q_augment import SQL_SCALER
+    return (f"WITH {SQL_SCALER} SELECT CAST(count(*) AS INTEGER) AS dim, "
+            + sql_round_half_up("sum(s)", 6) + " AS scale_sum FROM sc")
+
+
+@reg("scaler_roundtrip", _sql_scaler_roundtrip())
 def q_scaler_roundtrip(spark, sf):
     """Scaler written as a one-row table and read back."""
     from lowdata.operators.augment import fit_scaler
@@ -267,7 +282,12 @@ def q_scaler_roundtrip(spark, sf):
     return s.select(F.size("mean").alias("dim"), r6(F.aggregate("scale", F.lit(0.0), lambda a, x: a + x)).alias("scale_sum"))
 
 
-@reg("write_by_family", None)
+def _sql_by_family() -> str:
+    body = QUERIES["collect_runs_by_tag"][1]
+    return "SELECT family, count(*) AS n FROM (" + body + ") GROUP BY family"
+
+
+@reg("write_by_family", _sql_by_family())
 def q_write_by_family(spark, sf):
     """Per-family outputs (collected run keys) written one folder per family."""
     runs = io.collect_runs_by_tag(_stems(spark, sf), "stem")

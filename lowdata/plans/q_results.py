@@ -225,9 +225,35 @@ def q_seed_box(spark, sf):
     return round_doubles(rp.seed_box(results(spark, sf), "auc"))
 
 
-@reg("delta_bootstrap", None)
+def _sql_bootstrap(n_boot: int = 1000, seed: int = 42) -> str:
+    from lowdata.functions.hashing import sql_uniform
+    gid = "concat_ws('|', prefix, variant, CAST(frac AS VARCHAR))"
+    u = sql_uniform(str(seed), gid, "b", "j")
+    r8 = lambda e: __import__("lowdata.functions.hashing", fromlist=["x"]).sql_round_half_up(e, 8)
+    return SQL_PAIRED + f""",
+bb AS (SELECT prefix, variant, frac, delta_auc,
+              row_number() OVER (PARTITION BY prefix, variant, frac ORDER BY CAST(seed AS VARCHAR) || '|' || test_start) - 1 AS rr
+       FROM paired WHERE delta_auc IS NOT NULL),
+sz AS (SELECT prefix, variant, frac, count(*) AS n, avg(delta_auc) AS delta_mean FROM bb GROUP BY ALL),
+dr AS (SELECT prefix, variant, frac, n, b, j FROM sz, (SELECT unnest(generate_series(0, {n_boot - 1})) AS b) bs,
+       LATERAL (SELECT unnest(generate_series(0, n - 1)) AS j)),
+dr2 AS (SELECT prefix, variant, frac, b, CAST(floor({u} * n) AS INTEGER) AS rr FROM dr),
+rep AS (SELECT d.prefix, d.variant, d.frac, d.b, avg(bb.delta_auc) AS m FROM dr2 d
+        JOIN bb ON d.prefix = bb.prefix AND d.variant = bb.variant AND d.frac = bb.frac AND d.rr = bb.rr GROUP BY ALL),
+ci AS (SELECT prefix, variant, frac, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi,
+              avg(CAST(m <= 0 AS DOUBLE)) AS ple, avg(CAST(m >= 0 AS DOUBLE)) AS pge FROM rep GROUP BY ALL)
+SELECT sz.prefix, sz.variant, sz.frac, sz.n, {r8('sz.delta_mean')} AS delta_mean, {r8('ci.lo')} AS ci_low,
+       {r8('ci.hi')} AS ci_high, {r8('least(1.0, 2.0 * least(ple, pge))')} AS p_boot,
+       CASE WHEN least(1.0, 2.0 * least(ple, pge)) < 0.001 THEN '***' WHEN least(1.0, 2.0 * least(ple, pge)) < 0.01 THEN '**'
+            WHEN least(1.0, 2.0 * least(ple, pge)) < 0.05 THEN '*' ELSE '' END AS stars
+FROM sz LEFT JOIN ci ON sz.prefix = ci.prefix AND sz.variant = ci.variant AND sz.frac = ci.frac"""
+
+
+@reg("delta_bootstrap", _sql_bootstrap())
 def q_delta_bootstrap(spark, sf):
     """Mean paired AUC delta with a 1000-replicate percentile bootstrap CI and stars."""
-    p = pa.pair(results(spark, sf)).withColumn(
+    from lowdata.functions.hashing import round_half_up
+    p = round_doubles(pa.pair(results(spark, sf))).withColumn(
         "pair_id", F.concat_ws("|", "seed", "test_start"))
-    return round_doubles(rp.delta_bootstrap(p, "auc", ["prefix", "variant", "frac"], 1000, 42))
+    b = rp.delta_bootstrap(p, "auc", ["prefix", "variant", "frac"], 1000, 42)
+    return b.select(*[round_half_up(F.col(c), 8).alias(c) if t == "double" else F.col(c) for c, t in b.dtypes])
