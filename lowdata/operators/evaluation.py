@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import point_metrics
 from lowdata.operators.ranking import join_null_safe
+from lowdata.session import materialize
 
 SCORE_BINS = 1 << 16
 
@@ -80,6 +81,7 @@ def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
     keys = _keys(by)
     h = preds.groupBy(run_key(keys).alias("_k"), F.col(p).alias("score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    h = materialize(h)  # one row per (run, distinct score); feeds two branches below
     h = h.withColumn("_bin", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
                                      * F.lit(bins)))
     w_bin = Window.partitionBy("_k", "_bin")

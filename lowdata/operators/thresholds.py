@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lowdata.functions.metrics import objective, point_metrics
 from lowdata.operators.evaluation import run_key
 from lowdata.operators.ranking import join_null_safe, join_small
+from lowdata.session import materialize
 
 
 def _keys(by) -> list[str]:
@@ -45,8 +46,8 @@ def grid_counts(preds: DataFrame, by, grid: int = 200, y: str = "y_true", p: str
     """
     keys = _keys(by)
     step = 1.0 / grid
-    h = preds.groupBy(run_key(keys).alias("_k"), grid_cell(p, grid).alias("i")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    h = materialize(preds.groupBy(run_key(keys).alias("_k"), grid_cell(p, grid).alias("i")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
     pts = (h.select("_k").distinct()
            .select("_k", F.explode(F.sequence(F.lit(1), F.lit(grid - 1))).alias("i"))
            .select("_k", "i", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"),
@@ -120,8 +121,8 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
     keys = list(keys)
     lv = quantile_levels(n_grid)
     # one pass over the predictions: (group, score) counts; everything below works on them
-    h = preds.groupBy(*keys, F.col(p).alias("value")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    h = materialize(preds.groupBy(*keys, F.col(p).alias("value")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
     st = h.groupBy(*keys).agg(
         F.min("value").alias("pmin"), F.max("value").alias("pmax"),
         F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),

@@ -304,7 +304,19 @@ def q_quality_gate_nn(spark, sf):
     return au.quality_gate(diag_candidates(spark, sf), N_KEEP, "nn", pos).select("gen_id")
 
 
-@reg("quality_gate_boundary", None)
+@reg("quality_gate_boundary", f"""WITH {SQL_DIAG},
+pos AS (SELECT features FROM {EMB} e WHERE y = 1), neg AS (SELECT features FROM {EMB} e WHERE y = 0),
+dp AS (SELECT c.gen_id, min(list_distance(c.features, p.features)) AS dpos FROM cand c CROSS JOIN pos p GROUP BY c.gen_id),
+dn AS (SELECT c.gen_id, min(list_distance(c.features, n.features)) AS dneg FROM cand c CROSS JOIN neg n GROUP BY c.gen_id),
+d AS (SELECT dp.gen_id, dpos, dneg FROM dp JOIN dn ON dp.gen_id = dn.gen_id),
+q AS (SELECT quantile_cont(dpos, 0.5) AS med, quantile_cont(dneg, 0.2) AS lo, quantile_cont(dneg, 0.6) AS hi FROM d),
+k AS (SELECT d.*, (dpos <= med AND dneg >= lo AND dneg <= hi) AS ok FROM d CROSS JOIN q),
+nok AS (SELECT count_if(ok) AS n_ok FROM k),
+pick AS (SELECT gen_id, row_number() OVER (ORDER BY {u('gate', 'gen_id')}, gen_id) AS rn FROM k WHERE ok),
+fill AS (SELECT gen_id, row_number() OVER (ORDER BY dpos, gen_id) AS rn FROM k WHERE NOT ok)
+SELECT gen_id FROM pick, nok WHERE n_ok >= {N_KEEP} AND rn <= {N_KEEP}
+UNION ALL SELECT gen_id FROM k, nok WHERE n_ok < {N_KEEP} AND ok
+UNION ALL SELECT gen_id FROM fill, nok WHERE n_ok < {N_KEEP} AND rn <= {N_KEEP} - n_ok""")
 def q_quality_gate_boundary(spark, sf):
     """A10: on-manifold and near-boundary candidates (median / 20-60% quantile rule)."""
     e = fx.embeddings(spark, sf)

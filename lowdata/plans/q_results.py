@@ -211,7 +211,7 @@ SELECT variant, prefix, test_start, {sql_r10('avg(delta_auc)')} AS delta_auc_mea
 FROM paired WHERE frac = 0.01 GROUP BY variant, prefix, test_start""")
 def q_delta_matrix(spark, sf):
     """Mean AUC delta per (method, cutoff) x window at one fraction."""
-    p = pa.pair(results(spark, sf))
+    p = round_doubles(pa.pair(results(spark, sf)))
     return round_doubles(rp.delta_matrix(p, "auc", 0.01, "prefix", "test_start"))
 
 

@@ -74,6 +74,20 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small reduced table once and keep it (memory, spilling to disk).
+
+    Used where one aggregate feeds several branches of a plan (e.g. a score
+    histogram that feeds both a per-bin window and per-run offsets): Spark
+    would otherwise recompute the whole upstream pipeline once per branch.
+    Lost blocks are recomputed from lineage, so executor loss is survivable.
+    """
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
