@@ -322,3 +322,49 @@ def q_quality_gate_boundary(spark, sf):
     e = fx.embeddings(spark, sf)
     pos, neg = au.gate_sets(e, None, "full")
     return au.quality_gate(diag_candidates(spark, sf), N_KEEP, "nn_boundary", pos, neg, seed=SEED).select("gen_id")
+
+
+# ------------------------------------------------------------------ A5 generator
+
+ZDIM, HIDDEN = 16, 32
+
+
+def _n_latent(spark, sf) -> int:
+    """Candidates for a budget of one synthetic row per real positive, qmult 5."""
+    return au.n_candidates(fx.embeddings(spark, sf).filter("y = 1").count(), 5.0)
+
+
+@reg("latents", f"""
+WITH n AS (SELECT CAST(ceil(5.0 * count(*)) AS BIGINT) AS n FROM {EMB} e WHERE y = 1),
+z AS (SELECT g.gen_id, j.j FROM n, LATERAL (SELECT unnest(generate_series(0, n.n - 1)) AS gen_id) g,
+      (SELECT unnest(generate_series(0, {ZDIM} - 1)) AS j) j)
+SELECT gen_id, {s6(f"sum({sql_normal(str(SEED), "'z'", 'gen_id', 'j')})")} AS z_sum FROM z GROUP BY gen_id""")
+def q_latents(spark, sf):
+    """A5 input: seeded standard-normal latents, 5 per real positive embedding."""
+    z = au.latents(spark, _n_latent(spark, sf), ZDIM, SEED)
+    return z.select("gen_id", r6(vsum("z")).alias("z_sum"))
+
+
+def mlp_layers(dim: int, seed: int = SEED):
+    """A user-supplied parameter table stand-in: ReLU MLP weights from seeded hashes."""
+    import hashlib
+
+    import numpy as np
+
+    def mat(name, r, c, scale):
+        v = [int(hashlib.md5(f"{seed}|{name}|{i}".encode()).hexdigest()[:13], 16) / 2 ** 52 - 0.5 for i in range(r * c)]
+        return np.asarray(v).reshape(r, c) * scale
+
+    sizes = [ZDIM, HIDDEN, HIDDEN, dim]
+    return [(mat(f"w{i}", sizes[i], sizes[i + 1], 2.0 / sizes[i] ** 0.5), mat(f"b{i}", 1, sizes[i + 1], 0.1)[0])
+            for i in range(3)]
+
+
+@reg("gan_candidates", None)
+def q_gan_candidates(spark, sf):
+    """A5 + A6: MLP generator over the latents (broadcast weights, NumPy batches), inverse-scaled
+    with the positives' scaler."""
+    e = fx.embeddings(spark, sf)
+    g = au.generate(spark, mlp_layers(64), _n_latent(spark, sf), SEED)
+    x = au.inverse_scale(g, au.fit_scaler(e.filter("y = 1")))
+    return x.select("gen_id", r6(vsum("features")).alias("checksum"))

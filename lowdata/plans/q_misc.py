@@ -418,3 +418,41 @@ FROM a CROSS JOIN s"""
 
 
 QUERIES["audit"] = (QUERIES["audit"][0], _sql_audit())
+
+
+# ------------------------------------------------------------------ S8 / O1 / D21
+
+@reg("preds_roundtrip", None)
+def q_preds_roundtrip(spark, sf):
+    """Run predictions appended partitioned by prefix and read back."""
+    from lowdata.plans.q_eval import run_preds
+    path = scratch_path(spark, f"preds-{uuid.uuid4().hex[:8]}")
+    p = run_preds(spark, sf).select("prefix", "tag", "row_id", "y_true", "proba")
+    io.write_preds(p, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tag").alias("n_runs"))
+
+
+def _preds_roundtrip_sql() -> str:
+    from lowdata.plans.q_eval import SQL_RUN_PREDS
+    return "WITH " + SQL_RUN_PREDS + " SELECT prefix, count(*) AS n, count(DISTINCT tag) AS n_runs FROM rp GROUP BY prefix"
+
+
+QUERIES["preds_roundtrip"] = (q_preds_roundtrip, _preds_roundtrip_sql())
+
+
+@reg("sort_results", """
+SELECT o_orderkey AS row_id, o_orderpriority AS family FROM orders ORDER BY o_orderpriority, o_orderkey""")
+def q_sort_results(spark, sf):
+    """O1: results in display order (ordering only where it is the output)."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("row_id"),
+                                                         F.col("o_orderpriority").alias("family"))
+    return rl.sort_results(o, ["family", "row_id"])
+
+
+@reg("shuffle", """
+SELECT event_id AS row_id FROM events""")
+def q_shuffle(spark, sf):
+    """Seeded permutation of the rows (the order is the only change)."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("row_id"))
+    return sp.shuffle(e, 42)
