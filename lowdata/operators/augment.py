@@ -269,3 +269,56 @@ def smote_nn_median(aug: DataFrame) -> DataFrame:
     real = aug.filter(~F.col("is_synth") & (F.col("y") == 1)).select("row_id", "features")
     d = nn_dist(syn, real, "sid", "row_id", "features", "d")
     return d.agg(F.percentile("d", 0.5).alias("smote_med_nn_dist"))
+
+
+# ------------------------------------------------------------------ A16 mixture sampler
+
+def fit_sampler(df: DataFrame, kind: str = "diag_gaussian", k: int = 3, dims: int = 8, seed: int = 42):
+    """Fit a tabular sampler on (positive) rows.
+
+    ``diag_gaussian``: per-feature moments (the scaler table).  ``gmm``: PCA to
+    ``dims`` components, then spark.ml ``GaussianMixture`` with ``k`` components
+    (both distributed fits); returns a small parameter dict (means, covariances,
+    weights, PCA basis, feature means) that :func:`sample_gmm` broadcasts.
+    """
+    if kind == "diag_gaussian":
+        return fit_scaler(df)
+    if kind != "gmm":
+        raise ValueError(f"unknown sampler kind: {kind}")
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+    d = df.select(array_to_vector("features").alias("fv"))
+    pca = PCA(k=dims, inputCol="fv", outputCol="pc").fit(d)
+    z = pca.transform(d).select("pc")
+    gm = GaussianMixture(k=k, featuresCol="pc", seed=seed).fit(z)
+    g = gm.gaussiansDF.collect()  # k rows of (mean, cov): bounded by k x dims^2
+    return {"weights": np.asarray(gm.weights), "means": np.stack([r["mean"].toArray() for r in g]),
+            "covs": np.stack([r["cov"].toArray() for r in g]), "basis": pca.pc.toArray()}
+
+
+def _gmm_fn(bc, dims, seed):
+    def run(it):
+        p = bc.value
+        chol = [np.linalg.cholesky(c + 1e-9 * np.eye(dims)) for c in p["covs"]]
+        cum = np.cumsum(p["weights"])
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            u = pdf["u"].to_numpy()
+            z = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["z"].values])
+            comp = np.minimum(np.searchsorted(cum, u * cum[-1], side="right"), len(cum) - 1)
+            pc = np.stack([p["means"][c] + chol[c] @ z[i] for i, c in enumerate(comp)])
+            x = pc @ p["basis"].T
+            yield pd.DataFrame({"gen_id": pdf["gen_id"].values, "component": comp.astype("int32"), "features": list(x)})
+    return run
+
+
+def sample_gmm(spark: SparkSession, params: dict, n_gen: int, seed: int) -> DataFrame:
+    """Draw ``n_gen`` rows from a fitted mixture: seeded component choice and normal latents,
+    mapped back through the PCA basis (parameters broadcast, NumPy batches).  The
+    spark.ml PCA does not centre, so no mean is added back."""
+    dims = params["means"].shape[1]
+    bc = spark.sparkContext.broadcast(params)
+    g = latents(spark, n_gen, dims, seed).withColumn("u", uniform(F.lit(seed), F.lit("gmm"), F.col("gen_id")))
+    return g.mapInPandas(_gmm_fn(bc, dims, seed), "gen_id long, component int, features array<double>")

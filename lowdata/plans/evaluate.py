@@ -44,6 +44,7 @@ class RunSpec:
     gan_qmult: float = 5.0
     gan_per_real: float = 2.0
     gan_like: str = "scarce"
+    gan_sampler: str = "diag_gaussian"  # diag_gaussian | gmm
     tag: str = ""
     extra: dict = field(default_factory=dict)
 
@@ -67,9 +68,12 @@ def build_train(train_full: DataFrame, spec: RunSpec) -> tuple[DataFrame, DataFr
         need = min(target - n_real, int(spec.gan_per_real * max(1, n_pos)))
         like = train_full.filter(F.col("y") == 1) if spec.gan_like != "scarce" else scarce
         pos, neg = au.gate_sets(train_full, like, "scarce")
-        scaler = au.fit_scaler(pos)
-        cands = au.sample_diag_gaussian(train_full.sparkSession, scaler,
-                                        au.n_candidates(need, spec.gan_qmult), spec.seed)
+        n_gen = au.n_candidates(need, spec.gan_qmult)
+        if spec.gan_sampler == "gmm":
+            params = au.fit_sampler(pos, "gmm", seed=spec.seed)
+            cands = au.sample_gmm(train_full.sparkSession, params, n_gen, spec.seed).drop("component")
+        else:
+            cands = au.sample_diag_gaussian(train_full.sparkSession, au.fit_scaler(pos), n_gen, spec.seed)
         kept = au.quality_gate(cands, need, spec.gan_quality, pos, neg, seed=spec.seed)
         aug = au.with_synth(real, au.gan_synth(kept))
         nominal = need

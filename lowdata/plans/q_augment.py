@@ -368,3 +368,12 @@ def q_gan_candidates(spark, sf):
     g = au.generate(spark, mlp_layers(64), _n_latent(spark, sf), SEED)
     x = au.inverse_scale(g, au.fit_scaler(e.filter("y = 1")))
     return x.select("gen_id", r6(vsum("features")).alias("checksum"))
+
+
+@reg("gmm_sample", None)
+def q_gmm_sample(spark, sf):
+    """A16 (gmm): PCA + GaussianMixture fitted on the positive embeddings, 5 draws per positive."""
+    e = fx.embeddings(spark, sf).filter("y = 1")
+    params = au.fit_sampler(e, "gmm", k=3, dims=8, seed=SEED)
+    g = au.sample_gmm(spark, params, _n_latent(spark, sf), SEED)
+    return g.select("gen_id", "component", r6(vsum("features")).alias("checksum"))

@@ -96,3 +96,16 @@ def q_evaluate_runs(spark, sf):
     metrics, _ = evaluate_runs(d, runs)
     return metrics.select("tag", "variant", "frac", "threshold", "n_pos", "n_neg", "accuracy", "f1",
                           "balanced_accuracy", "mcc", "auc", "pr_auc")
+
+
+@reg("evaluate_runs_temporal", None)
+def q_evaluate_runs_temporal(spark, sf):
+    """E11 temporal regime: events holdout, one fit per run scoring every 6-day window (step 3)."""
+    from lowdata.operators import splits as sp
+    from lowdata.plans.evaluate import RunSpec, evaluate_runs
+    d = sp.temporal_holdout(fx.events(spark, sf), "2024-01-10 00:00:00")
+    win = sp.rolling_windows(d.filter("part = 'test'"), 6, 3)
+    runs = [RunSpec(seed=42, frac=0.05, variant=v, const_train_size=600, min_pos=20, min_neg=20, trees=10, depth=5,
+                    tag=f"ev_r005_{v}") for v in ("real", "oversample")]
+    metrics, _ = evaluate_runs(d, runs, win, 6, 3)
+    return metrics.select("tag", "variant", "window_id", "n_pos", "n_neg", "accuracy", "balanced_accuracy", "auc")
