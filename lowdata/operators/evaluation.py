@@ -64,13 +64,20 @@ def with_point_metrics(cm: DataFrame, report_zero_cm_one_class: bool = True) ->
     return out
 
 
+def count_where(cond, weight: str | None = None):
+    """count_if(cond), or the sum of ``weight`` over rows where cond holds (pre-aggregated input)."""
+    if weight is None:
+        return F.count_if(cond)
+    return F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0)).cast("long")
+
+
 def run_key(keys: list[str]):
     """All run keys as one struct column: null fields compare equal in joins and windows."""
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
 def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
-                    bins: int = SCORE_BINS, keep_key: bool = False) -> DataFrame:
+                    bins: int = SCORE_BINS, keep_key: bool = False, weight: str | None = None) -> DataFrame:
     """Distinct scores per run with ``pos, neg`` counts and exact counts strictly above.
 
     Output: keys, score, pos, neg, pos_gt, neg_gt.  The per-run cumulative is
@@ -80,7 +87,7 @@ def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
     """
     keys = _keys(by)
     h = preds.groupBy(run_key(keys).alias("_k"), F.col(p).alias("score")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+        count_where(F.col(y) == 1, weight).alias("pos"), count_where(F.col(y) != 1, weight).alias("neg"))
     h = materialize(h)  # one row per (run, distinct score); feeds two branches below
     h = h.withColumn("_bin", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
                                      * F.lit(bins)))
@@ -103,7 +110,7 @@ def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
 
 
 def ranking_metrics(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
-                    hist: DataFrame | None = None, threshold=None) -> DataFrame:
+                    hist: DataFrame | None = None, threshold=None, weight: str | None = None) -> DataFrame:
     """E3 + E4: exact ROC AUC (ties count 1/2) and step average precision per run.
 
     One class in y_true -> null for both.  With ``threshold`` (number, or a
@@ -113,10 +120,10 @@ def ranking_metrics(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
     keys = _keys(by)
     if isinstance(threshold, str) and threshold in keys:
         # a per-run threshold column travels inside the run key
-        h = hist if hist is not None else score_histogram(preds, keys, y, p, keep_key=True)
+        h = hist if hist is not None else score_histogram(preds, keys, y, p, keep_key=True, weight=weight)
         h = h.withColumn(threshold, F.col(f"_k.{threshold}"))
     else:
-        h = hist if hist is not None else score_histogram(preds, keys, y, p, keep_key=True)
+        h = hist if hist is not None else score_histogram(preds, keys, y, p, keep_key=True, weight=weight)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     pos_ge = (F.col("pos_gt") + F.col("pos")).cast("double")
     neg_ge = (F.col("neg_gt") + F.col("neg")).cast("double")
@@ -143,7 +150,8 @@ def ranking_metrics(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
                       (F.col("_N") - F.col("fp")).cast("long").alias("tn"), "auc", "pr_auc")
 
 
-def evaluate(preds: DataFrame, by, y: str = "y_true", p: str = "proba", threshold=0.5) -> DataFrame:
+def evaluate(preds: DataFrame, by, y: str = "y_true", p: str = "proba", threshold=0.5,
+             weight: str | None = None) -> DataFrame:
     """E1-E4 together: one row per run with counts, point metrics, auc, pr_auc.
 
     One pass over the predictions: the per-run score histogram feeds the
@@ -153,7 +161,7 @@ def evaluate(preds: DataFrame, by, y: str = "y_true", p: str = "proba", threshol
     keys = _keys(by)
     if isinstance(threshold, str) and threshold not in keys:
         keys = keys + [threshold]
-    r = ranking_metrics(preds, keys, y, p, threshold=threshold)
+    r = ranking_metrics(preds, keys, y, p, threshold=threshold, weight=weight)
     return with_point_metrics(r)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import objective, point_metrics
-from lowdata.operators.evaluation import run_key
+from lowdata.operators.evaluation import count_where, run_key
 from lowdata.operators.ranking import join_null_safe, join_small
 from lowdata.session import materialize
 
@@ -38,7 +38,7 @@ def grid_cell(p, grid: int):
 
 
 def grid_counts(preds: DataFrame, by, grid: int = 200, y: str = "y_true", p: str = "proba",
-                keep_key: bool = False) -> DataFrame:
+                keep_key: bool = False, weight: str | None = None) -> DataFrame:
     """Per run and grid point i (1..grid-1): threshold, tp, fp, fn, tn at ``p >= i/grid``.
 
     Cell counts (one partial aggregate over the predictions) and zero-count grid
@@ -47,7 +47,7 @@ def grid_counts(preds: DataFrame, by, grid: int = 200, y: str = "y_true", p: str
     keys = _keys(by)
     step = 1.0 / grid
     h = materialize(preds.groupBy(run_key(keys).alias("_k"), grid_cell(p, grid).alias("i")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
+        count_where(F.col(y) == 1, weight).alias("pos"), count_where(F.col(y) != 1, weight).alias("neg")))
     pts = (h.select("_k").distinct()
            .select("_k", F.explode(F.sequence(F.lit(1), F.lit(grid - 1))).alias("i"))
            .select("_k", "i", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"),
@@ -66,13 +66,13 @@ def grid_counts(preds: DataFrame, by, grid: int = 200, y: str = "y_true", p: str
 
 
 def pick_threshold(preds: DataFrame, which: str = "balacc", grid: int = 200, by=None,
-                   y: str = "y_true", p: str = "proba", style: str = "sklearn") -> DataFrame:
+                   y: str = "y_true", p: str = "proba", style: str = "sklearn", weight: str | None = None) -> DataFrame:
     """E5: best grid threshold per run for f1 / mcc / balacc; first maximum wins.
 
     Output: keys, threshold, score.
     """
     keys = _keys(by)
-    g = grid_counts(preds, keys, grid, y, p, keep_key=True)
+    g = grid_counts(preds, keys, grid, y, p, keep_key=True, weight=weight)
     g = g.withColumn("score", objective(which, "tp", "fp", "fn", "tn", style=style))
     best = g.filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("_k").agg(
         F.max_by(F.struct("threshold", "score"), F.struct(F.col("score"), -F.col("i"))).alias("b"))
@@ -81,10 +81,11 @@ def pick_threshold(preds: DataFrame, which: str = "balacc", grid: int = 200, by=
 
 
 def rethreshold(raw: DataFrame, preds: DataFrame, metrics: Sequence[str] = ("f1", "balanced_accuracy", "mcc"),
-                grid: int = 2000, tag: str = "tag", y: str = "y_true", p: str = "proba") -> DataFrame:
+                grid: int = 2000, tag: str = "tag", y: str = "y_true", p: str = "proba",
+                weight: str | None = None) -> DataFrame:
     """Re-tune every run on its own test predictions (grid 2000): overwrite each metric
     with its best value and add ``{m}_thr_test``; runs without predictions are dropped."""
-    g = grid_counts(preds, [tag], grid, y, p)
+    g = grid_counts(preds, [tag], grid, y, p, weight=weight)
     # all objectives in one aggregate over the grid: first maximum per objective
     aggs = []
     for m in metrics:
@@ -107,7 +108,7 @@ def quantile_levels(n_grid: int = 512, lo: float = 0.005, hi: float = 0.995) ->
 
 def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "frac", "variant"),
                             which: str = "balanced_accuracy", n_grid: int = 512,
-                            y: str = "y_true", p: str = "proba") -> DataFrame:
+                            y: str = "y_true", p: str = "proba", weight: str | None = None) -> DataFrame:
     """Pooled non-degenerate threshold per group.
 
     Grid = distinct exact quantiles at ``linspace(0.005, 0.995, n_grid)`` strictly
@@ -122,7 +123,7 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
     lv = quantile_levels(n_grid)
     # one pass over the predictions: (group, score) counts; everything below works on them
     h = materialize(preds.groupBy(*keys, F.col(p).alias("value")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
+        count_where(F.col(y) == 1, weight).alias("pos"), count_where(F.col(y) != 1, weight).alias("neg")))
     st = h.groupBy(*keys).agg(
         F.min("value").alias("pmin"), F.max("value").alias("pmax"),
         F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
@@ -147,7 +148,7 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
 
 def apply_thresholds(raw: DataFrame, thr: DataFrame, preds: DataFrame,
                      keys: Sequence[str] = ("prefix", "frac", "variant"), tag: str = "tag",
-                     y: str = "y_true", p: str = "proba") -> DataFrame:
+                     y: str = "y_true", p: str = "proba", weight: str | None = None) -> DataFrame:
     """E8 + J9: apply pooled thresholds back to each run (fallback: own threshold, else 0.5)
     and recompute f1 / balanced_accuracy / mcc; runs without predictions keep their row."""
     keys = list(keys)
@@ -155,10 +156,10 @@ def apply_thresholds(raw: DataFrame, thr: DataFrame, preds: DataFrame,
     r = r.withColumn("_t", F.coalesce("_pooled", "threshold", F.lit(0.5)))
     pr = preds.join(r.select(tag, "_t"), on=tag, how="inner")
     cm = pr.groupBy(tag).agg(
-        F.count_if((F.col(y) == 1) & (F.col(p) >= F.col("_t"))).alias("tp"),
-        F.count_if((F.col(y) != 1) & (F.col(p) >= F.col("_t"))).alias("fp"),
-        F.count_if((F.col(y) == 1) & (F.col(p) < F.col("_t"))).alias("fn"),
-        F.count_if((F.col(y) != 1) & (F.col(p) < F.col("_t"))).alias("tn"))
+        count_where((F.col(y) == 1) & (F.col(p) >= F.col("_t")), weight).alias("tp"),
+        count_where((F.col(y) != 1) & (F.col(p) >= F.col("_t")), weight).alias("fp"),
+        count_where((F.col(y) == 1) & (F.col(p) < F.col("_t")), weight).alias("fn"),
+        count_where((F.col(y) != 1) & (F.col(p) < F.col("_t")), weight).alias("tn"))
     m = point_metrics("tp", "fp", "fn", "tn", mcc_one_class_null=False)
     cm = cm.select(tag, F.lit(True).alias("_has"), m["f1"].alias("_f1"),
                    m["balanced_accuracy"].alias("_ba"), m["mcc"].alias("_mcc"))

@@ -85,11 +85,20 @@ rp1 AS (SELECT *, {sql_run_tag('prefix', 'window_id', 'seed', 'variant', 'frac',
 rp AS (SELECT *, y AS y_true, {sql_round_half_up(f"0.8 * {sql_uniform('tag', 'row_id')} + 0.2 * CAST(y AS DOUBLE)", 2)} AS proba FROM rp1)"""
 
 
-def run_raw(spark, sf):
-    """``raw``: one metrics row per run (the sweep's results table) from the fixture predictions."""
+def run_preds_agg(spark, sf):
+    """Predictions reduced to (run, label, score) counts ``w``: forest-like scores are
+    discrete, so this is the table every metric and threshold sweep reads (once)."""
+    from lowdata.session import materialize
+    keys = KEYS_RUN + ["wstart", "wend"]
     p = run_preds(spark, sf)
+    return materialize(p.groupBy(*keys, "y_true", "proba").agg(F.count(F.lit(1)).alias("w")))
+
+
+def run_raw(spark, sf, agg=None):
+    """``raw``: one metrics row per run (the sweep's results table) from the fixture predictions."""
+    p = agg if agg is not None else run_preds_agg(spark, sf)
     keys = KEYS_RUN + ["wstart", "wend"]
-    e = ev.evaluate(p, keys)
+    e = ev.evaluate(p, keys, weight="w")
     n_train = fx.events(spark, sf).filter(F.col("ts").isNull() | (F.col("ts") <= F.lit(EVENTS_CUTOFF).cast("timestamp"))) \
         .agg(F.count(F.lit(1)).alias("_N"))
     from lowdata.operators.ranking import join_small
@@ -259,9 +268,10 @@ SELECT raw.tag, raw.variant, raw.seed, raw.frac, raw.window_id,
 FROM raw JOIN b1 ON raw.tag = b1.tag JOIN b2 ON raw.tag = b2.tag JOIN b3 ON raw.tag = b3.tag""")
 def q_rethreshold(spark, sf):
     """Every run re-tuned on its own test predictions (grid 2000) for f1 / balacc / mcc."""
-    raw = run_raw(spark, sf)
-    preds = run_preds(spark, sf).select("tag", "y_true", "proba")
-    out = th.rethreshold(raw, preds, ("f1", "balanced_accuracy", "mcc"), 2000)
+    agg = run_preds_agg(spark, sf)
+    raw = run_raw(spark, sf, agg)
+    out = th.rethreshold(raw, agg.select("tag", "y_true", "proba", "w"), ("f1", "balanced_accuracy", "mcc"), 2000,
+                         weight="w")
     return out.select("tag", "variant", "seed", "frac", "window_id", "f1", "f1_thr_test", "balanced_accuracy",
                       "balanced_accuracy_thr_test", "mcc", "mcc_thr_test")
 
@@ -293,8 +303,9 @@ pooled AS (SELECT st.prefix, st.frac, st.variant, coalesce(best.t, 0.5) AS thres
            FROM st LEFT JOIN best USING (prefix, frac, variant))"""
 
 
-def pooled(spark, sf):
-    return th.pick_threshold_quantile(run_preds(spark, sf), ("prefix", "frac", "variant"), "balanced_accuracy", 512)
+def pooled(spark, sf, agg=None):
+    agg = agg if agg is not None else run_preds_agg(spark, sf)
+    return th.pick_threshold_quantile(agg, ("prefix", "frac", "variant"), "balanced_accuracy", 512, weight="w")
 
 
 @reg("pooled_threshold", "WITH " + SQL_POOLED + f"""
@@ -320,9 +331,9 @@ SELECT rt.tag, {sql_r10('rt.t')} AS threshold, {_SQL_APPLY_M['f1']} AS f1, {_SQL
 FROM rt JOIN cm ON rt.tag = cm.tag""")
 def q_apply_thresholds(spark, sf):
     """E8 + J9: pooled thresholds applied back to every run; f1 / balacc / mcc recomputed."""
-    raw = run_raw(spark, sf)
-    preds = run_preds(spark, sf).select("tag", "y_true", "proba")
-    out = th.apply_thresholds(raw, pooled(spark, sf), preds)
+    agg = run_preds_agg(spark, sf)
+    raw = run_raw(spark, sf, agg)
+    out = th.apply_thresholds(raw, pooled(spark, sf, agg), agg.select("tag", "y_true", "proba", "w"), weight="w")
     return out.select("tag", r10("threshold").alias("threshold"), "f1", "balanced_accuracy", "mcc")
 
 
