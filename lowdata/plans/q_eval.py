@@ -38,10 +38,11 @@ def reg(name, sql):
 
 # ------------------------------------------------------------------ run fixture
 
-def run_grid(spark, sf):
+def run_grid(spark, sf, win=None):
     """Windows x seeds x fractions x variants with tag (P12) and sweep order ``run_idx``."""
     from lowdata.plans.grid import run_grid as grid_of
-    _, win = events_windows(spark, sf)
+    if win is None:
+        _, win = events_windows(spark, sf)
     g = grid_of(win.select("window_id"), SEEDS, FRACS, VARIANTS, PREFIX, CONST)
     idx = lambda c, vals: F.array_position(F.array(*[F.lit(v) for v in vals]), F.col(c)) - 1
     run_idx = ((F.col("window_id") * len(SEEDS) + idx("seed", SEEDS)) * len(FRACS) + idx("frac", FRACS)) \
@@ -52,8 +53,9 @@ def run_grid(spark, sf):
 def run_preds(spark, sf):
     """Every windowed test row scored by every run of its window (broadcast fan-out on window_id;
     the grid has one row per run)."""
-    rows = events_test_windows(spark, sf).select("window_id", "wstart", "wend", "row_id", "y")
-    p = rows.join(F.broadcast(run_grid(spark, sf)), on="window_id", how="inner")
+    rows, win = events_windows(spark, sf)
+    rows = rows.select("window_id", "wstart", "wend", "row_id", "y")
+    p = rows.join(F.broadcast(run_grid(spark, sf, win)), on="window_id", how="inner")
     score = round_half_up(F.lit(0.8) * uniform(F.col("tag"), F.col("row_id")) + F.lit(0.2) * F.col("y").cast("double"), 2)
     return p.withColumn("y_true", F.col("y").cast("int")).withColumn("proba", score)
 

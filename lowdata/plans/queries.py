@@ -65,21 +65,15 @@ def _sql_values(name: str, values, typ: str) -> str:
 
 # ------------------------------------------------------------------ shared parts
 
-_WINDOWS_CACHE: dict = {}
-
-
 def events_windows(spark: SparkSession, sf_dir: str):
     """events -> D1 -> test rows -> D11 windows -> J7; returns ((row, window) pairs, windows).
 
-    The window table (one row per window) is computed once per dataset and kept:
-    the run grid, the row assignment and its anchors all read it.
+    The window table (one row per window) is materialised once per call: the row
+    assignment, its anchors and the run grid all read it.
     """
     s = sp.temporal_holdout(fx.events(spark, sf_dir).select("row_id", "y", "ts"), EVENTS_CUTOFF)
     test = s.filter(F.col("part") == "test")
-    key = (id(spark), sf_dir)
-    if key not in _WINDOWS_CACHE:
-        _WINDOWS_CACHE[key] = materialize(sp.rolling_windows(test, EVENTS_WIN_DAYS, EVENTS_WIN_STEP))
-    win = _WINDOWS_CACHE[key]
+    win = materialize(sp.rolling_windows(test, EVENTS_WIN_DAYS, EVENTS_WIN_STEP))
     return sp.assign_windows(spread(test, "row_id"), win, EVENTS_WIN_DAYS, EVENTS_WIN_STEP), win
 
 
