@@ -308,7 +308,10 @@ def _gmm_fn(bc, dims, seed):
             u = pdf["u"].to_numpy()
             z = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["z"].values])
             comp = np.minimum(np.searchsorted(cum, u * cum[-1], side="right"), len(cum) - 1)
-            pc = np.stack([p["means"][c] + chol[c] @ z[i] for i, c in enumerate(comp)])
+            pc = np.empty_like(z)
+            for c in range(len(cum)):  # one matrix product per mixture component
+                sel = comp == c
+                pc[sel] = p["means"][c] + z[sel] @ chol[c].T
             x = pc @ p["basis"].T
             yield pd.DataFrame({"gen_id": pdf["gen_id"].values, "component": comp.astype("int32"), "features": list(x)})
     return run

@@ -28,6 +28,7 @@ from lowdata.functions.hashing import uniform
 
 BLOCK_BYTES = 64 << 20  # broadcast block bound (dense float64)
 CHUNK_CELLS = 4_000_000  # query x reference distance cells evaluated at once in a task
+CAND_CELLS = 8_000_000   # query x candidate x dim cells of the exact re-scoring
 OUT_SCHEMA = "q_id long, nbr_id long, dist double, nbr_rank int"
 
 
@@ -38,29 +39,44 @@ def _matrix(values) -> np.ndarray:
 
 
 def _topk_exact(qx: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int):
-    """Top-k (index arrays, exact distances) of each query row against reference rows."""
+    """``_topk_block`` over query chunks so the exact re-scoring stays within CAND_CELLS."""
+    step = max(1, CAND_CELLS // ((k + 8) * max(1, qx.shape[1] if qx.ndim == 2 else 1)))
+    if qx.shape[0] <= step:
+        return _topk_block(qx, rx, rid, k)
+    parts = [_topk_block(qx[s:s + step], rx, rid, k) for s in range(0, qx.shape[0], step)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _topk_block(qx: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int):
+    """Top-k (index arrays, exact distances) of each query row against reference rows.
+
+    Candidates come from the BLAS expansion; they are re-scored exactly and
+    ordered by (distance, id) in one vectorised pass.  Only rows whose
+    candidate set must widen (near ties at the cut) take the per-row path.
+    """
     nq, nr = qx.shape[0], rx.shape[0]
     kk = min(k, nr)
     if nr == 0 or nq == 0:
         return np.zeros((nq, 0), dtype=np.int64), np.zeros((nq, 0))
     d2 = (qx * qx).sum(1)[:, None] + (rx * rx).sum(1)[None, :] - 2.0 * (qx @ rx.T)
     m = min(nr, kk + 8)
-    cand = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < nr else np.tile(np.arange(nr), (nq, 1))
-    # widen to every reference row whose approximate distance is within tolerance of the m-th
-    kth = np.take_along_axis(d2, cand, 1).max(1)
-    scale = np.abs(d2).max(1) + 1.0
-    out_i = np.empty((nq, kk), dtype=np.int64)
-    out_d = np.empty((nq, kk))
-    for i in range(nq):
-        c = cand[i]
-        if m < nr:
-            extra = np.nonzero(d2[i] <= kth[i] + 1e-9 * scale[i])[0]
-            if len(extra) > len(c):
-                c = extra
-        ex = np.sqrt(((rx[c] - qx[i]) ** 2).sum(1))
-        order = np.lexsort((rid[c], ex))[:kk]
-        out_i[i] = c[order]
-        out_d[i] = ex[order]
+    if m < nr:
+        cand = np.argpartition(d2, m - 1, axis=1)[:, :m]
+    else:
+        cand = np.tile(np.arange(nr), (nq, 1))
+    ex = np.sqrt(((rx[cand] - qx[:, None, :]) ** 2).sum(-1))
+    order = np.lexsort((rid[cand], ex), axis=-1)[:, :kk]
+    out_i = np.take_along_axis(cand, order, 1)
+    out_d = np.take_along_axis(ex, order, 1)
+    if m < nr:
+        kth = np.take_along_axis(d2, cand, 1).max(1)
+        tol = 1e-9 * (np.abs(d2).max(1) + 1.0)
+        wide = np.nonzero((d2 <= (kth + tol)[:, None]).sum(1) > m)[0]
+        for i in wide:  # near ties at the candidate cut: re-rank the widened set exactly
+            c = np.nonzero(d2[i] <= kth[i] + tol[i])[0]
+            e = np.sqrt(((rx[c] - qx[i]) ** 2).sum(1))
+            o = np.lexsort((rid[c], e))[:kk]
+            out_i[i], out_d[i] = c[o], e[o]
     return out_i, out_d
 
 
