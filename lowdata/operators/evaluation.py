@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import point_metrics
-from lowdata.operators.ranking import join_null_safe
 from lowdata.session import materialize
 
 SCORE_BINS = 1 << 16

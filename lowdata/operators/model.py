@@ -10,9 +10,7 @@ use the exact grid sweep (E5), cross-validation folds the exact hash folds
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -164,5 +162,4 @@ def load_model(path: str):
 
 
 __all__ = ["GRID_PRESETS", "with_class_weight", "forest", "fit_forest", "score", "fit_with_threshold",
-           "cross_validate", "grid_search", "random_params", "random_search", "fit_final", "load_model",
-           "Pipeline", "PipelineModel", "Sequence"]
+           "cross_validate", "grid_search", "random_params", "random_search", "fit_final", "load_model"]

@@ -10,13 +10,11 @@ aggregate; row counts never leave the cluster, only per-class scalars.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.hashing import uniform
-from lowdata.operators.ranking import hash_rank, join_small, mark_first, take_first
+from lowdata.operators.ranking import hash_rank, mark_first, take_first
 
 
 def _keys(by) -> list[str]:
@@ -180,10 +178,7 @@ def rebalance(df: DataFrame, ratio: float = 1.0, seed: int = 42, y: str = "y",
     return take_first(with_u(df, seed, "rebalance", key), [*keys, y], quota, "u", key).drop("u")
 
 
-def ceil_frac(frac: float, n: int) -> int:
-    return int(math.ceil(frac * n))
-
 
 __all__ = ["class_counts", "largest_remainder", "stratified_split", "stratified_sample", "val_split",
            "stratified_folds", "scarce_quotas", "scarce_sample", "class_sample", "capped_subset",
-           "family_capped_subset", "rebalance", "join_small"]
+           "family_capped_subset", "rebalance"]

@@ -8,8 +8,6 @@ from one grouped aggregate.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -273,6 +271,3 @@ def shuffle(df: DataFrame, seed: int, key: str = "row_id") -> DataFrame:
     from lowdata.functions.hashing import uniform
     return df.orderBy(uniform(F.lit(seed), F.lit("shuffle"), F.col(key)), F.col(key))
 
-
-def ceil_int(x: float) -> int:
-    return int(math.ceil(x))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import objective, point_metrics
 from lowdata.operators.evaluation import count_where, run_key
-from lowdata.operators.ranking import join_null_safe, join_small
+from lowdata.operators.ranking import join_null_safe
 from lowdata.session import materialize
 
 
@@ -173,4 +173,4 @@ def apply_thresholds(raw: DataFrame, thr: DataFrame, preds: DataFrame,
 
 
 __all__ = ["grid_cell", "grid_counts", "pick_threshold", "rethreshold", "quantile_levels",
-           "pick_threshold_quantile", "apply_thresholds", "join_small"]
+           "pick_threshold_quantile", "apply_thresholds"]

@@ -10,15 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lowdata.functions.columns import run_tag, variant_from_tag
+from lowdata.functions.columns import variant_from_tag
 from lowdata.functions.hashing import round_half_up, sql_round_half_up, sql_uniform, uniform
 from lowdata.functions.metrics import sql_objective, sql_point_metrics
 from lowdata.operators import evaluation as ev
 from lowdata.operators import thresholds as th
-from lowdata.plans.grid import explode_values
 from lowdata.plans.queries import (EVENTS_CUTOFF, EVENTS_WIN_DAYS, QUERIES, SQL_EVENTS_TEST_WINDOWS,
-                                   _sql_values, events_test_windows, events_windows, r10, sql_r10, sql_ts_text,
-                                   ts_text)
+                                   _sql_values, events_windows, r10, sql_r10, sql_ts_text, ts_text)
 from lowdata.sources import fixtures as fx
 
 PREFIX = "cut2024_01"
