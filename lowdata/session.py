@@ -47,13 +47,50 @@ def get_spark(master: str | None = None, app: str = "lowdata",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators rely on to an existing session."""
+    """Apply the runtime SQL settings the operators rely on to an existing session,
+    and ship this package to the executors' Python workers."""
     for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         spark.conf.set(k, DEFAULT_CONF[k])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Zip the ``lowdata`` package once per application and ``addPyFile`` it.
+
+    Batch functions run by ``mapInPandas`` (kNN, generators) are pickled by
+    module reference; executors import them from this archive, so nothing has
+    to be installed on the cluster nodes.  The archive goes to the shared
+    checkpoint folder when that is a local/mounted path, else to a driver-side
+    file that Spark's file server distributes.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    local = base.startswith("file:") or "://" not in base
+    folder = base.replace("file:", "", 1) if local else tempfile.mkdtemp(prefix="lowdata-pyfiles-")
+    folder = os.path.join(folder, "pyfiles") if local else folder
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"lowdata-{app}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only if unset."""
     sc = spark.sparkContext
