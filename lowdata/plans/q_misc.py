@@ -169,7 +169,7 @@ def q_read_raw(spark, sf):
 
 
 @reg("read_preds", """
-SELECT tag AS labels_tag, count(*) AS n, sum(y) AS pos, """ + sql_round_half_up("sum(greatest(0.0, least(1.0, score)))", 6)
+SELECT tag AS labels_tag, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos, """ + sql_round_half_up("sum(greatest(0.0, least(1.0, score)))", 6)
      + """ AS score_sum FROM (SELECT event_id, CAST(event_type = 'error' AS INTEGER) AS y, 'all' AS tag,
   """ + sql_round_half_up("0.8 * " + sql_uniform("'sniff'", "event_id") + " + 0.2 * CAST(event_type = 'error' AS INTEGER)", 2)
      + """ AS score FROM events) GROUP BY ALL""")

@@ -35,6 +35,24 @@ FIXTURE_SEEDS = (42, 1337, 2025)
 FIXTURE_VARIANTS = ("real", "gan", "oversample", "smote")
 
 
+def bigint_counts(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB returns HUGEINT for it,
+    Spark's ``count_if`` is BIGINT (the oracle compares schemas too)."""
+    out, i, tok = [], 0, "count_if("
+    while True:
+        j = sql.find(tok, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(tok)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j])
+        out.append("CAST(count_if(" + bigint_counts(sql[j + len(tok):k - 1]) + ") AS BIGINT)")
+        i = k
+
+
 def register(name: str, sql: str | None):
     def deco(fn):
         QUERIES[name] = (fn, sql)

@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from check_oracle import canon
+from check_oracle import canon, type_mismatches
 from tests.conftest import SMALL
 
 FAST = ["window_metrics", "temporal_holdout", "cutoff_scan", "rolling_windows", "window_counts", "family_holdout",
@@ -34,6 +34,7 @@ def test_query_matches_sql(spark, duck, name):
     dcols = [d[0] for d in rel.description]
     drows = rel.fetchall()
     assert sorted(cols) == sorted(dcols)
+    assert not type_mismatches(df.dtypes, rel.description)
     assert canon(rows, cols) == canon(drows, dcols)
 
 
