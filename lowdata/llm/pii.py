@@ -5,9 +5,13 @@ field decides about the further *mentions* of a document - number groups of six
 digits and tokens with ``@`` that no pattern accepted.  Its nodes are all mentions and
 base spans in text order; base spans are observed.  Potentials: the features of a
 mention; agreement of neighbours in the text (chain); agreement of distant mentions
-that repeat or resemble each other - same last seven digits, or same text
-without case (skip).  Weights are learned by pseudo-likelihood from a bounded
-sample of texts, labelled by the base spans; marginals come from loopy sum-product
+that repeat or resemble each other - same last seven digits, same first three parts
+of a dotted number, or same user and host (skip).  Weights are learned by
+pseudo-likelihood from a bounded sample of texts, labelled by the base spans.  Each
+base span also teaches by its shortened form (a phone without country code, a card or
+IP without its first or last group, an address without its domain's end): linked to the
+full form it has that kind, alone it has none.  So a short form counts as personal data
+where the document holds the long one.  Marginals come from loopy sum-product
 message passing over the whole document.  Occurrences that share a key are
 linked one to the next, so a token repeated thousands of times costs linear work.
 
@@ -134,11 +138,23 @@ def features(text: str) -> list[float]:
 
 
 def key(text: str) -> str:
-    """What makes two mentions alike: the last seven digits, or the text without case."""
+    """What makes two mentions alike."""
     if "@" in text:
-        return text.lower().strip(".,;:()<>\"'")
+        user, _, host = text.lower().strip(".,;:()<>\"'").partition("@")
+        return f"{user}@{host.split('.')[0]}"
+    if text.count(".") in (2, 3) and text.replace(".", "").isdigit():
+        return ".".join(text.split(".")[:3])
+    return NOT_DIGIT.sub("", text)[-7:]
+
+
+def shortened(kind: int, text: str) -> str:
+    """A form of a base span that the patterns no longer accept."""
+    if kind == 0:
+        return text.rsplit("@", 1)[0] + "@" + text.rsplit("@", 1)[1].split(".")[0]
+    if kind == 1:
+        return text.rsplit(".", 1)[0]
     digits = NOT_DIGIT.sub("", text)
-    return digits[-7:] if "." not in text else digits
+    return digits[4:] if kind == 2 else digits[-10:]
 
 
 class Graph:
@@ -213,26 +229,34 @@ class Field:
 def fit(texts: list[str | None], steps: int = 300, l2: float = 1e-3) -> Field:
     """Pseudo-likelihood: each mention given its features and the labels of its neighbours."""
     xs, ys, near = [], [], []
-    k = len(LABELS)
+    k_all = len(LABELS)
     for t in texts:
         g = Graph(t or "", base_spans(t or ""))
         if not len(g.nodes):
             continue
         y = np.maximum(g.seen, 0)
-        counts = np.zeros((len(y), 2, k))
+        counts = np.zeros((len(y), 2, k_all))
         for (i, j), s in zip(g.edges, g.is_skip):
             counts[i, s, y[j]] += 1
             counts[j, s, y[i]] += 1
+        short = [(k, features(shortened(k - 1, t[s:e]))) for k, s, e in g.nodes if k > 0]
+        if short:
+            kinds = np.array([k for k, _ in short])
+            linked = np.zeros((len(short), 2, k_all))
+            linked[np.arange(len(short)), 1, kinds] = 1
+            xs += [np.array([x for _, x in short])] * 2
+            ys += [kinds, np.zeros_like(kinds)]
+            near += [linked, np.zeros_like(linked)]
         xs.append(g.x)
         ys.append(y)
         near.append(counts)
     width = len(features("0"))
-    unary, agree = np.zeros((width, k)), np.zeros((2, k))
+    unary, agree = np.zeros((width, k_all)), np.zeros((2, k_all))
     if not xs:
         unary[0, 0] = 5.0
         return Field(unary, agree)
     x, y, near = np.concatenate(xs), np.concatenate(ys), np.concatenate(near)
-    target = np.eye(k)[y]
+    target = np.eye(k_all)[y]
     gu, ga = np.full_like(unary, 1e-8), np.full_like(agree, 1e-8)
     for _ in range(steps):
         z = x @ unary + (near * agree).sum(1)
