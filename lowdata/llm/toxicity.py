@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lowdata.llm.common import by_text
+from lowdata.llm.common import by_text, store
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
+BREAK = re.compile(r"[.!?\n]")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
-MAX_TRAIN, MIN_DOCS, EPOCHS, L1 = 4000, 3, 30, 2e-4
+MAX_TRAIN, MIN_DOCS, EPOCHS, L1 = 2500, 3, 20, 5e-5
+FIRST_BIAS = -9.0  # a sentence of unknown words is hardly ever toxic
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -54,60 +56,71 @@ def bag(text: str | None) -> list[set[str]]:
     return out
 
 
+class _Hits(dict):
+    """word -> its features that have a weight; filled as words are met, emptied when it grows large."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[word] = tuple(f for f in features(word) if f in self.weights)
+        return got
+
+
 class Model:
     """weights: feature -> weight; bias; the score of a document without any sentence is 0."""
 
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self.cache = weights, bias, {}
+        self.weights, self.bias, self.hits = weights, bias, _Hits(weights)
 
     def __reduce__(self):
         return Model, (self.weights, self.bias)
 
-    def _of_word(self, word: str) -> tuple[tuple[str, float], ...]:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) > 200_000:  # memory of a worker; a word met again is looked up again
-                self.cache.clear()
-            got = self.cache[word] = tuple((f, w) for f in features(word) if (w := self.weights.get(f)))
-        return got
-
-    def sentence(self, text: str) -> float | None:
-        """Log-odds of one sentence; None if it has no word."""
-        words = set(WORD.findall(text.lower()))
+    def sentence(self, lowered: str) -> float | None:
+        """Log-odds of one lower-cased sentence; None if it has no word."""
+        words = WORD.findall(lowered)
         if not words:
             return None
-        seen = dict(chain.from_iterable(map(self._of_word, words)))
-        return self.bias + sum(seen.values())
+        met = set(chain.from_iterable(map(self.hits.__getitem__, words)))
+        return self.bias + sum(map(self.weights.__getitem__, sorted(met))) if met else self.bias
 
     def sentence_scores(self, text: str | None) -> list[tuple[int, int, float]]:
-        spans = [(s, e, self.sentence(text[s:e])) for s, e in sentences(text)]
+        spans = [(s, e, self.sentence(text[s:e].lower())) for s, e in sentences(text)]
         return [(s, e, 1 / (1 + np.exp(-z))) for s, e, z in spans if z is not None]
 
     def score(self, text: str | None) -> float:
-        z = np.array([v for s, e in sentences(text) if (v := self.sentence(text[s:e])) is not None])
+        z = np.array([v for part in BREAK.split((text or "").lower()) if (v := self.sentence(part)) is not None])
         return float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0
 
 
-def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, epochs: int = EPOCHS, l1: float = L1) -> Model:
-    """Noisy-or maximum likelihood by AdaGrad over documents, with a shrinkage that zeroes idle weights."""
+def fit(texts: list[str], labels: list[int], share: float | None = None, min_docs: int = MIN_DOCS, epochs: int = EPOCHS, l1: float = L1) -> Model:
+    """Noisy-or maximum likelihood by AdaGrad over documents, with a shrinkage that zeroes idle weights.
+
+    ``share`` is the share of label 1 among all labelled rows; the bias is chosen last, by the
+    likelihood of the sample weighted to that share, so that long clean documents
+    don't gather probability from their many sentences.
+    """
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(p / (1 - p))))
-    bags = [bag(t) for t in texts]
     df: dict[str, int] = {}
-    for b in bags:
-        for f in set().union(*b) if b else ():
+    for t in texts:  # twice over the texts instead of keeping every feature as text
+        for f in set().union(*bag(t)):
             df[f] = df.get(f, 0) + 1
     index = {f: i for i, f in enumerate(sorted(f for f, n in df.items() if n >= min_docs))}
+    del df
     docs = []
-    for b in bags:
-        ids = [np.array(sorted(index[f] for f in s if f in index), dtype=np.int64) for s in b]
-        docs.append((np.concatenate(ids) if ids else np.empty(0, np.int64),
-                     np.repeat(np.arange(len(ids)), [len(i) for i in ids]).astype(np.int64), len(ids)))
+    for t in texts:
+        ids = [np.array(sorted(index[f] for f in s if f in index), dtype=np.int32) for s in bag(t)]
+        docs.append((np.concatenate(ids) if ids else np.empty(0, np.int32),
+                     np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids]), len(ids)))
     w, g2 = np.zeros(len(index)), np.full(len(index), 1e-8)
-    bias, gb = -4.0, 1e-8
+    bias = FIRST_BIAS
     order = np.random.default_rng(7).permutation(len(docs))
     step = 0.3
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
@@ -136,9 +149,18 @@ def fit(texts: list[str], labels: list[int], min_docs: int = MIN_DOCS, epochs: i
             rate = step / np.sqrt(g2[hit])
             w[hit] += rate * gw[hit]
             w[hit] = np.sign(w[hit]) * np.maximum(np.abs(w[hit]) - rate * l1 * len(some), 0)
-            db = gz.sum()
-            gb += db ** 2
-            bias += step / np.sqrt(gb) * db
+    some = [i for i in range(len(docs)) if docs[i][2]]
+    counts = np.array([docs[i][2] for i in some])
+    z = np.concatenate([np.bincount(docs[i][1], weights=w[docs[i][0]], minlength=docs[i][2]) for i in some])
+    starts, toxic = np.cumsum(counts) - counts, y[some] == 1
+    share = y.mean() if share is None else share
+    mass = np.where(toxic, share / max(toxic.sum(), 1), (1 - share) / max((~toxic).sum(), 1))
+
+    def likelihood(b: float) -> float:
+        safe = np.add.reduceat(np.logaddexp(0, z + b), starts)
+        return float((mass * np.where(toxic, np.log(np.maximum(-np.expm1(-safe), 1e-12)), -safe)).sum())
+
+    bias = max(np.arange(-16.0, -1.9, 0.25), key=likelihood)
     keep = np.flatnonzero(np.abs(w) > 1e-3)
     names = list(index)
     return Model({names[i]: float(w[i]) for i in keep}, float(bias))
@@ -154,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     ids = docs.select(F.col(id_col).alias("id"))
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     order = F.xxhash64("id")
-    known = lab.join(ids, "id", "left_semi")
+    known = store(lab.join(ids, "id", "left_semi"), "toxicity-labels")
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     parts = [known.where(F.col("y") == v).orderBy(order, "id").limit(max_train) for v in (0, 1)]
     chosen = {r["id"]: r["y"] for r in parts[0].unionByName(parts[1]).collect()}
     if not chosen:
@@ -166,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     for r in rows:
         texts.append(r["text"])
         y.append(chosen[r["id"]])
-    return fit(texts, y, **kw)
+    return fit(texts, y, counts.get(1, 0) / sum(counts.values()), **kw)
 
 
 def score_column(model: Model, text_col: str = "text"):
