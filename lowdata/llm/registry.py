@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowdata.llm import decontaminate as dc
-from lowdata.llm import packing, pii, simhash, toxicity
+from lowdata.llm import hostgraph, packing, pii, sharding, simhash, toxicity, vectors
 from lowdata.llm.common import crc_fold, table
 
 LLM_QUERIES: dict = {}
@@ -84,3 +84,34 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over all documents."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@register("op4_sharding")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes (and tokens and rows)."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 24).select(
+        F.col("id").alias("doc_id"), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the longest rule, else by its host's propagated trust and distrust."""
+    return hostgraph.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+SQL_OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN n USING (vec_id)"""
+
+
+@register("op7_vector_dedup", SQL_OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95, components and representatives of all embeddings."""
+    out = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
