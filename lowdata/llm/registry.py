@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowdata.llm import decontaminate as dc
-from lowdata.llm import hostgraph, packing, pii, sharding, simhash, toxicity, vectors
+from lowdata.llm import hostgraph, licenses, packing, pii, ppm, sharding, simhash, toxicity, vectors
 from lowdata.llm.common import crc_fold, table
 
 LLM_QUERIES: dict = {}
@@ -115,3 +115,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at cosine 0.95, components and representatives of all embeddings."""
     out = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@register("op8_lm_score")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM and unigram scores of all documents, learned from those with crc32(doc_id) mod 7 other than 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = ppm.train(docs.where(crc_fold("doc_id", 7) != 2))
+    out = ppm.score(docs, model)
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(crc_fold("id", 7) == 2, F.lit(False)).alias("held_out"),
+                      "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op3_licenses")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families that each document's paragraphs declare."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.documents(licenses.scan(docs, licenses.train(docs))).withColumnRenamed("id", "doc_id")
