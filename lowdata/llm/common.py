@@ -92,10 +92,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
+TEXT_ROWS = 500
+
+
+def texts_of(batches, rows: int = TEXT_ROWS):
+    """Arrow batches cut to a few rows: texts become Python objects a slice at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def by_text(fn, text_col: str, names: list[str], types: list[pa.DataType], keep: list[str]):
     """A ``mapInArrow`` function: ``fn(list of str-or-None) -> list of columns`` next to the kept columns."""
     def run(batches):
-        for b in batches:
+        for b in texts_of(batches):
             cols = fn(b.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(c, t) for c, t in zip(cols, types)],
                                              names=keep + names)

@@ -37,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lowdata.llm.common import store
+from lowdata.llm.common import store, texts_of
 
 ORDER, SYMBOLS, END = 4, 256, 0xFF  # byte 0xFF never occurs in UTF-8: it pads contexts and ends texts
-MAX_LEAVES, MAX_HEAD, SLICE = 1 << 19, 1 << 17, 1 << 22
+MAX_LEAVES, MAX_HEAD = 1 << 19, 1 << 17
+SCORE_SLICE, COUNT_SLICE, HELD = 1 << 18, 1 << 21, 1_500_000  # bytes that fit the caches, bytes sorted at once, rows held by a task
 END_WORD = b""  # no word is empty
 PAD = b"\xff" * ORDER
 
@@ -58,13 +59,13 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, real, starts
 
 
-def slices(texts: list[bytes]):
-    """Lists of texts of about SLICE bytes together (at least one text)."""
+def slices(texts: list[bytes], most: int):
+    """Lists of texts of about ``most`` bytes together (at least one text)."""
     part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t)
-        if size >= SLICE:
+        if size >= most:
             yield part
             part, size = [], 0
     if part:
@@ -78,23 +79,34 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.array(list(words.values()), pa.int64())],
                                          names=["word", "code", "n"])
 
+    def leaves():
+        u, n = merge(np.concatenate([u for u, _ in held]), np.concatenate([n for _, n in held]))
+        held[:] = [(u, n)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))],
+                                          names=["word", "code", "n"])
+
     words: Counter = Counter()
-    for b in batches:
-        texts = [(t or "").encode().lower() for t in b.column("text").to_pylist()]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for b in texts_of(batches):
+        texts = [(t or "").encode() for t in b.column("text").to_pylist()]
         for t in texts:
-            words.update(t.split())
+            words.update(t.lower().split())
             words[END_WORD] += 1
             if len(words) > 300_000:
                 yield from rows(words)
                 words.clear()
-        raw = [(t or "").encode() for t in b.column("text").to_pylist()]
-        for part in slices(raw):
+        for part in slices(texts, COUNT_SLICE):
             code, real, _ = windows(part)
-            u, n = np.unique(code[real], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.binary()), pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))],
-                                             names=["word", "code", "n"])
+            held.append(np.unique(code[real], return_counts=True))
+            if sum(len(u) for u, _ in held) > HELD:
+                out = leaves()
+                if out.num_rows > HELD // 2:  # merging no longer helps: hand them on
+                    yield out
+                    held.clear()
     if words:
         yield from rows(words)
+    if held:
+        yield leaves()
 
 
 class Hash:
@@ -164,13 +176,17 @@ class Trie:
                 out = np.zeros(len(ctx))
             self.leaf.append(Hash(codes, counts.astype(np.float64)))
             self.ctx.append(Hash(ctx, total, kinds, out))
+        self.plain = np.log10(counts / (total + kinds)[inv]) if len(counts) else np.empty(0)  # of the longest order
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each window given the bytes before."""
         out = np.zeros(len(code))
-        todo = np.arange(len(code))
         gone_n, gone_kinds = np.zeros(len(code)), np.zeros(len(code))  # excluded counts and kinds for the order at hand
         top = len(self.leaf) - 1
+        row = self.leaf[top].rows(code)  # most symbols are coded here, where nothing is excluded yet
+        hit = row >= 0
+        out[hit] = self.plain[row[hit]]
+        todo = np.flatnonzero(~hit)
         for j in range(top, -1, -1):
             own = code[todo] & np.uint64((1 << (8 * (j + 1))) - 1)
             row = self.leaf[j].rows(own)
@@ -195,7 +211,7 @@ class Trie:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text with its end."""
         out = []
-        for part in slices(texts):
+        for part in slices(texts, SCORE_SLICE):
             code, real, starts = windows(part)
             p = np.zeros(len(code))
             p[real] = self.log10(code[real])
@@ -283,7 +299,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         trie, head = shared.value
         look = head.get
-        for b in batches:
+        for b in texts_of(batches):
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             n_tokens, n_head, base, rare = [], [], [], []
             for t in texts:

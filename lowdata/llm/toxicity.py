@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lowdata.llm.common import by_text, store
+from lowdata.llm.common import by_text, store, texts_of
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]?")
 BREAK = re.compile(r"[.!?\n]")
@@ -213,7 +213,7 @@ def locate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in texts_of(batches):
             ids, out = b.column("id"), []
             for i, t in enumerate(b.column("text").to_pylist()):
                 out += [(i, s, e, float(p), t[s:e]) for s, e, p in model.sentence_scores(t) if p >= threshold]
