@@ -22,6 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -49,7 +50,7 @@ def get_spark(master: str | None = None, app: str = "lowdata",
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the operators rely on to an existing session,
     and ship this package to the executors' Python workers."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set(k, DEFAULT_CONF[k])
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -99,6 +100,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lowdata-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
