@@ -34,6 +34,7 @@ BREAK = re.compile(r"[.!?\n]")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 MAX_TRAIN, MIN_DOCS, EPOCHS, L1 = 2500, 3, 20, 5e-5
+MIN_STEPS = 400  # of gradient, however small the sample
 FIRST_BIAS = -9.0  # a sentence of unknown words is hardly ever toxic
 
 
@@ -124,7 +125,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, min_doc
     order = np.random.default_rng(7).permutation(len(docs))
     step = 0.3
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
-    for epoch in range(epochs):
+    for _ in range(max(epochs, MIN_STEPS * 32 // len(order))):
         for k in range(0, len(order), 32):
             some = [i for i in order[k:k + 32] if docs[i][2]]
             cols, rows, grads = [], [], []
