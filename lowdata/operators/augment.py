@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lowdata.functions.hashing import normal, uniform
 from lowdata.operators.knn import knn, nn_dist
 from lowdata.operators.ranking import hash_rank, join_small, take_first
+from lowdata.session import materialize
 
 AUG_COLS = ["uid", "row_id", "y", "features", "is_synth", "src_row_id"]
 
@@ -98,7 +99,7 @@ def smote_to_const(train: DataFrame, target: int | None, seed: int = 42, k: int
         return oversample_to_const(real, target, seed)
     need = target - n
     k_eff = min(int(k), max(1, p - 1))
-    pos = _ranked_positives(real, seed, "sm-order").select("pos_rank", "row_id", "features").cache()
+    pos = materialize(_ranked_positives(real, seed, "sm-order").select("pos_rank", "row_id", "features"))
     nb = knn(pos, pos, k_eff, "row_id", "row_id", "features")
     cands = (nb.filter(F.col("q_id") != F.col("nbr_id"))
              .groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("nbr_rank", "nbr_id"))).alias("_c"))
@@ -235,7 +236,7 @@ def quality_gate(cands: DataFrame, n: int, mode: str = "nn", pos: DataFrame | No
         return dp.orderBy("dpos", "gen_id").limit(n).drop("dpos")
     if mode != "nn_boundary":
         raise ValueError(f"unknown quality mode: {mode}")
-    dn = nn_dist(dp, neg, "gen_id", "row_id", "features", "dneg").cache()
+    dn = materialize(nn_dist(dp, neg, "gen_id", "row_id", "features", "dneg"))
     q = dn.agg(F.percentile("dpos", 0.5).alias("med"),
                F.percentile("dneg", float(low)).alias("lo"), F.percentile("dneg", float(high)).alias("hi"))
     d = join_small(dn, q, [])

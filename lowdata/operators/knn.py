@@ -1,20 +1,19 @@
 """Exact k-nearest-neighbour join (A7 / J6), Euclidean, ties broken by neighbour id.
 
-Spark has no kNN join, so this is the one place with per-partition NumPy
-(``mapInPandas``).  Pairs are never emitted as rows:
-
-* the smaller side (by rows x dim, checked with one count) is broadcast as a
-  dense matrix in blocks of at most ``block_bytes``;
-* **reference side broadcast**: each task scores its query rows against the
-  block and emits its top-k per query row (no shuffle when one block);
-* **query side broadcast**: each task scores its reference rows against the
-  block of queries and emits a partial top-k per query row; partials are
-  merged by ``groupBy(query id)`` (partitions x k entries per query, bounded);
-* several blocks: partials of all blocks are merged the same way.
-
-Distances are ranked with the BLAS expansion ``|a|^2 + |b|^2 - 2ab`` and the
-candidates re-scored exactly as ``sqrt(sum((a - b)^2))`` before the final
-order, so near ties are decided on exact distances.
+Spark has no kNN join, so this is the one place with NumPy inside tasks.  Both sides
+stay distributed and pairs are never emitted as rows:
+
+* both sides are dealt by a hash of the id into blocks of some ``block_bytes``;
+* a query row is sent to every reference block and a reference row to every query
+  block (once each when the other side is one block), and one co-grouped task
+  scores one pair of blocks and returns the top-k of its query rows;
+* partial top-k lists are merged per query row, at most ``MERGE`` at a time.
+
+Nothing passes through the driver but two counts.  Distances are ranked with
+the BLAS expansion ``|a|^2 + |b|^2 - 2ab`` after moving the origin to the mean of the
+reference block (far from the origin the expansion would lose its digits) and the candidates are
+re-scored exactly as ``sqrt(sum((a - b)^2))`` before the final order, so near ties
+are decided on exact distances.
 """
 
 from __future__ import annotations
@@ -24,9 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lowdata.functions.hashing import uniform
-
-BLOCK_BYTES = 64 << 20  # broadcast block bound (dense float64)
+BLOCK_BYTES = 8 << 20  # of one side's dense float64 matrix in a task
+MERGE = 64  # partial lists of one query row merged at once
 CHUNK_CELLS = 4_000_000  # query x reference distance cells evaluated at once in a task
 CAND_CELLS = 8_000_000   # query x candidate x dim cells of the exact re-scoring
 OUT_SCHEMA = "q_id long, nbr_id long, dist double, nbr_rank int"
@@ -58,7 +56,10 @@ def _topk_block(qx: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int):
     kk = min(k, nr)
     if nr == 0 or nq == 0:
         return np.zeros((nq, 0), dtype=np.int64), np.zeros((nq, 0))
-    d2 = (qx * qx).sum(1)[:, None] + (rx * rx).sum(1)[None, :] - 2.0 * (qx @ rx.T)
+    mid = rx.mean(0)
+    qc, rc = qx - mid, rx - mid
+    q2, r2 = (qc * qc).sum(1), (rc * rc).sum(1)
+    d2 = q2[:, None] + r2[None, :] - 2.0 * (qc @ rc.T)
     m = min(nr, kk + 8)
     if m < nr:
         cand = np.argpartition(d2, m - 1, axis=1)[:, :m]
@@ -70,7 +71,7 @@ def _topk_block(qx: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int):
     out_d = np.take_along_axis(ex, order, 1)
     if m < nr:
         kth = np.take_along_axis(d2, cand, 1).max(1)
-        tol = 1e-9 * (np.abs(d2).max(1) + 1.0)
+        tol = 8 * np.finfo(float).eps * (rx.shape[1] + 4) * (q2 + r2.max()) + np.finfo(float).tiny  # rounding of the expansion
         wide = np.nonzero((d2 <= (kth + tol)[:, None]).sum(1) > m)[0]
         for i in wide:  # near ties at the candidate cut: re-rank the widened set exactly
             c = np.nonzero(d2[i] <= kth[i] + tol[i])[0]
@@ -80,106 +81,51 @@ def _topk_block(qx: np.ndarray, rx: np.ndarray, rid: np.ndarray, k: int):
     return out_i, out_d
 
 
-def _ref_broadcast_fn(bc, k, q_id, features):
-    def run(it):
-        rx, rid = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            qx_all = _matrix(pdf[features].values)
-            qids = pdf[q_id].to_numpy(dtype=np.int64)
-            step = max(1, CHUNK_CELLS // max(1, len(rid)))
-            for s in range(0, len(pdf), step):
-                qx = qx_all[s:s + step]
-                idx, dist = _topk_exact(qx, rx, rid, k)
-                kk = idx.shape[1]
-                yield pd.DataFrame({
-                    "q_id": np.repeat(qids[s:s + step], kk),
-                    "nbr_id": rid[idx].reshape(-1),
-                    "dist": dist.reshape(-1),
-                    "nbr_rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(qx)),
-                })
-    return run
-
-
-def _query_broadcast_fn(bc, k, r_id, features):
-    def run(it):
-        qx, qid = bc.value
-        best_d = np.full((len(qid), 0), np.inf)
-        best_i = np.zeros((len(qid), 0), dtype=np.int64)
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            rx = _matrix(pdf[features].values)
-            rid = pdf[r_id].to_numpy(dtype=np.int64)
-            step = max(1, CHUNK_CELLS // max(1, len(qid)))
-            for s in range(0, len(rid), step):
-                idx, dist = _topk_exact(qx, rx[s:s + step], rid[s:s + step], k)
-                ids = rid[s:s + step][idx]
-                cd = np.concatenate([best_d, dist], 1)
-                ci = np.concatenate([best_i, ids], 1)
-                order = np.lexsort((ci, cd), axis=1)[:, :k] if cd.shape[1] else np.zeros((len(qid), 0), int)
-                best_d = np.take_along_axis(cd, order, 1)
-                best_i = np.take_along_axis(ci, order, 1)
-        kk = best_d.shape[1]
-        if kk:
-            yield pd.DataFrame({"q_id": np.repeat(qid, kk), "nbr_id": best_i.reshape(-1),
-                                "dist": best_d.reshape(-1),
-                                "nbr_rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(qid))})
+def _score_blocks(k):
+    """Top-k of one query block within one reference block."""
+    def run(key, q, r):
+        if not len(q) or not len(r):
+            return pd.DataFrame({"q_id": [], "part": [], "nbr_id": [], "dist": []})
+        qx, rx = _matrix(q["_f"].values), _matrix(r["_f"].values)
+        qids, rids = q["_qid"].to_numpy(np.int64), r["_rid"].to_numpy(np.int64)
+        step, out = max(1, CHUNK_CELLS // len(rids)), []
+        for s in range(0, len(qids), step):
+            idx, dist = _topk_exact(qx[s:s + step], rx, rids, k)
+            out.append(pd.DataFrame({"q_id": np.repeat(qids[s:s + step], idx.shape[1]), "part": int(key[1]),
+                                     "nbr_id": rids[idx].reshape(-1), "dist": dist.reshape(-1)}))
+        return pd.concat(out)
     return run
 
 
-def _blocks(df: DataFrame, id_col: str, features: str, n_rows: int, dim: int, block_bytes: int):
-    """Yield (ids, matrix) blocks of at most ``block_bytes`` (hash-assigned, bounded collect each)."""
-    per_block = max(1, block_bytes // max(1, dim * 8))
-    nb = max(1, -(-n_rows // per_block))
-    if nb == 1:
-        parts = [df]
-    else:
-        b = df.withColumn("_blk", F.floor(uniform(F.lit("knn-block"), F.col(id_col)) * F.lit(nb)))
-        parts = [b.filter(F.col("_blk") == i).drop("_blk") for i in range(nb)]
-    for p in parts:
-        t = p.select(id_col, features).toArrow()
-        ids = np.asarray(t.column(id_col).to_numpy(zero_copy_only=False), dtype=np.int64)
-        mat = _matrix(t.column(features).to_pylist())
-        yield ids, mat
+def _best(partials: DataFrame, keys: list[str], k: int) -> DataFrame:
+    return partials.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "nbr_id"))), 1, k).alias("_top"))
 
 
-def _merge(partials: DataFrame, k: int) -> DataFrame:
-    g = partials.groupBy("q_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("dist", "nbr_id"))), 1, k).alias("_top"))
-    return g.select("q_id", F.posexplode("_top").alias("_pos", "_t")).select(
-        "q_id", F.col("_t.nbr_id").alias("nbr_id"), F.col("_t.dist").alias("dist"),
-        (F.col("_pos") + 1).cast("int").alias("nbr_rank"))
+def _merge(partials: DataFrame, k: int, parts: int) -> DataFrame:
+    while parts > MERGE:  # a tree: no list grows with the number of reference blocks
+        parts = -(-parts // MERGE)
+        few = _best(partials.withColumn("part", F.pmod("part", F.lit(parts))), ["q_id", "part"], k)
+        partials = few.select("q_id", "part", F.explode("_top").alias("_t")).select("q_id", "part", "_t.nbr_id", "_t.dist")
+    return _best(partials, ["q_id"], k).select("q_id", F.posexplode("_top").alias("_pos", "_t")).select(
+        "q_id", F.col("_t.nbr_id").alias("nbr_id"), F.col("_t.dist").alias("dist"), (F.col("_pos") + 1).cast("int").alias("nbr_rank"))
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int = 1, q_id: str = "row_id", r_id: str = "row_id",
         features: str = "features", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Top-k reference rows of every query row: ``q_id, nbr_id, dist, nbr_rank`` (1..k)."""
-    spark = query.sparkSession
     q = query.select(F.col(q_id).cast("long").alias("_qid"), F.col(features).alias("_f"))
     r = ref.select(F.col(r_id).cast("long").alias("_rid"), F.col(features).alias("_f"))
-    stats = (q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first(),
-             r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first())
-    nq, nr = stats[0]["n"], stats[1]["n"]
-    dim = max(stats[0]["d"] or 0, stats[1]["d"] or 0, 1)
-    if nq == 0 or nr == 0:
-        return spark.createDataFrame([], OUT_SCHEMA)
-    outs = []
-    if nr <= nq:
-        for rid, rx in _blocks(r, "_rid", "_f", nr, dim, block_bytes):
-            bc = spark.sparkContext.broadcast((rx, rid))
-            outs.append(q.mapInPandas(_ref_broadcast_fn(bc, k, "_qid", "_f"), OUT_SCHEMA))
-    else:
-        for qid, qx in _blocks(q, "_qid", "_f", nq, dim, block_bytes):
-            bc = spark.sparkContext.broadcast((qx, qid))
-            outs.append(r.mapInPandas(_query_broadcast_fn(bc, k, "_rid", "_f"), OUT_SCHEMA))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    if len(outs) == 1 and nr <= nq:
-        return out
-    return _merge(out, k)
+    blocks = []
+    for side in (q, r):
+        n = side.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first()
+        blocks.append(max(1, -(-n["n"] * max(n["d"] or 1, 1) * 8 // block_bytes)))
+    nq, nr = blocks
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("_qb", own("_qid", nq)).withColumn("_rb", every(nr)).groupBy("_qb", "_rb")
+    right = r.withColumn("_rb", own("_rid", nr)).withColumn("_qb", every(nq)).groupBy("_qb", "_rb")
+    part = left.cogroup(right).applyInPandas(_score_blocks(k), "q_id long, part int, nbr_id long, dist double")
+    return _merge(part, k, nr)
 
 
 def nn_dist(a: DataFrame, b: DataFrame, a_id: str = "row_id", b_id: str = "row_id",

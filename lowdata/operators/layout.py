@@ -1,11 +1,8 @@
-"""Partition layout helpers for fan-out operators.
+"""Partition layout of fan-out operators.
 
-Operators that multiply rows (one row per run, window or draw) do their
-per-row work in the partitions of their input.  A small input (one parquet
-row group, a filtered test set) can arrive as a single partition, which
-would serialise the whole fan-out; ``spread`` hash-distributes such inputs
-over the cluster's default parallelism before the fan-out.  Inputs that are
-already spread (the normal case at scale) are left untouched.
+Operators that multiply rows (one row per run, window or draw) do the work in the
+partitions of their input, which may be a single one.  ``spread`` deals the narrow rows by
+key before they are multiplied; AQE sets the number of partitions from their size.
 """
 
 from __future__ import annotations
@@ -13,9 +10,5 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    n = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n, key) if key else df.repartition(n)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    return df.repartition(key)

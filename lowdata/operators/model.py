@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from lowdata.operators import evaluation as ev
 from lowdata.operators import sampling as sa
 from lowdata.operators import thresholds as th
+from lowdata.session import materialize
 
 MAX_DEPTH_SPARK = 30  # spark.ml rejects deeper trees; "unlimited" maps here
 
@@ -98,7 +99,7 @@ def fit_with_threshold(df: DataFrame, objective: str = "balacc", seed: int = 42,
 def cross_validate(df: DataFrame, k: int = 5, seed: int = 42, trees: int = 100, depth=None,
                    key: str = "row_id") -> DataFrame:
     """M5: stratified k-fold CV; mean and population std of accuracy, F1 and exact AUC."""
-    folds = sa.stratified_folds(df, "y", k, seed, key).cache()
+    folds = materialize(sa.stratified_folds(df, "y", k, seed, key))
     preds = None
     for f in range(k):
         m = fit_forest(folds.filter(F.col("fold") != f), trees, depth, seed)

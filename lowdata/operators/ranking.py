@@ -22,9 +22,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lowdata.session import materialize
+
 DEFAULT_BUCKETS = 1 << 16
-# Upper bound on rows of a per-group table that may be broadcast (checked by count).
-MAX_BROADCAST_GROUPS = 2_000_000
 
 
 def _cols(by: Sequence[str] | str | None) -> list[str]:
@@ -46,25 +46,18 @@ def with_scalars(df: DataFrame, one_row: DataFrame, cols: list[str] | None = Non
     return df.select("*", *[one_row.select(c).scalar().alias(c) for c in cols])
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-               bounded: bool = False, max_rows: int = MAX_BROADCAST_GROUPS) -> DataFrame:
-    """Join a per-group table.
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a per-group table (``on=[]``: one row, attached as scalar subqueries).
 
-    ``on=[]``: ``small`` is one row -> scalar subqueries.  ``bounded=True``: the
-    caller guarantees few rows (one per class / window) -> broadcast hint.
-    Otherwise the row count is checked first and the table is broadcast only
-    under ``max_rows``; beyond it Spark shuffles both sides on the keys.
+    The table is written first, so Spark knows its size in bytes from the files and
+    broadcasts it only below its own threshold; beyond that both sides are
+    shuffled and a hot group's partition can be split.
     """
     if not on:
         if how not in ("inner", "left"):
             raise ValueError("scalar attach supports inner/left only")
         return with_scalars(big, small)
-    if bounded:
-        return big.join(F.broadcast(small), on=on, how=how)
-    small = small.cache()
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on=on, how=how)
+    return big.join(materialize(small), on=on, how=how)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -96,21 +89,21 @@ def hash_rank(df: DataFrame, by, u: str = "u", tie: str = "row_id",
             .drop(b, "_rk_off", "_rk_in"))
 
 
-def _quota_table(df: DataFrame, keys: list[str], quota, bounded: bool = True) -> tuple[DataFrame, bool]:
+def _quota_table(df: DataFrame, keys: list[str], quota) -> tuple[DataFrame, bool]:
     """Attach ``_q`` (long) to df; returns (df, quota_is_table)."""
     if isinstance(quota, DataFrame):
         q = quota.select(*keys, F.col("quota").cast("long").alias("_q"))
-        return join_small(df, q, keys, bounded=bounded), True
+        return join_small(df, q, keys), True
     qc = quota if isinstance(quota, Column) else F.lit(int(quota))
     return df.withColumn("_q", qc.cast("long")), False
 
 
 def boundaries(df: DataFrame, keys: list[str], quota, u: str = "u", tie: str = "row_id",
-               buckets: int = DEFAULT_BUCKETS, bounded: bool = True) -> DataFrame:
+               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Per group: quota ``_q``, size ``_gn`` and the (u, tie) of the ``_q``-th row (null if ``_gn <= _q``)."""
     keys = _cols(keys)
     b = "_bd_bucket"
-    d, _ = _quota_table(df.select(*keys, u, tie), keys, quota, bounded)
+    d, _ = _quota_table(df.select(*keys, u, tie), keys, quota)
     d = d.withColumn(b, _bucket(u, buckets))
     hist = d.groupBy(*keys, b, "_q").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -137,22 +130,21 @@ def in_first(u: str = "u", tie: str = "row_id") -> Column:
 
 
 def mark_first(df: DataFrame, by, quota, u: str = "u", tie: str = "row_id", out: str = "selected",
-               buckets: int = DEFAULT_BUCKETS, bounded: bool = True) -> DataFrame:
+               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add boolean ``out``: rank within ``by`` (order ``u, tie``) ``<= quota``.
 
     ``quota`` is an int, a Column over ``by`` columns, or a DataFrame keyed by
     ``by`` with a ``quota`` column (one row per group).  Rows of groups absent
-    from a quota table are not selected.  ``bounded=False`` when the groups can be
-    numerous (families): per-group tables are then size-checked before broadcast.
+    from a quota table are not selected.
     """
     keys = _cols(by)
-    bd = boundaries(df, keys, quota, u, tie, buckets, bounded).select(*keys, "_q", "_bu", "_bt")
-    j = join_small(df, bd, keys, how="left", bounded=bounded)
+    bd = boundaries(df, keys, quota, u, tie, buckets).select(*keys, "_q", "_bu", "_bt")
+    j = join_small(df, bd, keys, how="left")
     sel = F.coalesce(F.col("_q").isNotNull() & (F.col("_q") > 0) & in_first(u, tie), F.lit(False))
     return j.withColumn(out, sel).drop("_q", "_bu", "_bt")
 
 
 def take_first(df: DataFrame, by, quota, u: str = "u", tie: str = "row_id",
-               buckets: int = DEFAULT_BUCKETS, bounded: bool = True) -> DataFrame:
+               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Rows whose rank within ``by`` (order ``u, tie``) is ``<= quota``."""
-    return mark_first(df, by, quota, u, tie, "_sel", buckets, bounded).filter("_sel").drop("_sel")
+    return mark_first(df, by, quota, u, tie, "_sel", buckets).filter("_sel").drop("_sel")

@@ -113,7 +113,8 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
 
     Grid = distinct exact quantiles at ``linspace(0.005, 0.995, n_grid)`` strictly
     inside (min, max); thresholds predicting one class only are skipped; strict
-    improvement over -1 (first maximum).  Constant scores -> 0.5 with a null score.
+    improvement over -1 (first maximum).  Constant scores -> 0.5 with a null score; a best score
+    below 0 (mcc) keeps its threshold and is reported as null.
     Output: keys, threshold, best_score, n_pos, n_neg.
 
     ``percentile`` and the per-group window hold the group's distinct scores;
@@ -143,7 +144,7 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
                                          F.struct(F.col("score"), -F.col("value"))).alias("b"))
     out = join_null_safe(st.select(*keys, "n_pos", "n_neg"), best, keys, "left")
     return out.select(*keys, F.coalesce(F.col("b.value"), F.lit(0.5)).alias("threshold"),
-                      F.col("b.score").alias("best_score"), "n_pos", "n_neg")
+                      F.when(F.col("b.score") >= 0, F.col("b.score")).alias("best_score"), "n_pos", "n_neg")
 
 
 def apply_thresholds(raw: DataFrame, thr: DataFrame, preds: DataFrame,

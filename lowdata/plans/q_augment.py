@@ -58,6 +58,19 @@ def q_knn(spark, sf):
     return nb.select("q_id", "nbr_id", "nbr_rank", r6("dist").alias("dist"))
 
 
+@reg("knn_offset", f"""
+WITH e AS {EMB}, o AS (SELECT row_id, y, [CAST(x AS DOUBLE) + 1000000.0 for x in features] AS f FROM e),
+q AS (SELECT * FROM o WHERE y = 0), r AS (SELECT * FROM o WHERE y = 1),
+d AS (SELECT q.row_id AS q_id, r.row_id AS nbr_id, list_distance(q.f, r.f) AS dist FROM q CROSS JOIN r),
+k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, nbr_id) AS nbr_rank FROM d)
+SELECT q_id, nbr_id, CAST(nbr_rank AS INTEGER) AS nbr_rank, {s6('dist')} AS dist FROM k WHERE nbr_rank <= 3""")
+def q_knn_offset(spark, sf):
+    """J6 far from the origin: every component moved by a million."""
+    e = fx.embeddings(spark, sf).withColumn("features", F.transform("features", lambda x: x.cast("double") + 1e6))
+    nb = kn.knn(e.filter("y = 0"), e.filter("y = 1"), 3, block_bytes=1 << 14)
+    return nb.select("q_id", "nbr_id", "nbr_rank", r6("dist").alias("dist"))
+
+
 @reg("knn_query_broadcast", f"""
 WITH e AS {EMB}, q AS (SELECT * FROM e WHERE y = 1), r AS (SELECT * FROM e WHERE y = 0),
 d AS (SELECT q.row_id AS q_id, r.row_id AS nbr_id, list_distance(q.features, r.features) AS dist FROM q CROSS JOIN r),

@@ -299,13 +299,13 @@ sc2 AS (SELECT *, {sql_objective('balanced_accuracy')} AS score FROM sc WHERE tp
 best AS (SELECT prefix, frac, variant, t, score FROM (
            SELECT *, row_number() OVER (PARTITION BY prefix, frac, variant ORDER BY score DESC, t) AS rk FROM sc2 WHERE score > -1.0)
          WHERE rk = 1),
-pooled AS (SELECT st.prefix, st.frac, st.variant, coalesce(best.t, 0.5) AS threshold, best.score AS best_score, st.n_pos, st.n_neg
+pooled AS (SELECT st.prefix, st.frac, st.variant, coalesce(best.t, 0.5) AS threshold, CASE WHEN best.score >= 0 THEN best.score END AS best_score, st.n_pos, st.n_neg
            FROM st LEFT JOIN best USING (prefix, frac, variant))"""
 
 
-def pooled(spark, sf, agg=None):
+def pooled(spark, sf, agg=None, which="balanced_accuracy"):
     agg = agg if agg is not None else run_preds_agg(spark, sf)
-    return th.pick_threshold_quantile(agg, ("prefix", "frac", "variant"), "balanced_accuracy", 512, weight="w")
+    return th.pick_threshold_quantile(agg, ("prefix", "frac", "variant"), which, 512, weight="w")
 
 
 @reg("pooled_threshold", "WITH " + SQL_POOLED + f"""
@@ -317,6 +317,20 @@ def q_pooled_threshold(spark, sf):
                     r10("best_score").alias("best_score"), "n_pos", "n_neg")
 
 
+def _reg_pooled(which: str):
+    sql = SQL_POOLED.replace(sql_objective("balanced_accuracy"), sql_objective(which))
+
+    @reg(f"pooled_threshold_{which}", "WITH " + sql + f"""
+SELECT prefix, frac, variant, {sql_r10('threshold')} AS threshold, {sql_r10('best_score')} AS best_score, n_pos, n_neg FROM pooled""")
+    def q(spark, sf):
+        """E7 with another objective."""
+        return pooled(spark, sf, which=which).select("prefix", "frac", "variant", r10("threshold").alias("threshold"),
+                                                     r10("best_score").alias("best_score"), "n_pos", "n_neg")
+
+
+for _which in ("f1", "mcc"):
+    _reg_pooled(_which)
+
 _SQL_APPLY_M = sql_point_metrics("cm.tp", "cm.fp", "cm.fn", "cm.tn", mcc_one_class_null=False)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.columns import keep_families, spread_vector, to_bool, to_num
@@ -246,12 +247,12 @@ def q_index_json(spark, sf):
 
 
 @reg("run_metrics_json", _sql_raw_based(
-    "SELECT variant, count(*) AS n, CAST(max(6) AS BIGINT) AS days, CAST(400 * count(*) AS BIGINT) AS trees "
-    "FROM raw GROUP BY variant"))
+    "SELECT tag, variant, tp, fp, fn, tn, n_train_real AS before_aug, n_train_total AS after_aug, CAST(seed AS BIGINT) AS random_state, "
+    "CAST(test_window_days AS BIGINT) AS test_window_days FROM raw"))
 def q_run_metrics_json(spark, sf):
     """S7 + S6: run metrics written as JSON with the nested audit and read back by file glob."""
     from lowdata.plans.q_eval import run_raw
-    r = run_raw(spark, sf).limit(1000)
+    r = run_raw(spark, sf)
     audit = F.struct(F.col("n_train_real").alias("train_total_before_aug"),
                      F.col("n_train_total").alias("train_total_after_aug"),
                      F.struct(F.lit(400).cast("long").alias("n_estimators"), F.lit(20).cast("long").alias("max_depth"),
@@ -262,8 +263,9 @@ def q_run_metrics_json(spark, sf):
     path = scratch_path(spark, f"runs-{uuid.uuid4().hex[:8]}")
     io.write_runs(out, path)
     back = io.read_run_metrics(spark, path + "/*.json", one_object_per_file=False)
-    return back.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.max("test_window_days").alias("days"),
-                                       F.sum("audit.rf_params.n_estimators").alias("trees"))
+    return back.select("tag", "variant", "tp", "fp", "fn", "tn", F.col("audit.train_total_before_aug").alias("before_aug"),
+                       F.col("audit.train_total_after_aug").alias("after_aug"), F.col("audit.rf_params.random_state").alias("random_state"),
+                       "test_window_days")
 
 
 def _sql_scaler_roundtrip() -> str:
@@ -284,30 +286,49 @@ def q_scaler_roundtrip(spark, sf):
 
 def _sql_by_family() -> str:
     body = QUERIES["collect_runs_by_tag"][1]
-    return "SELECT family, count(*) AS n FROM (" + body + ") GROUP BY family"
+    return ("SELECT family, row_number() OVER (PARTITION BY family ORDER BY frac, variant, seed) AS pos, frac, variant, seed "
+            "FROM (" + body + ")")
 
 
 @reg("write_by_family", _sql_by_family())
 def q_write_by_family(spark, sf):
-    """Per-family outputs (collected run keys) written one folder per family."""
+    """Per-family outputs written sorted; read back with the place of every row in its family."""
     runs = io.collect_runs_by_tag(_stems(spark, sf), "stem")
     path = scratch_path(spark, f"byfam-{uuid.uuid4().hex[:8]}")
     io.write_by_family(runs, path)
-    back = spark.read.option("header", True).csv(path)
-    return back.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    cols = ", ".join(f"{c} {t}" for c, t in runs.dtypes if c != "family")
+    back = (spark.read.schema(cols + ", family string").option("header", True).csv(path)
+            .select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                    F.monotonically_increasing_id().alias("_i")))
+    place = F.row_number().over(Window.partitionBy("family").orderBy("_f", "_b", "_i"))
+    return back.select("family", place.cast("long").alias("pos"), "frac", "variant", "seed")
+
+
+@reg("raw_pair_roundtrip", None)
+def q_raw_pair_roundtrip(spark, sf):
+    """S10 + S11 -> J4: two appends with different columns (the first with stale values), read back and paired."""
+    from lowdata.operators import pairing as pa
+    from lowdata.plans.q_results import results, round_doubles
+    r = results(spark, sf)
+    path = scratch_path(spark, f"raw-{uuid.uuid4().hex[:8]}")
+    stale = r.select("tag", "prefix", "kind", "frac", "const_train_size", "variant", "used_gan", F.lit(0.25).alias("auc"), "seed",
+                     "test_start", "test_end", "test_window_days")
+    io.append_raw(stale, path)
+    io.append_raw(r, path)
+    return round_doubles(pa.pair(io.read_raw(spark, path)))
 
 
 # ------------------------------------------------------------------ G1 / G6 / G8 / G9 / G10
 
 @reg("profile_table", """
-SELECT count(*) AS n_rows, 6 AS n_cols, count_if(event_type = 'error') AS n_label_1, count_if(event_type <> 'error') AS n_label_0,
-       bool_or(event_id IS NULL OR ts IS NULL OR user_id IS NULL OR event_type IS NULL OR value IS NULL OR y IS NULL) AS any_null
+SELECT count(*) AS n_rows, 7 AS n_cols, count_if(event_type = 'error') AS n_label_1, count_if(event_type <> 'error') AS n_label_0,
+       bool_or(event_id IS NULL OR ts IS NULL OR user_id IS NULL OR event_type IS NULL OR value IS NULL OR props IS NULL OR y IS NULL) AS any_null
 FROM (SELECT *, CAST(event_type = 'error' AS INTEGER) AS y FROM events)""")
 def q_profile_table(spark, sf):
     """G1: row / column / label counts and any-null check."""
-    e = spark.read.parquet(f"{sf}/events.parquet").drop("props").withColumn(
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn(
         "y", (F.col("event_type") == "error").cast("int"))
-    return rl.profile_table(e, "y").withColumn("n_cols", F.lit(6))
+    return rl.profile_table(e, "y")
 
 
 @reg("quantiles", """

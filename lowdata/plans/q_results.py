@@ -159,9 +159,10 @@ def q_agg_by_variant(spark, sf):
 def _collapse_sql(src: str) -> str:
     parts = []
     for m in CORE:
-        between = f"CASE WHEN count({m}_mean) > 1 THEN var_samp({m}_mean) ELSE 0.0 END"
+        between = f"CASE WHEN count(*) > 1 THEN var_samp({m}_mean) ELSE 0.0 END"
         parts.append(f"{sql_r10(f'avg({m}_mean)')} AS {m}_mean")
-        parts.append(f"{sql_r10(f'sqrt(greatest(avg({m}_std * {m}_std) + {between}, 0.0))')} AS {m}_std")
+        var = f"(avg({m}_std * {m}_std) + {between})"
+        parts.append(f"{sql_r10(f'sqrt(CASE WHEN {var} IS NOT NULL THEN greatest({var}, 0.0) END)')} AS {m}_std")
     return f"SELECT prefix, frac, variant, {', '.join(parts)} FROM {src} GROUP BY prefix, frac, variant"
 
 
@@ -175,6 +176,15 @@ def q_collapse_means(spark, sf):
     return round_doubles(out)
 
 
+@reg("collapse_means_one_seed", "WITH " + SQL_RESULTS + ", agg AS (SELECT prefix, const_train_size, frac, variant, "
+     + ", ".join(f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std" for m in CORE)
+     + " FROM res WHERE seed = 42 GROUP BY prefix, const_train_size, frac, variant) " + _collapse_sql("agg"))
+def q_collapse_means_one_seed(spark, sf):
+    """G5 where groups have one seed: an unknown std stays unknown."""
+    agg = pa.agg_by_variant(results(spark, sf).filter("seed = 42"))
+    return round_doubles(pa.collapse_means(agg, ["prefix", "frac", "variant"], [(f"{m}_mean", f"{m}_std") for m in CORE]))
+
+
 @reg("distinct_label", "WITH " + SQL_RESULTS + """
 SELECT prefix, CASE WHEN count(const_train_size) = 0 THEN 'NA'
        ELSE array_to_string(list_sort(list(DISTINCT CAST(CAST(const_train_size AS BIGINT) AS VARCHAR)) FILTER (WHERE const_train_size IS NOT NULL)), '/') END AS label

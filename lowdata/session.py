@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -115,20 +116,27 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a small reduced table once and keep it (memory, spilling to disk).
+    """Compute a reduced table once: written under the shared checkpoint folder and read back.
 
     Used where one aggregate feeds several branches of a plan (e.g. a score
     histogram that feeds both a per-bin window and per-run offsets): Spark
-    would otherwise recompute the whole upstream pipeline once per branch.
-    Lost blocks are recomputed from lineage, so executor loss is survivable.
+    would otherwise recompute the whole upstream pipeline once per branch.  A lost
+    executor loses nothing of it, no storage memory is held, Spark knows its size,
+    and the files go when the application ends.
     """
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
+    spark = df.sparkSession
+    path = scratch_path(spark, f"reduced-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+    delete_on_exit(spark, path)
+    return path

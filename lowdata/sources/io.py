@@ -8,6 +8,7 @@ selected columns are read (parquet column pruning), filters reach the scan.
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ RAW_COLUMNS = ("prefix", "kind", "frac", "const_train_size", "variant", "used_ga
                "specificity", "balanced_accuracy", "mcc",
                "n_train_real", "n_train_synth", "n_train_total", "tn", "fp", "fn", "tp", "threshold",
                "seed", "test_start", "test_end", "test_window_days")
+RAW_ORDER = ("run_append", "run_row")  # our own: when a run was appended, and its place
 RAW_DOUBLE = {"frac", "auc", "pr_auc", "accuracy", "precision", "recall", "f1", "specificity",
               "balanced_accuracy", "mcc", "threshold"}
 RAW_LONG = {"n_train_real", "n_train_synth", "n_train_total", "tn", "fp", "fn", "tp"}
@@ -135,8 +137,15 @@ def write_preds(df: DataFrame, path: str, mode: str = "append", by: str = "prefi
 
 
 def append_raw(df: DataFrame, path: str) -> None:
-    """Append run rows to the results table (no whole-file rewrite)."""
-    df.select(*[c for c in RAW_COLUMNS if c in df.columns]).write.mode("append").option("header", True).csv(path)
+    """Append run rows to the results table (no whole-file rewrite).
+
+    Every file has all raw columns (null where the run has none) and the run order: the
+    time of the append, then ``run_idx`` or else the row's place in the append.
+    """
+    have = {c: F.col(c) for c in df.columns}
+    cols = [have.get(c, F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS]
+    order = [F.lit(time.time_ns() // 1000).alias(RAW_ORDER[0]), have.get("run_idx", F.monotonically_increasing_id()).cast("long").alias(RAW_ORDER[1])]
+    df.select(*cols, *order).write.mode("append").option("header", True).csv(path)
 
 
 def write_table(df: DataFrame, path: str, suffix: str = "", fmt: str = "parquet") -> str:
@@ -150,10 +159,17 @@ def write_table(df: DataFrame, path: str, suffix: str = "", fmt: str = "parquet"
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """S11 (+ P5, P6, P10): results CSV with every column as text, then coerced:
-    booleans by spelling, numbers by ``try_cast`` (``nan`` / blank -> null), seed 0 when absent."""
+    booleans by spelling, numbers by ``try_cast`` (``nan`` / blank -> null), seed 0 when absent;
+    ``run_idx`` orders the runs over all appends."""
     txt = spark.read.option("header", True).csv(path)
-    cols = []
-    for c in txt.columns:
+    own = [*RAW_COLUMNS, *RAW_ORDER]
+    if set(RAW_ORDER) <= set(txt.columns):
+        txt = spark.read.schema(", ".join(f"`{c}` string" for c in own)).option("header", True).csv(path)
+        order = F.struct(*[F.col(c).cast("long") for c in RAW_ORDER])
+    else:  # a table from elsewhere: its row order
+        order = F.struct(F.lit(0).cast("long").alias(RAW_ORDER[0]), F.monotonically_increasing_id().alias(RAW_ORDER[1]))
+    cols = [order.alias("run_idx")]
+    for c in [c for c in txt.columns if c not in RAW_ORDER]:
         if c == "used_gan":
             cols.append(to_bool(c, trim=True).alias(c))
         elif c in RAW_DOUBLE:
@@ -165,7 +181,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         else:
             cols.append(F.nullif(F.col(c), F.lit("")).alias(c))
     d = txt.select(*cols)
-    return d if "seed" in d.columns else d.withColumn("seed", F.lit(0))
+    return d.withColumn("seed", F.coalesce("seed", F.lit(0)) if "seed" in d.columns else F.lit(0))
 
 
 def read_preds(df: DataFrame, y_col: str | None = None, p_col: str | None = None) -> DataFrame:
@@ -219,8 +235,14 @@ def collect_runs_by_tag(df: DataFrame, name: str = "stem") -> DataFrame:
 # ------------------------------------------------------------------ S12 / S14 / S15
 
 def write_by_family(df: DataFrame, path: str) -> None:
-    """One sorted output per family."""
-    (df.repartition("family").sortWithinPartitions("frac", "variant", "seed")
+    """One folder per family, its files together sorted by (frac, variant, seed).
+
+    Ranges of the whole order are dealt to tasks, so a large family becomes several files;
+    their names continue the order.  The sort starts with the family because the writer
+    asks for that and would otherwise sort anew.
+    """
+    order = ["family", "frac", "variant", "seed"]
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode("overwrite").partitionBy("family").option("header", True).csv(path))
 
 

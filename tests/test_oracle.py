@@ -12,7 +12,9 @@ from tests.conftest import SMALL
 FAST = ["window_metrics", "temporal_holdout", "cutoff_scan", "rolling_windows", "window_counts", "family_holdout",
         "lofo_info", "stratified_split", "scarce_sample", "hash_rank", "family_capped_subset", "rebalance",
         "run_results", "pick_threshold_mcc", "pooled_threshold", "pair", "pair_compat", "knn", "smote",
-        "oversample", "load_metadata", "collect_runs_by_tag", "audit", "auc_bruteforce_check"]
+        "oversample", "load_metadata", "collect_runs_by_tag", "audit", "auc_bruteforce_check",
+        "knn_offset", "raw_pair_roundtrip", "write_by_family", "pooled_threshold_mcc", "collapse_means_one_seed",
+        "run_metrics_json", "profile_table"]
 
 
 def _names():
