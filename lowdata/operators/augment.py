@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from lowdata.functions.hashing import normal, uniform
 from lowdata.operators.knn import knn, nn_dist
-from lowdata.operators.ranking import hash_rank, join_small, take_first
+from lowdata.operators.ranking import hash_rank, join_small, take_first, with_scalars
+from lowdata.operators.relational import exact_quantiles
 from lowdata.session import materialize
 
 AUG_COLS = ["uid", "row_id", "y", "features", "is_synth", "src_row_id"]
@@ -237,8 +238,8 @@ def quality_gate(cands: DataFrame, n: int, mode: str = "nn", pos: DataFrame | No
     if mode != "nn_boundary":
         raise ValueError(f"unknown quality mode: {mode}")
     dn = materialize(nn_dist(dp, neg, "gen_id", "row_id", "features", "dneg"))
-    q = dn.agg(F.percentile("dpos", 0.5).alias("med"),
-               F.percentile("dneg", float(low)).alias("lo"), F.percentile("dneg", float(high)).alias("hi"))
+    q = with_scalars(exact_quantiles(dn, [], "dpos", [0.5]).select(F.col("_q")[0].alias("med")),
+                     exact_quantiles(dn, [], "dneg", [float(low), float(high)]).select(F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi")))
     d = join_small(dn, q, [])
     d = d.withColumn("ok", (F.col("dpos") <= F.col("med")) & (F.col("dneg") >= F.col("lo"))
                      & (F.col("dneg") <= F.col("hi"))).drop("med", "lo", "hi")
@@ -260,16 +261,16 @@ def gan_synth(cands_kept: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ A11 / A12 diagnostics
 
 def dup_ratio(df: DataFrame, features: str = "features") -> DataFrame:
-    """1 - distinct rows / rows (distinct on a 64-bit hash of the vector)."""
-    return df.agg((F.lit(1.0) - F.countDistinct(F.xxhash64(features)) / F.count(F.lit(1))).alias("dup_ratio"))
+    """1 - distinct rows / rows."""
+    return df.agg((F.lit(1.0) - F.countDistinct(F.col(features)) / F.count(F.lit(1))).alias("dup_ratio"))
 
 
 def smote_nn_median(aug: DataFrame) -> DataFrame:
     """Median distance of synthetic rows to their nearest real positive."""
-    syn = aug.filter("is_synth").select(F.xxhash64("uid").alias("sid"), "features")
+    syn = materialize(aug.filter("is_synth").select(F.monotonically_increasing_id().alias("sid"), "features"))
     real = aug.filter(~F.col("is_synth") & (F.col("y") == 1)).select("row_id", "features")
     d = nn_dist(syn, real, "sid", "row_id", "features", "d")
-    return d.agg(F.percentile("d", 0.5).alias("smote_med_nn_dist"))
+    return exact_quantiles(d, [], "d", [0.5]).select(F.col("_q")[0].alias("smote_med_nn_dist"))
 
 
 # ------------------------------------------------------------------ A16 mixture sampler

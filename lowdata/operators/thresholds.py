@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lowdata.functions.metrics import objective, point_metrics
 from lowdata.operators.evaluation import count_where, run_key
 from lowdata.operators.ranking import join_null_safe
+from lowdata.operators.relational import exact_quantiles, sums_before, with_ranges
 from lowdata.session import materialize
 
 
@@ -117,25 +118,26 @@ def pick_threshold_quantile(preds: DataFrame, keys: Sequence[str] = ("prefix", "
     below 0 (mcc) keeps its threshold and is reported as null.
     Output: keys, threshold, best_score, n_pos, n_neg.
 
-    ``percentile`` and the per-group window hold the group's distinct scores;
-    forest probabilities have at most n_trees + 1 of them.
+    Quantiles and running counts are formed in value ranges, so no task holds a
+    group's distinct scores.
     """
     keys = list(keys)
     lv = quantile_levels(n_grid)
     # one pass over the predictions: (group, score) counts; everything below works on them
     h = materialize(preds.groupBy(*keys, F.col(p).alias("value")).agg(
         count_where(F.col(y) == 1, weight).alias("pos"), count_where(F.col(y) != 1, weight).alias("neg")))
+    total = F.col("pos") + F.col("neg")
     st = h.groupBy(*keys).agg(
         F.min("value").alias("pmin"), F.max("value").alias("pmax"),
-        F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-        F.percentile(F.col("value"), F.array(*[F.lit(q) for q in lv]), F.col("pos") + F.col("neg")).alias("qs"))
+        F.sum(total).alias("n"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    st = materialize(join_null_safe(st, exact_quantiles(h.withColumn("_n", total), keys, "value", lv, "_n")
+                                    .select(*keys, F.col("_q").alias("qs")), keys))
     grid_pts = (st.select(*keys, "pmin", "pmax", F.explode(F.array_distinct("qs")).alias("value"))
                 .filter((F.col("value") > F.col("pmin")) & (F.col("value") < F.col("pmax")))
                 .select(*keys, "value", F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(1).alias("is_grid")))
-    u = h.withColumn("is_grid", F.lit(0)).unionByName(grid_pts)
-    w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("is_grid")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    c = u.select(*keys, "value", "is_grid", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    u = with_ranges(h.withColumn("is_grid", F.lit(0)).unionByName(grid_pts), keys, "value", of=h)
+    u = sums_before(u, keys, ["value", "is_grid"], ["pos", "neg"], desc=True)  # a grid point comes after the rows at its value
+    c = u.select(*keys, "value", "is_grid", F.col("pos_before").alias("tp"), F.col("neg_before").alias("fp"))
     c = join_null_safe(c.filter(F.col("is_grid") == 1), st.select(*keys, "n", "n_pos", "n_neg"), keys, "inner")
     c = c.filter((F.col("tp") + F.col("fp") > 0) & (F.col("tp") + F.col("fp") < F.col("n")))
     c = c.withColumn("fn", F.col("n_pos") - F.col("tp")).withColumn("tn", F.col("n_neg") - F.col("fp"))
