@@ -25,8 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

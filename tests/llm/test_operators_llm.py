@@ -108,7 +108,7 @@ def test_proximity(spark):
     index = dc.build_index(d, terms)
     ids = {r["row"]: r["id"] for r in index.where(F.col("tid") == dc.ROW_TERM).collect()}
     hits = {ids[r["row"]] for r in dc.proximity_hits(index, pos.join(terms, "term"), 6).collect()}
-    assert hits == {1, 2} or hits == {1, 2, 4}  # from the rarest term's place
+    assert hits == {1, 2}  # c is the rarest term; in text 4 it is seven words from a
     assert {ids[r["row"]] for r in dc.proximity_hits(index, pos.join(terms, "term"), 2).collect()} == {2}
 
 
@@ -401,7 +401,6 @@ def test_simhash_links_random_fingerprints(spark):
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     label = [found.get(s[0], s[0]) for s in signed]
     assert len(set(zip(label, comp.tolist()))) == len(set(label)) == len(set(comp.tolist()))
-    assert edges.where("bit_count(u ^ v) > 3").count() <= edges.count()
 
 
 def test_simhash_edges(spark):
