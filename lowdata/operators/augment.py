@@ -14,12 +14,14 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowdata.functions.hashing import normal, uniform
 from lowdata.operators.knn import knn, nn_dist
-from lowdata.operators.ranking import hash_rank, join_small, take_first, with_scalars
+from lowdata.operators.ranking import hash_rank, join_small, take_first, take_nearest, with_scalars
 from lowdata.operators.relational import exact_quantiles
 from lowdata.session import materialize
 
@@ -136,13 +138,18 @@ def smote_to_const(train: DataFrame, target: int | None, seed: int = 42, k: int
 # ------------------------------------------------------------------ A14 / A6 / A15
 
 def fit_scaler(df: DataFrame, features: str = "features") -> DataFrame:
-    """Per-feature mean and population std (zero -> 1) as one row of two arrays."""
-    e = df.select(F.posexplode(features).alias("j", "x"))
-    g = e.groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    g = g.withColumn("s", F.when(F.col("s") == 0, F.lit(1.0)).otherwise(F.col("s")))
-    a = g.agg(F.array_sort(F.collect_list(F.struct("j", "m", "s"))).alias("v"))
-    return a.select(F.transform("v", lambda t: t["m"]).alias("mean"),
-                    F.transform("v", lambda t: t["s"]).alias("scale"))
+    """Per-feature mean and population std (zero -> 1) as one row of two arrays.
+
+    One pass of spark.ml's ``Summarizer`` over whole vectors (null vectors are skipped).
+    No row at all is an error: there is nothing to scale by.
+    """
+    v = df.where(F.col(features).isNotNull()).select(array_to_vector(F.col(features).cast("array<double>")).alias("v"))
+    s = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s"))
+    n = F.col("s.count").cast("double")
+    enough = F.assert_true(F.col("s").isNotNull() & (n > 0), F.lit("no rows to fit a scaler on"))
+    std = F.transform(vector_to_array("s.variance"), lambda x: F.sqrt(x * (n - 1) / n))
+    return s.select(F.when(enough.isNull(), vector_to_array("s.mean")).alias("mean"),
+                    F.transform(std, lambda x: F.when(x == 0, F.lit(1.0)).otherwise(x)).alias("scale"))
 
 
 def inverse_scale(df: DataFrame, scaler: DataFrame, features: str = "features") -> DataFrame:
@@ -153,12 +160,22 @@ def inverse_scale(df: DataFrame, scaler: DataFrame, features: str = "features")
 
 
 def profile_vectors(df: DataFrame, features: str = "features") -> DataFrame:
-    """N, dim, mean, population std, min, max and any non-finite over all elements."""
-    e = df.select(F.size(features).alias("_d"), F.explode(features).alias("x"))
-    return e.agg(F.max("_d").alias("dim"),
-                 F.count(F.lit(1)).alias("n_values"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-                 F.min("x").alias("min"), F.max("x").alias("max"),
-                 F.bool_or(F.isnan("x") | (F.abs("x") == F.lit(float("inf")))).alias("any_nonfinite"))
+    """N, dim, mean, population std, min, max and any non-finite over all elements.
+
+    Every vector is reduced in place to its count, mean, squared deviations and extremes.
+    """
+    n = F.size("x").cast("double")
+    total = lambda f: F.aggregate("x", F.lit(0.0), f)
+    e = (df.select(F.col(features).cast("array<double>").alias("x")).where(F.size("x") > 0)
+         .select("x", n.alias("n"), (total(lambda a, x: a + x) / n).alias("m"))
+         .select("n", "m", total(lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))).alias("ss"), F.array_min("x").alias("lo"),
+                 F.array_max("x").alias("hi"), F.exists("x", lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf")))).alias("bad")))
+    g = e.agg(F.max("n").cast("int").alias("dim"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("m")).alias("S"),
+              F.sum(F.col("ss") + F.col("n") * F.col("m") * F.col("m")).alias("SS"), F.min("lo").alias("min"), F.max("hi").alias("max"),
+              F.bool_or("bad").alias("any_nonfinite"))
+    mean = F.col("S") / F.col("N")
+    return g.select("dim", F.col("N").cast("long").alias("n_values"), mean.alias("mean"),
+                    F.sqrt(F.greatest(F.lit(0.0), F.col("SS") / F.col("N") - mean * mean)).alias("std"), "min", "max", "any_nonfinite")
 
 
 # ------------------------------------------------------------------ A5 / A16 generators
@@ -234,7 +251,7 @@ def quality_gate(cands: DataFrame, n: int, mode: str = "nn", pos: DataFrame | No
         return cands.filter(F.col("gen_id") < n)
     dp = nn_dist(cands, pos, "gen_id", "row_id", "features", "dpos")
     if mode == "nn" or (mode == "nn_boundary" and (neg is None or neg.limit(1).count() == 0)):
-        return dp.orderBy("dpos", "gen_id").limit(n).drop("dpos")
+        return take_nearest(materialize(dp), n, "dpos", "gen_id").drop("dpos")
     if mode != "nn_boundary":
         raise ValueError(f"unknown quality mode: {mode}")
     dn = materialize(nn_dist(dp, neg, "gen_id", "row_id", "features", "dneg"))
@@ -247,7 +264,7 @@ def quality_gate(cands: DataFrame, n: int, mode: str = "nn", pos: DataFrame | No
     if n_ok >= n:
         pick = d.filter("ok").withColumn("_u", uniform(F.lit(seed), F.lit("gate"), F.col("gen_id")))
         return take_first(pick, None, n, "_u", "gen_id").drop("_u", "ok", "dpos", "dneg")
-    fill = d.filter(~F.col("ok")).orderBy("dpos", "gen_id").limit(n - n_ok)
+    fill = take_nearest(d.filter(~F.col("ok")), n - n_ok, "dpos", "gen_id")
     return d.filter("ok").unionByName(fill).drop("ok", "dpos", "dneg")
 
 
@@ -289,7 +306,6 @@ def fit_sampler(df: DataFrame, kind: str = "diag_gaussian", k: int = 3, dims: in
         raise ValueError(f"unknown sampler kind: {kind}")
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
     d = df.select(array_to_vector("features").alias("fv"))
     pca = PCA(k=dims, inputCol="fv", outputCol="pc").fit(d)
     z = pca.transform(d).select("pc")

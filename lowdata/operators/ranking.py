@@ -89,25 +89,28 @@ def hash_rank(df: DataFrame, by, u: str = "u", tie: str = "row_id",
             .drop(b, "_rk_off", "_rk_in"))
 
 
-def _quota_table(df: DataFrame, keys: list[str], quota) -> tuple[DataFrame, bool]:
-    """Attach ``_q`` (long) to df; returns (df, quota_is_table)."""
-    if isinstance(quota, DataFrame):
-        q = quota.select(*keys, F.col("quota").cast("long").alias("_q"))
-        return join_small(df, q, keys), True
-    qc = quota if isinstance(quota, Column) else F.lit(int(quota))
-    return df.withColumn("_q", qc.cast("long")), False
-
-
 def boundaries(df: DataFrame, keys: list[str], quota, u: str = "u", tie: str = "row_id",
                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Per group: quota ``_q``, size ``_gn`` and the (u, tie) of the ``_q``-th row (null if ``_gn <= _q``)."""
+    """Per group: quota ``_q``, size ``_gn`` and the (u, tie) of the ``_q``-th row (null if ``_gn <= _q``).
+
+    ``df`` is read once for the histogram, which also gives the group sizes, and once for the rows of the boundary buckets.
+    """
     keys = _cols(keys)
     b = "_bd_bucket"
-    d, _ = _quota_table(df.select(*keys, u, tie), keys, quota)
-    d = d.withColumn(b, _bucket(u, buckets))
-    hist = d.groupBy(*keys, b, "_q").agg(F.count(F.lit(1)).alias("_n"))
+    d = df.select(*keys, u, tie).withColumn(b, _bucket(u, buckets))
+    hist = materialize(d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n")))
+    groups = hist.groupBy(*keys).agg(F.sum("_n").alias("_gn"))
+    if callable(quota):
+        quota = quota(groups.withColumnRenamed("_gn", "n_c"))
+    if isinstance(quota, DataFrame):
+        q = quota.select(*keys, F.col("quota").cast("long").alias("_q"))
+        groups = groups.join(q, on=keys) if keys else with_scalars(groups, q)
+    else:
+        groups = groups.withColumn("_q", (quota if isinstance(quota, Column) else F.lit(int(quota))).cast("long"))
+    groups = materialize(groups)  # one row per group
     w_off = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0)))
+    hist = hist.join(groups, on=keys) if keys else with_scalars(hist, groups)
     edge = hist.filter((F.col("_off") < F.col("_q")) & (F.col("_off") + F.col("_n") >= F.col("_q")))
     edge = edge.select(*keys, b, (F.col("_q") - F.col("_off")).alias("_need"))
     cand = d.join(edge, on=[*keys, b], how="inner")
@@ -116,7 +119,6 @@ def boundaries(df: DataFrame, keys: list[str], quota, u: str = "u", tie: str = "
               .filter(F.col("_rn") == F.col("_need"))
               .select(*keys, F.col(u).alias("_bu"), F.col(tie).alias("_bt")))
     # groups present with their quota; groups with a null boundary keep every row
-    groups = hist.groupBy(*keys, "_q").agg(F.sum("_n").alias("_gn"))
     if keys:
         return groups.join(picked, on=keys, how="left")
     return with_scalars(groups, picked)
@@ -133,8 +135,9 @@ def mark_first(df: DataFrame, by, quota, u: str = "u", tie: str = "row_id", out:
                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add boolean ``out``: rank within ``by`` (order ``u, tie``) ``<= quota``.
 
-    ``quota`` is an int, a Column over ``by`` columns, or a DataFrame keyed by
-    ``by`` with a ``quota`` column (one row per group).  Rows of groups absent
+    ``quota`` is an int, a Column over ``by`` columns, a DataFrame keyed by
+    ``by`` with a ``quota`` column (one row per group), or a function that makes such
+    a table from the group sizes ``(by..., n_c)``.  Rows of groups absent
     from a quota table are not selected.
     """
     keys = _cols(by)
@@ -144,6 +147,15 @@ def mark_first(df: DataFrame, by, quota, u: str = "u", tie: str = "row_id", out:
     return j.withColumn(out, sel).drop("_q", "_bu", "_bt")
 
 
+def take_nearest(df: DataFrame, n: int, dist: str, key: str) -> DataFrame:
+    """The ``n`` rows with the least ``(dist, key)``; distances are dealt to buckets of equal width."""
+    finite = F.col(dist) < F.lit(float("inf"))  # false for NaN, which sorts last
+    d = with_scalars(df, df.agg(F.max(F.when(finite, F.col(dist))).alias("_top")))
+    u = F.when(finite & (F.col("_top") > 0), F.col(dist) / F.col("_top")).when(finite, F.lit(0.0)).otherwise(F.lit(1.0))
+    d = d.withColumn("_near", u).withColumn("_order", F.struct(dist, key)).drop("_top")
+    return take_first(d, None, n, "_near", "_order").drop("_near", "_order")
+
+
 def take_first(df: DataFrame, by, quota, u: str = "u", tie: str = "row_id",
                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Rows whose rank within ``by`` (order ``u, tie``) is ``<= quota``."""

@@ -4,8 +4,8 @@ Every sampler draws ``u = uniform(seed, stream, row_id)`` per row and keeps
 the first ``quota`` rows per class by ``(u, row_id)`` - exactly
 ``row_number() OVER (PARTITION BY class ORDER BY u, row_id) <= quota`` - via
 :mod:`lowdata.operators.ranking` (histogram + boundary bucket, no
-single-task window).  Quotas are computed from class counts in one small
-aggregate; row counts never leave the cluster, only per-class scalars.
+single-task window).  Quotas come from the class sizes of that histogram, so the input is
+read once for counts and histogram together; only per-class scalars leave the cluster.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lowdata.functions.hashing import uniform
 from lowdata.operators.ranking import hash_rank, mark_first, take_first
+from lowdata.session import materialize
 
 
 def _keys(by) -> list[str]:
@@ -58,10 +59,12 @@ def stratified_split(df: DataFrame, y: str = "y", test_frac: float = 0.25, seed:
     """Per-class proportional split; n_test = ceil(frac * n), train allocated by
     largest remainder and test = the rest of each class."""
     keys = _keys(by)
-    cc = class_counts(df, y, keys)
-    n_expr = F.col("n") - F.ceil(F.lit(float(test_frac)) * F.col("n"))
-    train_q = largest_remainder(cc, n_expr, y, keys, out="q_train")
-    quota = train_q.select(*keys, y, (F.col("n_c") - F.col("q_train")).alias("quota"))
+    n_train = F.col("n") - F.ceil(F.lit(float(test_frac)) * F.col("n"))
+
+    def quota(sizes):
+        train_q = largest_remainder(sizes, n_train, y, keys, out="q_train")
+        return train_q.select(*keys, y, (F.col("n_c") - F.col("q_train")).alias("quota"))
+
     d = with_u(df, seed, "split", key)
     d = mark_first(d, [*keys, y], quota, "u", key, out="_is_test")
     return d.withColumn(part, F.when(F.col("_is_test"), "test").otherwise("train")).drop("u", "_is_test")
@@ -70,9 +73,9 @@ def stratified_split(df: DataFrame, y: str = "y", test_frac: float = 0.25, seed:
 def stratified_sample(df: DataFrame, y: str = "y", frac: float = 0.2, seed: int = 42,
                       key: str = "row_id") -> DataFrame:
     """Exact stratified subsample of floor(frac * n) rows (``sampleBy`` is Bernoulli)."""
-    cc = class_counts(df, y)
-    q = largest_remainder(cc, F.floor(F.lit(float(frac)) * F.col("n")), y).select(y, "quota")
-    return take_first(with_u(df, seed, "subsample", key), y, q, "u", key).drop("u")
+    n_kept = F.floor(F.lit(float(frac)) * F.col("n"))
+    return take_first(with_u(df, seed, "subsample", key), y, lambda sizes: largest_remainder(sizes, n_kept, y).select(y, "quota"),
+                      "u", key).drop("u")
 
 
 def val_split(df: DataFrame, y: str = "y", seed: int = 42, frac: float = 0.2, key: str = "row_id",
@@ -115,14 +118,22 @@ def scarce_quotas(counts: DataFrame, frac: float, min_pos: int = 50, min_neg: in
     return c.withColumn("n_pos", F.col("n_pos") + top)
 
 
+def two_class_counts(sizes: DataFrame, y: str, keys: list[str]) -> DataFrame:
+    """Class sizes ``(keys, y, n_c)`` as one row ``(P, Q)`` per key."""
+    n = lambda v, name: F.coalesce(F.sum(F.when(F.col(y) == v, F.col("n_c"))), F.lit(0)).cast("long").alias(name)
+    return sizes.groupBy(*keys).agg(n(1, "P"), n(0, "Q"))
+
+
 def scarce_sample(df: DataFrame, frac: float, seed: int, min_pos: int = 50, min_neg: int = 50,
                   y: str = "y", key: str = "row_id", by=None) -> DataFrame:
     """Exact-size scarce subsample of a train set (per run keys ``by``)."""
     keys = _keys(by)
-    cnt = df.groupBy(*keys).agg(F.count_if(F.col(y) == 1).alias("P"), F.count_if(F.col(y) == 0).alias("Q"))
-    q = scarce_quotas(cnt, frac, min_pos, min_neg)
-    quota = (q.select(*keys, F.lit(1).alias(y), F.col("n_pos").alias("quota"))
-             .unionByName(q.select(*keys, F.lit(0).alias(y), F.col("n_neg").alias("quota"))))
+
+    def quota(sizes):
+        q = scarce_quotas(two_class_counts(sizes, y, keys), frac, min_pos, min_neg)
+        return (q.select(*keys, F.lit(1).alias(y), F.col("n_pos").alias("quota"))
+                .unionByName(q.select(*keys, F.lit(0).alias(y), F.col("n_neg").alias("quota"))))
+
     return take_first(with_u(df, seed, "scarce", key), [*keys, y], quota, "u", key).drop("u")
 
 
@@ -143,10 +154,10 @@ def family_capped_subset(df: DataFrame, cap: int, seed: int = 42, family: str =
                          key: str = "row_id") -> DataFrame:
     """Per family max(1, floor(cap * n_f / n)) clipped to n_f; a shortfall is filled from
     the rows not taken (anti-join, no duplicates), an excess trimmed at random."""
-    n = df.count()
+    fams = materialize(df.groupBy(family).agg(F.count(F.lit(1)).alias("n_f")))
+    n = fams.agg(F.coalesce(F.sum("n_f"), F.lit(0))).first()[0]
     if n <= cap:
         return df
-    fams = df.groupBy(family).agg(F.count(F.lit(1)).alias("n_f"))
     q = fams.select(family, F.least(F.col("n_f"), F.greatest(F.lit(1), F.floor(
         F.lit(float(cap)) * F.col("n_f") / F.lit(float(n))))).cast("long").alias("quota"))
     total = q.agg(F.sum("quota")).first()[0]
@@ -168,13 +179,16 @@ def rebalance(df: DataFrame, ratio: float = 1.0, seed: int = 42, y: str = "y",
     """A4: trim the majority class to round(n_min * max(1, ratio)); never upsample;
     a missing class leaves the set unchanged."""
     keys = _keys(by)
-    cnt = df.groupBy(*keys).agg(F.count_if(F.col(y) == 1).alias("P"), F.count_if(F.col(y) == 0).alias("Q"))
     keep = F.bround(F.least("P", "Q").cast("double") * F.lit(max(1.0, float(ratio))), 0).cast("long")
     both = (F.col("P") > 0) & (F.col("Q") > 0)
     qp = F.when(both & (F.col("P") > F.col("Q")), F.least("P", keep)).otherwise(F.col("P"))
     qn = F.when(both & (F.col("P") <= F.col("Q")), F.least("Q", keep)).otherwise(F.col("Q"))
-    quota = (cnt.select(*keys, F.lit(1).alias(y), qp.alias("quota"))
-             .unionByName(cnt.select(*keys, F.lit(0).alias(y), qn.alias("quota"))))
+
+    def quota(sizes):
+        cnt = two_class_counts(sizes, y, keys)
+        return (cnt.select(*keys, F.lit(1).alias(y), qp.alias("quota"))
+                .unionByName(cnt.select(*keys, F.lit(0).alias(y), qn.alias("quota"))))
+
     return take_first(with_u(df, seed, "rebalance", key), [*keys, y], quota, "u", key).drop("u")
 
 

@@ -157,7 +157,7 @@ def q_inverse_scale(spark, sf):
 # ------------------------------------------------------------------ A1 / A11 / A13
 
 def ev_train(spark, sf):
-    return sp.temporal_holdout(fx.events(spark, sf), "2024-01-10 00:00:00").filter(F.col("part") == "train").drop("part")
+    return sp.temporal_part(fx.events(spark, sf), "2024-01-10 00:00:00", "train")
 
 
 def scarce_train(spark, sf):

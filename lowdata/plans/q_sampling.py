@@ -89,8 +89,8 @@ SELECT r.row_id, CASE WHEN r.rn <= q.n_c - q.q_train THEN 'val' ELSE 'train' END
 FROM r JOIN q ON r.y = q.y""")
 def q_val_split(spark, sf):
     """Stratified 20% validation split of the temporal train set."""
-    tr = sp.temporal_holdout(fx.events(spark, sf), "2024-01-10 00:00:00").filter(F.col("part") == "train")
-    return sa.val_split(tr.drop("part"), "y", 1337).select("row_id", "part")
+    tr = sp.temporal_part(fx.events(spark, sf), "2024-01-10 00:00:00", "train")
+    return sa.val_split(tr, "y", 1337).select("row_id", "part")
 
 
 # ------------------------------------------------------------------ D12
@@ -110,7 +110,7 @@ SELECT r.row_id, r.y FROM r CROSS JOIN qq WHERE (r.y = 1 AND r.rn <= qq.n_pos) O
 @reg("scarce_sample", sql_scarce(EV_TRAIN, 0.05, 42, 50, 50))
 def q_scarce_sample(spark, sf):
     """Exact-size scarce subsample (5%, floors 50/50) of the temporal train set."""
-    tr = sp.temporal_holdout(fx.events(spark, sf), "2024-01-10 00:00:00").filter(F.col("part") == "train")
+    tr = sp.temporal_part(fx.events(spark, sf), "2024-01-10 00:00:00", "train")
     return sa.scarce_sample(tr, 0.05, 42, 50, 50).select("row_id", "y")
 
 
@@ -176,5 +176,5 @@ SELECT r.row_id, r.y FROM r CROSS JOIN q WHERE (r.y = 1 AND r.rn <= q.qp) OR (r.
 def q_rebalance(spark, sf):
     """A4: trim the majority class of the temporal train set to the minority size."""
     from lowdata.operators.augment import as_train
-    tr = sp.temporal_holdout(fx.events(spark, sf), "2024-01-10 00:00:00").filter(F.col("part") == "train")
+    tr = sp.temporal_part(fx.events(spark, sf), "2024-01-10 00:00:00", "train")
     return sa.rebalance(as_train(tr), 1.0, 42).select("row_id", "y")

@@ -106,8 +106,7 @@ ow AS (SELECT CAST(k AS INTEGER) AS window_id, t0 + to_days(CAST(k * 30 AS INTEG
 
 
 def _orders_test(spark, sf):
-    o = sp.temporal_holdout(fx.orders(spark, sf), ORDERS_CUTOFF)
-    return o.filter(F.col("part") == "test")
+    return sp.temporal_part(fx.orders(spark, sf), ORDERS_CUTOFF, "test")
 
 
 @reg("rolling_windows", f"""WITH {SQL_ORDERS_WINDOWS}

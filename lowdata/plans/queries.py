@@ -89,8 +89,7 @@ def events_windows(spark: SparkSession, sf_dir: str):
     The window table (one row per window) is materialised once per call: the row
     assignment, its anchors and the run grid all read it.
     """
-    s = sp.temporal_holdout(fx.events(spark, sf_dir).select("row_id", "y", "ts"), EVENTS_CUTOFF)
-    test = s.filter(F.col("part") == "test")
+    test = sp.temporal_part(fx.events(spark, sf_dir).select("row_id", "y", "ts"), EVENTS_CUTOFF, "test")
     win = materialize(sp.rolling_windows(test, EVENTS_WIN_DAYS, EVENTS_WIN_STEP))
     return sp.assign_windows(spread(test, "row_id"), win, EVENTS_WIN_DAYS, EVENTS_WIN_STEP), win
 
