@@ -67,9 +67,12 @@ def to_num(col) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def positives(df: DataFrame, y: str = "y", label: int = 1) -> DataFrame:
-    """Class filter."""
-    return df.filter(F.col(y) == F.lit(label))
+def positives(df: DataFrame, y: str = "y", label: int = 1, required: bool = False) -> DataFrame:
+    """Class filter; ``required`` makes an empty class an error."""
+    kept = df.filter(F.col(y) == F.lit(label))
+    if required and kept.isEmpty():
+        raise ValueError(f"no row has {y} = {label}")
+    return kept
 
 
 def time_filter(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:

@@ -10,6 +10,8 @@ use the exact grid sweep (E5), cross-validation folds the exact hash folds
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from lowdata.operators import evaluation as ev
 from lowdata.operators import sampling as sa
 from lowdata.operators import thresholds as th
-from lowdata.session import materialize
+from lowdata.session import cut_lineage, materialize
 
 MAX_DEPTH_SPARK = 30  # spark.ml rejects deeper trees; "unlimited" maps here
 
@@ -33,7 +35,7 @@ GRID_PRESETS = {
 }
 
 
-def _depth(d) -> int:
+def depth_of(d) -> int:
     return MAX_DEPTH_SPARK if d is None else min(int(d), MAX_DEPTH_SPARK)
 
 
@@ -55,7 +57,7 @@ def with_class_weight(df: DataFrame, y: str = "y", mode: str | None = "balanced"
 def forest(trees: int = 100, depth=None, seed: int = 42, weighted: bool = False,
            min_leaf: int = 1) -> RandomForestClassifier:
     """M1: spark.ml random forest with the reference's knobs."""
-    rf = RandomForestClassifier(featuresCol="fvec", labelCol="y", numTrees=int(trees), maxDepth=_depth(depth),
+    rf = RandomForestClassifier(featuresCol="fvec", labelCol="y", numTrees=int(trees), maxDepth=depth_of(depth),
                                 seed=int(seed), minInstancesPerNode=int(min_leaf))
     if weighted:
         rf = rf.setWeightCol("weight")
@@ -79,48 +81,88 @@ def score(model, df: DataFrame, threshold: float = 0.5, features: str = "feature
         "fvec", "rawPrediction", "probability", "prediction")
 
 
+@dataclass
+class Fitted:
+    """A run's model, its decision threshold and the validation rows ``(uid, row_id, y, proba)`` (None: no valid split)."""
+    model: object
+    threshold: float
+    val: DataFrame | None
+
+
+def fit_run(df: DataFrame, objective: str | None = "balacc", seed: int = 42, trees: int = 100, depth=None,
+            class_weight: str | None = None, tune: str | dict | None = None, val_source: str = "augmented",
+            key: str = "uid") -> Fitted:
+    """M4 (and M6 first with ``tune``): fit on 80% -> choose the threshold on the 20% validation part (E5,
+    grid 200) -> refit on everything.  No valid split -> threshold 0.5.
+
+    ``val_source="real"`` validates on real rows only; synthetic rows made from one of those are then left out of the first fit.
+    """
+    if tune:
+        preset, grid = (tune, None) if isinstance(tune, str) else ("light", tune)
+        _, best, _ = grid_search(df, preset, 3, seed, grid=grid, key=key)
+        trees, depth = best["numTrees"], best["maxDepth"]
+    if objective in (None, "none"):
+        return Fitted(fit_forest(df, trees, depth, seed, class_weight), 0.5, None)
+    if val_source == "real":
+        v = cut_lineage(sa.val_split(df.filter(~F.col("is_synth")), "y", seed, 0.2, key))
+        val = v.filter(F.col("part") == "val").drop("part")
+        held = val.select(F.col("row_id").alias("src_row_id"))
+        fit_on = v.filter(F.col("part") == "train").drop("part").unionByName(
+            df.filter("is_synth").join(held, "src_row_id", "left_anti").select(*df.columns))
+    else:
+        v = cut_lineage(sa.val_split(df, "y", seed, 0.2, key))
+        val, fit_on = v.filter(F.col("part") == "val").drop("part"), v.filter(F.col("part") == "train").drop("part")
+    if val.isEmpty():
+        return Fitted(fit_forest(df, trees, depth, seed, class_weight), 0.5, None)
+    first = fit_forest(fit_on, trees, depth, seed, class_weight)
+    scored = cut_lineage(score(first, val).select("uid", "row_id", "y", "proba"))
+    best = th.pick_threshold(scored.withColumn("y_true", F.col("y").cast("int")), objective, 200).first()
+    threshold = float(best["threshold"]) if best is not None else 0.5
+    return Fitted(fit_forest(df, trees, depth, seed, class_weight), threshold, scored)
+
+
 def fit_with_threshold(df: DataFrame, objective: str = "balacc", seed: int = 42, trees: int = 100, depth=None,
                        class_weight: str | None = None, key: str = "uid"):
-    """M4: fit on 80% -> choose the threshold on the 20% validation part (E5, grid 200)
-    -> refit on everything.  No valid split -> threshold 0.5.  Returns (model, threshold)."""
-    threshold = 0.5
-    if objective not in (None, "none"):
-        from lowdata.session import cut_lineage
-        v = cut_lineage(sa.val_split(df, "y", seed, 0.2, key))
-        has_val = v.filter(F.col("part") == "val").limit(1).count() > 0
-        if has_val:
-            m = fit_forest(v.filter(F.col("part") == "train"), trees, depth, seed, class_weight)
-            sv = score(m, v.filter(F.col("part") == "val"))
-            b = th.pick_threshold(sv.withColumn("y_true", F.col("y").cast("int")), objective, 200).first()
-            threshold = float(b["threshold"]) if b is not None else 0.5
-    return fit_forest(df, trees, depth, seed, class_weight), threshold
+    """M4 as (model, threshold)."""
+    fitted = fit_run(df, objective, seed, trees, depth, class_weight, key=key)
+    return fitted.model, fitted.threshold
 
 
-def cross_validate(df: DataFrame, k: int = 5, seed: int = 42, trees: int = 100, depth=None,
-                   key: str = "row_id") -> DataFrame:
-    """M5: stratified k-fold CV; mean and population std of accuracy, F1 and exact AUC."""
+def cv_scores(df: DataFrame, k: int = 5, seed: int = 42, trees: int = 100, depth=None, key: str = "row_id") -> DataFrame:
+    """M5: every row scored by the model of the other folds: ``fold, row_id, y, proba, y_pred``."""
     folds = materialize(sa.stratified_folds(df, "y", k, seed, key))
-    preds = None
+    parts = []
     for f in range(k):
         m = fit_forest(folds.filter(F.col("fold") != f), trees, depth, seed)
-        s = score(m, folds.filter(F.col("fold") == f)).withColumn("fold", F.lit(f))
-        preds = s if preds is None else preds.unionByName(s)
-    preds = preds.withColumn("y_true", F.col("y").cast("int"))
+        parts.append(score(m, folds.filter(F.col("fold") == f)).select("fold", key, "y", "proba", "y_pred"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cross_validate(df: DataFrame, k: int = 5, seed: int = 42, trees: int = 100, depth=None,
+                   key: str = "row_id") -> DataFrame:
+    """M5: stratified k-fold CV; mean and population std of accuracy, F1 and exact AUC."""
+    preds = cv_scores(df, k, seed, trees, depth, key).withColumn("y_true", F.col("y").cast("int"))
     per = ev.evaluate(preds, ["fold"])
     return per.agg(*[x for m in ("accuracy", "f1", "auc")
                      for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))])
 
 
+def _folded(df: DataFrame, k: int, seed: int, key: str) -> DataFrame:
+    """Vectors, labels and folds that every fit of a search reads, computed once."""
+    d = sa.stratified_folds(df, "y", k, seed, key).select("features", "y", "fold")
+    return with_vector(materialize(d)).withColumn("y", F.col("y").cast("double"))
+
+
 def grid_search(df: DataFrame, preset: str = "light", k: int = 3, seed: int = 42, parallelism: int = 2,
-                grid: dict | None = None):
+                grid: dict | None = None, key: str = "row_id"):
     """M6: ``CrossValidator`` over a preset (or explicit) grid, exact AUC (numBins=0), hash folds."""
     p = grid or GRID_PRESETS[preset]
     rf = forest(seed=seed)
     grid = (ParamGridBuilder().addGrid(rf.numTrees, p["n_estimators"])
-            .addGrid(rf.maxDepth, [_depth(d) for d in p["max_depth"]]).build())
+            .addGrid(rf.maxDepth, [depth_of(d) for d in p["max_depth"]]).build())
     ev_auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction",
                                            metricName="areaUnderROC", numBins=0)
-    d = with_vector(sa.stratified_folds(df, "y", k, seed)).withColumn("y", F.col("y").cast("double"))
+    d = _folded(df, k, seed, key)
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev_auc, foldCol="fold",
                         parallelism=parallelism, seed=seed)
     m = cv.fit(d)
@@ -133,16 +175,16 @@ def random_params(n_iter: int = 20, seed: int = 42) -> list[dict]:
     (min samples split has no spark.ml equivalent; depth is clipped to 30)."""
     rng = random.Random(seed)
     depths = [None] + list(range(10, 101, 10))
-    return [{"numTrees": rng.randint(50, 199), "maxDepth": _depth(rng.choice(depths)),
+    return [{"numTrees": rng.randint(50, 199), "maxDepth": depth_of(rng.choice(depths)),
              "minInstancesPerNode": rng.randint(1, 10)} for _ in range(n_iter)]
 
 
-def random_search(df: DataFrame, n_iter: int = 20, k: int = 3, seed: int = 42, parallelism: int = 2):
-    """M7: random search scored by exact cross-validated AUC."""
+def random_search(df: DataFrame, n_iter: int = 20, k: int = 3, seed: int = 42, parallelism: int = 2, frac: float = 0.2):
+    """M7: random search on a stratified share ``frac`` of the rows (D15), scored by exact cross-validated AUC."""
     rf = forest(seed=seed)
     maps = [{getattr(rf, name): v for name, v in p.items()} for p in random_params(n_iter, seed)]
     ev_auc = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0)
-    d = with_vector(sa.stratified_folds(df, "y", k, seed)).withColumn("y", F.col("y").cast("double"))
+    d = _folded(sa.stratified_sample(df, "y", frac, seed) if frac < 1 else df, k, seed, "row_id")
     cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev_auc, foldCol="fold",
                         parallelism=parallelism, seed=seed)
     m = cv.fit(d)
@@ -162,5 +204,5 @@ def load_model(path: str):
     return RandomForestClassificationModel.load(path)
 
 
-__all__ = ["GRID_PRESETS", "with_class_weight", "forest", "fit_forest", "score", "fit_with_threshold",
-           "cross_validate", "grid_search", "random_params", "random_search", "fit_final", "load_model"]
+__all__ = ["GRID_PRESETS", "depth_of", "Fitted", "with_class_weight", "forest", "fit_forest", "score", "fit_run", "fit_with_threshold",
+           "cv_scores", "cross_validate", "grid_search", "random_params", "random_search", "fit_final", "load_model"]

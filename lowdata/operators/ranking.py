@@ -147,6 +147,16 @@ def mark_first(df: DataFrame, by, quota, u: str = "u", tie: str = "row_id", out:
     return j.withColumn(out, sel).drop("_q", "_bu", "_bt")
 
 
+def with_position(ordered: DataFrame, out: str = "pos") -> DataFrame:
+    """Add the 1-based place of every row of an ordered frame; only the sizes of its partitions are summed up."""
+    d = materialize(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    sizes = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return join_small(d, sizes, ["_part"]).withColumn(out, place.cast("long")).drop("_at", "_part", "_off")
+
+
 def take_nearest(df: DataFrame, n: int, dist: str, key: str) -> DataFrame:
     """The ``n`` rows with the least ``(dist, key)``; distances are dealt to buckets of equal width."""
     finite = F.col(dist) < F.lit(float("inf"))  # false for NaN, which sorts last

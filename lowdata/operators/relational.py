@@ -130,11 +130,6 @@ def sort_results(df: DataFrame, cols: Sequence[str] = ("frac", "const_train_size
     return df.orderBy(*[c for c in cols if c in df.columns])
 
 
-def top_n(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
-    """O2: n smallest by a score (bounded top-n, TakeOrderedAndProject)."""
-    return df.orderBy(by, tie).limit(n)
-
-
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct values."""
     return df.select(col).distinct().orderBy(col)

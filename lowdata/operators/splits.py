@@ -8,12 +8,15 @@ from one grouped aggregate.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.columns import blank_to, to_utc
 from lowdata.functions.hashing import md5_bucket, md5_unit
 from lowdata.operators.ranking import join_small
+from lowdata.session import materialize
 
 BENIGN = "Benign"
 UNKNOWN = "UNKNOWN"
@@ -94,16 +97,18 @@ def lofo_split(df: DataFrame, held_family: str, frac: float = 0.20, family: str
 
 
 def lofo_membership(df: DataFrame, min_test_pos: int = 200, frac: float = 0.20,
-                    family: str = "family", y: str = "y", sha: str = "sha") -> DataFrame:
-    """D4 long form of all splits, test rows only: (split_id, row_id, part='test').
+                    family: str = "family", y: str = "y", sha: str = "sha", shared: str | None = None) -> DataFrame:
+    """D4 long form of all splits, test rows only: (split_id, row_id, part='test'); train = anti-join of this table.
 
-    The shared benign slice is repeated once per held-out family (their number
-    is bounded by n_pos / min_test_pos); train = anti-join of this table.
+    The benign slice that all splits share is repeated once per held-out family; with ``shared`` it is
+    kept once under that split id, the form to store (``io.read_split`` adds it to every split).
     """
     d = lofo_prepare(df, family, y, sha, frac)
     info = lofo_info(df, min_test_pos, frac, family, y, sha).select(F.col(family).alias("split_id"))
     pos = (d.filter(F.col(y) == 1).join(info, d[family] == info["split_id"], "inner")
            .select("split_id", "row_id"))
+    if shared is not None:
+        return pos.unionByName(d.filter("neg_test").select(F.lit(shared).alias("split_id"), "row_id")).withColumn("part", F.lit("test"))
     # the shared benign slice fans out over the held-out families (map-side explode)
     fams = info.agg(F.array_sort(F.collect_list("split_id")).alias("fams")).scalar()
     neg = d.filter("neg_test").select(F.explode(fams).alias("split_id"), "row_id")
@@ -261,10 +266,13 @@ def audit(membership: DataFrame, sha: DataFrame | None = None, by=None, strict:
              .groupBy(*keys).agg(F.count_if((F.col("tr") == 1) & (F.col("te") == 1)).alias("sha_overlap")))
         a = a.join(s, on=keys, how="left") if keys else join_small(a, s, [])
         a = a.withColumn("sha_overlap", F.coalesce("sha_overlap", F.lit(0)))
-    viol = [c for c in a.columns if c not in keys]
-    a = a.withColumn("ok", F.lit(True))
-    for c in viol:
-        a = a.withColumn("ok", F.col("ok") & (F.col(c) == 0))
+    return _judged(a, keys, strict)
+
+
+def _judged(a: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """Add ``ok``: every count is zero.  ``strict`` raises on the first row that is not."""
+    ok = reduce(lambda x, y: x & y, [F.col(c) == 0 for c in a.columns if c not in keys])
+    a = a.withColumn("ok", ok)
     if strict:
         bad = a.filter(~F.col("ok")).limit(1).collect()
         if bad:
@@ -272,6 +280,24 @@ def audit(membership: DataFrame, sha: DataFrame | None = None, by=None, strict:
     return a
 
 
+def audit_runs(members: DataFrame, test: DataFrame, sha: DataFrame, by: str = "run_id", strict: bool = True) -> DataFrame:
+    """D20 for many runs that share one test set, in one job.
+
+    ``members`` is (run, row_id, part: train or val), ``test`` (row_id, sha), ``sha`` (row_id, sha) of all
+    samples.  The test set meets the runs' rows in two joins instead of being copied into every run.
+    """
+    rows = members.groupBy(by, "row_id").agg(F.bool_or(F.col("part") == "train").alias("tr"), F.bool_or(F.col("part") == "val").alias("va"))
+    te = test.select("row_id").distinct().withColumn("te", F.lit(True))
+    zero = F.lit(False)
+    a = (rows.join(te, "row_id", "left").withColumn("te", F.coalesce("te", zero)).groupBy(by)
+         .agg(F.count_if(F.col("va") & ~F.col("tr")).alias("val_not_in_train"), F.count_if(F.col("tr") & F.col("te")).alias("train_test_overlap"),
+              F.count_if(F.col("va") & F.col("te")).alias("val_test_overlap")))
+    trained = rows.where("tr").join(sha.select("row_id", "sha"), "row_id").select(by, "sha").distinct()
+    shared = trained.join(test.select("sha").distinct(), "sha", "left_semi").groupBy(by).agg(F.count("*").alias("sha_overlap"))
+    a = a.join(shared, by, "left").withColumn("sha_overlap", F.coalesce("sha_overlap", F.lit(0)))
+    return _judged(materialize(a), [by], strict)
+
+
 def shuffle(df: DataFrame, seed: int, key: str = "row_id") -> DataFrame:
     """Seeded permutation; only meaningful where order is output."""
     from lowdata.functions.hashing import uniform

@@ -1,12 +1,13 @@
-"""End-to-end evaluation of many runs (E11): scarce -> augment -> rebalance -> fit ->
+"""End-to-end evaluation of many runs (E11): scarce -> augment -> rebalance -> tune or fit ->
 threshold -> score -> audit -> metrics.
 
-A run's training depends on (seed, fraction, variant) only; test windows only
-change which rows are scored.  So each distinct training is fitted once (the
-driver loops over fits, nothing else) and scores the whole test set with its
-window ids attached; every run's predictions are appended to a table in the
-shared checkpoint folder (lineage cut, survives executor loss) and all
-metrics of all runs and windows come out of one grouped job.
+A run's training depends on its own settings only; test windows only
+change which rows are scored.  So each distinct training is fitted once and scores the whole
+test set with its window ids attached.  Runs with the same sample share it; a few
+runs are fitted at a time (``parallelism``), so the cluster is not idle between their small
+jobs.  Every run writes its predictions into its own folder of a table under the shared
+checkpoint folder: a repeated run replaces its own folder only.  One job audits all
+runs, one computes all metrics of all runs and windows.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lowdata.operators import augment as au
 from lowdata.operators import evaluation as ev
@@ -24,6 +29,7 @@ from lowdata.operators import model as md
 from lowdata.operators import sampling as sa
 from lowdata.operators import splits as sp
 from lowdata.session import cut_lineage, scratch_path
+from lowdata.sources.io import AUDIT_SCHEMA
 
 
 @dataclass
@@ -39,90 +45,154 @@ class RunSpec:
     trees: int = 100
     depth: int | None = None
     class_weight: str | None = None
+    tune: str | dict | None = None   # a grid preset's name, or a grid
     val_threshold: str = "balacc"    # balacc | f1 | mcc | none
-    gan_quality: str = "nn"
+    val_source: str = "augmented"    # augmented | real: rows that the threshold is chosen on
+    smote_k: int = 5
+    gan_quality: str = "nn"          # none | nn | nn_boundary
     gan_qmult: float = 5.0
     gan_per_real: float = 2.0
     gan_like: str = "scarce"
-    gan_sampler: str = "diag_gaussian"  # diag_gaussian | gmm
+    gan_boundary_low: float = 0.20
+    gan_boundary_high: float = 0.60
+    gan_sampler: str = "diag_gaussian"  # diag_gaussian | gmm | mlp
+    gan_layers: list | None = None   # mlp: [(weights, biases), ...]
+    gan_scaler: Any = None           # mlp: one-row scaler table; None = fitted on the gate's positives
     tag: str = ""
     extra: dict = field(default_factory=dict)
 
 
-def build_train(train_full: DataFrame, spec: RunSpec) -> tuple[DataFrame, DataFrame, int]:
-    """Scarce sample and augmentation for one run: (augmented set, scarce set, nominal synth count)."""
+@dataclass
+class Sample:
+    """The scarce sample that the runs of one (seed, fraction, floors) share."""
+    rows: DataFrame
+    real: DataFrame
+    n_pos: int
+    n_neg: int
+
+
+def draw_sample(train_full: DataFrame, spec: RunSpec) -> Sample:
     # lineage is cut after each stage: stacked exact-size samplers reference their input twice
-    scarce = cut_lineage(sa.scarce_sample(train_full, spec.frac, spec.seed, spec.min_pos, spec.min_neg))
-    real = au.as_train(scarce)
-    n_real = real.count()
-    target = spec.const_train_size
-    nominal = 0
-    if spec.variant == "oversample":
-        aug = au.oversample_to_const(real, target, spec.seed)
-        nominal = max(0, (target or 0) - n_real) if target and target > n_real else 0
-    elif spec.variant == "smote":
-        aug = au.smote_to_const(real, target, spec.seed).drop("_nbr", "_t", "_draw")
-        nominal = max(0, (target or 0) - n_real) if target and target > n_real else 0
-    elif spec.variant == "gan" and target and target > n_real:
-        n_pos = real.filter(F.col("y") == 1).count()
-        need = min(target - n_real, int(spec.gan_per_real * max(1, n_pos)))
-        like = train_full.filter(F.col("y") == 1) if spec.gan_like != "scarce" else scarce
+    rows = cut_lineage(sa.scarce_sample(train_full, spec.frac, spec.seed, spec.min_pos, spec.min_neg))
+    c = rows.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n")).first()
+    return Sample(rows, au.as_train(rows), c["p"], c["n"])
+
+
+def synthetic_candidates(train_full: DataFrame, pos: DataFrame, spec: RunSpec, n: int) -> DataFrame:
+    """Candidates of the run's generator."""
+    spark = train_full.sparkSession
+    if spec.gan_sampler == "gmm":
+        return au.sample_gmm(spark, au.fit_sampler(pos, "gmm", seed=spec.seed), n, spec.seed).drop("component")
+    if spec.gan_sampler == "mlp":
+        if not spec.gan_layers:
+            raise ValueError("the mlp generator needs its layers")
+        scaler = spec.gan_scaler if spec.gan_scaler is not None else au.fit_scaler(pos)
+        return au.inverse_scale(au.generate(spark, spec.gan_layers, n, spec.seed), scaler)
+    return au.sample_diag_gaussian(spark, au.fit_scaler(pos), n, spec.seed)
+
+
+def build_train(train_full: DataFrame, sample: Sample, spec: RunSpec) -> tuple[DataFrame, int]:
+    """(augmented train set, synthetic rows added before any rebalancing)."""
+    n_real = sample.n_pos + sample.n_neg
+    need = 0
+    if spec.variant != "real":
+        budget = au.augment_budget(F.lit(n_real), F.lit(sample.n_pos), F.lit(spec.const_train_size).cast("long"), F.lit(spec.variant),
+                                   spec.gan_per_real)
+        need = int(train_full.sparkSession.range(1).select(budget.alias("n")).first()["n"])
+    aug = sample.real
+    if need and spec.variant == "oversample":
+        aug = au.oversample_to_const(sample.real, spec.const_train_size, spec.seed)
+    elif need and spec.variant == "smote":
+        aug = au.smote_to_const(sample.real, spec.const_train_size, spec.seed, spec.smote_k).select(*au.AUG_COLS)
+    elif need and spec.variant == "gan":
+        like = sample.rows if spec.gan_like == "scarce" else train_full.filter(F.col("y") == 1)
         pos, neg = au.gate_sets(train_full, like, "scarce")
-        n_gen = au.n_candidates(need, spec.gan_qmult)
-        if spec.gan_sampler == "gmm":
-            params = au.fit_sampler(pos, "gmm", seed=spec.seed)
-            cands = au.sample_gmm(train_full.sparkSession, params, n_gen, spec.seed).drop("component")
-        else:
-            cands = au.sample_diag_gaussian(train_full.sparkSession, au.fit_scaler(pos), n_gen, spec.seed)
-        kept = au.quality_gate(cands, need, spec.gan_quality, pos, neg, seed=spec.seed)
-        aug = au.with_synth(real, au.gan_synth(kept))
-        nominal = need
-    else:
-        aug = real
+        cands = synthetic_candidates(train_full, pos, spec, au.n_candidates(need, spec.gan_qmult))
+        kept = au.quality_gate(cands, need, spec.gan_quality, pos, neg, spec.gan_boundary_low, spec.gan_boundary_high, spec.seed)
+        aug = au.with_synth(sample.real, au.gan_synth(kept))
     if spec.balance:
         aug = sa.rebalance(aug, spec.balance_ratio, spec.seed)
-    return cut_lineage(aug), scarce, nominal
+    return cut_lineage(aug), need
 
 
-def evaluate_runs(samples: DataFrame, runs: Sequence[RunSpec], windows: DataFrame | None = None,
-                  days: int | None = None, step: int | None = None, out_name: str = "preds") -> tuple[DataFrame, DataFrame]:
-    """Fit every distinct training once, score the test part (per window when given),
-    and compute all run metrics in one job.  ``samples`` carries ``part``.
+def audit_facts(sample: Sample, aug: DataFrame, spec: RunSpec, need: int) -> dict:
+    """Class counts before and after, rows added, diagnostics of the variant, forest settings."""
+    after = aug.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"),
+                    F.count_if("is_synth").alias("s")).first()
+    smote = spec.variant == "smote" and need > 0
+    total = after["p"] + after["n"]
+    return {
+        "train_pos_before_aug": sample.n_pos, "train_neg_before_aug": sample.n_neg,
+        "train_total_before_aug": sample.n_pos + sample.n_neg,
+        "train_pos_after_aug": after["p"], "train_neg_after_aug": after["n"], "train_total_after_aug": total,
+        "aug_added": total - sample.n_pos - sample.n_neg,
+        "ros_dup_ratio": au.dup_ratio(aug).first()[0] if spec.variant == "oversample" and total else None,
+        "smote_k_neighbors": spec.smote_k if smote else None, "smote_synth_count": need if smote else None,
+        "smote_med_nn_dist": au.smote_nn_median(aug).first()[0] if smote and after["s"] else None,
+        "rf_params": {"n_estimators": spec.trees, "max_depth": spec.depth, "class_weight": spec.class_weight, "random_state": spec.seed},
+    }
 
-    Returns (metrics per run [and window], audit per run).
+
+AUDITS = T.StructType([T.StructField("run_id", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("threshold", T.DoubleType()),
+                       T.StructField("n_train_real", T.LongType()), T.StructField("n_train_synth", T.LongType()),
+                       T.StructField("n_train_total", T.LongType()), T.StructField("audit", AUDIT_SCHEMA)])
+
+
+def evaluate_runs(samples: DataFrame, runs: Sequence[RunSpec], windows: DataFrame | None = None, days: int | None = None,
+                  step: int | None = None, out_name: str = "preds", strict: bool = True,
+                  parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Fit every training once, score the test part (per window when given), audit all runs in one
+    job and compute all run metrics in one job.  ``samples`` carries ``part`` and ``sha``.
+
+    Returns (metrics per run [and window], audit per run: train sizes, the ``audit`` struct of the run
+    metrics file and the leakage counts).  With ``strict`` any leakage raises.
     """
     spark: SparkSession = samples.sparkSession
-    train_full = cut_lineage(samples.filter(F.col("part") == "train").drop("part"))
-    test = samples.filter(F.col("part") == "test").drop("part")
+    train_full = samples.filter(F.col("part") == "train").drop("part")
+    tested = samples.filter(F.col("part") == "test").drop("part")
     if windows is not None:
-        test = sp.assign_windows(test, windows, days, step).select("row_id", "y", "features", "window_id")
+        test = sp.assign_windows(tested, windows, days, step).select("row_id", "y", "features", "window_id")
+        test = cut_lineage(test)  # read by every run
     else:
-        test = test.select("row_id", "y", "features", F.lit(None).cast("int").alias("window_id"))
-    test = cut_lineage(test)
-    path = scratch_path(spark, f"{out_name}-{uuid.uuid4().hex[:12]}")
-    audits = []
-    first = True
-    for i, spec in enumerate(runs):
-        aug, scarce, nominal = build_train(train_full, spec)
-        model, thr = md.fit_with_threshold(aug, spec.val_threshold, spec.seed, spec.trees, spec.depth,
-                                           spec.class_weight)
-        s = md.score(model, test, thr).select(
+        test = tested.select("row_id", "y", "features", F.lit(None).cast("int").alias("window_id"))
+    base = scratch_path(spark, f"{out_name}-{uuid.uuid4().hex[:12]}")
+    drawn: dict = {}
+    for spec in runs:
+        at = (spec.seed, spec.frac, spec.min_pos, spec.min_neg)
+        if at not in drawn:
+            drawn[at] = draw_sample(train_full, spec)
+
+    def one(job: tuple[int, RunSpec]) -> dict:
+        i, spec = job
+        sample = drawn[(spec.seed, spec.frac, spec.min_pos, spec.min_neg)]
+        aug, need = build_train(train_full, sample, spec)
+        fitted = md.fit_run(aug, spec.val_threshold, spec.seed, spec.trees, spec.depth, spec.class_weight, spec.tune, spec.val_source)
+        scored = md.score(fitted.model, test, fitted.threshold).select(
             F.lit(i).alias("run_id"), F.lit(spec.tag).alias("tag"), F.lit(spec.variant).alias("variant"),
             F.lit(float(spec.frac)).alias("frac"), F.lit(int(spec.seed)).alias("seed"),
             "window_id", "row_id", F.col("y").cast("int").alias("y_true"), "proba", "y_pred",
-            F.lit(float(thr)).alias("threshold"))
-        s.write.mode("overwrite" if first else "append").parquet(path)
-        first = False
-        counts = aug.agg(F.count(F.lit(1)).alias("n_train_total"),
-                         F.count_if(~F.col("is_synth")).alias("n_train_real"),
-                         F.count_if(F.col("is_synth")).alias("n_train_synth"),
-                         F.count_if(F.col("y") == 1).alias("train_pos_after_aug")).first().asDict()
-        mem = (scarce.select("row_id", F.lit("train").alias("part"))
-               .unionByName(test.select("row_id", F.lit("test").alias("part"))))
-        a = sp.audit(mem, sha=samples.select("row_id", "sha")).first().asDict()
-        audits.append({"run_id": i, "tag": spec.tag, "threshold": float(thr), "n_train_synth_nominal": nominal,
-                       **counts, **{k: v for k, v in a.items()}})
-    preds = spark.read.parquet(path)
+            F.lit(float(fitted.threshold)).alias("threshold"))
+        scored.write.mode("overwrite").parquet(f"{base}/preds/run={i}")
+        members = sample.rows.select("row_id", F.lit("train").alias("part"))
+        if fitted.val is not None:  # synthetic rows have no row id
+            members = members.unionByName(fitted.val.where("row_id is not null").select("row_id", F.lit("val").alias("part")))
+        members.select(F.lit(i).alias("run_id"), "row_id", "part").write.mode("overwrite").parquet(f"{base}/members/run={i}")
+        facts = audit_facts(sample, aug, spec, need)
+        n_real = facts["train_total_before_aug"]
+        return {"run_id": i, "tag": spec.tag, "threshold": float(fitted.threshold), "n_train_real": n_real, "n_train_synth": need,
+                "n_train_total": facts["train_total_after_aug"], "audit": facts}
+
+    with ThreadPool(max(1, min(parallelism, len(runs) or 1))) as pool:
+        facts = pool.map(inheritable_thread_target(spark)(one), list(enumerate(runs)), chunksize=1)
+    leaks = sp.audit_runs(spark.read.parquet(f"{base}/members").drop("run"), tested.select("row_id", "sha"),
+                          samples.select("row_id", "sha"), "run_id", strict)
+    audits = spark.createDataFrame(facts, AUDITS).join(leaks, "run_id", "left")
     keys = ["run_id", "tag", "variant", "frac", "seed", "window_id", "threshold"]
-    metrics = ev.evaluate(preds, keys, "y_true", "proba", threshold="threshold")
-    return metrics, spark.createDataFrame(audits)
+    return ev.evaluate(spark.read.parquet(f"{base}/preds").drop("run"), keys, "y_true", "proba", threshold="threshold"), audits
+
+
+def run_records(metrics: DataFrame, audits: DataFrame) -> DataFrame:
+    """Metrics and audits as the rows that ``write_runs`` (S7) stores."""
+    a = audits.select("run_id", "n_train_real", "n_train_synth", "n_train_total", "audit")
+    return (metrics.join(a, "run_id").withColumn("scarce_real_frac", F.col("frac")).withColumn("used_gan", F.col("variant") == "gan")
+            .drop("run_id", "n_pos", "n_neg"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lowdata.functions.columns import VARIANTS, run_tag
+from lowdata.functions.columns import VARIANTS, month_tag, run_tag, to_utc
 from lowdata.functions.hashing import round_half_up, sql_round_half_up, sql_uniform, uniform
 
 # The reference's default sweep parameters.
@@ -35,18 +35,40 @@ def explode_values(df: DataFrame, name: str, values: Sequence, dtype: str) -> Da
 
 def run_grid(windows: DataFrame, seeds: Sequence[int] = DEFAULT_SEEDS,
              fracs: Sequence[float] = (0.01,), variants: Sequence[str] = VARIANTS,
-             prefix: str = "run", const_train_size: int = DEFAULT_CONST_TRAIN_SIZE) -> DataFrame:
-    """One row per run with its tag (P12).  ``windows`` has ``window_id`` (null = full test)."""
+             prefix: str | None = "run", const_train_size: int = DEFAULT_CONST_TRAIN_SIZE) -> DataFrame:
+    """One row per run with its tag (P12).  ``windows`` has ``window_id`` (null = full test) and, with
+    ``prefix=None``, its own ``prefix`` column."""
     g = windows
     g = explode_values(g, "seed", seeds, "int")
     g = explode_values(g, "frac", fracs, "double")
     g = explode_values(g, "variant", variants, "string")
     const = F.when(F.col("variant") == "real", F.lit(None).cast("int")).otherwise(F.lit(const_train_size))
-    g = g.withColumn("const_train_size", const).withColumn("prefix", F.lit(prefix))
+    g = g.withColumn("const_train_size", const)
+    if prefix is not None:
+        g = g.withColumn("prefix", F.lit(prefix))
     return g.withColumn("tag", run_tag(F.col("prefix"), F.col("window_id"), F.col("seed"),
                                        F.col("variant"), F.col("frac"), F.col("const_train_size")))
 
 
+def batch_grid(df: DataFrame, cutoffs: Sequence[str] = DEFAULT_CUTOFFS, seeds: Sequence[int] = DEFAULT_SEEDS,
+               fracs: Sequence[float] = DEFAULT_FRACTIONS, variants: Sequence[str] = VARIANTS, days: int = DEFAULT_WINDOW_DAYS,
+               step: int = DEFAULT_WINDOW_STEP, n_windows: int = DEFAULT_N_WINDOWS, floors: dict[str, int] | None = None,
+               other_floor: int = DEFAULT_MIN_TRAIN_POS_OTHER, const_train_size: int = DEFAULT_CONST_TRAIN_SIZE, ts: str = "ts") -> DataFrame:
+    """D22 for a batch of cutoffs: each cutoff's windows (anchored at its first test row) x seeds x fractions x
+    variants, with the cutoff's floor of positives ``min_pos``.  ``df`` is read once for all cutoffs."""
+    floors = DEFAULT_MIN_TRAIN_POS if floors is None else floors
+    cuts = [to_utc(F.lit(c)) for c in cutoffs]
+    bounds = df.agg(F.array(*[F.struct(c.alias("cutoff"), F.min(F.when(F.col(ts) > c, F.col(ts))).alias("t0"),
+                                       F.max(F.when(F.col(ts) > c, F.col(ts))).alias("t1")) for c in cuts]).alias("b"))
+    w = bounds.select(F.inline("b")).withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))))
+    w = w.withColumn("wstart", F.col("t0") + F.make_dt_interval(days=F.col("window_id") * F.lit(step))).filter(F.col("wstart") < F.col("t1"))
+    w = w.select(month_tag("cutoff").alias("prefix"), "window_id", "wstart", (F.col("wstart") + F.make_dt_interval(days=F.lit(days))).alias("wend"))
+    floor = F.lit(other_floor)
+    for tag, least in floors.items():
+        floor = F.when(F.col("prefix") == tag, F.lit(least)).otherwise(floor)
+    return run_grid(w.withColumn("min_pos", floor), seeds, fracs, variants, None, const_train_size)
+
+
 def fixture_score(seed_col: str = "seed", variant_col: str = "variant", key: str = "row_id", y: str = "y"):
     """Deterministic classifier stand-in: round(0.8 * u(seed|variant, key) + 0.2 * y, 2) (ties occur)."""
     u = uniform(F.concat_ws("|", F.col(seed_col).cast("string"), F.col(variant_col)), F.col(key))

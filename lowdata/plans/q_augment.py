@@ -373,7 +373,29 @@ def mlp_layers(dim: int, seed: int = SEED):
             for i in range(3)]
 
 
-@reg("gan_candidates", None)
+def _sql_weights(name: str, rows: int, cols: int, scale: float) -> str:
+    """The twin of ``mlp_layers``: one row (i, j, w) per weight."""
+    h = f"md5('{SEED}|{name}|' || CAST(i * {cols} + j AS VARCHAR))"
+    return (f"(SELECT i, j, (('0x' || substr({h}, 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 - 0.5) * {scale!r} AS w "
+            f"FROM (SELECT unnest(generate_series(0, {rows} - 1)) AS i) a, (SELECT unnest(generate_series(0, {cols} - 1)) AS j) b)")
+
+
+def _sql_mlp(dim: int) -> str:
+    sizes = [ZDIM, HIDDEN, HIDDEN, dim]
+    steps = []
+    for k in range(3):
+        src = "(SELECT gen_id, j AS i, x FROM h0)" if k == 0 else f"(SELECT gen_id, j AS i, greatest(x, 0.0) AS x FROM h{k})"
+        steps.append(f"""h{k + 1} AS (SELECT h.gen_id, w.j, sum(h.x * w.w) + any_value(b.w) AS x FROM {src} h
+  JOIN {_sql_weights(f'w{k}', sizes[k], sizes[k + 1], 2.0 / sizes[k] ** 0.5)} w ON h.i = w.i
+  JOIN {_sql_weights(f'b{k}', 1, sizes[k + 1], 0.1)} b ON w.j = b.j GROUP BY h.gen_id, w.j)""")
+    return ",\n".join(steps)
+
+
+@reg("gan_candidates", f"""WITH {SQL_SCALER}, np AS (SELECT CAST(ceil(5.0 * count(*)) AS BIGINT) AS n FROM {EMB} e WHERE y = 1),
+h0 AS (SELECT g.gen_id, j.j, {sql_normal(str(SEED), "'z'", 'g.gen_id', 'j.j')} AS x
+       FROM np, LATERAL (SELECT unnest(generate_series(0, np.n - 1)) AS gen_id) g, (SELECT unnest(generate_series(0, {ZDIM} - 1)) AS j) j),
+{_sql_mlp(64)}
+SELECT gen_id, {s6('sum(h3.x * sc.s + sc.m)')} AS checksum FROM h3 JOIN sc ON h3.j = sc.j GROUP BY gen_id""")
 def q_gan_candidates(spark, sf):
     """A5 + A6: MLP generator over the latents (broadcast weights, NumPy batches), inverse-scaled
     with the positives' scaler."""

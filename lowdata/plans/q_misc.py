@@ -13,10 +13,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lowdata.functions.columns import keep_families, spread_vector, to_bool, to_num
+from lowdata.functions.columns import keep_families, positives, spread_vector, to_bool, to_num
 from lowdata.functions.hashing import sql_round_half_up, sql_uniform
 from lowdata.operators import relational as rl
 from lowdata.operators import splits as sp
+from lowdata.operators.ranking import with_position
 from lowdata.plans.queries import QUERIES, sql_ts_text, ts_text
 from lowdata.session import scratch_path
 from lowdata.sources import fixtures as fx
@@ -195,25 +196,26 @@ def _stems(spark, sf):
                            F.element_at(F.array(F.lit(42), F.lit(1337), F.lit(2025)), (k % 3 + 1).cast("int")),
                            F.lit(20000), variant)
     stem = F.when(k % 9 == 0, F.concat(F.lit("junk_"), F.col("source"))).otherwise(stem)
-    return d.select(k.alias("doc_id"), stem.alias("stem"))
+    return d.select(k.alias("doc_id"), stem.alias("stem"), (k % 97 / 97.0).cast("double").alias("auc"), (k % 1000).alias("n_train_total"))
 
 
-@reg("collect_runs_by_tag", r"""
+def _sql_collected() -> str:
+    part = lambda i: f"regexp_extract(st, '{io.FAMILY_TAG_PATTERN}', {i})"
+    return f"""
 WITH s AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'junk_' || source
    ELSE printf('_%s_msmw_full_w%.5f_s%d_r%d_%s_', source, (doc_id % 20 + 1) * 0.0005,
                [42, 1337, 2025][doc_id % 3 + 1], 20000, ['real', 'gan', 'oversample', 'smote'][doc_id % 4 + 1]) END AS stem
    FROM documents),
-t AS (SELECT regexp_replace(regexp_replace(stem, '^_+', ''), '_+$', '') AS st FROM s),
-p AS (SELECT st FROM t WHERE regexp_matches(st, '^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$'))
-SELECT regexp_extract(st, '^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$', 1) || '_msmw_full' AS prefix,
-       regexp_extract(st, '^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$', 1) AS family,
-       CAST(regexp_extract(st, '^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$', 2) AS DOUBLE) AS frac,
-       CAST(regexp_extract(st, '^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$', 3) AS INTEGER) AS seed,
-       CAST(regexp_extract(st, '^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$', 4) AS INTEGER) AS const_train_size,
-       regexp_extract(st, '^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$', 5) AS variant
-FROM p""")
+t AS (SELECT doc_id, regexp_replace(regexp_replace(stem, '^_+', ''), '_+$', '') AS st FROM s)
+SELECT {part(1)} || '_msmw_full' AS prefix, {part(1)} AS family, CAST({part(2)} AS DOUBLE) AS frac, CAST({part(3)} AS INTEGER) AS seed,
+       CAST({part(4)} AS INTEGER) AS const_train_size, {part(5)} AS variant, CAST(doc_id % 97 AS DOUBLE) / 97.0 AS auc,
+       doc_id % 1000 AS n_train_total
+FROM t WHERE regexp_matches(st, '{io.FAMILY_TAG_PATTERN}')"""
+
+
+@reg("collect_runs_by_tag", _sql_collected())
 def q_collect_runs_by_tag(spark, sf):
-    """Run keys parsed from per-family file stems; stems that do not match are dropped."""
+    """Run keys parsed from per-family file stems, measures carried; stems that do not match are dropped."""
     return io.collect_runs_by_tag(_stems(spark, sf), "stem")
 
 
@@ -227,23 +229,24 @@ m AS (SELECT lf.family AS split_id, lp.row_id FROM lp JOIN lf ON lp.family = lf.
       UNION SELECT lf.family, lp.row_id FROM lp CROSS JOIN lf WHERE lp.neg_test)
 SELECT split_id, 'test' AS part, count(*) AS n FROM m GROUP BY ALL""")
 def q_split_roundtrip(spark, sf):
-    """S4 + S19: the LOFO membership written partitioned by split id and read back."""
+    """S4 + S19: the LOFO membership, benign slice stored once, written by split id and read back."""
+    from lowdata.operators.ranking import with_scalars
     path = scratch_path(spark, f"splits-{uuid.uuid4().hex[:8]}")
-    io.write_split(sp.lofo_membership(fx.documents(spark, sf), 3, 0.2), path)
-    return io.read_split(spark, path).groupBy("split_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    io.write_split(sp.lofo_membership(fx.documents(spark, sf), 3, 0.2, shared=io.SHARED), path)
+    n = io.read_split(spark, path).groupBy("split_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    common = n.where(F.col("split_id") == io.SHARED).agg(F.coalesce(F.max("n"), F.lit(0)).alias("common"))
+    own = with_scalars(n.where(F.col("split_id") != io.SHARED), common)
+    return own.select("split_id", "part", (F.col("n") + F.col("common")).alias("n"))
 
 
 @reg("index_json", f"""SELECT 3 * count(*) AS n, count(*) AS n_distinct FROM {fx.SQL_DOCUMENTS} d WHERE y = 1""")
 def q_index_json(spark, sf):
     """Index files in the three accepted shapes written from data and read back."""
-    d = fx.documents(spark, sf)
+    pos = positives(fx.documents(spark, sf), required=True)
     base = scratch_path(spark, f"idx-{uuid.uuid4().hex[:8]}")
-    pos = d.filter("y = 1").agg(F.sort_array(F.collect_list("row_id")).alias("ids"))
-    pos.select(F.col("ids").alias("train_only")).coalesce(1).write.json(base + "/a")
-    pos.select(F.col("ids").alias("indices")).coalesce(1).write.json(base + "/b")
-    pos.select(F.col("ids").alias("train"), F.array().cast("array<bigint>").alias("test")).coalesce(1).write.json(base + "/c")
-    return io.read_index_json(spark, base + "/*").groupBy().agg(F.count(F.lit(1)).alias("n"),
-                                                                F.countDistinct("row_id").alias("n_distinct"))
+    for shape in ("train_only", "indices", "train"):
+        io.write_index_json(pos, f"{base}/{shape}", shape)
+    return io.read_index_json(spark, base).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("n_distinct"))
 
 
 @reg("run_metrics_json", _sql_raw_based(
@@ -463,17 +466,88 @@ QUERIES["preds_roundtrip"] = (q_preds_roundtrip, _preds_roundtrip_sql())
 
 
 @reg("sort_results", """
-SELECT o_orderkey AS row_id, o_orderpriority AS family FROM orders ORDER BY o_orderpriority, o_orderkey""")
+SELECT o_orderkey AS row_id, o_orderpriority AS family, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS pos FROM orders""")
 def q_sort_results(spark, sf):
-    """O1: results in display order (ordering only where it is the output)."""
+    """O1: results in display order, with the place that each row came to."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("row_id"),
                                                          F.col("o_orderpriority").alias("family"))
-    return rl.sort_results(o, ["family", "row_id"])
+    return with_position(rl.sort_results(o, ["family", "row_id"]))
 
 
-@reg("shuffle", """
-SELECT event_id AS row_id FROM events""")
+@reg("shuffle", f"""
+SELECT event_id AS row_id, row_number() OVER (ORDER BY {sql_uniform("42", "'shuffle'", "event_id")}, event_id) AS pos FROM events""")
 def q_shuffle(spark, sf):
-    """Seeded permutation of the rows (the order is the only change)."""
+    """Seeded permutation of the rows, with the place that each row came to."""
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("row_id"))
-    return sp.shuffle(e, 42)
+    return with_position(sp.shuffle(e, 42))
+
+
+# ------------------------------------------------------------------ P7 / S14 / S16 / U4
+
+@reg("positives", "SELECT event_id AS row_id FROM events WHERE event_type = 'error'")
+def q_positives(spark, sf):
+    """The positive class; an empty one is an error."""
+    return positives(fx.events(spark, sf), required=True).select("row_id")
+
+
+@reg("csv_split_roundtrip", f"""
+SELECT y, count(*) AS n, {sql_round_half_up('sum(features[1] + features[64])', 6)} AS checksum FROM {fx.SQL_EMBEDDINGS} e GROUP BY y""")
+def q_csv_split_roundtrip(spark, sf):
+    """Vectors spread over CSV columns, with the label, and read back."""
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex[:8]}")
+    io.write_csv_split(fx.embeddings(spark, sf), path, 64)
+    back = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    return back.groupBy("y").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.col("feat_0") + F.col("feat_63"))).alias("checksum"))
+
+
+@reg("table_roundtrip", None)
+def q_table_roundtrip(spark, sf):
+    """The paired table written under a suffix and read back."""
+    from lowdata.operators import pairing as pa
+    from lowdata.plans.q_results import results, round_doubles
+    path = scratch_path(spark, f"paired-{uuid.uuid4().hex[:8]}")
+    return spark.read.parquet(io.write_table(round_doubles(pa.pair(results(spark, sf))), path, "_baopt"))
+
+
+@reg("disjoint_sides", """
+SELECT part, count(*) AS n, CAST(0 AS INTEGER) AS shared FROM (
+  SELECT CASE WHEN ts IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00' THEN 'train' ELSE 'test' END AS part FROM events) GROUP BY part""")
+def q_disjoint_sides(spark, sf):
+    """U4: the two sides of a split share no row."""
+    e = fx.events(spark, sf)
+    train, test = (sp.temporal_part(e, "2024-01-10 00:00:00", s) for s in ("train", "test"))
+    shared = rl.assert_disjoint(train, test)
+    return sp.temporal_holdout(e, "2024-01-10 00:00:00").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.lit(shared).alias("shared"))
+
+
+# ------------------------------------------------------------------ D22 with cutoffs
+
+BATCH_CUTOFFS = ("1996-10-01", "1996-12-01", "1997-03-01", "1997-06-01", "1997-09-01")
+BATCH_FLOORS = {"cut1996_10": 5, "cut1996_12": 15, "cut1997_03": 25}
+
+
+def _sql_batch_grid() -> str:
+    from lowdata.plans.grid import DEFAULT_CONST_TRAIN_SIZE as const
+    from lowdata.plans.grid import DEFAULT_FRACTIONS, DEFAULT_MIN_TRAIN_POS_OTHER, DEFAULT_SEEDS
+    from lowdata.plans.q_eval import sql_run_tag
+    floors = " ".join(f"WHEN '{k}' THEN {v}" for k, v in BATCH_FLOORS.items())
+    return f"""
+WITH c AS (SELECT CAST(unnest({list(BATCH_CUTOFFS)!r}) AS TIMESTAMP) AS cutoff),
+b AS (SELECT cutoff, min(o_orderdate) AS t0, max(o_orderdate) AS t1 FROM c JOIN orders ON o_orderdate > cutoff GROUP BY cutoff),
+w AS (SELECT 'cut' || strftime(cutoff, '%Y_%m') AS prefix, CAST(k AS INTEGER) AS window_id, t0 + to_days(CAST(k * 30 AS INTEGER)) AS wstart, t1
+      FROM b, (SELECT unnest(generate_series(0, 5)) AS k)),
+g AS (SELECT prefix, window_id, wstart, s.seed, f.frac, v.variant, CASE WHEN v.variant <> 'real' THEN {const} END AS const_train_size
+      FROM w, (SELECT unnest({list(DEFAULT_SEEDS)!r}) AS seed) s, (SELECT CAST(unnest({[repr(f) for f in DEFAULT_FRACTIONS]!r}) AS DOUBLE) AS frac) f,
+           (SELECT unnest(['real', 'gan', 'oversample', 'smote']) AS variant) v WHERE wstart < t1)
+SELECT prefix, window_id, {sql_ts_text('wstart')} AS wstart, {sql_ts_text('wstart + to_days(60)')} AS wend, seed, frac, variant, const_train_size,
+       CASE prefix {floors} ELSE {DEFAULT_MIN_TRAIN_POS_OTHER} END AS min_pos,
+       {sql_run_tag('prefix', 'window_id', 'seed', 'variant', 'frac', 'const_train_size')} AS tag FROM g"""
+
+
+@reg("batch_grid", _sql_batch_grid())
+def q_batch_grid(spark, sf):
+    """D22 over cutoffs: 5 cutoffs x 6 windows x 3 seeds x 20 fractions x 4 variants, with each cutoff's floor of positives."""
+    from lowdata.plans.grid import DEFAULT_FRACTIONS, batch_grid
+    g = batch_grid(fx.orders(spark, sf), BATCH_CUTOFFS, fracs=DEFAULT_FRACTIONS, floors=BATCH_FLOORS)
+    return g.select("prefix", "window_id", ts_text("wstart").alias("wstart"), ts_text("wend").alias("wend"), "seed", "frac", "variant",
+                    "const_train_size", "min_pos", "tag")

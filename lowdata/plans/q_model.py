@@ -1,16 +1,21 @@
 """Registered queries: spark.ml fits and the end-to-end run evaluation.
 
-Model fits are not expressible in SQL: these register rows-only checks,
-except the class weights (M2).  Binding: ``embeddings`` with a stratified
-25% test split (D5).
+A forest's scores are not expressible in SQL: the queries that return them have no
+twin, and a ``*_check`` query beside each holds what is exact - split and fold sizes, labels against
+thresholds, a threshold's optimality for the scores, a reloaded model, every count and audit
+of a run - against SQL.  Binding: ``embeddings`` with a stratified 25% test split (D5).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lowdata.operators import augment as au
 from lowdata.operators import model as md
 from lowdata.operators import sampling as sa
+from lowdata.plans.q_sampling import sql_largest_remainder, u
 from lowdata.plans.queries import QUERIES
 from lowdata.session import scratch_path
 from lowdata.sources import fixtures as fx
@@ -37,67 +42,189 @@ def q_class_weight(spark, sf):
     return md.with_class_weight(fx.embeddings(spark, sf), "y", "balanced").select("row_id", "weight")
 
 
-@reg("forest_scores", None)
-def q_forest_scores(spark, sf):
-    """M1 + M3: random forest on the train part, P(y=1) and 0/1 prediction on the test part."""
+SQL_SPLIT = f"""e AS {fx.SQL_EMBEDDINGS}, cc AS (SELECT y, count(*) AS n_c FROM e GROUP BY y),
+q AS {sql_largest_remainder('cc', 'n - ceil(CAST(0.25 AS DOUBLE) * n)', 'q_train')},
+r AS (SELECT e.row_id, e.y, row_number() OVER (PARTITION BY e.y ORDER BY {u(42, 'split', 'e.row_id')}, e.row_id) AS rn FROM e),
+parts AS (SELECT r.row_id, r.y, CASE WHEN r.rn <= q.n_c - q.q_train THEN 'test' ELSE 'train' END AS part FROM r JOIN q ON r.y = q.y)"""
+
+
+def _wrong():
+    """Rows whose score is no probability or whose label contradicts it."""
+    ok = (F.col("proba") >= 0) & (F.col("proba") <= 1) & (F.col("y_pred") == (F.col("proba") >= 0.5).cast("int"))
+    return F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_bad")
+
+
+def forest_scores(spark, sf):
     d = split_embeddings(spark, sf)
     m = md.fit_forest(d.filter("part = 'train'"), **SMALL_FOREST)
     return md.score(m, d.filter("part = 'test'")).select("row_id", "y", "proba", "y_pred")
 
 
+@reg("forest_scores", None)
+def q_forest_scores(spark, sf):
+    """M1 + M3: random forest on the train part, P(y=1) and 0/1 prediction on the test part."""
+    return forest_scores(spark, sf)
+
+
+@reg("forest_scores_check", f"""WITH {SQL_SPLIT}
+SELECT y, count(*) AS n, CAST(0 AS BIGINT) AS n_bad FROM parts WHERE part = 'test' GROUP BY y""")
+def q_forest_scores_check(spark, sf):
+    """M1 + M3: the test part is scored row for row, labels follow the scores."""
+    return forest_scores(spark, sf).groupBy("y").agg(F.count(F.lit(1)).alias("n"), _wrong())
+
+
+def threshold_run(spark, sf):
+    return md.fit_run(au.as_train(split_embeddings(spark, sf).filter("part = 'train'")), "balacc", 42, 20, 6)
+
+
 @reg("fit_with_threshold", None)
 def q_fit_with_threshold(spark, sf):
-    """M4: threshold chosen on a 20% validation split of the train part, then refit."""
-    d = split_embeddings(spark, sf).filter("part = 'train'")
-    from lowdata.operators.augment import as_train
-    _, thr = md.fit_with_threshold(as_train(d), "balacc", 42, 20, 6)
-    return spark.range(1).select(F.lit(thr).alias("threshold"))
+    """M4: validation rows (20% of the train part) with the threshold chosen on them."""
+    run = threshold_run(spark, sf)
+    return run.val.select("row_id", "y", "proba", (F.col("proba") >= run.threshold).cast("int").alias("y_pred"),
+                          F.lit(run.threshold).alias("threshold"))
+
+
+@reg("fit_with_threshold_check", f"""WITH {SQL_SPLIT}, tc AS (SELECT y, count(*) AS n_c FROM parts WHERE part = 'train' GROUP BY y),
+vq AS {sql_largest_remainder('tc', 'n - ceil(CAST(0.2 AS DOUBLE) * n)', 'q_train')}
+SELECT CAST(sum(n_c - q_train) AS BIGINT) AS n_val, CAST(sum(CASE WHEN y = 1 THEN n_c - q_train END) AS BIGINT) AS n_pos,
+       true AS on_grid, true AS best FROM vq""")
+def q_fit_with_threshold_check(spark, sf):
+    """M4: validation sizes; the threshold lies on the grid of 200 steps and no grid point has a higher balanced accuracy."""
+    run = threshold_run(spark, sf)
+    near = round(run.threshold * 200)
+    cells = run.val.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(199))))
+    said = F.col("proba") >= F.col("i").cast("double") * F.lit(1.0 / 200)
+    g = cells.groupBy("i").agg(F.count_if(said & (F.col("y") == 1)).alias("tp"), F.count_if(~said & (F.col("y") == 0)).alias("tn"),
+                               F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+    g = g.withColumn("score", (F.col("tp") / F.col("p") + F.col("tn") / F.col("n")) / 2)
+    return g.agg(F.max(F.col("p") + F.col("n")).alias("n_val"), F.max("p").alias("n_pos"),
+                 F.lit(abs(near / 200 - run.threshold) < 1e-9).alias("on_grid"),
+                 (F.max("score") - F.max(F.when(F.col("i") == near, F.col("score"))) < 1e-9).alias("best"))
 
 
 @reg("cross_validate", None)
 def q_cross_validate(spark, sf):
-    """M5: 3-fold stratified CV: mean and population std of accuracy, F1, AUC."""
-    return md.cross_validate(fx.embeddings(spark, sf), 3, 42, 20, 6)
+    """M5: 5-fold stratified CV: mean and population std of accuracy, F1, AUC."""
+    return md.cross_validate(fx.embeddings(spark, sf), 5, 42, 20, 6)
+
+
+@reg("cross_validate_check", f"""
+SELECT fold, count(*) AS n, count_if(y = 1) AS n_pos, CAST(0 AS BIGINT) AS n_bad FROM (
+  SELECT y, CAST((row_number() OVER (PARTITION BY y ORDER BY {u(42, 'fold')}, row_id) - 1) % 5 AS INTEGER) AS fold FROM {fx.SQL_EMBEDDINGS} s)
+GROUP BY fold""")
+def q_cross_validate_check(spark, sf):
+    """M5: every row is scored once, in its own fold."""
+    s = md.cv_scores(fx.embeddings(spark, sf), 5, 42, 10, 4)
+    return s.groupBy("fold").agg(F.countDistinct("row_id").alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"), _wrong())
+
+
+def _search_table(spark, settings, aucs):
+    best = max(range(len(aucs)), key=lambda i: aucs[i])
+    rows = [(i, s["numTrees"], s["maxDepth"], s.get("minInstancesPerNode", 1), float(a), i == best)
+            for i, (s, a) in enumerate(zip(settings, aucs))]
+    return spark.createDataFrame(rows, "setting int, trees int, depth int, min_leaf int, auc double, best boolean")
 
 
 @reg("grid_search", None)
 def q_grid_search(spark, sf):
-    """M6: CrossValidator over trees x depth (small grid), exact AUC, hash folds."""
-    _, best, metrics = md.grid_search(fx.embeddings(spark, sf), k=3, grid={"n_estimators": [10, 20],
-                                                                            "max_depth": [None, 5]})
-    return spark.createDataFrame([(str(best), float(max(metrics)))], "best string, auc double")
+    """M6: CrossValidator over the light preset, exact AUC, hash folds: every setting with its AUC."""
+    p = md.GRID_PRESETS["light"]
+    _, _, aucs = md.grid_search(fx.embeddings(spark, sf), "light", parallelism=4)
+    settings = [{"numTrees": t, "maxDepth": md.depth_of(d)} for t in p["n_estimators"] for d in p["max_depth"]]
+    return _search_table(spark, settings, aucs)
 
 
 @reg("random_search", None)
 def q_random_search(spark, sf):
-    """M7: seeded random search (3 draws), exact cross-validated AUC."""
-    _, best, metrics = md.random_search(fx.embeddings(spark, sf), n_iter=3, k=3)
-    return spark.createDataFrame([(str(best), float(max(metrics)))], "best string, auc double")
+    """M7: 20 seeded draws on a stratified fifth of the rows, exact cross-validated AUC."""
+    _, _, aucs = md.random_search(fx.embeddings(spark, sf), parallelism=4)
+    return _search_table(spark, md.random_params(), aucs)
+
+
+def reloaded(spark, sf):
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex[:8]}")
+    e = fx.embeddings(spark, sf)
+    kept = md.fit_final(e, path, 20, 6)
+    return md.score(kept, e).select("row_id", "proba"), md.score(md.load_model(path), e)
 
 
 @reg("fit_final", None)
 def q_fit_final(spark, sf):
     """M8 + S17: refit on everything, save, load back and score."""
-    import uuid
-    path = scratch_path(spark, f"model-{uuid.uuid4().hex[:8]}")
-    e = fx.embeddings(spark, sf)
-    md.fit_final(e, path, 20, 6)
-    m = md.load_model(path)
-    return md.score(m, e).groupBy("y_pred").agg(F.count(F.lit(1)).alias("n"))
+    return reloaded(spark, sf)[1].groupBy("y_pred").agg(F.count(F.lit(1)).alias("n"))
+
+
+@reg("fit_final_check", f"SELECT y, count(*) AS n, CAST(0 AS BIGINT) AS n_bad, CAST(0 AS BIGINT) AS n_changed FROM {fx.SQL_EMBEDDINGS} e GROUP BY y")
+def q_fit_final_check(spark, sf):
+    """M8 + S17: the reloaded model scores every row as the saved one did."""
+    before, after = reloaded(spark, sf)
+    both = after.join(before.withColumnRenamed("proba", "was"), "row_id", "left")
+    return both.groupBy("y").agg(F.count(F.lit(1)).alias("n"), _wrong(), F.count_if(~F.col("proba").eqNullSafe(F.col("was"))).alias("n_changed"))
+
+
+RUN_FRAC, RUN_FLOOR, CONST_SHARE = 0.5, 5, 0.8
+
+
+def embedding_runs(spark, sf, **settings):
+    """(samples, runs): every variant at one fraction, grown to 80% of the train part; one run is rebalanced."""
+    from lowdata.plans.evaluate import RunSpec
+    d = split_embeddings(spark, sf)
+    const = int(-(-d.filter("part = 'train'").count() * 8 // 10))
+    base = dict(seed=42, frac=RUN_FRAC, const_train_size=const, min_pos=RUN_FLOOR, min_neg=RUN_FLOOR)
+    runs = [RunSpec(**base, variant=v, tag=f"emb_{v}", **settings) for v in ("real", "oversample", "smote", "gan")]
+    return d, [*runs, RunSpec(**base, variant="smote", balance=True, val_source="real", tag="emb_balanced", **settings)]
 
 
 @reg("evaluate_runs", None)
 def q_evaluate_runs(spark, sf):
-    """Scarce -> augment -> fit -> validation threshold -> score -> metrics for a small grid."""
-    from lowdata.plans.evaluate import RunSpec, evaluate_runs
-    d = split_embeddings(spark, sf)
-    runs = [RunSpec(seed=42, frac=f, variant=v, const_train_size=300, min_pos=5, min_neg=5, trees=20, depth=6,
-                    tag=f"emb_r{f}_{v}") for f in (0.5,) for v in ("real", "oversample", "smote", "gan")]
+    """Scarce -> augment -> fit -> validation threshold -> score -> metrics for every variant."""
+    from lowdata.plans.evaluate import evaluate_runs
+    d, runs = embedding_runs(spark, sf, trees=100, depth=10)
     metrics, _ = evaluate_runs(d, runs)
     return metrics.select("tag", "variant", "frac", "threshold", "n_pos", "n_neg", "accuracy", "f1",
                           "balanced_accuracy", "mcc", "auc", "pr_auc")
 
 
+@reg("evaluate_runs_check", f"""WITH {SQL_SPLIT},
+t AS (SELECT count_if(y = 1) AS P, count_if(y = 0) AS Q, count(*) AS N FROM parts WHERE part = 'train'),
+te AS (SELECT count_if(y = 1) AS n_pos, count_if(y = 0) AS n_neg FROM parts WHERE part = 'test'),
+a AS (SELECT P, Q, N, greatest(1, CAST(round_even(CAST({RUN_FRAC} AS DOUBLE) * N, 0) AS BIGINT)) AS tot, CAST(P AS DOUBLE) / N AS prior FROM t),
+b AS (SELECT *, least(P, greatest({RUN_FLOOR}, CAST(round_even(tot * prior, 0) AS BIGINT))) AS p0 FROM a),
+b2 AS (SELECT *, least(Q, greatest({RUN_FLOOR}, tot - p0)) AS q0 FROM b),
+s AS (SELECT q0 AS n_drawn, p0 + greatest(0, least(P - p0, tot - p0 - q0)) AS p_drawn, CAST(ceil(N * 8 / 10.0) AS BIGINT) AS const FROM b2),
+s2 AS (SELECT p_drawn AS p, n_drawn AS n, const FROM s),
+v AS (SELECT unnest(['real', 'oversample', 'smote', 'gan', 'balanced']) AS kind),
+g AS (SELECT kind, p, n, CASE WHEN kind = 'real' OR const <= p + n THEN 0
+             WHEN kind = 'gan' THEN least(const - p - n, 2 * greatest(1, p)) ELSE const - p - n END AS added FROM s2, v),
+f AS (SELECT *, CASE WHEN kind = 'balanced' THEN least(p + added, n) ELSE p + added END AS pa,
+             CASE WHEN kind = 'balanced' THEN least(p + added, n) ELSE n END AS na FROM g)
+SELECT 'emb_' || kind AS tag, te.n_pos, te.n_neg, CAST(p AS BIGINT) AS train_pos_before_aug, CAST(n AS BIGINT) AS train_neg_before_aug,
+       CAST(pa AS BIGINT) AS train_pos_after_aug, CAST(na AS BIGINT) AS train_neg_after_aug, CAST(pa + na - p - n AS BIGINT) AS aug_added,
+       CAST(CASE WHEN kind IN ('smote', 'balanced') AND added > 0 THEN 5 END AS BIGINT) AS smote_k_neighbors,
+       CAST(CASE WHEN kind IN ('smote', 'balanced') AND added > 0 THEN added END AS BIGINT) AS smote_synth_count,
+       CAST(10 AS BIGINT) AS n_estimators, CAST(added AS BIGINT) AS n_train_synth,
+       CAST(0 AS BIGINT) AS val_not_in_train, CAST(0 AS BIGINT) AS train_test_overlap, CAST(0 AS BIGINT) AS val_test_overlap,
+       CAST(0 AS BIGINT) AS sha_overlap, true AS ok
+FROM f, te""")
+def q_evaluate_runs_check(spark, sf):
+    """E11 + D20 + S7 + S6: sizes, augmentation and leakage counts of every run, through the stored run metrics."""
+    from lowdata.plans.evaluate import evaluate_runs, run_records
+    from lowdata.sources import io
+    d, runs = embedding_runs(spark, sf, trees=10, depth=4)
+    metrics, audits = evaluate_runs(d, runs)
+    path = scratch_path(spark, f"run-records-{uuid.uuid4().hex[:8]}")
+    io.write_runs(run_records(metrics, audits), path)
+    back = io.read_run_metrics(spark, path + "/*.json", one_object_per_file=False)
+    cells = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    return back.join(audits.drop("n_train_real", "n_train_synth", "n_train_total", "audit", "threshold"), "tag").select(
+        "tag", cells[0].alias("n_pos"), cells[1].alias("n_neg"),
+        *[F.col(f"audit.{c}").alias(c) for c in ("train_pos_before_aug", "train_neg_before_aug", "train_pos_after_aug", "train_neg_after_aug",
+                                                 "aug_added", "smote_k_neighbors", "smote_synth_count")],
+        F.col("audit.rf_params.n_estimators").alias("n_estimators"), "n_train_synth", "val_not_in_train", "train_test_overlap",
+        "val_test_overlap", "sha_overlap", "ok")
+
+
 @reg("evaluate_runs_temporal", None)
 def q_evaluate_runs_temporal(spark, sf):
     """E11 temporal regime: events holdout, one fit per run scoring every 6-day window (step 3)."""
@@ -106,6 +233,22 @@ def q_evaluate_runs_temporal(spark, sf):
     d = sp.temporal_holdout(fx.events(spark, sf), "2024-01-10 00:00:00")
     win = sp.rolling_windows(d.filter("part = 'test'"), 6, 3)
     runs = [RunSpec(seed=42, frac=0.05, variant=v, const_train_size=600, min_pos=20, min_neg=20, trees=10, depth=5,
-                    tag=f"ev_r005_{v}") for v in ("real", "oversample")]
+                    tag=f"ev_r005_{v}") for v in ("real", "oversample", "smote", "gan")]
     metrics, _ = evaluate_runs(d, runs, win, 6, 3)
     return metrics.select("tag", "variant", "window_id", "n_pos", "n_neg", "accuracy", "balanced_accuracy", "auc")
+
+
+@reg("evaluate_runs_temporal_check", None)
+def q_evaluate_runs_temporal_check(spark, sf):
+    """E11 temporal regime: every run scores every row of every window."""
+    return q_evaluate_runs_temporal(spark, sf).select("tag", "window_id", "n_pos", "n_neg")
+
+
+def _temporal_check_sql() -> str:
+    from lowdata.plans.queries import SQL_EVENTS_TEST_WINDOWS
+    return "WITH " + SQL_EVENTS_TEST_WINDOWS + """
+SELECT 'ev_r005_' || v.v AS tag, window_id, count_if(y = 1) AS n_pos, count_if(y = 0) AS n_neg
+FROM ev_rows, (SELECT unnest(['real', 'oversample', 'smote', 'gan']) AS v) v GROUP BY ALL"""
+
+
+QUERIES["evaluate_runs_temporal_check"] = (q_evaluate_runs_temporal_check, _temporal_check_sql())

@@ -11,5 +11,6 @@ from lowdata.plans import q_misc  # noqa: F401
 from lowdata.plans.queries import QUERIES
 
 QUERIES["raw_pair_roundtrip"] = (QUERIES["raw_pair_roundtrip"][0], QUERIES["pair"][1])  # the second append wins
+QUERIES["table_roundtrip"] = (QUERIES["table_roundtrip"][0], QUERIES["pair"][1])
 
 __all__ = ["QUERIES"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lowdata.functions.columns import blank_to, norm_headers, require_columns, spread_vector, to_bool, to_num, to_utc
+from lowdata.functions.columns import present, blank_to, norm_headers, require_columns, spread_vector, to_bool, to_num, to_utc
 
 # Header of the sweep's raw results table, in file order.
 RAW_COLUMNS = ("prefix", "kind", "frac", "const_train_size", "variant", "used_gan", "tag",
@@ -32,7 +32,10 @@ RAW_INT = {"const_train_size", "seed", "test_window_days"}
 LABEL_HINTS = ("y_true", "labels", "y", "target")
 SCORE_HINTS = ("y_proba", "proba", "prob", "score", "scores", "y_score", "preds")
 
-# Run-tag pattern of the per-family metric files.
+SHARED = "*"  # split id of rows that every split holds
+
+# Carried measures and run-tag pattern of the per-family metric files.
+FAMILY_MEASURES = ("auc", "pr_auc", "f1", "balanced_accuracy", "mcc", "threshold", "n_train_real", "n_train_total")
 FAMILY_TAG_PATTERN = r"^(.+?)_msmw_full_w(0?\.\d+)_s(\d+)_r(\d+)_(real|gan|oversample|smote)$"
 
 
@@ -71,17 +74,33 @@ def write_split(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_split(spark: SparkSession, path: str, split_id: str | None = None) -> DataFrame:
     d = spark.read.parquet(path)
-    return d.filter(F.col("split_id") == split_id) if split_id is not None else d
+    # rows stored under SHARED belong to every split
+    return d.filter(F.col("split_id").isin(split_id, SHARED)).withColumn("split_id", F.lit(split_id)) if split_id is not None else d
 
 
 INDEX_SCHEMA = T.StructType([T.StructField(k, T.ArrayType(T.LongType())) for k in
                              ("train_only", "indices", "train", "test")])
 
 
-def read_index_json(spark: SparkSession, path: str) -> DataFrame:
-    """Row ids of an index file, preferring train_only, then indices, then train."""
-    j = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
-    return j.select(F.explode(F.coalesce("train_only", "indices", "train")).alias("row_id"))
+def write_index_json(df: DataFrame, path: str, shape: str = "train_only", per_file: int = 10_000) -> None:
+    """Ids as index files of at most ``per_file`` consecutive ids' room, so no file or task holds them all."""
+    d = df.select(F.col("row_id").cast("long").alias("row_id")).distinct()
+    d = d.groupBy(F.floor(F.col("row_id") / per_file).alias("chunk")).agg(F.sort_array(F.collect_list("row_id")).alias(shape))
+    if shape == "train":
+        d = d.withColumn("test", F.array().cast("array<bigint>"))
+    d.write.mode("overwrite").partitionBy("chunk").json(path)
+
+
+def read_index_json(spark: SparkSession, path, reader: str = "scaler") -> DataFrame:
+    """Row ids of index files (all files below ``path``).
+
+    ``reader="scaler"`` prefers train_only, then indices, then train; ``"trainer"`` prefers train_only,
+    then a train list without a test list, then indices, then the train part of a full split.
+    """
+    j = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    alone = F.when(F.col("test").isNull(), F.col("train"))
+    lists = ["train_only", "indices", "train"] if reader == "scaler" else ["train_only", alone, "indices", "train"]
+    return j.select(F.explode(F.coalesce(*lists)).alias("row_id"))
 
 
 # ------------------------------------------------------------------ S6 / S7 / S8 / S10 / S16
@@ -222,14 +241,15 @@ def read_preds(df: DataFrame, y_col: str | None = None, p_col: str | None = None
 
 
 def collect_runs_by_tag(df: DataFrame, name: str = "stem") -> DataFrame:
-    """Parse (family, frac, seed, const, variant) out of per-family file stems; others dropped."""
+    """Parse (family, frac, seed, const, variant) out of per-family file stems; others dropped.
+    The runs' measures are carried where the input has them."""
     stem = F.regexp_replace(F.regexp_replace(F.col(name), "^_+", ""), "_+$", "")
     ok = stem.rlike(FAMILY_TAG_PATTERN)
     g = lambda i: F.regexp_extract(stem, FAMILY_TAG_PATTERN, i)
     return df.filter(ok).select(
         F.concat(g(1), F.lit("_msmw_full")).alias("prefix"), g(1).alias("family"),
         g(2).cast("double").alias("frac"), g(3).cast("int").alias("seed"),
-        g(4).cast("int").alias("const_train_size"), g(5).alias("variant"))
+        g(4).cast("int").alias("const_train_size"), g(5).alias("variant"), *present(df, FAMILY_MEASURES))
 
 
 # ------------------------------------------------------------------ S12 / S14 / S15
