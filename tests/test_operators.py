@@ -177,3 +177,74 @@ def test_knn_exact_against_numpy(spark):
     for qid, qv in qq:
         d = sorted((float(np.sqrt(((qv - rv) ** 2).sum())), rid) for rid, rv in rr)
         assert got[(qid, 1)] == d[0][1] and got[(qid, 2)] == d[1][1]
+
+
+def test_take_nearest_equals_sort_with_ties_infinities_and_nan(spark):
+    from lowdata.operators.ranking import take_nearest
+    d = [0.0, 0.0, 1e-300, 0.5, 0.5, 0.5, 2.0, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(d)], "gen_id long, dist double")
+    for n in range(len(d) + 2):
+        want = [r.gen_id for r in df.orderBy("dist", "gen_id").limit(n).collect()]
+        assert sorted(r.gen_id for r in take_nearest(df, n, "dist", "gen_id").collect()) == sorted(want)
+    same = df.withColumn("dist", F.lit(0.0))
+    assert sorted(r.gen_id for r in take_nearest(same, 3, "dist", "gen_id").collect()) == [0, 1, 2]
+
+
+def test_position_follows_the_order(spark):
+    from lowdata.operators.ranking import with_position
+    df = spark.range(1000).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(37))).repartition(7)
+    got = with_position(df.orderBy("k", "id")).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(1, 1001))
+    assert [(r.k, r.id) for r in got] == sorted((r.k, r.id) for r in got)
+
+
+def test_quota_function_sees_group_sizes(spark):
+    from lowdata.operators.ranking import take_first
+    df = sa.with_u(spark.range(100).withColumn("row_id", F.col("id")).withColumn("g", F.when(F.col("id") < 90, "a").otherwise("b")), 1, "q")
+    half = take_first(df, "g", lambda sizes: sizes.select("g", (F.col("n_c") / 2).alias("quota")))
+    assert {r.g: r["count"] for r in half.groupBy("g").count().collect()} == {"a": 45, "b": 5}
+
+
+def test_profile_and_scaler_of_vectors(spark):
+    import numpy as np
+    x = np.array([[1.0, 5.0, 0.0], [2.0, 5.0, -3.0], [4.0, 5.0, 8.0]])
+    df = spark.createDataFrame([(r.tolist(),) for r in x] + [(None,)], "features array<double>")
+    s = au.fit_scaler(df).first()
+    assert np.allclose(s.mean, x.mean(0)) and np.allclose(s.scale, [x[:, 0].std(), 1.0, x[:, 2].std()])
+    p = au.profile_vectors(df).first()
+    assert (p.dim, p.n_values, p.any_nonfinite) == (3, 9, False) and abs(p["std"] - x.std()) < 1e-12
+    with pytest.raises(Exception):
+        au.fit_scaler(df.where("false")).collect()
+
+
+def test_audit_of_runs_counts_and_refuses_leaks(spark):
+    members = spark.createDataFrame([(0, 1, "train"), (0, 1, "val"), (0, 2, "train"), (1, 2, "train"), (1, 3, "val"), (1, 9, "val"), (1, 9, "train")],
+                                    "run_id int, row_id long, part string")
+    sha = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (8, "b"), (9, "z")], "row_id long, sha string")
+    test = sha.where("row_id >= 8")
+    got = {r.run_id: r for r in sp.audit_runs(members, test, sha, strict=False).collect()}
+    assert not got[0].ok and got[0].sha_overlap == 1 and got[0].train_test_overlap == 0 and got[0].val_not_in_train == 0
+    assert (got[1].val_not_in_train, got[1].train_test_overlap, got[1].val_test_overlap, got[1].sha_overlap) == (1, 1, 1, 2)
+    with pytest.raises(AssertionError):
+        sp.audit_runs(members, test, sha)
+
+
+def test_run_evaluation_refuses_leaks_and_takes_every_generator(spark):
+    import numpy as np
+    from lowdata.plans.evaluate import RunSpec, evaluate_runs
+    rows = [(i, int(i % 4 == 0), [float(i % 7) + (i % 4 == 0), float(i % 5)], "train" if i % 3 else "test", f"s{i}") for i in range(120)]
+    d = spark.createDataFrame(rows, "row_id long, y int, features array<double>, part string, sha string")
+    rng = np.random.default_rng(0)
+    layers = [(rng.normal(size=(4, 2)), np.zeros(2))]
+    base = dict(seed=1, frac=0.5, const_train_size=60, min_pos=5, min_neg=5, trees=5, depth=3)
+    runs = [RunSpec(**base, variant="gan", gan_sampler="mlp", gan_layers=layers, gan_quality="nn_boundary", gan_boundary_low=0.1, tag="mlp"),
+            RunSpec(**base, variant="oversample", tune={"n_estimators": [3, 5], "max_depth": [2]}, tag="tuned"),
+            RunSpec(**base, variant="smote", val_source="real", tag="real_val")]
+    metrics, audits = evaluate_runs(d, runs)
+    a = {r.tag: r for r in audits.collect()}
+    assert {r.tag for r in metrics.collect()} == {"mlp", "tuned", "real_val"} and all(r.ok for r in a.values())
+    assert a["mlp"].n_train_synth == min(20, 2 * a["mlp"].audit.train_pos_before_aug) and a["tuned"].audit.ros_dup_ratio > 0
+    assert a["real_val"].audit.smote_k_neighbors == 5 and a["real_val"].audit.smote_med_nn_dist >= 0
+    leaky = d.withColumn("sha", F.lit("same"))
+    with pytest.raises(AssertionError):
+        evaluate_runs(leaky, runs[1:2])

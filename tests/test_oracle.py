@@ -1,28 +1,16 @@
-"""Registered queries against their DuckDB twins on the small fixture (sf0.001).
-
-Set LOWDATA_FULL_ORACLE=1 to run every SQL-checked query (slower)."""
-
-import os
+"""Registered queries against their DuckDB twins on the small fixture (sf0.001)."""
 
 import pytest
 
 from check_oracle import canon, type_mismatches
+from lowdata.plans.registry import QUERIES
 from tests.conftest import SMALL
 
-FAST = ["window_metrics", "temporal_holdout", "cutoff_scan", "rolling_windows", "window_counts", "family_holdout",
-        "lofo_info", "stratified_split", "scarce_sample", "hash_rank", "family_capped_subset", "rebalance",
-        "run_results", "pick_threshold_mcc", "pooled_threshold", "pair", "pair_compat", "knn", "smote",
-        "oversample", "load_metadata", "collect_runs_by_tag", "audit", "auc_bruteforce_check",
-        "knn_offset", "raw_pair_roundtrip", "write_by_family", "pooled_threshold_mcc", "collapse_means_one_seed",
-        "run_metrics_json", "profile_table"]
-
 
 def _names():
     import __spark_entry__ as E
     sql = E.oracle_sql()
-    if os.environ.get("LOWDATA_FULL_ORACLE"):
-        return sorted(sql)
-    return [n for n in FAST if n in sql]
+    return sorted(n for n in sql if n in QUERIES)
 
 
 @pytest.mark.parametrize("name", _names())

@@ -49,3 +49,32 @@ def test_tag_parsing_and_variant(spark):
     tag = spark.range(1).select(C.run_tag(F.lit("cut2019_10"), F.lit(3), F.lit(42), F.lit("smote"), F.lit(0.0005),
                                           F.lit(20000)).alias("t")).first().t
     assert tag == "cut2019_10_w03_s42_r00005_sm20000"
+
+
+def test_index_json_trainer_order(spark):
+    tmp = tempfile.mkdtemp(prefix="lowdata-idx-")
+    shapes = {"a": {"train_only": [1], "indices": [9]}, "b": {"train": [2], "indices": [9]}, "c": {"train": [9], "test": [8], "indices": [3]},
+              "d": {"train": [4], "test": [9]}}
+    for name, obj in shapes.items():
+        with open(os.path.join(tmp, f"{name}.json"), "w") as fh:
+            json.dump(obj, fh)
+    assert sorted(r.row_id for r in io.read_index_json(spark, tmp, "trainer").collect()) == [1, 2, 3, 4]
+
+
+def test_collected_runs_carry_measures(spark):
+    df = spark.createDataFrame([("_x_msmw_full_w0.01000_s42_r20000_gan", 0.5, 7), ("junk", 0.1, 1)], "stem string, auc double, other int")
+    got = io.collect_runs_by_tag(df).collect()
+    assert len(got) == 1 and got[0].family == "x" and got[0].auc == 0.5 and "other" not in got[0].asDict()
+
+
+def test_shared_rows_belong_to_every_split(spark):
+    tmp = tempfile.mkdtemp(prefix="lowdata-split-")
+    io.write_split(spark.createDataFrame([("a", 1, "test"), ("b", 2, "test"), (io.SHARED, 3, "test")], "split_id string, row_id long, part string"), tmp)
+    assert sorted(r.row_id for r in io.read_split(spark, tmp, "a").collect()) == [1, 3]
+
+
+def test_empty_positive_class_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0)], "row_id long, y int")
+    with pytest.raises(ValueError):
+        C.positives(df, required=True)
+    assert C.positives(df).count() == 0
