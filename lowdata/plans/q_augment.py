@@ -175,16 +175,20 @@ def _sql_scarce_ids():
     return sql_scarce(EV_TRAIN, 0.05, SEED, 50, 50)
 
 
-SQL_OVERSAMPLE = f"""
+def sql_oversample(target) -> str:
+    return f"""
 tr AS {SQL_SCARCE.format(scarce=_sql_scarce_ids())},
 c AS (SELECT count(*) AS n, count_if(y = 1) AS p FROM tr),
 pos AS (SELECT row_id, value, uid_d, row_number() OVER (ORDER BY {u('os-order', 'row_id')}, row_id) AS pos_rank FROM tr WHERE y = 1),
 dr AS (SELECT draw, CAST(floor({u('os', 'draw')} * c.p) + 1 AS BIGINT) AS pos_rank
-       FROM c, (SELECT unnest(generate_series(0, {OS_TARGET} - (SELECT n FROM c) - 1)) AS draw)),
+       FROM c, (SELECT unnest(generate_series(0, {target} - (SELECT n FROM c) - 1)) AS draw)),
 syn AS (SELECT 'os:' || CAST(dr.draw AS VARCHAR) AS uid, pos.row_id AS src_row_id, pos.value AS x0, pos.uid_d AS x1
         FROM dr JOIN pos ON dr.pos_rank = pos.pos_rank)"""
 
 
+SQL_OVERSAMPLE = sql_oversample(OS_TARGET)
+
+
 def oversampled(spark, sf):
     return au.oversample_to_const(scarce_train(spark, sf), OS_TARGET, SEED)
 
@@ -211,6 +215,38 @@ def q_dup_ratio(spark, sf):
     return au.dup_ratio(oversampled(spark, sf)).select(r6("dup_ratio").alias("dup_ratio"))
 
 
+#: Rows after oversampling for each scarce row: unlike OS_TARGET, draws grow with the data.
+OS_TIMES = 2
+SQL_OVERSAMPLE_GROWN = sql_oversample(f"{OS_TIMES} * (SELECT n FROM c)")
+
+
+def oversampled_grown(spark, sf):
+    tr = scarce_train(spark, sf)
+    return au.oversample_to_const(tr, OS_TIMES * tr.count(), SEED)
+
+
+@reg("oversample_grown", f"WITH {SQL_OVERSAMPLE_GROWN} SELECT uid, src_row_id, x0, x1 FROM syn")
+def q_oversample_grown(spark, sf):
+    """A1: scarce temporal train set grown to twice its rows, so every size draws positives."""
+    a = oversampled_grown(spark, sf).filter("is_synth")
+    return a.select("uid", "src_row_id", F.col("features")[0].alias("x0"), F.col("features")[1].alias("x1"))
+
+
+@reg("with_synth_grown", f"""WITH {SQL_OVERSAMPLE_GROWN}
+SELECT false AS is_synth, y, count(*) AS n FROM tr GROUP BY y UNION ALL SELECT true, 1, count(*) FROM syn""")
+def q_with_synth_grown(spark, sf):
+    """Real and synthetic row counts of the set grown to twice its rows."""
+    return oversampled_grown(spark, sf).groupBy("is_synth", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@reg("dup_ratio_grown", f"""WITH {SQL_OVERSAMPLE_GROWN},
+allrows AS (SELECT value AS x0, uid_d AS x1 FROM tr UNION ALL SELECT x0, x1 FROM syn)
+SELECT {s6('1.0 - count(DISTINCT [x0, x1]) / count(*)')} AS dup_ratio FROM allrows""")
+def q_dup_ratio_grown(spark, sf):
+    """Duplicate ratio of the train set grown to twice its rows."""
+    return au.dup_ratio(oversampled_grown(spark, sf)).select(r6("dup_ratio").alias("dup_ratio"))
+
+
 # ------------------------------------------------------------------ A2 / A12
 
 SMOTE_EXTRA = 150

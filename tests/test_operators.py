@@ -248,3 +248,21 @@ def test_run_evaluation_refuses_leaks_and_takes_every_generator(spark):
     leaky = d.withColumn("sha", F.lit("same"))
     with pytest.raises(AssertionError):
         evaluate_runs(leaky, runs[1:2])
+
+
+@pytest.mark.parametrize("name", ["oversample_grown", "with_synth_grown", "dup_ratio_grown"])
+def test_grown_oversample_draws_at_every_size(spark, duck, name):
+    import __spark_entry__ as E
+    from check_oracle import canon
+    sf = "/root/testdata/sf0.1"
+    df = E.queries()[name](spark, sf)
+    rows = [tuple(r) for r in df.collect()]
+    rel = duck(sf).execute(E.oracle_sql()[name])
+    assert canon(rows, df.columns) == canon(rel.fetchall(), [d[0] for d in rel.description])
+    if name == "with_synth_grown":
+        n = {synth: sum(r[2] for r in rows if r[0] == synth) for synth in (False, True)}
+        assert n[True] == n[False] > 300
+    elif name == "oversample_grown":
+        assert len(rows) > 300
+    else:
+        assert 0.4 < rows[0][0] < 1
