@@ -225,16 +225,22 @@ def q_evaluate_runs_check(spark, sf):
         "val_test_overlap", "sha_overlap", "ok")
 
 
-@reg("evaluate_runs_temporal", None)
-def q_evaluate_runs_temporal(spark, sf):
-    """E11 temporal regime: events holdout, one fit per run scoring every 6-day window (step 3)."""
+def temporal_runs(spark, sf):
+    """(metrics, audits): every variant at one fraction, grown to 80% of the train part, scored on every 6-day window (step 3)."""
     from lowdata.operators import splits as sp
     from lowdata.plans.evaluate import RunSpec, evaluate_runs
     d = sp.temporal_holdout(fx.events(spark, sf), "2024-01-10 00:00:00")
     win = sp.rolling_windows(d.filter("part = 'test'"), 6, 3)
-    runs = [RunSpec(seed=42, frac=0.05, variant=v, const_train_size=600, min_pos=20, min_neg=20, trees=10, depth=5,
+    const = int(-(-d.filter("part = 'train'").count() * 8 // 10))
+    runs = [RunSpec(seed=42, frac=0.05, variant=v, const_train_size=const, min_pos=20, min_neg=20, trees=10, depth=5,
                     tag=f"ev_r005_{v}") for v in ("real", "oversample", "smote", "gan")]
-    metrics, _ = evaluate_runs(d, runs, win, 6, 3)
+    return evaluate_runs(d, runs, win, 6, 3)
+
+
+@reg("evaluate_runs_temporal", None)
+def q_evaluate_runs_temporal(spark, sf):
+    """E11 temporal regime: events holdout, one fit per run scoring every 6-day window (step 3)."""
+    metrics, _ = temporal_runs(spark, sf)
     return metrics.select("tag", "variant", "window_id", "n_pos", "n_neg", "accuracy", "balanced_accuracy", "auc")
 
 
@@ -252,3 +258,20 @@ FROM ev_rows, (SELECT unnest(['real', 'oversample', 'smote', 'gan']) AS v) v GRO
 
 
 QUERIES["evaluate_runs_temporal_check"] = (q_evaluate_runs_temporal_check, _temporal_check_sql())
+
+
+@reg("evaluate_runs_temporal_added_check", f"""
+WITH t AS (SELECT count_if(event_type = 'error') AS P, count(*) AS N FROM events WHERE ts IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00'),
+a AS (SELECT P, N - P AS Q, greatest(1, CAST(round_even(CAST(0.05 AS DOUBLE) * N, 0) AS BIGINT)) AS tot, CAST(P AS DOUBLE) / N AS prior, N FROM t),
+b AS (SELECT *, least(P, greatest(20, CAST(round_even(tot * prior, 0) AS BIGINT))) AS p0 FROM a),
+b2 AS (SELECT *, least(Q, greatest(20, tot - p0)) AS q0 FROM b),
+s AS (SELECT q0 AS n, p0 + greatest(0, least(P - p0, tot - p0 - q0)) AS p, CAST(ceil(N * 8 / 10.0) AS BIGINT) AS const FROM b2),
+v AS (SELECT unnest(['real', 'oversample', 'smote', 'gan']) AS kind)
+SELECT 'ev_r005_' || kind AS tag, CAST(p + n AS BIGINT) AS n_train_real,
+       CAST(CASE WHEN kind = 'real' THEN 0 WHEN kind = 'gan' THEN least(greatest(const - p - n, 0), 2 * greatest(1, p))
+                 ELSE greatest(const - p - n, 0) END AS BIGINT) AS aug_added
+FROM s, v""")
+def q_evaluate_runs_temporal_added_check(spark, sf):
+    """E11 temporal regime: rows that every variant really adds to the scarce sample."""
+    _, audits = temporal_runs(spark, sf)
+    return audits.select("tag", "n_train_real", F.col("audit.aug_added").alias("aug_added"))

@@ -266,3 +266,11 @@ def test_grown_oversample_draws_at_every_size(spark, duck, name):
         assert len(rows) > 300
     else:
         assert 0.4 < rows[0][0] < 1
+
+
+def test_temporal_runs_add_rows_at_every_size(spark, duck):
+    import __spark_entry__ as E
+    sf, name = "/root/testdata/sf0.1", "evaluate_runs_temporal_added_check"
+    got = {tuple(r) for r in E.queries()[name](spark, sf).select("tag", "n_train_real", "aug_added").collect()}
+    assert got == set(duck(sf).execute(E.oracle_sql()[name]).fetchall())
+    assert all((added > 0) == (tag != "ev_r005_real") for tag, _, added in got)
