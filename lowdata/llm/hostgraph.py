@@ -8,7 +8,9 @@ lost, which equals returning it to the seeds up to a factor.  A host is blocked
 exceeds ``threshold`` of its trust and distrust together.
 
 Edges: hyperlinks of the pages (absolute or ``//host``; links within a host are left out), and
-both ways between a host and its parent domain (``blog.a.org`` - ``a.org``).
+both ways between a host and its parent domain (``blog.a.org`` - ``a.org``).  With ``whole_chain``, as in
+``op6_url_filter``, the parent has an edge to its own parent too, up to the last two labels, whether it has
+pages or not (``x.blog.a.org`` - ``blog.a.org`` - ``a.org``), and numeric addresses have no parent.
 
 Scale: pages are reduced to (host, host) counts by map-side aggregation before any
 shuffle, ranks are one row per host, every step is one join and one aggregate, and
@@ -31,6 +33,7 @@ from lowdata.session import cut_lineage
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING, STEPS, THRESHOLD, CUT_EVERY = 0.85, 20, 0.5, 5
+ADDRESS = r"^[0-9.]+(:[0-9]*)?$"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -52,14 +55,24 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def host_edges(judged: DataFrame) -> DataFrame:
+def parents(hosts: DataFrame, whole_chain: bool) -> DataFrame:
+    """(host, up): each host with the domain one level up; with ``whole_chain`` also those domains with theirs."""
+    if not whole_chain:
+        parent = hosts.select("host", F.substring_index("host", ".", -2).alias("top"), F.expr("substring(host, instr(host, '.') + 1)").alias("up"))
+        return parent.where("host <> top and up <> ''").select("host", "up")
+    labels = hosts.where(~F.col("host").rlike(ADDRESS)).select(F.split("host", r"\.").alias("l")).where(F.size("l") > 2)
+    chain = labels.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("l") - 2), lambda i: F.struct(
+        F.array_join(F.slice("l", i, F.size("l")), ".").alias("host"), F.array_join(F.slice("l", i + 1, F.size("l")), ".").alias("up")))).alias("c"))
+    return chain.select("c.host", "c.up").distinct()
+
+
+def host_edges(judged: DataFrame, whole_chain: bool = False) -> DataFrame:
     """(src, dst, w): links between different hosts, and a host with its parent domain (weight 1, both ways)."""
     links = (judged.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
              .select("src", F.translate("dst", *TO_ASCII_LOWER).alias("dst")).where("src <> dst")
              .groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
     hosts = judged.where("host <> ''").select("host").distinct()
-    parent = hosts.select("host", F.substring_index("host", ".", -2).alias("top"), F.expr("substring(host, instr(host, '.') + 1)").alias("up"))
-    parent = parent.where("host <> top and up <> ''")
+    parent = parents(hosts, whole_chain)
     family = (parent.select(F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("up").alias("dst")),
                                               F.struct(F.col("up").alias("src"), F.col("host").alias("dst")))).alias("e"))
               .select("e.src", "e.dst").distinct().withColumn("w", F.lit(1.0)))
@@ -86,7 +99,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-          threshold: float = THRESHOLD) -> DataFrame:
+          threshold: float = THRESHOLD, whole_chain: bool = False) -> DataFrame:
     """(id, host, path, rule, verdict) per input row."""
     src = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     ruled = src.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "html", "r.rule", "r.action")
@@ -95,7 +108,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     total = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     seeds = counts.where("a > 0 or b > 0").select("host", (F.col("a") / F.lit(float(total["a"] or 1))).alias("trust"),
                                                   (F.col("b") / F.lit(float(total["b"] or 1))).alias("distrust"))
-    rank = propagate(store(host_edges(ruled), "host-links"), seeds)
+    rank = propagate(store(host_edges(ruled, whole_chain), "host-links"), seeds)
     share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9)
     blocked = rank.where((F.col("distrust") > 0) & (share > threshold)).select(F.col("host").alias("bad"))
     return (ruled.drop("html").join(blocked, F.col("host") == F.col("bad"), "left")

@@ -97,7 +97,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_url_filter")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the longest rule, else by its host's propagated trust and distrust."""
-    return hostgraph.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return hostgraph.judge(table(spark, sf_dir, "pages"), whole_chain=True).withColumnRenamed("id", "page_id")
 
 
 SQL_OP7 = """

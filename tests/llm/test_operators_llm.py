@@ -258,6 +258,23 @@ def test_url_filter(spark):
     assert hostgraph.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_whole_chain(spark):
+    pages = [(r["url"], r["html"]) for r in table(spark, MEDIUM, "pages").collect()]
+    pages += [("http://m.x.deep.com/de/1", None), ("http://y.deep.com/1", None), ("http://www.far.deep.com/1", None), ("http://a.b.c.d.tall.com/de/1", None), ("http://tall.com/1", None),
+              ("http://10.0.0.1/de/1", None), ("http://9.9.0.1/1", None), ("http://x.y.clean.com/fr/1", None), ("http://z.clean.com/1", None)]
+    # a page without path meets no rule: with one for every ancestor, edges one level up are the whole chain
+    ups = {h.split(".", i)[-1] for u, _ in pages for h in [low(re.search("://([^/?#]*)", u)[1])] for i in range(1, h.count("."))}
+    want = brute_pagerank(pages + [(f"http://{h}", None) for h in sorted(ups) if not re.fullmatch("[0-9.]+", h)])[:len(pages)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in hostgraph.judge(df, whole_chain=True).collect()}
+    # unruled pages of 9.9.0.1 are not tied to 10.0.0.1, which brute force would link through 0.1
+    assert {u: got[i][3] for i, (u, _) in enumerate(pages[-9:], len(pages) - 9)} == {
+        "http://m.x.deep.com/de/1": "block", "http://y.deep.com/1": "block", "http://www.far.deep.com/1": "block", "http://a.b.c.d.tall.com/de/1": "block",
+        "http://tall.com/1": "block", "http://10.0.0.1/de/1": "allow", "http://9.9.0.1/1": "allow", "http://x.y.clean.com/fr/1": "allow", "http://z.clean.com/1": "allow"}
+    assert got == dict(enumerate(want))
+    assert hostgraph.judge(df.limit(0), whole_chain=True).count() == 0
+
+
 # ------------------------------------------------------------------ 7 vectors
 
 def brute_vectors(rows, t=0.95):
