@@ -12,8 +12,10 @@ base span also teaches by its shortened form (a phone without country code, a ca
 IP without its first or last group, an address without its domain's end): linked to the
 full form it has that kind, alone it has none.  So a short form counts as personal data
 where the document holds the long one.  Marginals come from loopy sum-product
-message passing over the whole document.  Occurrences that share a key are
-linked one to the next, so a token repeated thousands of times costs linear work.
+message passing over the whole document, until the messages settle; the bound on rounds grows
+with the longest path of links.  Occurrences that share a key are linked one to the next, and each
+mention to the nearest base span of its key before it, or else the first after it, so that a full form reaches
+every repeat directly; a token repeated thousands of times has a linear number of links.
 
 Edge cases: null and empty texts have no spans; spans are in code points, end
 exclusive; all scans are linear in the text, so very long texts and tokens are safe;
@@ -155,6 +157,14 @@ def shortened(kind: int, text: str) -> str:
     return digits[4:] if kind == 2 else digits[-10:]
 
 
+def _longest(edges: list[tuple[int, int]]) -> int:
+    """Edges of the longest path that never turns back; edges are ordered by their later end."""
+    far: dict[int, int] = {}
+    for i, j in edges:
+        far[j] = max(far.get(j, 0), far.get(i, 0) + 1)
+    return max(far.values(), default=0)
+
+
 class Graph:
     """Nodes, features and the two kinds of edges of one document."""
 
@@ -165,12 +175,22 @@ class Graph:
         self.x = np.array([features(w) for w in words]) if words else np.empty((0, 0))
         chain = [(i, i + 1) for i in range(len(words) - 1) if self.nodes[i + 1][1] - self.nodes[i][2] <= NEAR]
         last: dict[str, int] = {}
+        full: dict[str, int] = {}  # the last base span of a key
+        early: dict[str, list[int]] = {}  # mentions before the first one
         skip = []
         for i, w in enumerate(words):
             k = key(w)
             if k in last:
                 skip.append((last[k], i))
+            if self.seen[i] >= 0:
+                skip += [(j, i) for j in early.pop(k, ()) if j != last[k]]
+                full[k] = i
+            elif k not in full:
+                early.setdefault(k, []).append(i)
+            elif full[k] != last[k]:
+                skip.append((full[k], i))
             last[k] = i
+        self.longest = _longest(chain) + _longest(skip)
         self.edges = np.array(chain + skip, dtype=np.int64).reshape(-1, 2)
         self.is_skip = np.array([0] * len(chain) + [1] * len(skip), dtype=np.int64)
 
@@ -194,7 +214,7 @@ class Field:
             bond = np.exp(self.agree[np.concatenate((g.is_skip, g.is_skip))]) - 1  # extra factor where both ends agree
             back = np.concatenate((np.arange(len(g.edges), len(src)), np.arange(len(g.edges))))
             msg = np.full((len(src), k), -np.log(k))
-            for _ in range(ROUNDS):
+            for _ in range(ROUNDS + 2 * g.longest):  # damped by half, so two rounds a link; the gap mostly ends it before
                 total = local.copy()
                 np.add.at(total, dst, msg)
                 out = total[src] - msg[back]

@@ -488,6 +488,19 @@ def exact_marginals(field, g):
 
 # ------------------------------------------------------------------ registered queries
 
+def test_pii_field_reaches_every_repeat(spark):
+    short, gap = "2125550147", " and so on, as was said at length in the letter before this one, "
+    rng = random.Random(1)  # other numbers that repeat: repetition alone is no sign
+    orders = [(f"order {rng.randint(10**9, 10**10 - 1)}" + gap) * rng.randint(2, 6) for _ in range(400)]
+    field = pii.fit([r["text"] for r in docs(spark, MEDIUM).orderBy("doc_id").collect()] + orders)
+    for text in ("+1 212 555 0147" + (gap + short) * 100, (short + gap) * 100 + "+1 212 555 0147",
+                 (short + gap) * 50 + "+1 212 555 0147" + (gap + short) * 50, "bob@mail.example.com" + (gap + "bob@mail") * 100):
+        base, spans = field.spans(text)
+        assert len(base) == 1 and len(spans) == 101
+        assert len(pii.Graph(text, base).edges) <= 2 * 101
+    assert field.spans((short + gap) * 100) == ([], [])
+
+
 def test_every_query_is_registered():
     names = set(LLM_QUERIES)
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
