@@ -151,6 +151,17 @@ def test_licenses(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_licenses_wrapped_notices(spark):
+    scanner = licenses.train(docs(spark))
+    parts = {"modification, are permitted provided that the following conditions are met": "BSD", "to deal in the Software without restriction": "MIT",
+             "obtaining a copy of this software and associated documentation files": "MIT", "Unauthorized copying of this file, via any medium, is strictly prohibited": "proprietary"}
+    assert not any(re.search(licenses.GATE, p) for p in parts)
+    rows = [(i, f"before\n{p}\nafter") for i, p in enumerate(parts)]
+    rows += [(10, "the end\nof the\nyear"), (11, "He may not use this\nor that"), (12, None), (13, "")]
+    got = {r["id"]: (r["families"], r["n_license"], r["n_unknown"]) for r in licenses.documents(licenses.scan(edge(spark, rows), scanner)).collect()}
+    assert got == {i: (f, 1, 0) for i, f in enumerate(parts.values())} | {i: ("", 0, 0) for i in (10, 11, 12, 13)}
+
+
 # ------------------------------------------------------------------ 4 sharding
 
 def check_shards(rows, n, whole=True):
