@@ -11,9 +11,11 @@ in a context are also seen in its suffix, so only the last exclusion counts, and
 every code length depends on the five bytes alone: the trie becomes hash tables that whole
 batches of text look up at once.
 
-Memory: orders 0 to 2 are complete (at most 256^3 nodes); orders 3 and 4 keep the
+Memory: in the tasks orders 0 to 2 are complete (at most 256^3 nodes); orders 3 and 4 keep the
 leaves seen at least ``floor`` times, the least number for which at most ``max_leaves``
-leaves remain - the trie's memory, counted over all data.  Pruned leaves are coded through shorter contexts.
+leaves remain - the trie's memory, counted over all data.  Where that leaves any out, ``score`` takes from the
+tasks only the symbols of kept leaves, coded with the counts of all data; the distinct windows of all other
+symbols meet the complete counts of orders 3 and 4 in joins, so scores do not depend on ``max_leaves``.
 
 The base score is a word unigram with add-one smoothing.  Words are counted over all
 training texts; the most frequent (at most ``max_head``) are looked up in the tasks, all
@@ -186,8 +188,11 @@ class Trie:
         row = self.leaf[top].rows(code)  # most symbols are coded here, where nothing is excluded yet
         hit = row >= 0
         out[hit] = self.plain[row[hit]]
-        todo = np.flatnonzero(~hit)
-        for j in range(top, -1, -1):
+        return self.descend(code, out, gone_n, gone_kinds, np.flatnonzero(~hit))
+
+    def descend(self, code: np.ndarray, out: np.ndarray, gone_n: np.ndarray, gone_kinds: np.ndarray, todo: np.ndarray) -> np.ndarray:
+        """``out`` with the places ``todo`` coded from the longest order down, less what longer ones excluded."""
+        for j in range(len(self.leaf) - 1, -1, -1):
             own = code[todo] & np.uint64((1 << (8 * (j + 1))) - 1)
             row = self.leaf[j].rows(own)
             c = self.ctx[j].rows(own >> np.uint64(8))
@@ -244,11 +249,86 @@ def adaptive_bits(text: str | None, order: int = ORDER) -> float:
     return bits
 
 
+class Leaves:
+    """All of orders 3 and 4, when the trie is pruned: ``kept`` has the code lengths of the order-4 leaves the tasks hold,
+    ``low`` orders 0 to 2, the tables the counts of leaves (code, n) and contexts (ctx, total, kinds, out)."""
+
+    def __init__(self, codes: DataFrame, third: DataFrame, second: DataFrame, floor: int, low: Trie):
+        self.low, self.fourth, self.third = low, codes, third
+        self.ctx4 = store(self._contexts(codes, third, 32), "ppm-contexts-4")
+        self.ctx3 = store(self._contexts(third, second, 24), "ppm-contexts-3")
+        kept = (codes.where(F.col("n") >= floor).withColumn("ctx", F.shiftright("code", 8)).join(self.ctx4, "ctx")
+                .select("code", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("p")).toArrow())
+        self.kept = Hash(np.array(kept.column("code").to_numpy(), np.int64).view(np.uint64), kept.column("p").to_numpy())
+
+    @staticmethod
+    def _contexts(leaves: DataFrame, shorter: DataFrame, bits: int) -> DataFrame:
+        up = shorter.select(F.col("code").alias("suffix"), F.col("n").alias("up"))
+        return (leaves.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << bits) - 1))).join(up, "suffix")
+                .groupBy(F.shiftright("code", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("up").alias("out")))
+
+    def coded(self, windows: DataFrame) -> DataFrame:
+        """(code, lp): log10 probability of the last byte of each of the distinct ``windows(code)``."""
+        def named(df, key, j):
+            return df.select(F.col(df.columns[0]).alias(key), *[F.col(c).cast("double").alias(f"{c}{j}") for c in df.columns[1:]])
+        third = F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
+        src = windows.select("code", F.shiftright("code", 8).alias("c4"), third.alias("l3"), F.shiftright(third, 8).alias("c3"))
+        for df, key, j in ((self.fourth.select("code", "n"), "code", 4), (self.ctx4, "c4", 4), (self.third.select("code", "n"), "l3", 3), (self.ctx3, "c3", 3)):
+            src = src.join(named(df, key, j), key, "left")
+        cols = [f"{c}{j}" for j in (4, 3) for c in ("n", "total", "kinds", "out")]
+        shared = windows.sparkSession.sparkContext.broadcast(self.low)
+
+        def run(batches):
+            for b in batches:
+                code = b.column("code").to_numpy(zero_copy_only=False).view(np.uint64)
+                v = {c: b.column(c).to_numpy(zero_copy_only=False) for c in cols}
+                lp, gone_n, gone_kinds = np.zeros(len(code)), np.zeros(len(code)), np.zeros(len(code))
+                todo = np.arange(len(code))
+                for j in (4, 3):
+                    n, total, kinds, out = (v[f"{c}{j}"][todo] for c in ("n", "total", "kinds", "out"))
+                    left_n, left_kinds = total - gone_n[todo], kinds - gone_kinds[todo]
+                    hit, there = n >= 0, total >= 0
+                    lp[todo[hit]] += np.log10(n[hit] / (left_n[hit] + left_kinds[hit]))
+                    miss = there & ~hit
+                    esc = miss & (left_kinds > 0)
+                    lp[todo[esc]] += np.log10(left_kinds[esc] / (left_n[esc] + left_kinds[esc]))
+                    gone_n[todo[miss]], gone_kinds[todo[miss]] = out[miss], kinds[miss]
+                    todo = todo[~hit]
+                lp = shared.value.descend(code, lp, gone_n, gone_kinds, todo) if len(todo) else lp
+                yield pa.RecordBatch.from_arrays([b.column("code"), pa.array(lp)], names=["code", "lp"])
+
+        return src.select("code", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in cols]).mapInArrow(run, "code bigint, lp double")
+
+
+def kept_scores(kept: Hash, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """(log10 probability of the symbols whose leaves are kept, (code, k) of all others) of each text."""
+    scores, sizes, codes, times = [np.empty(0)], [np.zeros(1, np.int64)], [], []
+    for part in slices(texts, SCORE_SLICE):
+        code, real, starts = windows(part)
+        row = kept.rows(code)
+        p = np.zeros(len(code))
+        hit = real & (row >= 0)
+        p[hit] = kept.values[0][row[hit]]
+        scores.append(np.add.reduceat(p, starts))
+        miss = np.flatnonzero(real & (row < 0))
+        text, rare = np.searchsorted(starts, miss, "right") - 1, code[miss]
+        order = np.lexsort((rare, text))
+        text, rare = text[order], rare[order]
+        first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (rare[1:] != rare[:-1])))[:len(rare)])
+        sizes.append(np.bincount(text[first], minlength=len(part)))
+        codes.append(rare[first].view(np.int64))
+        times.append(np.diff(np.append(first, len(rare))))
+    none = [np.empty(0, np.int64)]
+    values = pa.StructArray.from_arrays([pa.array(np.concatenate(codes or none)), pa.array(np.concatenate(times or none).astype(np.int64))], names=["code", "k"])
+    return np.concatenate(scores), pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), values)
+
+
 class Model:
-    """The trie, the frequent words and the totals; ``tail`` holds the counts of all other words."""
+    """The trie, the frequent words and the totals; ``tail`` holds the counts of all other words, ``leaves`` those of
+    a pruned trie."""
 
-    def __init__(self, trie: Trie, head: dict[bytes, float], tail: DataFrame, n_tokens: int, n_words: int):
-        self.trie, self.head, self.tail, self.n_tokens, self.n_words = trie, head, tail, n_tokens, n_words
+    def __init__(self, trie: Trie, head: dict[bytes, float], tail: DataFrame, n_tokens: int, n_words: int, leaves: Leaves | None = None):
+        self.trie, self.head, self.tail, self.n_tokens, self.n_words, self.leaves = trie, head, tail, n_tokens, n_words, leaves
 
 
 def _floor(counts: DataFrame, most: int) -> int:
@@ -285,16 +365,18 @@ def train(docs: DataFrame, text_col: str = "text", max_leaves: int = MAX_LEAVES,
     first = merge(second[0] & np.uint64(0xFFFF), second[1])
     zero = merge(first[0] & np.uint64(0xFF), first[1])
     trie = Trie([zero, first, second, third, top])
+    leaves = Leaves(codes, third_order, second_order, leaf_floor, Trie([zero, first, second])) if leaf_floor > 1 else None
     head = words.where(F.col("n") >= head_floor).toArrow()
     head = dict(zip(head.column("word").to_pylist(), np.log10(head.column("n").to_numpy() + 1.0).tolist()))
-    return Model(trie, head, words.where(F.col("n") < head_floor), int(total["n"] or 0), int(total["v"]))
+    return Model(trie, head, words.where(F.col("n") < head_floor), int(total["n"] or 0), int(total["v"]), leaves)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per input row."""
     spark = docs.sparkSession
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = spark.sparkContext.broadcast((model.trie, model.head))
+    shared = spark.sparkContext.broadcast((model.leaves.kept if model.leaves else model.trie, model.head))
+    pruned = model.leaves is not None
 
     def run(batches):
         trie, head = shared.value
@@ -315,17 +397,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             flat = [x for r in rare for x in r]
             tail = pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(
                 [pa.array([w for w, _ in flat], pa.binary()), pa.array([k for _, k in flat], pa.int64())], names=["word", "k"]))
+            scores, *others = kept_scores(trie, texts) if pruned else (trie.scores(texts),)
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("id"), pa.array(n_tokens, pa.int64()), pa.array(n_head, pa.int64()),
-                                              pa.array(base, pa.float64()), pa.array(trie.scores(texts)), tail],
-                                             names=["rid", "id", "n_tokens", "n_head", "base", "score", "tail"])
+                                              pa.array(base, pa.float64()), pa.array(scores), tail, *others],
+                                             names=["rid", "id", "n_tokens", "n_head", "base", "score", "tail", *["windows"][:len(others)]])
 
     schema = (f"rid bigint, id {src.schema['id'].dataType.simpleString()}, n_tokens bigint, n_head bigint, base double, score double, "
-              "tail array<struct<word:binary,k:bigint>>")
+              "tail array<struct<word:binary,k:bigint>>" + (", windows array<struct<code:bigint,k:bigint>>" if pruned else ""))
     part = store(src.mapInArrow(run, schema), "ppm-scores")
     rare = part.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.k")
     met = (rare.join(model.tail, "word").groupBy("rid")
            .agg(F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("rare_base"), F.sum("k").alias("rare_known")))
     unit = math.log10(model.n_tokens + model.n_words + 1)
+    if pruned:
+        others = part.select("rid", F.explode("windows").alias("w")).select("rid", "w.code", "w.k")
+        coded = others.join(store(model.leaves.coded(others.select("code").distinct()), "ppm-windows"), "code")
+        coded = coded.groupBy("rid").agg(F.sum(F.col("k") * F.col("lp")).alias("more"))
+        part = part.drop("windows").join(coded, "rid", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
     return (part.drop("tail").join(met, "rid", "left")
             .select("id", "n_tokens", (F.col("n_head") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
                     F.lit(model.n_tokens).cast("long").alias("train_tokens"),

@@ -379,6 +379,18 @@ def test_language_model_memory_floor(spark):
     assert ppm.adaptive_bits("ab" * 100) < ppm.adaptive_bits("".join(chr(33 + 7 * i % 90) for i in range(200))) and ppm.adaptive_bits(None) == 8
 
 
+def test_language_model_scores_do_not_depend_on_memory(spark):
+    train = docs(spark).where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+    everything = edge(spark).unionByName(edge(spark, [(r["doc_id"], r["text"]) for r in docs(spark).where("doc_id > 20").limit(150).collect()]))
+    whole = sorted((r["id"] or -1, r["score"]) for r in ppm.score(everything, ppm.train(train)).collect())
+    for most in (2000, 0):
+        small = ppm.train(train, max_leaves=most)
+        assert small.leaves is not None and len(small.trie.leaf[4].values[0]) <= most
+        got = sorted((r["id"] or -1, r["score"]) for r in ppm.score(everything, small).collect())
+        assert [i for i, _ in got] == [i for i, _ in whole] and [x for _, x in got] == pytest.approx([x for _, x in whole], rel=1e-9)
+    assert ppm.score(empty(spark), small).count() == 0
+
+
 # ------------------------------------------------------------------ 9 SimHash
 
 def brute_simhash(rows):
