@@ -171,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
           max_train: int = MAX_TRAIN, **kw) -> Model:
     """Fit on at most ``max_train`` documents of each label: those first by a hash of the id.
 
-    The sample is chosen from ids and labels alone, then its texts are fetched; both
-    parts are bounded by 2 * max_train rows, whatever the size of the corpus.
+    The sample is chosen from ids and labels alone, then its texts are fetched, one of each id (the first
+    by a hash of the text); both parts are bounded by 2 * max_train rows, whatever the size of the corpus.
     """
     ids = docs.select(F.col(id_col).alias("id"))
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
         return fit([], [])
     picked = docs.sparkSession.createDataFrame(sorted(chosen), ids.schema["id"].dataType).toDF("id")
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id", "left_semi")
-            .orderBy("id", "text").toLocalIterator())
+            .groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("id").toLocalIterator())
     texts, y = [], []
     for r in rows:
         texts.append(r["text"])

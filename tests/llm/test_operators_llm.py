@@ -138,6 +138,16 @@ def test_toxicity_edges(spark):
     assert none.score("any text") < 1e-3
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    rows = [(7, f"text {i} of a hot id") for i in range(300)] + [(i, f"text of {i}") for i in range(8, 20)] + [(20, None), (20, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 21)], "doc_id bigint, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, *a, **kw: taken.append((texts, y)))
+    for r in (rows, rows[::-1]):
+        toxicity.train(spark.createDataFrame(r, "doc_id bigint, text string"), labels, "toxic", max_train=50)
+    assert taken[0] == taken[1] and len(taken[0][0]) == 14 and taken[0][1] == [i % 2 for i in range(7, 21)]
+
+
 # ------------------------------------------------------------------ 3 licences
 
 def test_licenses(spark):
