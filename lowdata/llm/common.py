@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back (files go with the application)."""
+def store(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back (files go with the application).
+
+    ``few``: for tables that grow with a query set and not with the documents; no more files than cores.
+    """
     spark = df.sparkSession
+    df = df.coalesce(spark.sparkContext.defaultParallelism) if few else df
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

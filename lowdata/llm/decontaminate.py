@@ -4,7 +4,8 @@
 (row, term, pos) of every token whose term occurs in the test set - other
 postings cannot meet a query - next to one posting per row that carries its id and
 length.  Postings stay with the partition of their document, so building
-the index shuffles nothing.
+the index shuffles nothing.  Words leave a text by pieces of some ``PIECE`` characters, cut after a
+word, so no task holds an array of all words of a text.
 
 Exact phrases: every window of ``window`` consecutive test words is looked up
 from its two rarest terms (by training frequency).  A posting of the term at
@@ -29,16 +30,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lowdata.llm.common import TO_ASCII_LOWER, store
+from lowdata.llm.common import TO_ASCII_LOWER, ordinal, store
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # all that is not a digit, a-z or beyond ASCII; A-Z are lower-cased later
 TEXT_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before lower-casing
+WORD = TEXT_BREAK.replace("[", "[^", 1)
+PIECE = 2000  # characters of a text split at once; longer by the rest of its last word
 WINDOW = 10
 ROW_TERM = -1  # term number of the posting that stands for the row itself; its pos is the number of words
 
 
-def _words(text):
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), TEXT_BREAK), "")
+def spread_words(src: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """(keep..., n, pos, word): the words of every text in order, and after them one empty word at pos = n."""
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?s).{{1,{PIECE}}}{WORD[:-1]}*"), F.lit(0))
+    edge = lambda p, at: F.substring(p, at, 1).rlike(TEXT_BREAK).cast("int")  # noqa: E731  split gives an empty word there
+    count = lambda p: F.size(F.split(p, TEXT_BREAK)) - edge(p, 1) - edge(p, -1)
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"))
+    sums = F.aggregate("pieces", none, lambda a, p: F.struct(F.array_append(a["starts"], a["n"]).alias("starts"),
+                                                             (a["n"] + count(p)).alias("n")))
+    last = F.array(F.struct(F.lit(None).cast("string").alias("piece"), F.col("n").alias("start")))
+    parts = F.zip_with("pieces", "starts", lambda p, a: F.struct(p.alias("piece"), a.alias("start")))
+    words = F.when(F.col("part.piece").isNull(), F.array(F.lit(""))).otherwise(F.array_remove(F.split("part.piece", TEXT_BREAK), ""))
+    return (src.select(*keep, pieces.alias("pieces")).select("*", sums.alias("sums"))
+            .select(*keep, "pieces", "sums.starts", "sums.n").select(*keep, "n", F.explode(F.concat(parts, last)).alias("part"))
+            .select(*keep, "n", F.col("part.start").alias("start"), F.posexplode(words).alias("i", "word"))
+            .select(*keep, "n", (F.col("start") + F.col("i")).alias("pos"), "word"))
 
 
 def _ascii_lower(word):
@@ -48,10 +64,9 @@ def _ascii_lower(word):
 
 def test_positions(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, item_id, q, term, n): the words of the test items in order; item numbers the rows."""
-    src = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
-    return (src.withColumn("item", F.monotonically_increasing_id()).withColumn("words", _words(F.col("text")))
-            .select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("q", "word"))
-            .select("item", "item_id", "n", "q", _ascii_lower(F.col("word")).alias("term")))
+    src = items.select(F.monotonically_increasing_id().alias("item"), F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
+    return (spread_words(src, ["item", "item_id"]).where("word <> ''")
+            .select("item", "item_id", "n", F.col("pos").alias("q"), _ascii_lower(F.col("word")).alias("term")))
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,21 +75,18 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
     The text is read and split once; the join with the vocabulary is left to
     Spark, which broadcasts it only below its own size threshold.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = (src.select(F.monotonically_increasing_id().alias("row"), "id", _words(F.col("text")).alias("words"))
-             .select("row", "id", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
-             .select("row", "id", "pos", _ascii_lower(F.col("word")).alias("term")))
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = spread_words(src, ["row", "id"]).select("row", "id", "pos", _ascii_lower(F.col("word")).alias("term"))
     terms = vocabulary.select("term", "tid").unionByName(
         vocabulary.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(ROW_TERM).cast("long").alias("tid")))
-    return store(words.join(store(terms, "decon-terms"), "term")
+    return store(words.join(terms, "term")
                  .select("row", F.when(F.col("tid") == ROW_TERM, F.col("id")).alias("id"), F.col("tid").cast("int").alias("tid"), "pos"),
                  "decon-index")
 
 
 def vocabulary(positions: DataFrame) -> DataFrame:
     """(term, tid) of the distinct test terms; tid is dense, from 0."""
-    terms = positions.select("term").distinct()
-    return terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("tid"))
+    return ordinal(positions.select("term").distinct(), [], ["term"], "tid")
 
 
 def windows(positions: DataFrame, size: int) -> DataFrame:
@@ -91,38 +103,30 @@ def windows(positions: DataFrame, size: int) -> DataFrame:
 def phrase_hits(index: DataFrame, positions: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, item_id, start, end): maximal covered runs are not merged - one row per item window that occurs."""
     freq = index.where(F.col("tid") != ROW_TERM).groupBy("tid").agg(F.count("*").alias("freq"))
-    known = store(positions.join(freq, "tid", "left").withColumn("freq", F.coalesce("freq", F.lit(0))), "decon-test")
-    wins = store(windows(known, window), "decon-windows")
+    known = store(positions.join(freq, "tid", "left").withColumn("freq", F.coalesce("freq", F.lit(0))), "decon-test", few=True)
+    wins = windows(known, window)
+    at = lambda place: F.min(F.when(F.col("place") == place, F.col("q")))
     # windows that hold a term the training texts lack cannot occur
-    alive = (wins.groupBy("item", "s", "len").agg(
-        F.min("freq").alias("least"),
-        F.array_distinct(F.array(F.min(F.when(F.col("place") == 1, F.col("q"))),
-                                 F.coalesce(F.min(F.when(F.col("place") == 2, F.col("q"))),
-                                            F.min(F.when(F.col("place") == 1, F.col("q")))))).alias("rare"))
-             .where("least > 0").drop("least"))
-    per_item = alive.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("s", "len", "rare"))).alias("wins"))
-    lookups = (alive.select("item", F.explode("rare").alias("q")).distinct()
+    alive = store(wins.groupBy("item", "s", "len").agg(F.min("freq").alias("least"), at(1).alias("q1"), F.coalesce(at(2), at(1)).alias("q2"))
+                  .where("least > 0").drop("least"), "decon-windows", few=True)
+    lookups = (alive.select("item", F.explode(F.array("q1", "q2")).alias("q")).distinct()
                .join(known.select("item", "q", "tid"), ["item", "q"]).select("tid", "item", "q"))
-    # lists of the rarest terms, moved back to diagonals; a diagonal stays for the windows whose rare terms it holds
-    diagonals = (index.join(lookups, "tid").select("row", "item", (F.col("pos") - F.col("q")).alias("d"), "q")
-                 .groupBy("row", "item", "d").agg(F.collect_set("q").alias("seen")))
-    candidates = store(diagonals.join(per_item, "item").withColumn(
-        "wins", F.filter("wins", lambda w: F.size(F.array_except(w["rare"], F.col("seen"))) == 0))
-        .where(F.size("wins") > 0)
-        .select("row", "item", "d", F.transform("wins", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"))).alias("wins")),
-        "decon-candidates")
-    offsets = F.explode(F.array_distinct(F.flatten(F.transform("wins", lambda w: F.sequence(w["s"], w["s"] + w["len"] - 1)))))
-    needed = (candidates.select("row", "item", "d", offsets.alias("q")).join(known.select("item", "q", "tid"), ["item", "q"])
+    # lists of the rarest terms, moved back to diagonals; a window is a candidate on the diagonals that hold both of its rare terms
+    diagonals = store(index.join(lookups, "tid").select("row", "item", (F.col("pos") - F.col("q")).alias("d"), "q"), "decon-diagonals")
+    first = diagonals.withColumnRenamed("q", "q1").join(alive, ["item", "q1"])
+    candidates = store(first.join(diagonals.withColumnRenamed("q", "q2"), ["row", "item", "d", "q2"], "left_semi")
+                       .select("row", "item", "d", "s", "len"), "decon-candidates")
+    offsets = F.explode(F.sequence("s", F.col("s") + F.col("len") - 1)).alias("q")
+    needed = (candidates.select("row", "item", "d", offsets).distinct().join(known.select("item", "q", "tid"), ["item", "q"])
               .select("row", (F.col("d") + F.col("q")).alias("pos"), "tid", "item", "d", "q"))
     # only the lists of rows with a candidate are read into the last intersection
     near = index.join(candidates.select("row").distinct(), "row", "left_semi").select("row", "pos", "tid")
-    matched = (needed.join(near, ["row", "pos", "tid"]).groupBy("row", "item", "d").agg(F.collect_set("q").alias("ok")))
-    found = (matched.join(candidates, ["row", "item", "d"])
-             .select("row", "item", "d", "ok", F.explode("wins").alias("w"))
-             .where(F.size(F.array_except(F.sequence(F.col("w.s"), F.col("w.s") + F.col("w.len") - 1), F.col("ok"))) == 0))
+    matched = needed.join(near, ["row", "pos", "tid"]).select("row", "item", "d", "q")
+    found = (candidates.select("*", offsets).join(matched, ["row", "item", "d", "q"])
+             .groupBy("row", "item", "d", "s", "len").agg(F.count("*").alias("met")).where("met = len"))
     ids = known.select("item", "item_id").distinct()
-    return found.join(ids, "item").select("row", "item_id", (F.col("d") + F.col("w.s")).alias("start"),
-                                          (F.col("d") + F.col("w.s") + F.col("w.len")).alias("end"))
+    return found.join(ids, "item").select("row", "item_id", (F.col("d") + F.col("s")).alias("start"),
+                                          (F.col("d") + F.col("s") + F.col("len")).alias("end"))
 
 
 def proximity_hits(index: DataFrame, positions: DataFrame, slop: int) -> DataFrame:
@@ -148,8 +152,8 @@ def proximity_hits(index: DataFrame, positions: DataFrame, slop: int) -> DataFra
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(row, id, n_words, n_hit, item_ids) per input row; n_hit counts words inside any occurring window."""
-    positions = store(test_positions(items, item_id, item_text), "decon-items")
-    terms = store(vocabulary(positions), "decon-vocabulary")
+    positions = store(test_positions(items, item_id, item_text), "decon-items", few=True)
+    terms = store(vocabulary(positions), "decon-vocabulary", few=True)
     positions = positions.join(terms, "term")
     index = build_index(docs, terms, id_col, text_col)
     hits = store(phrase_hits(index, positions, window), "decon-hits")

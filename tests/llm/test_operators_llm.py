@@ -101,6 +101,19 @@ def test_decontamination_edges(spark):
     assert dc.decontaminate(empty(spark), bench).count() == 0
 
 
+def test_decontamination_words_by_pieces(spark):
+    """Pieces of a text give the words and places of the whole text: long words, marks beyond the BMP, one long text."""
+    texts = ["", None, "...", "a" * 9000 + " b", ("x\U0001F600 " * 5000) + "end", "  lead " * 900, "word " * 2_000_000 + "last", "é," * 7000]
+    src = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = dc.spread_words(src, ["k"]).groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("c"), F.count_distinct("pos").alias("places"),
+                                                       F.min("pos").alias("lo"), F.max("pos").alias("hi"),
+                                                       F.max_by("word", F.when(F.col("word") != "", F.col("pos"))).alias("last"))
+    for r in got.collect():
+        words = re.findall(dc.WORD, texts[r["k"]] or "")
+        assert (r["n"], r["c"], r["places"], r["lo"], r["hi"]) == (len(words), len(words) + 1, len(words) + 1, 0, len(words))
+        assert (r["last"] or "") == (words[-1] if words else "")
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x x b y y c"), (2, "c b a"), (3, "a b"), (4, "a x x x x x b c"), (5, None)], "doc_id int, text string")
     pos = dc.test_positions(spark.createDataFrame([(1, "a b c")], "item_id int, text string"))
