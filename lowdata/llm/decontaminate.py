@@ -119,9 +119,8 @@ def phrase_hits(index: DataFrame, positions: DataFrame, window: int = WINDOW) ->
     offsets = F.explode(F.sequence("s", F.col("s") + F.col("len") - 1)).alias("q")
     needed = (candidates.select("row", "item", "d", offsets).distinct().join(known.select("item", "q", "tid"), ["item", "q"])
               .select("row", (F.col("d") + F.col("q")).alias("pos"), "tid", "item", "d", "q"))
-    # only the lists of rows with a candidate are read into the last intersection
-    near = index.join(candidates.select("row").distinct(), "row", "left_semi").select("row", "pos", "tid")
-    matched = needed.join(near, ["row", "pos", "tid"]).select("row", "item", "d", "q")
+    # both sides are dealt by word at every size: a long text or a frequent term is many tasks
+    matched = needed.join(index.select("row", "pos", "tid").hint("merge"), ["row", "pos", "tid"]).select("row", "item", "d", "q")
     found = (candidates.select("*", offsets).join(matched, ["row", "item", "d", "q"])
              .groupBy("row", "item", "d", "s", "len").agg(F.count("*").alias("met")).where("met = len"))
     ids = known.select("item", "item_id").distinct()
