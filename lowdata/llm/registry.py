@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowdata.llm import decontaminate as dc
-from lowdata.llm import hostgraph, licenses, packing, pii, ppm, sharding, simhash, toxicity, vectors
+from lowdata.llm import conversations, hostgraph, langid, licenses, packing, pii, ppm, runs, sharding, simhash, toxicity, vectors
 from lowdata.llm.common import crc_fold, table
+from lowdata.llm.twins import SQL_OP11, SQL_OP12
 
 LLM_QUERIES: dict = {}
 
@@ -132,3 +133,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families that each document's paragraphs declare."""
     docs = table(spark, sf_dir, "documents")
     return licenses.documents(licenses.scan(docs, licenses.train(docs))).withColumnRenamed("id", "doc_id")
+
+
+@register("op11_runs", SQL_OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, after repetitions planted by its id."""
+    return runs.digest(table(spark, sf_dir, "documents"), words_of=runs.planted).withColumnRenamed("id", "doc_id")
+
+
+@register("op12_conversations", SQL_OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired at least cost after faults chosen by crc32('conv_id:turn')."""
+    return conversations.digest(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+@register("op13_language")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows with crc32(doc_id) mod 4 = 2 are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc_fold("doc_id", 4) != 2))
+    return langid.identify(docs, model).select(
+        F.col("id").alias("doc_id"), F.coalesce(crc_fold("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

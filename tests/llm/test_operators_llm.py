@@ -549,7 +549,7 @@ def test_pii_field_reaches_every_repeat(spark):
 
 def test_every_query_is_registered():
     names = set(LLM_QUERIES)
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in LLM_QUERIES.items() if sql])
