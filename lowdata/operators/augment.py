@@ -2,10 +2,12 @@
 
 An augmented train set has ``uid STRING, row_id BIGINT (null for synthetic),
 y INT, features ARRAY<DOUBLE>, is_synth BOOLEAN, src_row_id BIGINT``.
-Random draws are seeded md5 uniforms keyed by the draw index, so the
-synthetic rows are the same whatever the partitioning.  Draw tables come
-from ``spark.range(need)`` and meet the (ranked) source rows in equi-joins;
-only per-run scalars (class counts, need) reach the driver.
+Draws are made in place: positives are ranked by a seeded hash, and the positive of rank r
+of p makes the draws floor(need (r - 1) / p) up to floor(need r / p), exploded from its own row (systematic
+resampling: every positive is drawn as often as any other, but for one draw, and which get that one is left to the
+hash).  No table of draws is joined with anything, and a positive with very many draws is many tasks.
+What else is random is a seeded md5 uniform of the draw, so the synthetic rows are the same whatever the
+partitioning; only per-run scalars (class counts, need) reach the driver.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lowdata.functions.hashing import normal, uniform
 from lowdata.operators.knn import knn, nn_dist
+from lowdata.operators.layout import spread
 from lowdata.operators.ranking import hash_rank, join_small, take_first, take_nearest, with_scalars
 from lowdata.operators.relational import exact_quantiles
 from lowdata.session import materialize
@@ -51,9 +54,18 @@ def _ranked_positives(df: DataFrame, seed: int, stream: str) -> DataFrame:
     return hash_rank(pos, None, "_u", "row_id", out="pos_rank").drop("_u")
 
 
-def _draws(spark: SparkSession, need: int, seed: int, stream: str) -> DataFrame:
-    return spark.range(need).withColumnRenamed("id", "draw").withColumn(
-        "_u", uniform(F.lit(seed), F.lit(stream), F.col("draw")))
+DRAWS_AT_ONCE = 1 << 14  # of one positive in a task
+
+
+def _draws_in_place(pos: DataFrame, need: int, p: int) -> DataFrame:
+    """Ranked positives, each as often as it is drawn, with the number of the ``draw`` (0 .. need - 1)."""
+    upto = lambda r: F.expr(f"{need}L * ({r}) div {p}L")
+    mine = pos.withColumn("_lo", upto("pos_rank - 1")).withColumn("_hi", upto("pos_rank")).where("_hi > _lo")
+    part = mine.withColumn("_c", F.explode(F.expr(f"sequence(0L, (_hi - _lo - 1) div {DRAWS_AT_ONCE}L)")))
+    first = F.col("_lo") + F.col("_c") * DRAWS_AT_ONCE
+    return (spread(part, "row_id", "_c")
+            .withColumn("draw", F.explode(F.sequence(first, F.least(F.col("_hi"), first + DRAWS_AT_ONCE) - 1)))
+            .drop("_lo", "_hi", "_c"))
 
 
 # ------------------------------------------------------------------ A3
@@ -78,11 +90,8 @@ def oversample_to_const(train: DataFrame, target: int | None, seed: int = 42) ->
     n, p = _counts(real)
     if target is None or target <= n or p == 0:
         return real
-    need = target - n
-    pos = _ranked_positives(real.filter(~F.col("is_synth")), seed, "os-order")
-    draws = _draws(train.sparkSession, need, seed, "os").withColumn(
-        "pos_rank", (F.floor(F.col("_u") * F.lit(p)) + 1).cast("long"))
-    syn = draws.join(pos.select("pos_rank", "row_id", "features"), on="pos_rank", how="inner").select(
+    pos = _ranked_positives(real.filter(~F.col("is_synth")), seed, "os-order").select("pos_rank", "row_id", "features")
+    syn = _draws_in_place(pos, target - n, p).select(
         F.concat(F.lit("os:"), F.col("draw").cast("string")).alias("uid"), F.lit(None).cast("long").alias("row_id"),
         F.lit(1).alias("y"), "features", F.lit(True).alias("is_synth"), F.col("row_id").alias("src_row_id"))
     return with_synth(real, syn)
@@ -91,46 +100,37 @@ def oversample_to_const(train: DataFrame, target: int | None, seed: int = 42) ->
 # ------------------------------------------------------------------ A2
 
 def smote_to_const(train: DataFrame, target: int | None, seed: int = 42, k: int = 5) -> DataFrame:
-    """A2: SMOTE among positives: base uniform, neighbour uniform among its k_eff nearest
-    (self excluded; a random other positive when none), point ``x_i + t (x_j - x_i)``.
-    Fewer than 2 positives -> A1."""
+    """A2: SMOTE among positives: bases dealt evenly, neighbour uniform among the base's k_eff nearest
+    (self excluded; one random other positive of the base when none), point ``x_i + t (x_j - x_i)``.
+    Fewer than 2 positives -> A1.
+
+    Each base row takes up its at most k neighbours' features (joins of p x k rows), then makes its draws in place.
+    """
     real = as_train(train) if "uid" not in train.columns else train
     n, p = _counts(real)
     if target is None or target <= n:
         return real
     if p < 2:
         return oversample_to_const(real, target, seed)
-    need = target - n
     k_eff = min(int(k), max(1, p - 1))
     pos = materialize(_ranked_positives(real, seed, "sm-order").select("pos_rank", "row_id", "features"))
-    nb = knn(pos, pos, k_eff, "row_id", "row_id", "features")
-    cands = (nb.filter(F.col("q_id") != F.col("nbr_id"))
-             .groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("nbr_rank", "nbr_id"))).alias("_c"))
-             .select(F.col("q_id").alias("base_id"), F.transform("_c", lambda s: s["nbr_id"]).alias("cands")))
-    ids = pos.select("pos_rank", "row_id")
-    d = _draws(train.sparkSession, need, seed, "sm-i").withColumn(
-        "pos_rank", (F.floor(F.col("_u") * F.lit(p)) + 1).cast("long"))
-    d = d.join(ids.withColumnRenamed("row_id", "base_id"), on="pos_rank", how="inner")
-    d = d.join(cands, on="base_id", how="left")
-    nc = F.coalesce(F.size("cands"), F.lit(0))
-    uj = uniform(F.lit(seed), F.lit("sm-j"), F.col("draw"))
-    alt = (F.floor(uniform(F.lit(seed), F.lit("sm-alt"), F.col("draw")) * F.lit(p - 1)) + 1).cast("long")
-    alt = F.when(alt >= F.col("pos_rank"), alt + 1).otherwise(alt)
-    d = d.withColumn("alt_rank", F.when(nc == 0, alt)).withColumn(
-        "nbr_id", F.when(nc > 0, F.element_at("cands", (F.floor(uj * nc) + 1).cast("int"))))
-    d = (d.join(ids.select(F.col("pos_rank").alias("alt_rank"), F.col("row_id").alias("_alt_id")),
-                on="alt_rank", how="left")
-         .withColumn("nbr_id", F.coalesce("nbr_id", "_alt_id"))
-         .withColumn("t", uniform(F.lit(seed), F.lit("sm-t"), F.col("draw"))))
-    xs = pos.select(F.col("row_id").alias("base_id"), F.col("features").alias("xi"))
-    xj = pos.select(F.col("row_id").alias("nbr_id"), F.col("features").alias("xj"))
-    d = d.join(xs, on="base_id", how="inner").join(xj, on="nbr_id", how="inner")
+    x = pos.select(F.col("row_id").alias("nbr_id"), F.col("features").alias("xj"))
+    near = (knn(pos, pos, k_eff, "row_id", "row_id", "features").filter(F.col("q_id") != F.col("nbr_id")).join(x, "nbr_id")
+            .groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("nbr_rank", "nbr_id", "xj"))).alias("_near"))
+            .withColumnRenamed("q_id", "row_id"))
+    other = (F.floor(uniform(F.lit(seed), F.lit("sm-alt"), F.col("row_id")) * F.lit(p - 1)) + 1).cast("long")
+    alone = (pos.join(near, "row_id", "left_anti")
+             .withColumn("_at", F.when(other >= F.col("pos_rank"), other + 1).otherwise(other)).select("row_id", "_at")
+             .join(pos.select(F.col("pos_rank").alias("_at"), F.col("row_id").alias("nbr_id"), F.col("features").alias("xj")), "_at")
+             .select("row_id", F.array(F.struct(F.lit(1).alias("nbr_rank"), "nbr_id", "xj")).alias("_near")))
+    bases = pos.join(near.unionByName(alone), "row_id")
+    pick = (F.floor(uniform(F.lit(seed), F.lit("sm-j"), F.col("draw")) * F.size("_near")) + 1).cast("int")
+    d = (_draws_in_place(bases, target - n, p).withColumn("_to", F.element_at("_near", pick))
+         .withColumn("_t", uniform(F.lit(seed), F.lit("sm-t"), F.col("draw"))))
     syn = d.select(
         F.concat(F.lit("sm:"), F.col("draw").cast("string")).alias("uid"), F.lit(None).cast("long").alias("row_id"),
-        F.lit(1).alias("y"),
-        F.zip_with("xi", "xj", lambda a, b: a + F.col("t") * (b - a)).alias("features"),
-        F.lit(True).alias("is_synth"), F.col("base_id").alias("src_row_id"),
-        F.col("nbr_id").alias("_nbr"), F.col("t").alias("_t"), F.col("draw").alias("_draw"))
+        F.lit(1).alias("y"), F.zip_with("features", "_to.xj", lambda a, b: a + F.col("_t") * (b - a)).alias("features"),
+        F.lit(True).alias("is_synth"), F.col("row_id").alias("src_row_id"), F.col("_to.nbr_id").alias("_nbr"), "_t", F.col("draw").alias("_draw"))
     return real.select(*AUG_COLS, F.lit(None).cast("long").alias("_nbr"), F.lit(None).cast("double").alias("_t"),
                        F.lit(None).cast("long").alias("_draw")).unionByName(syn)
 
@@ -295,10 +295,10 @@ def smote_nn_median(aug: DataFrame) -> DataFrame:
 def fit_sampler(df: DataFrame, kind: str = "diag_gaussian", k: int = 3, dims: int = 8, seed: int = 42):
     """Fit a tabular sampler on (positive) rows.
 
-    ``diag_gaussian``: per-feature moments (the scaler table).  ``gmm``: PCA to
-    ``dims`` components, then spark.ml ``GaussianMixture`` with ``k`` components
-    (both distributed fits); returns a small parameter dict (means, covariances,
-    weights, PCA basis, feature means) that :func:`sample_gmm` broadcasts.
+    ``diag_gaussian``: per-feature moments (the scaler table).  ``gmm``: the rows less their mean,
+    projected on their ``dims`` first principal components, a spark.ml ``GaussianMixture`` of ``k``
+    components there, and for every feature the variance that the projection leaves (all distributed
+    fits); returns a small parameter dict that :func:`sample_gmm` broadcasts.
     """
     if kind == "diag_gaussian":
         return fit_scaler(df)
@@ -306,20 +306,26 @@ def fit_sampler(df: DataFrame, kind: str = "diag_gaussian", k: int = 3, dims: in
         raise ValueError(f"unknown sampler kind: {kind}")
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import PCA
-    d = df.select(array_to_vector("features").alias("fv"))
-    pca = PCA(k=dims, inputCol="fv", outputCol="pc").fit(d)
-    z = pca.transform(d).select("pc")
+    raw = df.where(F.col("features").isNotNull()).select(F.col("features").cast("array<double>").alias("x"))
+    mean = fit_scaler(raw, "x").first()["mean"]
+    centred = raw.select(array_to_vector(F.zip_with("x", F.array(*map(F.lit, mean)), lambda a, m: a - m)).alias("fv"))
+    pca = PCA(k=min(dims, len(mean)), inputCol="fv", outputCol="pc").fit(centred)
+    z = pca.transform(centred)
     gm = GaussianMixture(k=k, featuresCol="pc", seed=seed).fit(z)
     g = gm.gaussiansDF.collect()  # k rows of (mean, cov): bounded by k x dims^2
+    basis = pca.pc.toArray()
+    both = z.select(Summarizer.metrics("variance").summary(F.col("fv")).alias("f"), Summarizer.metrics("variance").summary(F.col("pc")).alias("c")).first()
+    left = both["f"]["variance"].toArray() - (basis ** 2) @ both["c"]["variance"].toArray()  # the components are uncorrelated
     return {"weights": np.asarray(gm.weights), "means": np.stack([r["mean"].toArray() for r in g]),
-            "covs": np.stack([r["cov"].toArray() for r in g]), "basis": pca.pc.toArray()}
+            "covs": np.stack([r["cov"].toArray() for r in g]), "basis": basis, "mean": np.asarray(mean), "left": np.maximum(left, 0.0)}
 
 
-def _gmm_fn(bc, dims, seed):
+def _gmm_fn(bc, seed):
     def run(it):
         p = bc.value
-        chol = [np.linalg.cholesky(c + 1e-9 * np.eye(dims)) for c in p["covs"]]
-        cum = np.cumsum(p["weights"])
+        dims, wide = p["means"].shape[1], len(p["mean"])
+        chol = [np.linalg.cholesky(c + 1e-12 * max(np.trace(c), 1e-300) * np.eye(dims)) for c in p["covs"]]
+        cum, noise = np.cumsum(p["weights"]), np.sqrt(p["left"])
         for pdf in it:
             if len(pdf) == 0:
                 continue
@@ -330,16 +336,59 @@ def _gmm_fn(bc, dims, seed):
             for c in range(len(cum)):  # one matrix product per mixture component
                 sel = comp == c
                 pc[sel] = p["means"][c] + z[sel] @ chol[c].T
-            x = pc @ p["basis"].T
+            own = np.stack([np.random.Generator(np.random.Philox(key=[seed, int(i)])).standard_normal(wide) for i in pdf["gen_id"]])
+            x = p["mean"] + pc @ p["basis"].T + noise * own
             yield pd.DataFrame({"gen_id": pdf["gen_id"].values, "component": comp.astype("int32"), "features": list(x)})
     return run
 
 
 def sample_gmm(spark: SparkSession, params: dict, n_gen: int, seed: int) -> DataFrame:
-    """Draw ``n_gen`` rows from a fitted mixture: seeded component choice and normal latents,
-    mapped back through the PCA basis (parameters broadcast, NumPy batches).  The
-    spark.ml PCA does not centre, so no mean is added back."""
-    dims = params["means"].shape[1]
+    """Draw ``n_gen`` rows from a fitted mixture: seeded component choice and normal latents, mapped back through the
+    principal components, plus the mean and each feature's own remaining variance (noise of a generator keyed by
+    the seed and ``gen_id``; parameters broadcast, NumPy batches)."""
     bc = spark.sparkContext.broadcast(params)
-    g = latents(spark, n_gen, dims, seed).withColumn("u", uniform(F.lit(seed), F.lit("gmm"), F.col("gen_id")))
-    return g.mapInPandas(_gmm_fn(bc, dims, seed), "gen_id long, component int, features array<double>")
+    g = latents(spark, n_gen, params["means"].shape[1], seed).withColumn("u", uniform(F.lit(seed), F.lit("gmm"), F.col("gen_id")))
+    return g.mapInPandas(_gmm_fn(bc, seed), "gen_id long, component int, features array<double>")
+
+
+# ------------------------------------------------------------------ A5 parameter table
+
+BIAS_ROW = -1  # row number of a layer's bias
+PARAM_BYTES = 64 << 20  # of all weights as float64, as they are broadcast
+
+
+def layers_table(spark: SparkSession, layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Weights as rows ``layer, row, values``: one row per row of a layer's matrix, and one (row -1) for its bias."""
+    rows = [(i, r, [float(v) for v in vec]) for i, (w, b) in enumerate(layers)
+            for r, vec in [*enumerate(np.asarray(w)), (BIAS_ROW, np.asarray(b).reshape(-1))]]
+    return spark.createDataFrame(rows, "layer int, row int, values array<double>")
+
+
+def read_layers(params: DataFrame, max_bytes: int = PARAM_BYTES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The layers of a parameter table, checked before anything is fetched: size, gapless layers and rows, one
+    bias a layer, equal widths within a layer, each layer as wide as the next expects, finite numbers."""
+    p = params.select(F.col("layer").cast("int").alias("layer"), F.col("row").cast("int").alias("row"), F.col("values").cast("array<double>").alias("v"))
+    odd = F.exists(F.coalesce("v", F.array(F.lit(None).cast("double"))), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    size = p.agg(F.sum(F.size("v").cast("long") * 8).alias("bytes"), F.count_if(odd | F.col("row").isNull() | F.col("layer").isNull()).alias("odd"),
+                 F.max("layer").alias("last")).first()
+    if not size["bytes"]:
+        raise ValueError("the parameter table is empty")
+    if size["odd"]:
+        raise ValueError(f"{size['odd']} parameter rows hold nulls or non-finite numbers")
+    if size["bytes"] > max_bytes:
+        raise ValueError(f"{size['bytes']} bytes of parameters; at most {max_bytes} are broadcast")
+    shapes = {r["layer"]: r for r in p.groupBy("layer").agg(
+        F.count_if(F.col("row") == BIAS_ROW).alias("biases"), F.count_if(F.col("row") >= 0).alias("rows"), F.max("row").alias("top"),
+        F.count_distinct(F.when(F.col("row") >= 0, F.col("row"))).alias("distinct"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).collect()}
+    width = None
+    for i in range(size["last"] + 1):
+        s = shapes.get(i)
+        if s is None or s["biases"] != 1 or not s["rows"] or s["rows"] != s["distinct"] or s["top"] != s["rows"] - 1 or s["lo"] != s["hi"]:
+            raise ValueError(f"layer {i} is not one bias and gapless rows of one width")
+        if width is not None and s["rows"] != width:
+            raise ValueError(f"layer {i} takes {s['rows']} numbers, layer {i - 1} gives {width}")
+        width = s["hi"]
+    held: dict = {}
+    for r in p.collect():  # at most max_bytes
+        held.setdefault(r["layer"], {})[r["row"]] = r["v"]
+    return [(np.array([held[i][r] for r in range(len(held[i]) - 1)]), np.array(held[i][BIAS_ROW])) for i in range(len(held))]

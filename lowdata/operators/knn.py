@@ -1,29 +1,40 @@
-"""Exact k-nearest-neighbour join (A7 / J6), Euclidean, ties broken by neighbour id.
+"""Exact k-nearest-neighbour join (A7 / J6) over a metric index, Euclidean, ties broken by neighbour id.
 
 Spark has no kNN join, so this is the one place with NumPy inside tasks.  Both sides
 stay distributed and pairs are never emitted as rows:
 
-* both sides are dealt by a hash of the id into blocks of some ``block_bytes``;
-* a query row is sent to every reference block and a reference row to every query
-  block (once each when the other side is one block), and one co-grouped task
-  scores one pair of blocks and returns the top-k of its query rows;
+* some ``sqrt(n)`` reference rows, chosen by a hash of the id, are pivots (bounded in number and bytes); every
+  reference row belongs to the cell of its nearest pivot;
+* a cell is known by its number of rows, the least and greatest distance to its pivot and its ``k`` least distances: one
+  small row a cell.  A query row with distances d(q, p) has k neighbours within the k-th least of
+  ``d(q, p) + t`` over all cells' least distances t, and by the triangle inequality none in cells whose lower bounds
+  ``d(q, p) - greatest``, ``least - d(q, p)`` or half-space distance exceed that; it is sent to the other cells only;
+* large cells are cut into blocks by a hash, and so are the queries that meet a cell; one co-grouped
+  task scores one pair of bounded blocks and returns the top-k of its query rows;
 * partial top-k lists are merged per query row, at most ``MERGE`` at a time.
 
-Nothing passes through the driver but two counts.  Distances are ranked with
+What passes through the driver is one small row a cell.  Distances are ranked with
 the BLAS expansion ``|a|^2 + |b|^2 - 2ab`` after moving the origin to the mean of the
 reference block (far from the origin the expansion would lose its digits) and the candidates are
 re-scored exactly as ``sqrt(sum((a - b)^2))`` before the final order, so near ties
-are decided on exact distances.
+are decided on exact distances; bounds are widened by the rounding of the expansion.  Rows with a
+non-finite component meet, and are met by, everything.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lowdata.session import materialize
+
 BLOCK_BYTES = 8 << 20  # of one side's dense float64 matrix in a task
+PIVOT_BYTES = 8 << 20  # of all pivots
+MAX_PIVOTS = 2048
 MERGE = 64  # partial lists of one query row merged at once
 CHUNK_CELLS = 4_000_000  # query x reference distance cells evaluated at once in a task
 CAND_CELLS = 8_000_000   # query x candidate x dim cells of the exact re-scoring
@@ -91,7 +102,7 @@ def _score_blocks(k):
         step, out = max(1, CHUNK_CELLS // len(rids)), []
         for s in range(0, len(qids), step):
             idx, dist = _topk_exact(qx[s:s + step], rx, rids, k)
-            out.append(pd.DataFrame({"q_id": np.repeat(qids[s:s + step], idx.shape[1]), "part": int(key[1]),
+            out.append(pd.DataFrame({"q_id": np.repeat(qids[s:s + step], idx.shape[1]), "part": int(key[0]),
                                      "nbr_id": rids[idx].reshape(-1), "dist": dist.reshape(-1)}))
         return pd.concat(out)
     return run
@@ -110,22 +121,178 @@ def _merge(partials: DataFrame, k: int, parts: int) -> DataFrame:
         "q_id", F.col("_t.nbr_id").alias("nbr_id"), F.col("_t.dist").alias("dist"), (F.col("_pos") + 1).cast("int").alias("nbr_rank"))
 
 
+class Pivots:
+    """Reference rows that stand for cells; cell ``len(self.x)`` holds rows with a non-finite component."""
+
+    def __init__(self, x: np.ndarray):
+        self.mid = x.mean(0) if len(x) else np.zeros(x.shape[1] if x.ndim == 2 else 0)
+        self.x = x - self.mid
+        self.x2 = (self.x * self.x).sum(1)
+        self.apart = np.sqrt(np.maximum(self.x2[:, None] + self.x2[None, :] - 2 * self.x @ self.x.T, 0))
+
+    def distances(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row x pivot distances, the rounding to allow for them); infinite for non-finite rows."""
+        c = rows - self.mid
+        bad = ~np.isfinite(c).all(1)
+        c[bad] = 0
+        c2 = (c * c).sum(1)
+        d = np.sqrt(np.maximum(c2[:, None] + self.x2[None, :] - 2.0 * (c @ self.x.T), 0))
+        d[bad] = np.inf
+        top = self.x2.max() if len(self.x2) else 0.0
+        return d, 4 * np.sqrt(np.finfo(float).eps * (rows.shape[1] + 4) * (c2 + top))
+
+
+def _chunks(pdf: pd.DataFrame, pivots: Pivots, wide: int = 1):
+    step = max(1, CHUNK_CELLS // max(1, len(pivots.x) * wide))
+    for s in range(0, len(pdf), step):
+        part = pdf.iloc[s:s + step]
+        yield part, *pivots.distances(_matrix(part["_f"].values))
+
+
+def _assign(bc):
+    """Reference rows with their cell and the distance to its pivot."""
+    def run(it):
+        for pdf in it:
+            for part, d, _ in _chunks(pdf, bc.value) if len(pdf) else ():
+                near = d.argmin(1) if d.shape[1] else np.zeros(len(part), int)
+                at = d[np.arange(len(part)), near] if d.shape[1] else np.full(len(part), np.inf)
+                yield part.assign(_cell=np.where(np.isfinite(at), near, len(bc.value.x)).astype("int32"), _d=at)
+    return run
+
+
+def _least(k):
+    """The k least pivot distances of each cell within a partition."""
+    def run(it):
+        held = None
+        for pdf in it:
+            held = pd.concat([held, pdf]) if held is not None else pdf
+            held = held.sort_values(["_cell", "_d"]).groupby("_cell").head(k)
+        if held is not None and len(held):
+            yield held
+    return run
+
+
+def _groups(cells: pd.DataFrame, pivots: Pivots, block_rows: int) -> pd.DataFrame:
+    """Cells with their group: neighbouring cells (a chain of nearest pivots) up to ``block_rows`` rows, large ones alone.
+
+    A query row meets a group once, so even where no cell can be ruled out it is copied once a block.
+    """
+    n = len(pivots.x)
+    rows = cells.set_index("_cell")["rows"].to_dict()
+    left, chain = set(c for c in rows if c < n), []
+    while left:
+        if chain:
+            open_cells = np.fromiter(left, int)
+            at = int(open_cells[pivots.apart[chain[-1], open_cells].argmin()])
+        else:
+            at = min(left)
+        chain.append(at)
+        left.remove(at)
+    group, held, of = 0, 0, {}
+    for c in [*chain, *(c for c in rows if c == n)]:
+        if held and held + rows[c] > block_rows:
+            group, held = group + 1, 0
+        of[c] = group
+        held += rows[c]
+    return cells.assign(group=cells["_cell"].map(of))
+
+
+def _visits(bc, cells: pd.DataFrame, k: int):
+    """Query rows with the groups of cells that can hold one of their k nearest rows."""
+    def run(it):
+        pivots = bc.value
+        n = len(pivots.x)
+        low, high = np.full(n, np.inf), np.full(n, -np.inf)
+        least = np.full((n, k), np.inf)
+        some = cells[cells["_cell"] < n]
+        at = some["_cell"].to_numpy(int)
+        low[at], high[at] = some["lo"], some["hi"]
+        for c, ts in zip(at, some["least"]):
+            least[c, :len(ts)] = ts
+        order = cells.sort_values("group")
+        column, group = order["_cell"].to_numpy(int), order["group"].to_numpy(int)
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        for pdf in it:
+            for part, d, tol in _chunks(pdf, pivots, k + 2) if len(pdf) and len(cells) else ():
+                meet = np.ones((len(part), n + 1), bool)  # the last cell, of odd rows, is always met
+                if n:
+                    sums = (d[:, :, None] + least).reshape(len(part), -1)
+                    reach = np.partition(sums, k - 1, axis=1)[:, k - 1] + tol if sums.shape[1] >= k else np.full(len(part), np.inf)
+                    own = d.argmin(1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        far = np.maximum(d - high, low - d)
+                        half = (d ** 2 - np.take_along_axis(d, own[:, None], 1) ** 2) / (2 * pivots.apart[own])
+                        far = np.fmax(far, np.where(np.isfinite(half), half, -np.inf)) - tol[:, None]
+                        meet[:, :n] = ~(far > reach[:, None])
+                met = np.logical_or.reduceat(meet[:, column], starts, axis=1)
+                yield pd.DataFrame({"_qid": part["_qid"].values, "_f": part["_f"].values,
+                                    "_groups": [group[starts[np.flatnonzero(m)]].astype("int32") for m in met]})
+    return run
+
+
+class _Index:
+    """Both sides with their cells, and the number of blocks that a cell and its visitors are cut into."""
+
+    def __init__(self, query: DataFrame, ref: DataFrame, k: int, q_id: str, r_id: str, features: str, block_bytes: int, pivots: int | None):
+        spark = ref.sparkSession
+        self.q = query.select(F.col(q_id).cast("long").alias("_qid"), F.col(features).cast("array<double>").alias("_f"))
+        r = ref.select(F.col(r_id).cast("long").alias("_rid"), F.col(features).cast("array<double>").alias("_f"))
+        size = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first()
+        self.n, d = size["n"], max(size["d"] or 1, 1)
+        want = math.isqrt(self.n) + 1 if pivots is None else pivots
+        want = max(1, min(want, MAX_PIVOTS, PIVOT_BYTES // (8 * d)))
+        finite = F.forall("_f", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        picked = r.where(finite).orderBy(F.xxhash64("_rid"), "_rid").limit(want).select("_f").collect()
+        pivot = Pivots(_matrix([p["_f"] for p in picked]) if picked else np.zeros((0, d)))
+        bc = spark.sparkContext.broadcast(pivot)
+        self.ref = materialize(r.mapInPandas(_assign(bc), "_rid long, _f array<double>, _cell int, _d double"))
+        few = (self.ref.select("_cell", "_d").mapInPandas(_least(k), "_cell int, _d double")
+               .withColumn("_p", F.pmod(F.spark_partition_id(), F.lit(MERGE))))
+        for keys in (["_cell", "_p"], ["_cell"]):
+            few = (few.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("_d")), 1, k).alias("least"))
+                   .select(*keys, F.explode("least").alias("_d")))
+        least = few.groupBy("_cell").agg(F.array_sort(F.collect_list("_d")).alias("least"))
+        span = self.ref.groupBy("_cell").agg(F.count(F.lit(1)).alias("rows"), F.min("_d").alias("lo"), F.max("_d").alias("hi"))
+        block = max(1, block_bytes // (8 * d))
+        self.cells = _groups(span.join(least, "_cell").toPandas(), pivot, block)
+        self.met = materialize(self.q.mapInPandas(_visits(bc, self.cells, k), "_qid long, _f array<double>, _groups array<int>"))
+        seen = self.met.select(F.explode("_groups").alias("group")).groupBy("group").count().toPandas()
+        plan = self.cells.groupby("group", as_index=False)["rows"].sum().merge(seen.rename(columns={"count": "visits"}), on="group")
+        plan["nr"], plan["nq"] = -(-plan["rows"] // block), -(-plan["visits"] // block)
+        plan["first"] = plan["nr"].cumsum() - plan["nr"]
+        self.plan = plan
+        self.parts = int(plan["nr"].sum())
+
+
 def knn(query: DataFrame, ref: DataFrame, k: int = 1, q_id: str = "row_id", r_id: str = "row_id",
-        features: str = "features", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        features: str = "features", block_bytes: int = BLOCK_BYTES, pivots: int | None = None) -> DataFrame:
     """Top-k reference rows of every query row: ``q_id, nbr_id, dist, nbr_rank`` (1..k)."""
-    q = query.select(F.col(q_id).cast("long").alias("_qid"), F.col(features).alias("_f"))
-    r = ref.select(F.col(r_id).cast("long").alias("_rid"), F.col(features).alias("_f"))
-    blocks = []
-    for side in (q, r):
-        n = side.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first()
-        blocks.append(max(1, -(-n["n"] * max(n["d"] or 1, 1) * 8 // block_bytes)))
-    nq, nr = blocks
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("_qb", own("_qid", nq)).withColumn("_rb", every(nr)).groupBy("_qb", "_rb")
-    right = r.withColumn("_rb", own("_rid", nr)).withColumn("_qb", every(nq)).groupBy("_qb", "_rb")
+    ix = _Index(query, ref, k, q_id, r_id, features, block_bytes, pivots)
+    spark = ref.sparkSession
+    if not ix.parts:
+        return spark.createDataFrame([], OUT_SCHEMA)
+    plan = spark.createDataFrame(ix.plan[["group", "nr", "nq", "first"]].astype(int).values.tolist(), "group int, nr int, nq int, first int")
+    cell = spark.createDataFrame(ix.cells[["_cell", "group"]].astype(int).values.tolist(), "_cell int, group int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = (ix.met.select("_qid", "_f", F.explode("_groups").alias("group")).join(plan, "group")
+            .withColumn("_qb", own("_qid", "nq")).withColumn("_rb", every("nr"))
+            .select((F.col("first") + F.col("_rb")).alias("_part"), "_qb", "_qid", "_f").groupBy("_part", "_qb"))
+    right = (ix.ref.join(cell.join(plan, "group"), "_cell").withColumn("_rb", own("_rid", "nr")).withColumn("_qb", every("nq"))
+             .select((F.col("first") + F.col("_rb")).alias("_part"), "_qb", "_rid", "_f").groupBy("_part", "_qb"))
     part = left.cogroup(right).applyInPandas(_score_blocks(k), "q_id long, part int, nbr_id long, dist double")
-    return _merge(part, k, nr)
+    return _merge(part, k, ix.parts)
+
+
+def pairs_met(query: DataFrame, ref: DataFrame, k: int = 1, q_id: str = "row_id", r_id: str = "row_id",
+              features: str = "features", block_bytes: int = BLOCK_BYTES, pivots: int | None = None) -> dict:
+    """What the index leaves: rows, cells, groups, (query row, block) copies against all, and the share of row pairs scored."""
+    ix = _Index(query, ref, k, q_id, r_id, features, block_bytes, pivots)
+    n = ix.met.count()
+    p = ix.plan
+    return {"query_rows": n, "ref_rows": ix.n, "cells": len(ix.cells), "groups": int(ix.cells["group"].nunique()),
+            "copies": int((p["visits"] * p["nr"]).sum()), "all_copies": n * ix.parts,
+            "share": float((p["rows"] * p["visits"]).sum() / (n * ix.n)) if n and ix.n else 0.0}
 
 
 def nn_dist(a: DataFrame, b: DataFrame, a_id: str = "row_id", b_id: str = "row_id",

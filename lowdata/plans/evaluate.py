@@ -57,6 +57,7 @@ class RunSpec:
     gan_boundary_high: float = 0.60
     gan_sampler: str = "diag_gaussian"  # diag_gaussian | gmm | mlp
     gan_layers: list | None = None   # mlp: [(weights, biases), ...]
+    gan_params: str | None = None    # mlp: path of a stored parameter table, instead of gan_layers
     gan_scaler: Any = None           # mlp: one-row scaler table; None = fitted on the gate's positives
     tag: str = ""
     extra: dict = field(default_factory=dict)
@@ -84,10 +85,11 @@ def synthetic_candidates(train_full: DataFrame, pos: DataFrame, spec: RunSpec, n
     if spec.gan_sampler == "gmm":
         return au.sample_gmm(spark, au.fit_sampler(pos, "gmm", seed=spec.seed), n, spec.seed).drop("component")
     if spec.gan_sampler == "mlp":
-        if not spec.gan_layers:
-            raise ValueError("the mlp generator needs its layers")
+        layers = au.read_layers(spark.read.parquet(spec.gan_params)) if spec.gan_params else spec.gan_layers
+        if not layers:
+            raise ValueError("the mlp generator needs its layers or the path of its parameter table")
         scaler = spec.gan_scaler if spec.gan_scaler is not None else au.fit_scaler(pos)
-        return au.inverse_scale(au.generate(spark, spec.gan_layers, n, spec.seed), scaler)
+        return au.inverse_scale(au.generate(spark, layers, n, spec.seed), scaler)
     return au.sample_diag_gaussian(spark, au.fit_scaler(pos), n, spec.seed)
 
 

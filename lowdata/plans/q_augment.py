@@ -15,6 +15,7 @@ from lowdata.operators import knn as kn
 from lowdata.operators import sampling as sa
 from lowdata.operators import splits as sp
 from lowdata.plans.queries import QUERIES
+from lowdata.session import scratch_path
 from lowdata.sources import fixtures as fx
 
 EMB = fx.SQL_EMBEDDINGS
@@ -94,6 +95,19 @@ def q_nn_dist(spark, sf):
     return kn.nn_dist(a, b).select("row_id", r6("dist").alias("dist"))
 
 
+@reg("knn_events", f"""
+WITH e AS (SELECT event_id AS row_id, CAST(event_type = 'error' AS INTEGER) AS y, CAST(value AS DOUBLE) AS a, CAST(user_id AS DOUBLE) AS b FROM events),
+q AS (SELECT * FROM e WHERE y = 1), r AS (SELECT * FROM e WHERE y = 0),
+d AS (SELECT q.row_id AS q_id, r.row_id AS nbr_id, sqrt((q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b)) AS dist FROM q CROSS JOIN r),
+k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, nbr_id) AS nbr_rank FROM d)
+SELECT q_id, nbr_id, CAST(nbr_rank AS INTEGER) AS nbr_rank, {s6('dist')} AS dist FROM k WHERE nbr_rank <= 2""")
+def q_knn_events(spark, sf):
+    """J6 in few dimensions, where the pivots rule out most cells: 2 nearest other events of every error event."""
+    e = fx.events(spark, sf)
+    nb = kn.knn(e.filter("y = 1"), e.filter("y = 0"), 2)
+    return nb.select("q_id", "nbr_id", "nbr_rank", r6("dist").alias("dist"))
+
+
 # ------------------------------------------------------------------ A14 / A6 / A15 / A16
 
 SQL_SCALER = f"""
@@ -121,16 +135,23 @@ def q_profile_vectors(spark, sf):
                     r6("min").alias("min"), r6("max").alias("max"), "any_nonfinite")
 
 
-N_GEN = 200
+#: Candidates of the quality gates for each positive row, and candidates kept for each.
+GEN_TIMES, KEEP_TIMES = 5, 1
+
+
+def n_positives(spark, sf) -> int:
+    return fx.embeddings(spark, sf).filter("y = 1").count()
 
 
 def diag_candidates(spark, sf):
     s = au.fit_scaler(fx.embeddings(spark, sf).filter("y = 1"))
-    return au.sample_diag_gaussian(spark, s, N_GEN, SEED)
+    return au.sample_diag_gaussian(spark, s, GEN_TIMES * n_positives(spark, sf), SEED)
 
 
+SQL_POS = f"(SELECT count(*) FROM {EMB} e WHERE y = 1)"
+SQL_KEEP = f"({KEEP_TIMES} * {SQL_POS})"
 SQL_DIAG = f"""{SQL_SCALER},
-gg AS (SELECT unnest(generate_series(0, {N_GEN} - 1)) AS gen_id),
+gg AS (SELECT unnest(generate_series(0, {GEN_TIMES} * {SQL_POS} - 1)) AS gen_id),
 xv AS (SELECT gg.gen_id, sc.j, sc.m + sc.s * {sql_normal(str(SEED), "'diag'", 'gg.gen_id', 'sc.j')} AS v FROM gg CROSS JOIN sc),
 cand AS (SELECT gen_id, list(v ORDER BY j) AS features FROM xv GROUP BY gen_id)"""
 
@@ -167,7 +188,10 @@ def scarce_train(spark, sf):
 SQL_SCARCE = """(SELECT s.* FROM (SELECT event_id AS row_id, CAST(event_type = 'error' AS INTEGER) AS y, value, CAST(user_id AS DOUBLE) AS uid_d
   FROM events WHERE ts IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00') s
   JOIN ({scarce}) k ON s.row_id = k.row_id)"""
-OS_TARGET = 300
+#: Rows after oversampling as a share of the train part, of which the scarce set is a twentieth.
+OS_SHARE = 0.25
+SQL_EV_TRAIN_ROWS = "(SELECT count(*) FROM events WHERE ts IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00')"
+SQL_OS_TARGET = f"CAST(floor({OS_SHARE} * {SQL_EV_TRAIN_ROWS}) AS BIGINT)"
 
 
 def _sql_scarce_ids():
@@ -180,22 +204,22 @@ def sql_oversample(target) -> str:
 tr AS {SQL_SCARCE.format(scarce=_sql_scarce_ids())},
 c AS (SELECT count(*) AS n, count_if(y = 1) AS p FROM tr),
 pos AS (SELECT row_id, value, uid_d, row_number() OVER (ORDER BY {u('os-order', 'row_id')}, row_id) AS pos_rank FROM tr WHERE y = 1),
-dr AS (SELECT draw, CAST(floor({u('os', 'draw')} * c.p) + 1 AS BIGINT) AS pos_rank
-       FROM c, (SELECT unnest(generate_series(0, {target} - (SELECT n FROM c) - 1)) AS draw)),
+need AS (SELECT {target} - n AS need, p FROM c),
+dr AS (SELECT pos_rank, unnest(range(need * (pos_rank - 1) // p, need * pos_rank // p)) AS draw FROM pos, need),
 syn AS (SELECT 'os:' || CAST(dr.draw AS VARCHAR) AS uid, pos.row_id AS src_row_id, pos.value AS x0, pos.uid_d AS x1
         FROM dr JOIN pos ON dr.pos_rank = pos.pos_rank)"""
 
 
-SQL_OVERSAMPLE = sql_oversample(OS_TARGET)
+SQL_OVERSAMPLE = sql_oversample(SQL_OS_TARGET)
 
 
 def oversampled(spark, sf):
-    return au.oversample_to_const(scarce_train(spark, sf), OS_TARGET, SEED)
+    return au.oversample_to_const(scarce_train(spark, sf), int(OS_SHARE * ev_train(spark, sf).count()), SEED)
 
 
 @reg("oversample", f"WITH {SQL_OVERSAMPLE} SELECT uid, src_row_id, x0, x1 FROM syn")
 def q_oversample(spark, sf):
-    """A1: scarce temporal train set grown to 300 rows by drawing positives with replacement."""
+    """A1: scarce temporal train set grown to a quarter of the train part by drawing its positives."""
     a = oversampled(spark, sf).filter("is_synth")
     return a.select("uid", "src_row_id", F.col("features")[0].alias("x0"), F.col("features")[1].alias("x1"))
 
@@ -215,7 +239,7 @@ def q_dup_ratio(spark, sf):
     return au.dup_ratio(oversampled(spark, sf)).select(r6("dup_ratio").alias("dup_ratio"))
 
 
-#: Rows after oversampling for each scarce row: unlike OS_TARGET, draws grow with the data.
+#: Rows after oversampling for each scarce row.
 OS_TIMES = 2
 SQL_OVERSAMPLE_GROWN = sql_oversample(f"{OS_TIMES} * (SELECT n FROM c)")
 
@@ -249,7 +273,7 @@ def q_dup_ratio_grown(spark, sf):
 
 # ------------------------------------------------------------------ A2 / A12
 
-SMOTE_EXTRA = 150
+SMOTE_TIMES = 3  # points for each positive
 SQL_SMOTE = f"""
 tr AS {EMB},
 c AS (SELECT count(*) AS n, count_if(y = 1) AS p FROM tr),
@@ -259,12 +283,10 @@ nb AS (SELECT a.row_id AS q_id, b.row_id AS nbr_id,
        FROM pos a CROSS JOIN pos b),
 kk AS (SELECT least(5, greatest(1, p - 1)) AS k_eff FROM c),
 cands AS (SELECT q_id, list(nbr_id ORDER BY nbr_rank) AS cands FROM nb, kk WHERE nbr_rank <= k_eff AND nbr_id <> q_id GROUP BY q_id),
-dr AS (SELECT draw, CAST(floor({u('sm-i', 'draw')} * c.p) + 1 AS BIGINT) AS pos_rank, c.p
-       FROM c, (SELECT unnest(generate_series(0, {SMOTE_EXTRA} - 1)) AS draw)),
-d2 AS (SELECT dr.draw, dr.p, dr.pos_rank, pos.row_id AS base_id, coalesce(len(cands.cands), 0) AS nc, cands.cands
-       FROM dr JOIN pos ON dr.pos_rank = pos.pos_rank LEFT JOIN cands ON cands.q_id = pos.row_id),
+dr AS (SELECT unnest(range({SMOTE_TIMES} * p * (pos_rank - 1) // p, {SMOTE_TIMES} * p * pos_rank // p)) AS draw, pos_rank, row_id AS base_id, p FROM pos, c),
+d2 AS (SELECT dr.*, coalesce(len(cands.cands), 0) AS nc, cands.cands FROM dr LEFT JOIN cands ON cands.q_id = dr.base_id),
 d3 AS (SELECT *, CASE WHEN nc > 0 THEN cands[CAST(floor({u('sm-j', 'draw')} * nc) + 1 AS INTEGER)] END AS nbr_direct,
-              CAST(floor({u('sm-alt', 'draw')} * (p - 1)) + 1 AS BIGINT) AS alt0, {u('sm-t', 'draw')} AS t FROM d2),
+              CAST(floor({u('sm-alt', 'base_id')} * (p - 1)) + 1 AS BIGINT) AS alt0, {u('sm-t', 'draw')} AS t FROM d2),
 d4 AS (SELECT d3.*, coalesce(nbr_direct, pa.row_id) AS nbr_id FROM d3
        LEFT JOIN pos pa ON nc = 0 AND pa.pos_rank = CASE WHEN alt0 >= d3.pos_rank THEN alt0 + 1 ELSE alt0 END),
 syn AS (SELECT 'sm:' || CAST(d4.draw AS VARCHAR) AS uid, d4.base_id AS src_row_id, d4.nbr_id AS nbr, d4.t,
@@ -275,13 +297,13 @@ syn AS (SELECT 'sm:' || CAST(d4.draw AS VARCHAR) AS uid, d4.base_id AS src_row_i
 
 def smoted(spark, sf):
     e = fx.embeddings(spark, sf)
-    return au.smote_to_const(e, e.count() + SMOTE_EXTRA, SEED, 5)
+    return au.smote_to_const(e, e.count() + SMOTE_TIMES * n_positives(spark, sf), SEED, 5)
 
 
 @reg("smote", f"""WITH {SQL_SMOTE}
 SELECT uid, src_row_id, nbr, {s6('t')} AS t, {s6('list_sum(x)')} AS checksum, {s6('x[1]')} AS x0 FROM syn""")
 def q_smote(spark, sf):
-    """A2: 150 SMOTE points between positive embeddings and one of their 4 nearest positives."""
+    """A2: three SMOTE points a positive embedding, between it and one of its 4 nearest positives."""
     a = smoted(spark, sf).filter("is_synth")
     return a.select("uid", "src_row_id", F.col("_nbr").alias("nbr"), r6("_t").alias("t"),
                     r6(vsum("features")).alias("checksum"), r6(F.col("features")[0]).alias("x0"))
@@ -332,25 +354,26 @@ def q_augment_budget(spark, sf):
 
 # ------------------------------------------------------------------ A8-A10, A17 quality gate
 
-N_KEEP = 40
+def n_keep(spark, sf) -> int:
+    return KEEP_TIMES * n_positives(spark, sf)
 
 
-@reg("quality_gate_none", f"SELECT unnest(generate_series(0, {N_KEEP} - 1)) AS gen_id")
+@reg("quality_gate_none", f"WITH {SQL_DIAG} SELECT gen_id, {s6('list_sum(features)')} AS checksum FROM cand WHERE gen_id < {SQL_KEEP}")
 def q_quality_gate_none(spark, sf):
-    """Quality 'none' keeps the first n candidates."""
-    c = diag_candidates(spark, sf)
-    return au.quality_gate(c, N_KEEP, "none").select("gen_id")
+    """Quality 'none' keeps the first n candidates; checksum of their features."""
+    kept = au.quality_gate(diag_candidates(spark, sf), n_keep(spark, sf), "none")
+    return kept.select("gen_id", r6(vsum("features")).alias("checksum"))
 
 
 @reg("quality_gate_nn", f"""WITH {SQL_DIAG},
 pos AS (SELECT features FROM {EMB} e WHERE y = 1),
 d AS (SELECT c.gen_id, min(list_distance(c.features, p.features)) AS dpos FROM cand c CROSS JOIN pos p GROUP BY c.gen_id)
-SELECT gen_id FROM d ORDER BY dpos, gen_id LIMIT {N_KEEP}""")
+SELECT gen_id FROM d QUALIFY row_number() OVER (ORDER BY dpos, gen_id) <= {SQL_KEEP}""")
 def q_quality_gate_nn(spark, sf):
     """The n candidates closest to the positive set."""
     e = fx.embeddings(spark, sf)
     pos, _ = au.gate_sets(e, None, "full")
-    return au.quality_gate(diag_candidates(spark, sf), N_KEEP, "nn", pos).select("gen_id")
+    return au.quality_gate(diag_candidates(spark, sf), n_keep(spark, sf), "nn", pos).select("gen_id")
 
 
 @reg("quality_gate_boundary", f"""WITH {SQL_DIAG},
@@ -363,14 +386,14 @@ k AS (SELECT d.*, (dpos <= med AND dneg >= lo AND dneg <= hi) AS ok FROM d CROSS
 nok AS (SELECT count_if(ok) AS n_ok FROM k),
 pick AS (SELECT gen_id, row_number() OVER (ORDER BY {u('gate', 'gen_id')}, gen_id) AS rn FROM k WHERE ok),
 fill AS (SELECT gen_id, row_number() OVER (ORDER BY dpos, gen_id) AS rn FROM k WHERE NOT ok)
-SELECT gen_id FROM pick, nok WHERE n_ok >= {N_KEEP} AND rn <= {N_KEEP}
-UNION ALL SELECT gen_id FROM k, nok WHERE n_ok < {N_KEEP} AND ok
-UNION ALL SELECT gen_id FROM fill, nok WHERE n_ok < {N_KEEP} AND rn <= {N_KEEP} - n_ok""")
+SELECT gen_id FROM pick, nok WHERE n_ok >= {SQL_KEEP} AND rn <= {SQL_KEEP}
+UNION ALL SELECT gen_id FROM k, nok WHERE n_ok < {SQL_KEEP} AND ok
+UNION ALL SELECT gen_id FROM fill, nok WHERE n_ok < {SQL_KEEP} AND rn <= {SQL_KEEP} - n_ok""")
 def q_quality_gate_boundary(spark, sf):
     """A10: on-manifold and near-boundary candidates (median / 20-60% quantile rule)."""
     e = fx.embeddings(spark, sf)
     pos, neg = au.gate_sets(e, None, "full")
-    return au.quality_gate(diag_candidates(spark, sf), N_KEEP, "nn_boundary", pos, neg, seed=SEED).select("gen_id")
+    return au.quality_gate(diag_candidates(spark, sf), n_keep(spark, sf), "nn_boundary", pos, neg, seed=SEED).select("gen_id")
 
 
 # ------------------------------------------------------------------ A5 generator
@@ -380,7 +403,7 @@ ZDIM, HIDDEN = 16, 32
 
 def _n_latent(spark, sf) -> int:
     """Candidates for a budget of one synthetic row per real positive, qmult 5."""
-    return au.n_candidates(fx.embeddings(spark, sf).filter("y = 1").count(), 5.0)
+    return au.n_candidates(n_positives(spark, sf), 5.0)
 
 
 @reg("latents", f"""
@@ -448,3 +471,41 @@ def q_gmm_sample(spark, sf):
     params = au.fit_sampler(e, "gmm", k=3, dims=8, seed=SEED)
     g = au.sample_gmm(spark, params, _n_latent(spark, sf), SEED)
     return g.select("gen_id", "component", r6(vsum("features")).alias("checksum"))
+
+
+GMM_TIMES = 100  # draws for each positive: enough for the bounds below
+
+
+@reg("gmm_moments_check", f"""
+WITH p AS (SELECT count(*) AS p FROM {EMB} e WHERE y = 1), f AS (SELECT max(len(features)) AS d FROM {EMB} e WHERE y = 1)
+SELECT {GMM_TIMES} * p AS n_gen, CAST(d AS INTEGER) AS n_features, CAST(d AS INTEGER) AS means_agree, CAST(d AS INTEGER) AS variances_agree,
+       3 AS components_agree FROM p, f""")
+def q_gmm_moments_check(spark, sf):
+    """A16 (gmm): draws have the positives' feature means (within 6 standard errors) and variances (within a
+    quarter), and the mixture's component shares (within 6 standard errors)."""
+    e = fx.embeddings(spark, sf).filter("y = 1")
+    params = au.fit_sampler(e, "gmm", k=3, dims=8, seed=SEED)
+    n = GMM_TIMES * e.count()
+    g = au.sample_gmm(spark, params, n, SEED)
+    both = (au.fit_scaler(e).select(F.posexplode(F.arrays_zip("mean", "scale")).alias("j", "a"))
+            .join(au.fit_scaler(g).select(F.posexplode(F.arrays_zip("mean", "scale")).alias("j", "b")), "j"))
+    near = F.abs(F.col("a.mean") - F.col("b.mean")) <= 6 * F.col("a.scale") / F.lit(n) ** 0.5
+    # the draws follow the mixture's variance, which divides by p - 1
+    ratio = (F.col("b.scale") / F.col("a.scale")) ** 2
+    moments = both.agg(F.count(F.lit(1)).cast("int").alias("n_features"), F.count_if(near).cast("int").alias("means_agree"),
+                       F.count_if(F.abs(ratio - 1) <= 0.25).cast("int").alias("variances_agree"))
+    share = F.create_map(*[x for i, w in enumerate(params["weights"]) for x in (F.lit(i), F.lit(float(w)))])
+    parts = g.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("w", share[F.col("component")])
+    close = F.abs(F.col("n") / n - F.col("w")) <= 6 * F.sqrt(F.col("w") * (1 - F.col("w")) / n)
+    shares = parts.agg(F.sum("n").alias("n_gen"), F.count_if(close).cast("int").alias("components_agree"))
+    return shares.crossJoin(moments).select("n_gen", "n_features", "means_agree", "variances_agree", "components_agree")
+
+
+@reg("gan_candidates_stored", QUERIES["gan_candidates"][1])
+def q_gan_candidates_stored(spark, sf):
+    """A5: the generator fed by a written parameter table (layer, row, values), read and checked before the broadcast."""
+    path = scratch_path(spark, "generator-layers")
+    au.layers_table(spark, mlp_layers(64)).write.mode("overwrite").parquet(path)
+    e = fx.embeddings(spark, sf)
+    g = au.generate(spark, au.read_layers(spark.read.parquet(path)), _n_latent(spark, sf), SEED)
+    return au.inverse_scale(g, au.fit_scaler(e.filter("y = 1"))).select("gen_id", r6(vsum("features")).alias("checksum"))
