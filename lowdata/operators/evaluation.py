@@ -3,8 +3,8 @@
 Predictions are one long table ``(run keys..., y_true, proba[, threshold])``;
 every metric is a grouped aggregate over it, so thousands of runs cost one
 job.  Ranking metrics (ROC AUC, average precision) come from a per-run score
-histogram plus an exact two-level cumulative sum (coarse score bins give the
-offsets, a window inside each bin gives the rest), so no run's scores are
+histogram plus an exact two-level cumulative sum (ranges cut from the run's scores give the
+offsets, a window inside each range gives the rest), so no run's scores are
 ever gathered into one task.
 """
 
@@ -12,14 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lowdata.functions.metrics import point_metrics
+from lowdata.operators.relational import sums_before, with_ranges
 from lowdata.session import materialize
 
-SCORE_BINS = 1 << 16
-
 
 def _keys(by) -> list[str]:
     if by is None:
@@ -75,34 +74,19 @@ def run_key(keys: list[str]):
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba",
-                    bins: int = SCORE_BINS, keep_key: bool = False, weight: str | None = None) -> DataFrame:
+def score_histogram(preds: DataFrame, by, y: str = "y_true", p: str = "proba", keep_key: bool = False, weight: str | None = None) -> DataFrame:
     """Distinct scores per run with ``pos, neg`` counts and exact counts strictly above.
 
-    Output: keys, score, pos, neg, pos_gt, neg_gt.  The per-run cumulative is
-    two-level: a window inside each coarse score bin (also yielding the bin
-    totals) and a running sum over the bins of a run, joined back on
-    ``(run, bin)``.  No run's distinct scores need to fit in one task.
+    Output: keys, score, pos, neg, pos_gt, neg_gt.  The per-run cumulative is two-level:
+    a window inside each range of scores, and a running sum over the ranges of a run.  The
+    ranges are cut from the run's own scores, so neither a large run nor one with all its scores close together
+    has to fit in one task.
     """
     keys = _keys(by)
-    h = preds.groupBy(run_key(keys).alias("_k"), F.col(p).alias("score")).agg(
-        count_where(F.col(y) == 1, weight).alias("pos"), count_where(F.col(y) != 1, weight).alias("neg"))
-    h = materialize(h)  # one row per (run, distinct score); feeds two branches below
-    h = h.withColumn("_bin", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-                                     * F.lit(bins)))
-    w_bin = Window.partitionBy("_k", "_bin")
-    w_in = w_bin.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    h = h.select("*", F.coalesce(F.sum("pos").over(w_in), F.lit(0)).alias("_ip"),
-                 F.coalesce(F.sum("neg").over(w_in), F.lit(0)).alias("_in"),
-                 F.sum("pos").over(w_bin).alias("_bp"), F.sum("neg").over(w_bin).alias("_bn"),
-                 F.row_number().over(w_bin.orderBy(F.col("score").desc())).alias("_first"))
-    coarse = h.filter(F.col("_first") == 1).select("_k", "_bin", "_bp", "_bn")
-    w_hi = Window.partitionBy("_k").orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select("_k", "_bin", F.coalesce(F.sum("_bp").over(w_hi), F.lit(0)).alias("_op"),
-                           F.coalesce(F.sum("_bn").over(w_hi), F.lit(0)).alias("_on"))
-    out = h.join(coarse, on=["_k", "_bin"], how="inner").select(
-        "_k", "score", "pos", "neg", (F.col("_op") + F.col("_ip")).alias("pos_gt"),
-        (F.col("_on") + F.col("_in")).alias("neg_gt"))
+    h = materialize(preds.groupBy(run_key(keys).alias("_k"), F.col(p).alias("score")).agg(
+        count_where(F.col(y) == 1, weight).alias("pos"), count_where(F.col(y) != 1, weight).alias("neg")))
+    out = sums_before(with_ranges(h, ["_k"], "score"), ["_k"], ["score"], ["pos", "neg"], desc=True).select(
+        "_k", "score", "pos", "neg", F.col("pos_before").alias("pos_gt"), F.col("neg_before").alias("neg_gt"))
     if keep_key:
         return out
     return out.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "score", "pos", "neg", "pos_gt", "neg_gt")

@@ -4,26 +4,28 @@ The forest is spark.ml's distributed ``RandomForestClassifier``; features stay
 an ``ARRAY<DOUBLE>`` column and become a vector only at this boundary
 (``array_to_vector``).  Scores are ``probability[1]``.  Validation thresholds
 use the exact grid sweep (E5), cross-validation folds the exact hash folds
-(D16); hyper-parameter search uses ``CrossValidator`` with a fold column.
+(D16); hyper-parameter search scores every setting out of fold and computes all AUCs in one job.
 """
 
 from __future__ import annotations
 
 import random
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lowdata.operators import evaluation as ev
 from lowdata.operators import sampling as sa
 from lowdata.operators import thresholds as th
-from lowdata.session import cut_lineage, materialize
+from lowdata.session import cut_lineage, materialize, scratch_path
 
 MAX_DEPTH_SPARK = 30  # spark.ml rejects deeper trees; "unlimited" maps here
 
@@ -147,49 +149,102 @@ def cross_validate(df: DataFrame, k: int = 5, seed: int = 42, trees: int = 100,
                      for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))])
 
 
+# ------------------------------------------------------------------ min samples split
+
+def forest_nodes(path: str, spark: SparkSession) -> DataFrame:
+    """Nodes of a saved forest: ``treeID`` and ``nodeData`` (id, rawCount: rows of the tree's sample, children, ...)."""
+    return spark.read.parquet(f"{path}/data")
+
+
+def cut_small_splits(model, min_split: int, spark: SparkSession | None = None):
+    """The forest with every node of fewer than ``min_split`` rows made a leaf (M7's min samples split).
+
+    spark.ml has no such setting, but a split doesn't depend on what is below it: cutting the fitted trees gives the
+    trees that would have been grown.  The saved node table is rewritten (ids stay, what hangs below a new leaf is
+    never reached) and the forest read again.
+    """
+    if min_split <= 2:
+        return model
+    spark = spark or SparkSession.getActiveSession()
+    path, cut = (scratch_path(spark, f"forest-{uuid.uuid4().hex}") for _ in range(2))
+    model.write().overwrite().save(path)
+    model.write().overwrite().save(cut)
+    nodes = forest_nodes(path, spark)
+    small = F.col("nodeData.rawCount") < min_split
+    leaf = F.lit(-1)
+    node = F.struct(*[F.when(small, leaf).otherwise(F.col(f"nodeData.{c}")).cast("int").alias(c) if c in ("leftChild", "rightChild")
+                      else F.col(f"nodeData.{c}").alias(c) for c in nodes.schema["nodeData"].dataType.names])
+    nodes.select(*[node.alias(c) if c == "nodeData" else F.col(c) for c in nodes.columns]).write.mode("overwrite").parquet(f"{cut}/data")
+    return load_model(cut)
+
+
+# ------------------------------------------------------------------ M6 / M7 search
+
 def _folded(df: DataFrame, k: int, seed: int, key: str) -> DataFrame:
-    """Vectors, labels and folds that every fit of a search reads, computed once."""
-    d = sa.stratified_folds(df, "y", k, seed, key).select("features", "y", "fold")
-    return with_vector(materialize(d)).withColumn("y", F.col("y").cast("double"))
+    """Labels and folds that every fit of a search reads, computed once."""
+    return materialize(sa.stratified_folds(df, "y", k, seed, key).select(F.col(key).alias("key"), "features", F.col("y").cast("double").alias("y"), "fold"))
+
+
+def _fit_setting(d: DataFrame, setting: dict, seed: int):
+    rf = forest(setting["numTrees"], setting["maxDepth"], seed, min_leaf=setting.get("minInstancesPerNode", 1))
+    m = rf.fit(with_vector(d))
+    least = setting.get("minSamplesSplit", 2)  # a split leaves min_leaf rows on both sides anyway
+    return cut_small_splits(m, least, d.sparkSession) if least > 2 * setting.get("minInstancesPerNode", 1) else m
+
+
+def search_scores(df: DataFrame, settings: Sequence[dict], k: int = 3, seed: int = 42, parallelism: int = 2, key: str = "row_id") -> DataFrame:
+    """``setting, fold, key, y, proba``: every row scored by every setting's model of the other folds.
+
+    A few fits run at a time; each writes its scores into a folder of its own, so a repeated fit replaces itself.
+    """
+    spark = df.sparkSession
+    d = _folded(df, k, seed, key)
+    base = scratch_path(spark, f"search-{uuid.uuid4().hex}")
+
+    def one(job: tuple[int, int]) -> None:
+        i, f = job
+        m = _fit_setting(d.filter(F.col("fold") != f), settings[i], seed)
+        s = score(m, d.filter(F.col("fold") == f)).select("key", "y", "proba")
+        s.write.mode("overwrite").parquet(f"{base}/setting={i}/fold={f}")
+    with ThreadPool(max(1, parallelism)) as pool:
+        pool.map(inheritable_thread_target(spark)(one), [(i, f) for i in range(len(settings)) for f in range(k)], chunksize=1)
+    return spark.read.parquet(base).select("setting", "fold", "key", F.col("y").cast("int").alias("y"), "proba")
+
+
+def search(df: DataFrame, settings: Sequence[dict], k: int = 3, seed: int = 42, parallelism: int = 2, key: str = "row_id"):
+    """(model of the best setting refitted on all rows, the setting, mean AUC of every setting); exact AUCs of all
+    settings and folds from one grouped job, first best setting wins."""
+    scores = search_scores(df, settings, k, seed, parallelism, key).withColumnRenamed("y", "y_true")
+    mean = {r["setting"]: r["auc"] for r in ev.ranking_metrics(scores, ["setting", "fold"]).groupBy("setting").agg(F.avg("auc").alias("auc")).collect()}
+    aucs = [mean.get(i) if mean.get(i) is not None else float("nan") for i in range(len(settings))]
+    best = max(range(len(settings)), key=lambda i: (aucs[i] == aucs[i], aucs[i], -i))
+    return _fit_setting(df.withColumn("y", F.col("y").cast("double")), settings[best], seed), settings[best], aucs
+
+
+def grid_settings(preset: str = "light", grid: dict | None = None) -> list[dict]:
+    """M6 settings: trees x depth of a preset, or of a given grid."""
+    p = grid or GRID_PRESETS[preset]
+    return [{"numTrees": t, "maxDepth": depth_of(d)} for t in p["n_estimators"] for d in p["max_depth"]]
 
 
 def grid_search(df: DataFrame, preset: str = "light", k: int = 3, seed: int = 42, parallelism: int = 2,
                 grid: dict | None = None, key: str = "row_id"):
-    """M6: ``CrossValidator`` over a preset (or explicit) grid, exact AUC (numBins=0), hash folds."""
-    p = grid or GRID_PRESETS[preset]
-    rf = forest(seed=seed)
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, p["n_estimators"])
-            .addGrid(rf.maxDepth, [depth_of(d) for d in p["max_depth"]]).build())
-    ev_auc = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="rawPrediction",
-                                           metricName="areaUnderROC", numBins=0)
-    d = _folded(df, k, seed, key)
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev_auc, foldCol="fold",
-                        parallelism=parallelism, seed=seed)
-    m = cv.fit(d)
-    best = max(range(len(grid)), key=lambda i: m.avgMetrics[i])
-    return m.bestModel, {pp.name: v for pp, v in grid[best].items()}, list(m.avgMetrics)
+    """M6: cross-validated search over a preset (or explicit) grid, exact AUC, hash folds."""
+    return search(df, grid_settings(preset, grid), k, seed, parallelism, key)
 
 
 def random_params(n_iter: int = 20, seed: int = 42) -> list[dict]:
-    """M7 parameter draws: trees 50-199, depth {None, 10..100 step 10}, min leaf 1-10
-    (min samples split has no spark.ml equivalent; depth is clipped to 30)."""
+    """M7 parameter draws: trees 50-199, depth {None, 10..100 step 10} (clipped to 30), min leaf 1-10, min samples split 2-10."""
     rng = random.Random(seed)
     depths = [None] + list(range(10, 101, 10))
-    return [{"numTrees": rng.randint(50, 199), "maxDepth": depth_of(rng.choice(depths)),
-             "minInstancesPerNode": rng.randint(1, 10)} for _ in range(n_iter)]
+    drawn = [{"numTrees": rng.randint(50, 199), "maxDepth": depth_of(rng.choice(depths)),
+              "minInstancesPerNode": rng.randint(1, 10)} for _ in range(n_iter)]
+    return [{**p, "minSamplesSplit": rng.randint(2, 10)} for p in drawn]
 
 
 def random_search(df: DataFrame, n_iter: int = 20, k: int = 3, seed: int = 42, parallelism: int = 2, frac: float = 0.2):
     """M7: random search on a stratified share ``frac`` of the rows (D15), scored by exact cross-validated AUC."""
-    rf = forest(seed=seed)
-    maps = [{getattr(rf, name): v for name, v in p.items()} for p in random_params(n_iter, seed)]
-    ev_auc = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0)
-    d = _folded(sa.stratified_sample(df, "y", frac, seed) if frac < 1 else df, k, seed, "row_id")
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, evaluator=ev_auc, foldCol="fold",
-                        parallelism=parallelism, seed=seed)
-    m = cv.fit(d)
-    best = max(range(len(maps)), key=lambda i: m.avgMetrics[i])
-    return m.bestModel, random_params(n_iter, seed)[best], list(m.avgMetrics)
+    return search(sa.stratified_sample(df, "y", frac, seed) if frac < 1 else df, random_params(n_iter, seed), k, seed, parallelism)
 
 
 def fit_final(df: DataFrame, path: str, trees: int = 100, depth=None, seed: int = 42):
@@ -205,4 +260,4 @@ def load_model(path: str):
 
 
 __all__ = ["GRID_PRESETS", "depth_of", "Fitted", "with_class_weight", "forest", "fit_forest", "score", "fit_run", "fit_with_threshold",
-           "cv_scores", "cross_validate", "grid_search", "random_params", "random_search", "fit_final", "load_model"]
+           "cv_scores", "cross_validate", "forest_nodes", "cut_small_splits", "search_scores", "search", "grid_settings", "grid_search", "random_params", "random_search", "fit_final", "load_model"]

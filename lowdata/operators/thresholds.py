@@ -157,12 +157,13 @@ def apply_thresholds(raw: DataFrame, thr: DataFrame, preds: DataFrame,
     keys = list(keys)
     r = raw.join(thr.select(*keys, F.col("threshold").alias("_pooled")), on=keys, how="left")
     r = r.withColumn("_t", F.coalesce("_pooled", "threshold", F.lit(0.5)))
-    pr = preds.join(r.select(tag, "_t"), on=tag, how="inner")
-    cm = pr.groupBy(tag).agg(
-        count_where((F.col(y) == 1) & (F.col(p) >= F.col("_t")), weight).alias("tp"),
-        count_where((F.col(y) != 1) & (F.col(p) >= F.col("_t")), weight).alias("fp"),
-        count_where((F.col(y) == 1) & (F.col(p) < F.col("_t")), weight).alias("fn"),
-        count_where((F.col(y) != 1) & (F.col(p) < F.col("_t")), weight).alias("tn"))
+    # (run, score) counts meet the thresholds, not every prediction
+    h = preds.groupBy(tag, F.col(p).alias("_p")).agg(
+        count_where(F.col(y) == 1, weight).alias("_pos"), count_where(F.col(y) != 1, weight).alias("_neg"))
+    total = lambda n, cond: F.coalesce(F.sum(F.when(cond, F.col(n))), F.lit(0)).cast("long")
+    above, below = F.col("_p") >= F.col("_t"), F.col("_p") < F.col("_t")
+    cm = h.join(r.select(tag, "_t"), on=tag, how="inner").groupBy(tag).agg(
+        total("_pos", above).alias("tp"), total("_neg", above).alias("fp"), total("_pos", below).alias("fn"), total("_neg", below).alias("tn"))
     m = point_metrics("tp", "fp", "fn", "tn", mcc_one_class_null=False)
     cm = cm.select(tag, F.lit(True).alias("_has"), m["f1"].alias("_f1"),
                    m["balanced_accuracy"].alias("_ba"), m["mcc"].alias("_mcc"))

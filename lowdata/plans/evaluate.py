@@ -6,18 +6,20 @@ change which rows are scored.  So each distinct training is fitted once and scor
 test set with its window ids attached.  Runs with the same sample share it; a few
 runs are fitted at a time (``parallelism``), so the cluster is not idle between their small
 jobs.  Every run writes its predictions into its own folder of a table under the shared
-checkpoint folder: a repeated run replaces its own folder only.  One job audits all
+checkpoint folder, or of a run ledger, from which an interrupted sweep goes on.  One job audits all
 runs, one computes all metrics of all runs and windows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ from lowdata.operators import sampling as sa
 from lowdata.operators import splits as sp
 from lowdata.session import cut_lineage, scratch_path
 from lowdata.sources.io import AUDIT_SCHEMA
+from lowdata.sources.ledger import RunLedger
 
 
 @dataclass
@@ -140,57 +143,81 @@ AUDITS = T.StructType([T.StructField("run_id", T.IntegerType()), T.StructField("
                        T.StructField("n_train_total", T.LongType()), T.StructField("audit", AUDIT_SCHEMA)])
 
 
+def run_id(spec: RunSpec) -> str:
+    """A name for a run's settings: its tag and a digest of all plain settings (of tables only their presence)."""
+    plain = {k: v for k, v in vars(spec).items() if k not in ("gan_layers", "gan_scaler")}
+    layers = [(np.asarray(w).tolist(), np.asarray(b).tolist()) for w, b in spec.gan_layers or []]
+    return f"{spec.tag}-{hashlib.sha256(repr((sorted(plain.items()), layers, spec.gan_scaler is not None)).encode()).hexdigest()[:16]}"
+
+
 def evaluate_runs(samples: DataFrame, runs: Sequence[RunSpec], windows: DataFrame | None = None, days: int | None = None,
                   step: int | None = None, out_name: str = "preds", strict: bool = True,
-                  parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
+                  parallelism: int = 2, ledger: RunLedger | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit every training once, score the test part (per window when given), audit all runs in one
     job and compute all run metrics in one job.  ``samples`` carries ``part`` and ``sha``.
 
     Returns (metrics per run [and window], audit per run: train sizes, the ``audit`` struct of the run
     metrics file and the leakage counts).  With ``strict`` any leakage raises.
+
+    With a ``ledger`` a sweep can be resumed: every run's predictions, members and facts are committed
+    there once it is scored, and runs that are committed already are not fitted again.  A ledger
+    belongs to one table of samples and one set of windows.
     """
     spark: SparkSession = samples.sparkSession
     train_full = samples.filter(F.col("part") == "train").drop("part")
     tested = samples.filter(F.col("part") == "test").drop("part")
-    if windows is not None:
+    ids = [run_id(spec) if ledger else str(i) for i, spec in enumerate(runs)]
+    done = {k: v for k, v in (ledger.finished() if ledger else {}).items() if k in set(ids)}
+    todo = {rid: spec for rid, spec in zip(ids, runs) if rid not in done}
+    if todo and windows is not None:
         test = sp.assign_windows(tested, windows, days, step).select("row_id", "y", "features", "window_id")
         test = cut_lineage(test)  # read by every run
     else:
         test = tested.select("row_id", "y", "features", F.lit(None).cast("int").alias("window_id"))
-    base = scratch_path(spark, f"{out_name}-{uuid.uuid4().hex[:12]}")
+    base = f"{ledger.path}/runs" if ledger else scratch_path(spark, f"{out_name}-{uuid.uuid4().hex[:12]}")
     drawn: dict = {}
-    for spec in runs:
+    for spec in todo.values():
         at = (spec.seed, spec.frac, spec.min_pos, spec.min_neg)
         if at not in drawn:
             drawn[at] = draw_sample(train_full, spec)
 
-    def one(job: tuple[int, RunSpec]) -> dict:
-        i, spec = job
+    def one(job: tuple[str, RunSpec]) -> tuple[str, dict]:
+        rid, spec = job
+        attempt = uuid.uuid4().hex if ledger else rid
         sample = drawn[(spec.seed, spec.frac, spec.min_pos, spec.min_neg)]
         aug, need = build_train(train_full, sample, spec)
         fitted = md.fit_run(aug, spec.val_threshold, spec.seed, spec.trees, spec.depth, spec.class_weight, spec.tune, spec.val_source)
         scored = md.score(fitted.model, test, fitted.threshold).select(
-            F.lit(i).alias("run_id"), F.lit(spec.tag).alias("tag"), F.lit(spec.variant).alias("variant"),
-            F.lit(float(spec.frac)).alias("frac"), F.lit(int(spec.seed)).alias("seed"),
-            "window_id", "row_id", F.col("y").cast("int").alias("y_true"), "proba", "y_pred",
-            F.lit(float(fitted.threshold)).alias("threshold"))
-        scored.write.mode("overwrite").parquet(f"{base}/preds/run={i}")
+            "window_id", "row_id", F.col("y").cast("int").alias("y_true"), "proba", "y_pred")
+        scored.write.mode("overwrite").parquet(f"{base}/preds/attempt={attempt}")
         members = sample.rows.select("row_id", F.lit("train").alias("part"))
         if fitted.val is not None:  # synthetic rows have no row id
             members = members.unionByName(fitted.val.where("row_id is not null").select("row_id", F.lit("val").alias("part")))
-        members.select(F.lit(i).alias("run_id"), "row_id", "part").write.mode("overwrite").parquet(f"{base}/members/run={i}")
-        facts = audit_facts(sample, aug, spec, need)
-        n_real = facts["train_total_before_aug"]
-        return {"run_id": i, "tag": spec.tag, "threshold": float(fitted.threshold), "n_train_real": n_real, "n_train_synth": need,
-                "n_train_total": facts["train_total_after_aug"], "audit": facts}
-
-    with ThreadPool(max(1, min(parallelism, len(runs) or 1))) as pool:
-        facts = pool.map(inheritable_thread_target(spark)(one), list(enumerate(runs)), chunksize=1)
-    leaks = sp.audit_runs(spark.read.parquet(f"{base}/members").drop("run"), tested.select("row_id", "sha"),
-                          samples.select("row_id", "sha"), "run_id", strict)
-    audits = spark.createDataFrame(facts, AUDITS).join(leaks, "run_id", "left")
+        members.write.mode("overwrite").parquet(f"{base}/members/attempt={attempt}")
+        facts = {"threshold": float(fitted.threshold), "need": need, "audit": audit_facts(sample, aug, spec, need)}
+        if ledger:
+            ledger.commit(rid, attempt, None, facts)
+        return rid, {"attempt": attempt, "facts": facts}
+
+    with ThreadPool(max(1, min(parallelism, len(todo) or 1))) as pool:
+        done |= dict(pool.map(inheritable_thread_target(spark)(one), list(todo.items()), chunksize=1))
+    rows, told = [], []
+    for i, (rid, spec) in enumerate(zip(ids, runs)):
+        facts = done[rid]["facts"]
+        audit = facts["audit"]
+        rows.append((done[rid]["attempt"], i, spec.tag, spec.variant, float(spec.frac), int(spec.seed), facts["threshold"]))
+        told.append({"run_id": i, "tag": spec.tag, "threshold": facts["threshold"], "n_train_real": audit["train_total_before_aug"],
+                     "n_train_synth": facts["need"], "n_train_total": audit["train_total_after_aug"], "audit": audit})
+    # one row a run; a run given twice reads the same files twice
+    of = spark.createDataFrame(rows, "attempt string, run_id int, tag string, variant string, frac double, seed int, threshold double")
+    read = lambda kind, schema: (spark.read.schema(f"{schema}, attempt string").parquet(f"{base}/{kind}")
+                                 .where(F.col("attempt").isin(sorted({r[0] for r in rows}))).join(of, "attempt").drop("attempt"))
+    members = read("members", "row_id bigint, part string").select("run_id", "row_id", "part")
+    leaks = sp.audit_runs(members, tested.select("row_id", "sha"), samples.select("row_id", "sha"), "run_id", strict)
+    audits = spark.createDataFrame(told, AUDITS).join(leaks, "run_id", "left")
     keys = ["run_id", "tag", "variant", "frac", "seed", "window_id", "threshold"]
-    return ev.evaluate(spark.read.parquet(f"{base}/preds").drop("run"), keys, "y_true", "proba", threshold="threshold"), audits
+    preds = read("preds", "window_id int, row_id bigint, y_true int, proba double, y_pred int")
+    return ev.evaluate(preds, keys, "y_true", "proba", threshold="threshold"), audits
 
 
 def run_records(metrics: DataFrame, audits: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ holds one metrics row per run, as the sweep writes it.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lowdata.functions.columns import variant_from_tag
@@ -17,7 +19,9 @@ from lowdata.operators import evaluation as ev
 from lowdata.operators import thresholds as th
 from lowdata.plans.queries import (EVENTS_CUTOFF, EVENTS_WIN_DAYS, QUERIES, SQL_EVENTS_TEST_WINDOWS,
                                    _sql_values, events_windows, r10, sql_r10, sql_ts_text, ts_text)
+from lowdata.session import scratch_path
 from lowdata.sources import fixtures as fx
+from lowdata.sources import io
 
 PREFIX = "cut2024_01"
 SEEDS = (42, 1337, 2025)
@@ -351,6 +355,16 @@ def q_apply_thresholds(spark, sf):
     return out.select("tag", r10("threshold").alias("threshold"), "f1", "balanced_accuracy", "mcc")
 
 
+@reg("apply_thresholds_bucketed", QUERIES["apply_thresholds"][1])
+def q_apply_thresholds_bucketed(spark, sf):
+    """S8 + E8: the same over predictions stored as a table bucketed by run, which is grouped and joined by run without a shuffle."""
+    name = f"preds_{uuid.uuid4().hex[:12]}"
+    agg = run_preds_agg(spark, sf)
+    stored = io.write_preds_bucketed(agg, name, scratch_path(spark, name), buckets=8)
+    out = th.apply_thresholds(run_raw(spark, sf, agg), pooled(spark, sf, agg), stored.select("tag", "y_true", "proba", "w"), weight="w")
+    return out.select("tag", r10("threshold").alias("threshold"), "f1", "balanced_accuracy", "mcc")
+
+
 # ------------------------------------------------------------------ E9 / E10 / P9
 
 @reg("classification_report", f"""WITH {SQL_TEST_PREDS},

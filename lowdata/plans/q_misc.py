@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lowdata.functions.columns import keep_families, positives, spread_vector, to_bool, to_num
-from lowdata.functions.hashing import sql_round_half_up, sql_uniform
+from lowdata.functions.hashing import md5_bucket, round_half_up, sql_md5_bucket, sql_round_half_up, sql_uniform
 from lowdata.operators import relational as rl
 from lowdata.operators import splits as sp
 from lowdata.operators.ranking import with_position
@@ -22,6 +22,7 @@ from lowdata.plans.queries import QUERIES, sql_ts_text, ts_text
 from lowdata.session import scratch_path
 from lowdata.sources import fixtures as fx
 from lowdata.sources import io
+from lowdata.sources.ledger import RunLedger
 
 HELD = ("src3", "src7")
 
@@ -321,6 +322,56 @@ def q_raw_pair_roundtrip(spark, sf):
     return round_doubles(pa.pair(io.read_raw(spark, path)))
 
 
+@reg("raw_quarantine", _sql_raw_based(f"""
+, f AS (SELECT tag, {sql_md5_bucket('tag', 10)} AS b FROM raw)
+SELECT CASE b WHEN 0 THEN 'fields' WHEN 1 THEN 'number frac' WHEN 2 THEN 'no tag' WHEN 3 THEN 'boolean used_gan' WHEN 4 THEN 'fields'
+              WHEN 5 THEN 'number auc,number tp' ELSE 'kept' END AS fate, count(*) AS n,
+       count(DISTINCT CASE WHEN b > 5 THEN tag END) AS tags FROM f GROUP BY ALL"""))
+def q_raw_quarantine(spark, sf):
+    """Result lines with planted faults: every line is either kept or refused with its reasons."""
+    from lowdata.plans.q_eval import run_raw
+    r = run_raw(spark, sf).withColumn("b", md5_bucket(F.col("tag"), 10))
+    frac = F.when(F.col("b") == 1, "one%").otherwise(F.col("frac").cast("string"))
+    tag = F.when(F.col("b") == 2, " ").otherwise(F.col("tag"))
+    gan = F.when(F.col("b") == 3, "maybe").when(F.col("used_gan"), "TRUE ").otherwise("no")
+    auc = F.when(F.col("b") == 5, "high").when(F.col("auc").isNull(), "nan").otherwise(F.col("auc").cast("string"))
+    tp = F.when(F.col("b") == 5, "many").otherwise(F.col("tp").cast("string"))
+    fields = F.concat_ws(",", "prefix", "kind", frac, "variant", gan, tag, auc, tp)
+    line = F.when(F.col("b") == 0, F.concat(fields, F.lit(",7,8"))).when(F.col("b") == 4, F.concat_ws(",", "prefix", "kind")).otherwise(fields)
+    head = "prefix,kind,frac,variant,used_gan,tag,auc,tp"
+    path = scratch_path(spark, f"faulty-{uuid.uuid4().hex[:8]}")
+    # one header line in front of every file
+    text = r.select(line.alias("value")).withColumn("_p", F.spark_partition_id())
+    first = text.select("_p").distinct().select(F.lit(head).alias("value"), "_p", F.lit(0).alias("_o"))
+    (text.withColumn("_o", F.lit(1)).unionByName(first).repartition("_p").sortWithinPartitions("_p", "_o").select("value", "_p")
+     .write.partitionBy("_p").text(path))
+    kept, refused = io.read_raw_checked(spark, f"{path}/*")
+    fates = kept.select(F.lit("kept").alias("fate"), "tag").unionByName(
+        refused.select(F.array_join("reasons", ",").alias("fate"), F.lit(None).cast("string").alias("tag")))
+    return fates.groupBy("fate").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tag").alias("tags"))
+
+
+@reg("run_ledger", _sql_raw_based(f"""
+SELECT tag, variant, {sql_round_half_up("CASE variant WHEN 'smote' THEN auc / 2 WHEN 'gan' THEN 1 - auc ELSE auc END", 6)} AS auc,
+       CAST(CASE variant WHEN 'real' THEN 0 WHEN 'oversample' THEN 3 WHEN 'smote' THEN 4 ELSE 5 END AS BIGINT) AS run_idx FROM raw"""))
+def q_run_ledger(spark, sf):
+    """Four appends of runs, one repeated in the same session and one from another: each run counts once, by its last
+    commit, in the order of the commits; an attempt without a commit is not read."""
+    from lowdata.plans.q_eval import run_raw
+    raw = run_raw(spark, sf).select("tag", "variant", "auc")
+    path = scratch_path(spark, f"ledger-{uuid.uuid4().hex[:8]}")
+    mine, other = RunLedger(spark, path), RunLedger(spark.newSession(), path)
+    part = lambda v: raw.where(F.col("variant") == v)
+    mine.append(part("real"), "real")
+    mine.append(part("smote"), "smote")
+    mine.append(part("gan"), "gan")
+    other.append(part("oversample"), "oversample")
+    mine.append(part("smote").withColumn("auc", F.col("auc") / 2), "smote")
+    other.append(part("gan").withColumn("auc", 1 - F.col("auc")), "gan")
+    part("real").withColumn("auc", F.lit(0.0)).write.parquet(mine.attempt_path("lost"))
+    return mine.read(raw.schema).select("tag", "variant", round_half_up(F.col("auc"), 6).alias("auc"), "run_idx")
+
+
 # ------------------------------------------------------------------ G1 / G6 / G8 / G9 / G10
 
 @reg("profile_table", """

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lowdata.operators import augment as au
+from lowdata.operators import evaluation as ev
 from lowdata.operators import model as md
 from lowdata.operators import sampling as sa
 from lowdata.plans.q_sampling import sql_largest_remainder, u
@@ -121,18 +123,16 @@ def q_cross_validate_check(spark, sf):
 
 def _search_table(spark, settings, aucs):
     best = max(range(len(aucs)), key=lambda i: aucs[i])
-    rows = [(i, s["numTrees"], s["maxDepth"], s.get("minInstancesPerNode", 1), float(a), i == best)
+    rows = [(i, s["numTrees"], s["maxDepth"], s.get("minInstancesPerNode", 1), s.get("minSamplesSplit", 2), float(a), i == best)
             for i, (s, a) in enumerate(zip(settings, aucs))]
-    return spark.createDataFrame(rows, "setting int, trees int, depth int, min_leaf int, auc double, best boolean")
+    return spark.createDataFrame(rows, "setting int, trees int, depth int, min_leaf int, min_split int, auc double, best boolean")
 
 
 @reg("grid_search", None)
 def q_grid_search(spark, sf):
-    """M6: CrossValidator over the light preset, exact AUC, hash folds: every setting with its AUC."""
-    p = md.GRID_PRESETS["light"]
+    """M6: search over the light preset, exact AUC, hash folds: every setting with its AUC."""
     _, _, aucs = md.grid_search(fx.embeddings(spark, sf), "light", parallelism=4)
-    settings = [{"numTrees": t, "maxDepth": md.depth_of(d)} for t in p["n_estimators"] for d in p["max_depth"]]
-    return _search_table(spark, settings, aucs)
+    return _search_table(spark, md.grid_settings("light"), aucs)
 
 
 @reg("random_search", None)
@@ -142,6 +142,49 @@ def q_random_search(spark, sf):
     return _search_table(spark, md.random_params(), aucs)
 
 
+CHECKED_SETTINGS = [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 8, "maxDepth": 6, "minInstancesPerNode": 2, "minSamplesSplit": 9}]
+
+
+@reg("search_check", f"""
+WITH f AS (SELECT row_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY {u(42, 'fold')}, row_id) - 1) % 3 AS INTEGER) AS fold FROM {fx.SQL_EMBEDDINGS} s)
+SELECT setting, fold, count(*) AS n, count_if(y = 1) AS n_pos, CAST(0 AS BIGINT) AS n_bad, true AS auc_agrees
+FROM f, (SELECT unnest([0, 1]) AS setting) t GROUP BY setting, fold""")
+def q_search_check(spark, sf):
+    """M6 / M7: every setting scores every row once, out of fold, and its AUC is the share of ordered (positive, negative) pairs."""
+    s = md.search_scores(fx.embeddings(spark, sf), CHECKED_SETTINGS, 3, 42, 4)
+    keys = ["setting", "fold"]
+    n = s.groupBy(*keys).agg(F.count_distinct("key").alias("n"), F.count_if(F.col("y") == 1).alias("n_pos"),
+                             F.count_if(F.isnan("proba") | (F.col("proba") < 0) | (F.col("proba") > 1)).alias("n_bad"))
+    exact = ev.ranking_metrics(s.withColumnRenamed("y", "y_true"), keys)
+    # Mann-Whitney ranks per fold, independent of the running sums
+    rank = s.select(*keys, "y", "proba").groupBy(*keys, "proba").agg(F.count_if(F.col("y") == 1).alias("p"), F.count("*").alias("m"))
+    w = Window.partitionBy(*keys).orderBy("proba").rowsBetween(Window.unboundedPreceding, -1)
+    mid = F.coalesce(F.sum("m").over(w), F.lit(0)) + (F.col("m") + 1) / 2
+    u_stat = (rank.withColumn("r", mid).groupBy(*keys).agg(F.sum(F.col("r") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("m").alias("m"))
+              .select(*keys, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("m") - F.col("p")))).alias("mw")))
+    return (n.join(exact, keys).join(u_stat, keys)
+            .select(*keys, "n", "n_pos", "n_bad", (F.abs(F.col("auc") - F.col("mw")) < 1e-9).alias("auc_agrees")))
+
+
+@reg("min_split_check", f"""
+SELECT 12 AS trees, CAST(0 AS BIGINT) AS small_inner, true AS some_cut, true AS leaves_agree, count(*) AS n_scored FROM {fx.SQL_EMBEDDINGS} s""")
+def q_min_split_check(spark, sf):
+    """M7 min samples split: a forest cut at 20 rows has no inner node of fewer, keeps every other split, and scores every row."""
+    e = fx.embeddings(spark, sf).withColumn("y", F.col("y").cast("double"))
+    full = md.forest(12, None, 42).fit(md.with_vector(e))
+    cut = md.cut_small_splits(full, 20)
+    a, b = (scratch_path(spark, f"forest-check-{uuid.uuid4().hex}") for _ in range(2))
+    full.write().overwrite().save(a)
+    cut.write().overwrite().save(b)
+    before, after = ((md.forest_nodes(p, spark).groupBy("treeID").agg(
+        F.count_if((F.col("nodeData.leftChild") >= 0) & (F.col("nodeData.rawCount") < 20)).alias("small"),
+        F.count_if((F.col("nodeData.leftChild") >= 0) & (F.col("nodeData.rawCount") >= 20)).alias("large"))) for p in (a, b))
+    t = before.join(after.select("treeID", F.col("small").alias("small2"), F.col("large").alias("large2")), "treeID")
+    n = md.score(cut, e).where("proba between 0 and 1").count()
+    return t.agg(F.count("*").cast("int").alias("trees"), F.sum("small2").alias("small_inner"), (F.sum("small") > 0).alias("some_cut"),
+                 F.bool_and(F.col("large") == F.col("large2")).alias("leaves_agree")).withColumn("n_scored", F.lit(n).cast("long"))
+
+
 def reloaded(spark, sf):
     path = scratch_path(spark, f"model-{uuid.uuid4().hex[:8]}")
     e = fx.embeddings(spark, sf)

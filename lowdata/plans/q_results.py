@@ -11,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lowdata.functions.hashing import round_half_up, sql_round_half_up
+from lowdata.operators import evaluation as ev
 from lowdata.operators import pairing as pa
 from lowdata.operators import report as rp
+from lowdata.plans import grid
 from lowdata.plans.q_eval import SQL_RAW, run_raw
-from lowdata.plans.queries import QUERIES, r10, sql_r10
+from lowdata.plans.queries import FIXTURE_SEEDS, FIXTURE_VARIANTS, QUERIES, r10, sql_r10, sql_ranking
+from lowdata.session import materialize
+from lowdata.sources import fixtures as fx
 
 CORE = pa.CORE
 KB = ["prefix", "kind", "frac", "seed", "test_start", "test_end", "test_window_days"]
@@ -235,35 +240,87 @@ def q_seed_box(spark, sf):
     return round_doubles(rp.seed_box(results(spark, sf), "auc"))
 
 
-def _sql_bootstrap(n_boot: int = 1000, seed: int = 42) -> str:
-    from lowdata.functions.hashing import sql_uniform
-    gid = "concat_ws('|', prefix, variant, CAST(frac AS VARCHAR))"
-    u = sql_uniform(str(seed), gid, "b", "j")
-    r8 = lambda e: __import__("lowdata.functions.hashing", fromlist=["x"]).sql_round_half_up(e, 8)
-    return SQL_PAIRED + f""",
-bb AS (SELECT prefix, variant, frac, delta_auc,
-              row_number() OVER (PARTITION BY prefix, variant, frac ORDER BY CAST(seed AS VARCHAR) || '|' || test_start) - 1 AS rr
-       FROM paired WHERE delta_auc IS NOT NULL),
-sz AS (SELECT prefix, variant, frac, count(*) AS n, avg(delta_auc) AS delta_mean FROM bb GROUP BY ALL),
-dr AS (SELECT prefix, variant, frac, n, b, j FROM sz, (SELECT unnest(generate_series(0, {n_boot - 1})) AS b) bs,
-       LATERAL (SELECT unnest(generate_series(0, n - 1)) AS j)),
-dr2 AS (SELECT prefix, variant, frac, b, CAST(floor({u} * n) AS INTEGER) AS rr FROM dr),
-rep AS (SELECT d.prefix, d.variant, d.frac, d.b, avg(bb.delta_auc) AS m FROM dr2 d
-        JOIN bb ON d.prefix = bb.prefix AND d.variant = bb.variant AND d.frac = bb.frac AND d.rr = bb.rr GROUP BY ALL),
-ci AS (SELECT prefix, variant, frac, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi,
-              avg(CAST(m <= 0 AS DOUBLE)) AS ple, avg(CAST(m >= 0 AS DOUBLE)) AS pge FROM rep GROUP BY ALL)
-SELECT sz.prefix, sz.variant, sz.frac, sz.n, {r8('sz.delta_mean')} AS delta_mean, {r8('ci.lo')} AS ci_low,
-       {r8('ci.hi')} AS ci_high, {r8('least(1.0, 2.0 * least(ple, pge))')} AS p_boot,
-       CASE WHEN least(1.0, 2.0 * least(ple, pge)) < 0.001 THEN '***' WHEN least(1.0, 2.0 * least(ple, pge)) < 0.01 THEN '**'
-            WHEN least(1.0, 2.0 * least(ple, pge)) < 0.05 THEN '*' ELSE '' END AS stars
-FROM sz LEFT JOIN ci ON sz.prefix = ci.prefix AND sz.variant = ci.variant AND sz.frac = ci.frac"""
-
-
-@reg("delta_bootstrap", _sql_bootstrap())
+def sql_bootstrap(src: str, keys: list[str], unit: str, n_boot: int = 1000, seed: int = 42) -> str:
+    """CTEs ending in the bootstrap table ``bt`` of ``src(keys..., unit, delta_auc)``: one row per (unit, replicate) here."""
+    k = ", ".join(keys)
+    gid = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in keys) + ")"
+    h = f"md5('{seed}|' || {gid} || '|' || unit || '|' || CAST(b // {rp.PER_HASH} AS VARCHAR))"
+    v = f"(('0x' || substr({h}, CAST(8 * (b % {rp.PER_HASH}) + 1 AS BIGINT), 8))::UBIGINT)::BIGINT"
+    weight = " + ".join(f"CAST(v >= {x} AS INTEGER)" for x in rp.POISSON_LIMITS)
+    return f"""bu AS (SELECT {k}, {unit} AS unit, delta_auc FROM {src} WHERE delta_auc IS NOT NULL),
+bv AS (SELECT {k}, delta_auc, b, {v} AS v
+       FROM bu, (SELECT unnest(range({n_boot})) AS b) n),
+bw AS (SELECT {k}, b, delta_auc, {weight} AS w FROM bv),
+br AS (SELECT {k}, b, sum(w * delta_auc) / sum(w) AS m FROM bw GROUP BY {k}, b HAVING sum(w) > 0),
+bc AS (SELECT {k}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi,
+              least(1.0, 2.0 * least(avg(CAST(m <= 0 AS DOUBLE)), avg(CAST(m >= 0 AS DOUBLE)))) AS p FROM br GROUP BY {k}),
+bn AS (SELECT {k}, count(*) AS n, avg(delta_auc) AS delta_mean FROM bu GROUP BY {k}),
+bt AS (SELECT {", ".join(f"bn.{c}" for c in keys)}, n, {sql_round_half_up('delta_mean', 8)} AS delta_mean, {sql_round_half_up('lo', 8)} AS ci_low,
+              {sql_round_half_up('hi', 8)} AS ci_high, {sql_round_half_up('p', 8)} AS p_boot,
+              CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars
+       FROM bn LEFT JOIN bc ON {" AND ".join(f"bn.{c} = bc.{c}" for c in keys)})"""
+
+
+def _round8(df: DataFrame) -> DataFrame:
+    return df.select(*[round_half_up(F.col(c), 8).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@reg("delta_bootstrap", SQL_PAIRED + ", pu AS (SELECT *, CAST(seed AS VARCHAR) || '|' || test_start AS unit FROM paired), "
+     + sql_bootstrap("pu", ["prefix", "variant", "frac"], "unit") + " SELECT * FROM bt")
 def q_delta_bootstrap(spark, sf):
-    """Mean paired AUC delta with a 1000-replicate percentile bootstrap CI and stars."""
-    from lowdata.functions.hashing import round_half_up
-    p = round_doubles(pa.pair(results(spark, sf))).withColumn(
-        "pair_id", F.concat_ws("|", "seed", "test_start"))
-    b = rp.delta_bootstrap(p, "auc", ["prefix", "variant", "frac"], 1000, 42)
-    return b.select(*[round_half_up(F.col(c), 8).alias(c) if t == "double" else F.col(c) for c, t in b.dtypes])
+    """Mean paired AUC delta with a 1000-replicate percentile bootstrap CI and stars."""
+    p = round_doubles(pa.pair(results(spark, sf))).withColumn("pair_id", F.concat_ws("|", "seed", "test_start"))
+    return _round8(rp.delta_bootstrap(p, "auc", ["prefix", "variant", "frac"], 1000, 42))
+
+
+N_MATRIX_WINDOWS = 7  # windows that the matrix has columns for
+
+
+@reg("delta_matrix_wide", SQL_PAIRED + f""",
+w AS (SELECT test_start, row_number() OVER (ORDER BY test_start) - 1 AS k FROM (SELECT DISTINCT test_start FROM paired) t)
+SELECT variant, prefix, {", ".join(f"{sql_r10(f'avg(CASE WHEN w.k = {i} THEN delta_auc END)')} AS w{i}" for i in range(N_MATRIX_WINDOWS))}
+FROM paired JOIN w ON w.test_start = paired.test_start WHERE frac = 0.01 GROUP BY variant, prefix""")
+def q_delta_matrix_wide(spark, sf):
+    """The matrix of mean AUC deltas, (method, cutoff) x window, at one fraction."""
+    p = round_doubles(pa.pair(results(spark, sf)))
+    starts = [r[0] for r in p.select("test_start").distinct().orderBy("test_start").limit(N_MATRIX_WINDOWS).collect()]
+    starts += [f"none{i}" for i in range(N_MATRIX_WINDOWS - len(starts))]
+    return round_doubles(rp.delta_matrix_wide(p, starts, "auc", 0.01, "prefix", "test_start", names=[f"w{i}" for i in range(N_MATRIX_WINDOWS)]))
+
+
+# ------------------------------------------------------------------ R5 per family
+
+SQL_FAMILY_ROWS = """fr AS (SELECT o_orderkey AS row_id, CAST(o_orderstatus = 'F' AS INTEGER) AS y, o_orderpriority AS family, year(o_orderdate) AS yr FROM orders),
+ff AS (SELECT DISTINCT family FROM fr WHERE y = 1),
+fp AS (SELECT ff.family, yr, row_id, y FROM fr JOIN ff ON fr.y = 0 OR fr.family = ff.family)"""
+SQL_FAMILY_DELTAS = "WITH " + SQL_FAMILY_ROWS + f""",
+fs AS (SELECT p.family, p.yr, s.seed, v.variant, p.y AS y_true, {grid.sql_fixture_score('s.seed', 'v.variant', 'p.row_id', 'p.y')} AS proba
+       FROM fp p, (SELECT unnest([{", ".join(map(str, FIXTURE_SEEDS))}])::INTEGER AS seed) s, (SELECT unnest({list(FIXTURE_VARIANTS)!r}) AS variant) v),
+fa AS (SELECT * FROM {sql_ranking('fs', ['family', 'yr', 'seed', 'variant'])} t),
+pu AS (SELECT a.family, a.variant, CAST(a.seed AS VARCHAR) || '|' || CAST(a.yr AS VARCHAR) AS unit, {sql_r10(f"{sql_r10('a.auc')} - {sql_r10('b.auc')}")} AS delta_auc
+       FROM fa a JOIN fa b ON a.family = b.family AND a.yr = b.yr AND a.seed = b.seed AND b.variant = 'real' WHERE a.variant <> 'real'), """
+
+
+def family_deltas(spark, sf) -> DataFrame:
+    """(family, variant, pair_id, delta_auc): each held-out family's positives against all negatives, by year and seed.
+
+    Scores are counted once per (row's family, year, seed, variant, label, score); the negatives' counts then go to every family.
+    """
+    o = fx.orders(spark, sf).select("row_id", "y", "family", F.year("ts").alias("yr"))
+    preds = grid.fixture_preds(o, FIXTURE_SEEDS, FIXTURE_VARIANTS)
+    h = materialize(preds.groupBy("family", "yr", "seed", "variant", "y_true", "proba").agg(F.count(F.lit(1)).alias("n")))
+    families = h.where("y_true = 1").select("family").distinct()
+    negatives = h.where("y_true = 0").groupBy("yr", "seed", "variant", "y_true", "proba").agg(F.sum("n").alias("n"))
+    to_all = negatives.select("*", F.explode(families.agg(F.sort_array(F.collect_set("family")).alias("f")).scalar()).alias("family"))
+    counts = h.where("y_true = 1").unionByName(to_all.select(*h.columns))
+    keys = ["family", "yr", "seed"]
+    auc = ev.ranking_metrics(counts, [*keys, "variant"], weight="n").select(*keys, "variant", r10("auc").alias("auc"))
+    base = auc.where("variant = 'real'").select(*keys, F.col("auc").alias("auc_real"))
+    return (auc.where("variant <> 'real'").join(base, keys)
+            .select("family", "variant", F.concat_ws("|", "seed", "yr").alias("pair_id"), r10(F.col("auc") - F.col("auc_real")).alias("delta_auc")))
+
+
+@reg("delta_bootstrap_family", SQL_FAMILY_DELTAS + sql_bootstrap("pu", ["family", "variant"], "unit") + " SELECT * FROM bt")
+def q_delta_bootstrap_family(spark, sf):
+    """Mean AUC delta per held-out family with a bootstrap CI over its (seed, year) pairs."""
+    return _round8(rp.delta_bootstrap(family_deltas(spark, sf), "auc", ["family", "variant"], 1000, 42))

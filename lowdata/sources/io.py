@@ -155,6 +155,14 @@ def write_preds(df: DataFrame, path: str, mode: str = "append", by: str = "prefi
     df.write.mode(mode).partitionBy(by).parquet(path)
 
 
+def write_preds_bucketed(df: DataFrame, table: str, path: str, buckets: int = 64, by: str = "tag", mode: str = "overwrite") -> DataFrame:
+    """S8 as a table bucketed by run: what groups or joins predictions by run (E6-E8) reads them
+    without a new shuffle.  One bucket file per task and bucket: rows are dealt to the buckets first."""
+    spark = df.sparkSession
+    df.repartition(buckets, by).write.mode(mode).option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+    return spark.table(table)
+
+
 def append_raw(df: DataFrame, path: str) -> None:
     """Append run rows to the results table (no whole-file rewrite).
 
@@ -176,19 +184,14 @@ def write_table(df: DataFrame, path: str, suffix: str = "", fmt: str = "parquet"
 
 # ------------------------------------------------------------------ S9 / S11 / S13
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """S11 (+ P5, P6, P10): results CSV with every column as text, then coerced:
-    booleans by spelling, numbers by ``try_cast`` (``nan`` / blank -> null), seed 0 when absent;
-    ``run_idx`` orders the runs over all appends."""
-    txt = spark.read.option("header", True).csv(path)
-    own = [*RAW_COLUMNS, *RAW_ORDER]
-    if set(RAW_ORDER) <= set(txt.columns):
-        txt = spark.read.schema(", ".join(f"`{c}` string" for c in own)).option("header", True).csv(path)
+def _typed_raw(txt: DataFrame, columns: list[str], at) -> DataFrame:
+    """Text columns of raw rows coerced; ``run_idx`` from the stored order, or else the row's place ``at``."""
+    if set(RAW_ORDER) <= set(columns):
         order = F.struct(*[F.col(c).cast("long") for c in RAW_ORDER])
     else:  # a table from elsewhere: its row order
-        order = F.struct(F.lit(0).cast("long").alias(RAW_ORDER[0]), F.monotonically_increasing_id().alias(RAW_ORDER[1]))
+        order = F.struct(F.lit(0).cast("long").alias(RAW_ORDER[0]), at.alias(RAW_ORDER[1]))
     cols = [order.alias("run_idx")]
-    for c in [c for c in txt.columns if c not in RAW_ORDER]:
+    for c in [c for c in columns if c not in RAW_ORDER]:
         if c == "used_gan":
             cols.append(to_bool(c, trim=True).alias(c))
         elif c in RAW_DOUBLE:
@@ -203,6 +206,43 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("seed", F.coalesce("seed", F.lit(0)) if "seed" in d.columns else F.lit(0))
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """S11 (+ P5, P6, P10): results CSV with every column as text, then coerced:
+    booleans by spelling, numbers by ``try_cast`` (``nan`` / blank -> null), seed 0 when absent;
+    ``run_idx`` orders the runs over all appends."""
+    txt = spark.read.option("header", True).csv(path)
+    if set(RAW_ORDER) <= set(txt.columns):
+        txt = spark.read.schema(", ".join(f"`{c}` string" for c in [*RAW_COLUMNS, *RAW_ORDER])).option("header", True).csv(path)
+    return _typed_raw(txt, txt.columns, F.monotonically_increasing_id())
+
+
+CORRUPT = "_corrupt"
+
+
+def read_raw_checked(spark: SparkSession, path: str, need: tuple[str, ...] = ("tag", "frac", "variant")) -> tuple[DataFrame, DataFrame]:
+    """S11 with quarantine: (kept rows as :func:`read_raw` gives them, refused rows ``line, reasons``).
+
+    Refused are lines with too few or too many fields, rows without one of ``need``, and rows with text
+    where a number or a boolean belongs (``nan`` and blanks are unknown numbers, not faults).  Every line but the
+    headers is in exactly one of the two.
+    """
+    head = [c for c in spark.read.option("header", True).csv(path).columns]
+    src = (spark.read.schema(", ".join(f"`{c}` string" for c in [*head, CORRUPT])).option("header", True).option("enforceSchema", True)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path))
+    told = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    bad_number = lambda c: told(c).isNotNull() & (F.lower(told(c)) != "nan") & F.expr(f"try_cast(trim(`{c}`) as double)").isNull()
+    numbers = [c for c in head if c in (*RAW_DOUBLE, *RAW_LONG, *RAW_INT)]
+    reasons = F.array_compact(F.array(
+        F.when(F.col(CORRUPT).isNotNull(), F.lit("fields")),
+        *[F.when(F.col(CORRUPT).isNull() & told(c).isNull(), F.lit(f"no {c}")) for c in need if c in head],
+        *[F.when(F.col(CORRUPT).isNull() & bad_number(c), F.lit(f"number {c}")) for c in numbers],
+        *[F.when(F.col(CORRUPT).isNull() & told(c).isNotNull() & ~F.lower(told(c)).isin("true", "1", "yes", "false", "0", "no"), F.lit(f"boolean {c}")) for c in head if c == "used_gan"]))
+    marked = src.withColumn("reasons", reasons).withColumn("_at", F.monotonically_increasing_id())
+    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in head]))
+    kept = _typed_raw(marked.where(F.size("reasons") == 0), head, F.col("_at"))
+    return kept, marked.where(F.size("reasons") > 0).select(line.alias("line"), "reasons")
+
+
 def read_preds(df: DataFrame, y_col: str | None = None, p_col: str | None = None) -> DataFrame:
     """Pick the label and score columns of a predictions table.
 
