@@ -2,12 +2,17 @@
 
 Documents longer than the largest length are cut: full pieces fill a sequence of
 their own, the remainder is packed.  Pieces are packed in decreasing length into the
-open bin that they fit best.  When none has room, a bin is opened with the permitted
-length of least cost per token that the bin can still be expected to hold; at
+open bin that they fit best; when none has room, a bin of a permitted length is opened, and at
 the end every bin is downsized to the smallest permitted length that holds its
 contents.  ``cost(c) = overhead + c + c * c / attention`` (a fixed price per sequence, one
 per position, and a quadratic part).
 
+The lengths are optimised together.  The length of a new bin is the one of least cost per token of what it
+would hold: it is filled in thought with the largest pieces left (a count per size is kept), downsized, and priced.
+Lengths compete for the same small pieces, which one bin at a time cannot see; so a block is also packed with every
+set of lengths that can hold its pieces, each opened at its smallest fitting length, and the plan of
+least total cost is kept.
+
 Packing happens inside the input's own partitions, ``block_rows`` documents at a
 time: no shuffle, memory bounded by a block, and only the last bins of a
 block are less than full.  A retried task packs its rows again in the same way.
@@ -21,6 +26,7 @@ further columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,19 +41,41 @@ def cost(c: int) -> float:
     return OVERHEAD + c + c * c / ATTENTION
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """(bin of each item, offset of each item, length of each bin); every size is at most the largest length."""
-    lengths = tuple(sorted(lengths))
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    left = sum(sizes)  # tokens not placed yet
-    least = sizes[order[-1]] if order else 0
+Plan = tuple[list[int], list[int], list[int], list[int]]  # bin of each item, offset of each item, final and opened length of each bin
+
+
+def _filled(n: int, room: int, left: list[int], sizes: int) -> int:
+    """Tokens of a bin that holds a piece of n and the largest pieces left that fit one after another (``sizes``: bits of what is left)."""
+    used = n
+    while room:
+        fit = sizes & ((2 << room) - 1)
+        if not fit:
+            break
+        s = fit.bit_length() - 1
+        k = min(left[s], room // s) if s else 0
+        used, room = used + k * s, room - k * s
+        sizes &= (1 << s) - 1  # smaller ones next
+    return used
+
+
+def one_plan(sizes: list[int], lengths: tuple[int, ...], look_ahead: bool, order: list[int] | None = None) -> Plan:
+    """Best fit in decreasing order; a bin opens at the cheapest length by looking ahead, or at the smallest that fits."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)) if order is None else order
     where, offset = [0] * len(sizes), [0] * len(sizes)
     used: list[int] = []
-    size: list[int] = []
+    opened: list[int] = []
     by_room: dict[int, list[int]] = defaultdict(list)
     rooms = 0  # bit r is set if some open bin has exactly r positions left
+    left = [0] * (max(lengths) + 1)
+    for n in sizes if look_ahead else ():
+        left[n] += 1
+    bits = sum(1 << n for n in set(sizes)) if look_ahead else 0
     for i in order:
         n = sizes[i]
+        if look_ahead:
+            left[n] -= 1
+            if not left[n]:
+                bits ^= 1 << n
         fit = rooms >> n
         if fit:
             r = n + (fit & -fit).bit_length() - 1
@@ -55,21 +83,59 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list
             if not by_room[r]:
                 rooms ^= 1 << r
         else:
-            def per_token(c: int) -> float:
-                fill = min(c - n, left - n) if c - n >= least else 0
-                return cost(c) / max(n + fill, 1)
-            c = min((c for c in lengths if c >= n), key=lambda c: (per_token(c), c))
+            c = next(c for c in lengths if c >= n)
+            if look_ahead:
+                best = None
+                for x in lengths:
+                    if x >= n:
+                        held = _filled(n, x - n, left, bits)
+                        price = cost(next(y for y in lengths if y >= held)) / max(held, 1)
+                        if best is None or price < best:
+                            best, c = price, x
             b, r = len(used), c
             used.append(0)
-            size.append(c)
+            opened.append(c)
         where[i], offset[i] = b, used[b]
         used[b] += n
-        left -= n
         room = r - n
         if not by_room[room]:
             rooms |= 1 << room
         by_room[room].append(b)
-    return where, offset, [next(c for c in lengths if c >= u) for u in used]
+    return where, offset, [next(c for c in lengths if c >= u) for u in used], opened
+
+
+def total_cost(plan: Plan) -> float:
+    return sum(map(cost, plan[2]))
+
+
+def best_plan(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> Plan:
+    """The cheapest of the plan that looks ahead and the plans of every set of lengths; bins are downsized to any permitted length."""
+    lengths = tuple(sorted(set(lengths)))
+    if not sizes:
+        return [], [], [], []
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    most = sizes[order[0]]
+    best = one_plan(sizes, lengths, True, order)
+    for k in range(1, len(lengths) + 1):
+        for some in combinations(lengths, k):
+            if some[-1] >= most:
+                w, o, final, opened = one_plan(sizes, some, False, order)
+                fit = [next(c for c in lengths if c >= u) for u in _used(sizes, w, len(final))]
+                if sum(map(cost, fit)) < total_cost(best):
+                    best = w, o, fit, opened
+    return best
+
+
+def _used(sizes: list[int], where: list[int], n: int) -> list[int]:
+    used = [0] * n
+    for s, b in zip(sizes, where):
+        used[b] += s
+    return used
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
+    """(bin of each item, offset of each item, length of each bin); every size is at most the largest length."""
+    return best_plan(sizes, lengths)[:3]
 
 
 def word_count(text: str = "text") -> Column:

@@ -242,6 +242,47 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0 and packing.best_fit([]) == ([], [], [])
 
 
+def exhaustive_cost(sizes, lengths):
+    """Least total cost over all ways to share the pieces out."""
+    best = [math.inf]
+
+    def place(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(packing.cost(next(c for c in lengths if c >= b)) for b in bins))
+            return
+        for j in {b: j for j, b in enumerate(bins)}.values():
+            if bins[j] + sizes[i] <= lengths[-1]:
+                bins[j] += sizes[i]
+                place(i + 1, bins)
+                bins[j] -= sizes[i]
+        place(i + 1, [*bins, sizes[i]])
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_exhaustive_search():
+    rng, ratios, lowered = random.Random(3), [], 0
+    for _ in range(300):
+        sizes = [rng.randint(1, 4096) if rng.random() < 0.3 else rng.randint(100, 900) for _ in range(rng.randint(1, 7))]
+        plan = packing.best_plan(sizes)
+        least, chosen = exhaustive_cost(sizes, packing.LENGTHS), packing.total_cost(plan)
+        smallest = packing.total_cost(packing.one_plan(sizes, packing.LENGTHS, False))
+        assert least - 1e-9 <= chosen <= smallest + 1e-9
+        ratios.append(chosen / least)
+        # a longer bin was opened, paid off, and was downsized to its contents
+        lowered += chosen < smallest - 1e-9 and any(final < opened for final, opened in zip(plan[2], plan[3]))
+    assert sum(ratios) / len(ratios) < 1.01 and max(ratios) < 1.35 and lowered
+
+
+def test_packing_opens_a_longer_bin_where_it_pays():
+    sizes = [300] * 6  # 512 holds one of them, 1024 three
+    assert packing.one_plan(sizes, packing.LENGTHS, False)[2] == [512] * 6
+    assert sorted(packing.best_plan(sizes)[2]) == [1024, 1024] and packing.total_cost(packing.best_plan(sizes)) == exhaustive_cost(sizes, packing.LENGTHS)
+    assert packing.best_plan([])[2] == [] and packing.best_plan([0])[2] == [512]
+    ties = packing.best_plan([700] * 9)
+    assert ties == packing.best_plan([700] * 9) and exhaustive_cost([700] * 5, packing.LENGTHS) <= packing.total_cost(packing.best_plan([700] * 5))
+
+
 # ------------------------------------------------------------------ 6 URL filter
 
 def brute_pagerank(pages, rules=hostgraph.RULES):
