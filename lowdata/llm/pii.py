@@ -4,13 +4,15 @@ The patterns (e-mail, IP, payment card, phone) give the base spans.  The
 field decides about the further *mentions* of a document - number groups of six or more
 digits and tokens with ``@`` that no pattern accepted.  Its nodes are all mentions and
 base spans in text order; base spans are observed.  Potentials: the features of a
-mention; agreement of neighbours in the text (chain); agreement of distant mentions
-that repeat or resemble each other - same last seven digits, same first three parts
-of a dotted number, or same user and host (skip).  Weights are learned by
+mention; the labels of two neighbours in the text (chain: a full matrix, learned); agreement of distant
+nodes that repeat or resemble each other - same last seven digits, same first three parts
+of a dotted number, or same user and host (skip).  A skip edge from a base span carries its kind, with a learned
+weight a kind; one between two mentions only says that they are alike, with one weight for all labels, so
+repetition alone is no evidence for any kind.  Weights are learned by
 pseudo-likelihood from a bounded sample of texts, labelled by the base spans.  Each
 base span also teaches by its shortened form (a phone without country code, a card or
 IP without its first or last group, an address without its domain's end): linked to the
-full form it has that kind, alone it has none.  So a short form counts as personal data
+full form it has that kind; alone, or repeated alone, it has none.  So a short form counts as personal data
 where the document holds the long one.  Marginals come from loopy sum-product
 message passing over the whole document, until the messages settle; the bound on rounds grows
 with the longest path of links.  Occurrences that share a key are linked one to the next, and each
@@ -192,14 +194,22 @@ class Graph:
             last[k] = i
         self.longest = _longest(chain) + _longest(skip)
         self.edges = np.array(chain + skip, dtype=np.int64).reshape(-1, 2)
-        self.is_skip = np.array([0] * len(chain) + [1] * len(skip), dtype=np.int64)
+        self.kind = np.array([CHAIN] * len(chain) + [HELD if self.seen[i] >= 0 or self.seen[j] >= 0 else ALIKE for i, j in skip], dtype=np.int64)
+
+
+CHAIN, HELD, ALIKE = range(3)  # edges: neighbours in the text; skip from a base span; skip between mentions
 
 
 class Field:
-    """Weights: of features (features x labels), and of agreement per edge kind and label."""
+    """Weights: of features (features x labels), of neighbouring labels (left x right), of agreement with a
+    base span (per label) and of agreement between mentions (one number)."""
+
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, held: np.ndarray, alike: float):
+        self.unary, self.chain, self.held, self.alike = unary, chain, held, alike
 
-    def __init__(self, unary: np.ndarray, agree: np.ndarray):
-        self.unary, self.agree = unary, agree
+    def potential(self, kind: int) -> np.ndarray:
+        """Log potential of an edge by the labels of its earlier and later end."""
+        return self.chain if kind == CHAIN else np.diag(self.held if kind == HELD else np.full(len(LABELS), self.alike))
 
     def marginals(self, g: Graph) -> np.ndarray:
         """Loopy sum-product with the observed labels clamped."""
@@ -208,18 +218,22 @@ class Field:
         known = g.seen >= 0
         local[known] = -1e4
         local[known, g.seen[known]] = 0.0
-        if len(g.edges):
+        m = len(g.edges)
+        if m:
             src = np.concatenate((g.edges[:, 0], g.edges[:, 1]))
             dst = np.concatenate((g.edges[:, 1], g.edges[:, 0]))
-            bond = np.exp(self.agree[np.concatenate((g.is_skip, g.is_skip))]) - 1  # extra factor where both ends agree
-            back = np.concatenate((np.arange(len(g.edges), len(src)), np.arange(len(g.edges))))
-            msg = np.full((len(src), k), -np.log(k))
+            back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
+            of = [(at + way * m, np.exp(self.potential(e) if not way else self.potential(e).T))
+                  for e in (CHAIN, HELD, ALIKE) for at in [np.flatnonzero(g.kind == e)] if len(at) for way in (0, 1)]
+            msg = np.full((2 * m, k), -np.log(k))
             for _ in range(ROUNDS + 2 * g.longest):  # damped by half, so two rounds a link; the gap mostly ends it before
                 total = local.copy()
                 np.add.at(total, dst, msg)
                 out = total[src] - msg[back]
                 out = np.exp(out - out.max(1, keepdims=True))
-                new = np.log(out.sum(1, keepdims=True) + out * bond)
+                new = np.empty_like(msg)
+                for at, bond in of:
+                    new[at] = np.log(out[at] @ bond)
                 new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
                 gap = np.abs(new - msg).max()
                 msg = 0.5 * msg + 0.5 * new
@@ -244,49 +258,62 @@ class Field:
         return base, sorted(base + self.more_spans(text, base), key=lambda x: x)
 
 
-def fit(texts: list[str | None], steps: int = 300, l2: float = 1e-3) -> Field:
+def fit(texts: list[str | None], steps: int = 400, l2: float = 1e-3) -> Field:
     """Pseudo-likelihood: each mention given its features and the labels of its neighbours."""
-    xs, ys, near = [], [], []
     k_all = len(LABELS)
+    xs, ys, lefts, rights, helds, alikes = [], [], [], [], [], []
+
+    def learn(x, y, left=None, right=None, held=None, alike=None):
+        none = np.zeros((len(y), k_all))
+        for out, part in zip((xs, ys, lefts, rights, helds, alikes), (x, y, *(none if p is None else p for p in (left, right, held, alike)))):
+            out.append(part)
+
     for t in texts:
         g = Graph(t or "", base_spans(t or ""))
         if not len(g.nodes):
             continue
         y = np.maximum(g.seen, 0)
-        counts = np.zeros((len(y), 2, k_all))
-        for (i, j), s in zip(g.edges, g.is_skip):
-            counts[i, s, y[j]] += 1
-            counts[j, s, y[i]] += 1
+        left, right, held, alike = (np.zeros((len(y), k_all)) for _ in range(4))
+        for (i, j), e in zip(g.edges, g.kind):
+            if e == CHAIN:
+                right[i, y[j]] += 1
+                left[j, y[i]] += 1
+            elif e == ALIKE:
+                alike[i, y[j]] += 1
+                alike[j, y[i]] += 1
+            elif g.seen[i] < 0 or g.seen[j] < 0:  # from a base span to a mention
+                a, b = (i, j) if g.seen[i] < 0 else (j, i)
+                held[a, y[b]] += 1
+        learn(g.x, y, left, right, held, alike)
         short = [(k, features(shortened(k - 1, t[s:e]))) for k, s, e in g.nodes if k > 0]
         if short:
-            kinds = np.array([k for k, _ in short])
-            linked = np.zeros((len(short), 2, k_all))
-            linked[np.arange(len(short)), 1, kinds] = 1
-            xs += [np.array([x for _, x in short])] * 2
-            ys += [kinds, np.zeros_like(kinds)]
-            near += [linked, np.zeros_like(linked)]
-        xs.append(g.x)
-        ys.append(y)
-        near.append(counts)
-    width = len(features("0"))
-    unary, agree = np.zeros((width, k_all)), np.zeros((2, k_all))
+            kinds, x = np.array([k for k, _ in short]), np.array([x for _, x in short])
+            full, other = np.zeros((len(short), k_all)), np.zeros((len(short), k_all))
+            full[np.arange(len(short)), kinds] = 1
+            other[:, 0] = 1
+            learn(x, kinds, held=full)
+            learn(x, np.zeros_like(kinds))
+            learn(x, np.zeros_like(kinds), alike=other)
+    unary, chain, held_w, alike_w = np.zeros((len(features("0")), k_all)), np.zeros((k_all, k_all)), np.zeros(k_all), 0.0
     if not xs:
         unary[0, 0] = 5.0
-        return Field(unary, agree)
-    x, y, near = np.concatenate(xs), np.concatenate(ys), np.concatenate(near)
+        return Field(unary, chain, held_w, alike_w)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    left, right, held, alike = (np.concatenate(p) for p in (lefts, rights, helds, alikes))
     target = np.eye(k_all)[y]
-    gu, ga = np.full_like(unary, 1e-8), np.full_like(agree, 1e-8)
+    gu, gc, gh, ga = np.full_like(unary, 1e-8), np.full_like(chain, 1e-8), np.full_like(held_w, 1e-8), 1e-8
     for _ in range(steps):
-        z = x @ unary + (near * agree).sum(1)
+        z = x @ unary + left @ chain + right @ chain.T + held * held_w + alike * alike_w
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         d = (target - p) / len(y)
-        du, da = x.T @ d - l2 * unary, (near * d[:, None, :]).sum(0) - l2 * agree
-        gu += du ** 2
-        ga += da ** 2
-        unary += 0.5 * du / np.sqrt(gu)
-        agree = np.clip(agree + 0.5 * da / np.sqrt(ga), 0.0, 8.0)  # agreement attracts
-    return Field(unary, agree)
+        du, dc = x.T @ d - l2 * unary, left.T @ d + d.T @ right - l2 * chain
+        dh, da = (held * d).sum(0) - l2 * held_w, float((alike * d).sum() - l2 * alike_w)
+        gu, gc, gh, ga = gu + du ** 2, gc + dc ** 2, gh + dh ** 2, ga + da ** 2
+        unary, chain = unary + 0.5 * du / np.sqrt(gu), chain + 0.5 * dc / np.sqrt(gc)
+        held_w = np.clip(held_w + 0.5 * dh / np.sqrt(gh), 0.0, 8.0)  # agreement attracts
+        alike_w = min(max(alike_w + 0.5 * da / ga ** 0.5, 0.0), 8.0)
+    return Field(unary, chain, held_w, alike_w)
 
 
 def train(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN) -> Field:

@@ -567,12 +567,62 @@ def exact_marginals(field, g):
     p = np.zeros((len(g.nodes), k))
     for y in itertools.product(range(k), repeat=len(g.nodes)):
         if all(s < 0 or s == v for s, v in zip(g.seen, y)):
-            z = sum(local[i, v] for i, v in enumerate(y) if g.seen[i] < 0) + sum(field.agree[s, y[i]] for (i, j), s in zip(g.edges, g.is_skip) if y[i] == y[j])
+            z = sum(local[i, v] for i, v in enumerate(y) if g.seen[i] < 0) + sum(field.potential(e)[y[i], y[j]] for (i, j), e in zip(g.edges, g.kind))
             for i, v in enumerate(y):
                 p[i, v] += math.exp(z)
     return p / p.sum(1, keepdims=True)
 
 
+FULL = {"email": "jo.doe@mail.example.com", "ip": "62.244.50.243", "card": "4012 8888 8888 1881", "phone": "+1 212 555 0147"}
+FILL = "and so it was said in the letter that came the week before "
+
+
+def test_pii_repeats_without_a_full_form_are_nothing(spark):
+    field = pii.train(docs(spark, MEDIUM))
+    for k, kind in enumerate(pii.KINDS):
+        short = pii.shortened(k, FULL[kind])
+        for n in (1, 2, 3, 50):
+            for gap in (" ", FILL):
+                assert field.spans((short + " " + gap) * n) == ([], []), (kind, n)
+        other = FULL["ip" if kind != "ip" else "email"] + " " + FILL  # a full form of something else
+        base, spans = field.spans(other + (short + " " + FILL) * 3)
+        assert len(base) == 1 and spans == base, kind
+    text = "card 9870157079875996 " + FILL + "9870157079875996 " + FILL + "at 62.244.50.243"  # fails the check digit
+    assert [k for k, _, _ in field.spans(text)[1]] == [1]
+
+
+def test_pii_planted_short_forms(spark):
+    """Precision and recall of added spans: short forms with and without their full form, among other numbers."""
+    field = pii.train(docs(spark, MEDIUM))
+    rng, hit, extra, missed = random.Random(9), 0, 0, 0
+    for _ in range(400):
+        k = rng.randrange(4)
+        digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+        card = next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c))
+        full = [f"u{digits(4)}@host{digits(2)}.example.org", ".".join(str(rng.randint(1, 255)) for _ in range(4)), card, f"+{rng.randint(1, 99)} 20{digits(8)}"][k]
+        short, with_full = pii.shortened(k, full), rng.random() < 0.5
+        noise = [f"order {digits(9)}", f"no. {digits(7)}", FILL]
+        parts = [short] * rng.randint(1, 4) + [full] * with_full + rng.sample(noise, rng.randint(0, 3))
+        rng.shuffle(parts)
+        text = (" " + FILL).join(parts)
+        base, spans = field.spans(text)
+        added = [text[s:e] for kk, s, e in spans if (kk, s, e) not in base]
+        wanted = parts.count(short) if with_full else 0
+        good = min(sum(a == short for a in added), wanted)
+        hit, extra, missed = hit + good, extra + len(added) - good, missed + wanted - good
+    assert hit / (hit + extra) >= 0.95 and hit / (hit + missed) >= 0.95, (hit, extra, missed)
+
+
+def test_pii_chain_is_learned_and_used(spark):
+    field = pii.train(docs(spark, MEDIUM))
+    assert np.abs(field.chain).max() > 0.05
+    text = "mail bob@mail.example.com or 62.244.50.243, ref 123456789"
+    g = pii.Graph(text, pii.base_spans(text))
+    without = pii.Field(field.unary, np.zeros_like(field.chain), field.held, field.alike)
+    assert np.abs(field.marginals(g) - without.marginals(g)).max() > 1e-4
+    assert np.abs(field.marginals(g) - exact_marginals(field, g)).max() < 1e-3  # a chain is a tree
+
+
 # ------------------------------------------------------------------ registered queries
 
 def test_pii_field_reaches_every_repeat(spark):
