@@ -120,24 +120,24 @@ def build_train(train_full: DataFrame, sample: Sample, spec: RunSpec) -> tuple[D
     return cut_lineage(aug), need
 
 
-def audit_facts(sample: Sample, aug: DataFrame, spec: RunSpec, need: int) -> dict:
+def audit_facts(sample: dict, after: dict, spec: RunSpec, need: int, nn_median: float | None) -> dict:
     """Class counts before and after, rows added, diagnostics of the variant, forest settings."""
-    after = aug.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"),
-                    F.count_if("is_synth").alias("s")).first()
     smote = spec.variant == "smote" and need > 0
-    total = after["p"] + after["n"]
+    before, total = sample["p"] + sample["n"], after["p"] + after["n"]
     return {
-        "train_pos_before_aug": sample.n_pos, "train_neg_before_aug": sample.n_neg,
-        "train_total_before_aug": sample.n_pos + sample.n_neg,
-        "train_pos_after_aug": after["p"], "train_neg_after_aug": after["n"], "train_total_after_aug": total,
-        "aug_added": total - sample.n_pos - sample.n_neg,
-        "ros_dup_ratio": au.dup_ratio(aug).first()[0] if spec.variant == "oversample" and total else None,
-        "smote_k_neighbors": spec.smote_k if smote else None, "smote_synth_count": need if smote else None,
-        "smote_med_nn_dist": au.smote_nn_median(aug).first()[0] if smote and after["s"] else None,
+        "train_pos_before_aug": sample["p"], "train_neg_before_aug": sample["n"], "train_total_before_aug": before,
+        "train_pos_after_aug": after["p"], "train_neg_after_aug": after["n"], "train_total_after_aug": total, "aug_added": total - before,
+        "ros_dup_ratio": 1.0 - after["distinct"] / total if spec.variant == "oversample" and total else None,
+        "smote_k_neighbors": spec.smote_k if smote else None, "smote_synth_count": need if smote else None, "smote_med_nn_dist": nn_median,
         "rf_params": {"n_estimators": spec.trees, "max_depth": spec.depth, "class_weight": spec.class_weight, "random_state": spec.seed},
     }
 
 
+def train_digest(aug: DataFrame) -> DataFrame:
+    """What the audit needs of a train set: ``y, is_synth`` and a digest of the features."""
+    return aug.select(F.col("y").cast("int").alias("y"), "is_synth", F.sha2(F.concat_ws(",", F.col("features").cast("array<string>")), 256).alias("x"))
+
+
 AUDITS = T.StructType([T.StructField("run_id", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("threshold", T.DoubleType()),
                        T.StructField("n_train_real", T.LongType()), T.StructField("n_train_synth", T.LongType()),
                        T.StructField("n_train_total", T.LongType()), T.StructField("audit", AUDIT_SCHEMA)])
@@ -194,29 +194,35 @@ def evaluate_runs(samples: DataFrame, runs: Sequence[RunSpec], windows: DataFram
         if fitted.val is not None:  # synthetic rows have no row id
             members = members.unionByName(fitted.val.where("row_id is not null").select("row_id", F.lit("val").alias("part")))
         members.write.mode("overwrite").parquet(f"{base}/members/attempt={attempt}")
-        facts = {"threshold": float(fitted.threshold), "need": need, "audit": audit_facts(sample, aug, spec, need)}
+        train_digest(aug).write.mode("overwrite").parquet(f"{base}/train/attempt={attempt}")
+        median = au.smote_nn_median(aug).first()[0] if spec.variant == "smote" and need and not aug.where("is_synth").isEmpty() else None
+        facts = {"threshold": float(fitted.threshold), "need": need, "sample": {"p": sample.n_pos, "n": sample.n_neg}, "smote_med_nn_dist": median}
         if ledger:
             ledger.commit(rid, attempt, None, facts)
         return rid, {"attempt": attempt, "facts": facts}
 
     with ThreadPool(max(1, min(parallelism, len(todo) or 1))) as pool:
         done |= dict(pool.map(inheritable_thread_target(spark)(one), list(todo.items()), chunksize=1))
+    mine = sorted({d["attempt"] for d in done.values()})
+    stored = lambda kind, schema: (spark.read.schema(f"{schema}, attempt string").parquet(f"{base}/{kind}")
+                                   .where(F.col("attempt").isin(mine)))
+    # the train sets of all runs in one aggregate, one row a run
+    after = {r["attempt"]: r.asDict() for r in stored("train", "y int, is_synth boolean, x string").groupBy("attempt").agg(
+        F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"), F.count_distinct("x").alias("distinct")).collect()} if mine else {}
     rows, told = [], []
     for i, (rid, spec) in enumerate(zip(ids, runs)):
         facts = done[rid]["facts"]
-        audit = facts["audit"]
+        audit = audit_facts(facts["sample"], after.get(done[rid]["attempt"], {"p": 0, "n": 0, "distinct": 0}), spec, facts["need"], facts["smote_med_nn_dist"])
         rows.append((done[rid]["attempt"], i, spec.tag, spec.variant, float(spec.frac), int(spec.seed), facts["threshold"]))
         told.append({"run_id": i, "tag": spec.tag, "threshold": facts["threshold"], "n_train_real": audit["train_total_before_aug"],
                      "n_train_synth": facts["need"], "n_train_total": audit["train_total_after_aug"], "audit": audit})
     # one row a run; a run given twice reads the same files twice
     of = spark.createDataFrame(rows, "attempt string, run_id int, tag string, variant string, frac double, seed int, threshold double")
-    read = lambda kind, schema: (spark.read.schema(f"{schema}, attempt string").parquet(f"{base}/{kind}")
-                                 .where(F.col("attempt").isin(sorted({r[0] for r in rows}))).join(of, "attempt").drop("attempt"))
-    members = read("members", "row_id bigint, part string").select("run_id", "row_id", "part")
+    members = stored("members", "row_id bigint, part string").join(of, "attempt").select("run_id", "row_id", "part")
     leaks = sp.audit_runs(members, tested.select("row_id", "sha"), samples.select("row_id", "sha"), "run_id", strict)
     audits = spark.createDataFrame(told, AUDITS).join(leaks, "run_id", "left")
     keys = ["run_id", "tag", "variant", "frac", "seed", "window_id", "threshold"]
-    preds = read("preds", "window_id int, row_id bigint, y_true int, proba double, y_pred int")
+    preds = stored("preds", "window_id int, row_id bigint, y_true int, proba double, y_pred int").join(of, "attempt").drop("attempt")
     return ev.evaluate(preds, keys, "y_true", "proba", threshold="threshold"), audits
 
 

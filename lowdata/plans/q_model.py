@@ -318,3 +318,27 @@ def q_evaluate_runs_temporal_added_check(spark, sf):
     """E11 temporal regime: rows that every variant really adds to the scarce sample."""
     _, audits = temporal_runs(spark, sf)
     return audits.select("tag", "n_train_real", F.col("audit.aug_added").alias("aug_added"))
+
+
+@reg("evaluate_runs_metrics_check", f"""WITH {SQL_SPLIT}
+SELECT 'm_' || v.v AS tag, count(*) AS n_rows, count_if(y = 1) AS n_pos, true AS counts_agree, true AS auc_agrees, true AS preds_agree
+FROM parts, (SELECT unnest(['real', 'oversample', 'smote']) AS v) v WHERE part = 'test' GROUP BY v.v""")
+def q_evaluate_runs_metrics_check(spark, sf):
+    """The metrics of every run against its committed predictions: counts and AUC by plain SQL over pairs of rows."""
+    from lowdata.plans.evaluate import RunSpec, evaluate_runs
+    from lowdata.sources.ledger import RunLedger
+    d = split_embeddings(spark, sf)
+    ledger = RunLedger(spark, scratch_path(spark, f"sweep-{uuid.uuid4().hex}"))
+    const = d.where("part = 'train'").count()
+    runs = [RunSpec(seed=42, frac=0.5, variant=v, const_train_size=const, min_pos=10, min_neg=10, trees=10, depth=5, tag=f"m_{v}") for v in ("real", "oversample", "smote")]
+    metrics, _ = evaluate_runs(d, runs, ledger=ledger)
+    of = [(c["attempt"], rid.rsplit("-", 1)[0], c["facts"]["threshold"]) for rid, c in ledger.finished().items()]
+    p = spark.read.parquet(f"{ledger.path}/runs/preds").join(spark.createDataFrame(of, "attempt string, tag string, threshold double"), "attempt")
+    return spark.sql("""
+      WITH c AS (SELECT tag, count(*) AS n_rows, count_if(y_true = 1) AS n_pos, count_if(y_true = 1 AND proba >= threshold) AS tp,
+                        count_if(y_true = 0 AND proba >= threshold) AS fp, bool_and(y_pred = CAST(proba >= threshold AS INT)) AS preds_agree FROM {p} GROUP BY tag),
+           a AS (SELECT x.tag, avg(CASE WHEN x.proba > z.proba THEN 1.0D WHEN x.proba = z.proba THEN 0.5D ELSE 0.0D END) AS auc
+                 FROM {p} x JOIN {p} z ON x.tag = z.tag WHERE x.y_true = 1 AND z.y_true = 0 GROUP BY x.tag)
+      SELECT c.tag, c.n_rows, c.n_pos, m.tp = c.tp AND m.fp = c.fp AND m.fn = c.n_pos - c.tp AND m.n_pos = c.n_pos AS counts_agree,
+             abs(m.auc - a.auc) < 1e-9 AS auc_agrees, c.preds_agree
+      FROM c JOIN a ON a.tag = c.tag JOIN {m} m ON m.tag = c.tag""", p=p, m=metrics)
