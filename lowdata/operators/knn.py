@@ -239,6 +239,15 @@ class _Index:
         r = ref.select(F.col(r_id).cast("long").alias("_rid"), F.col(features).cast("array<double>").alias("_f"))
         size = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_f")).alias("d")).first()
         self.n, d = size["n"], max(size["d"] or 1, 1)
+        block = max(1, block_bytes // (8 * d))
+        if pivots is None and self.n <= block:  # one block: every query row meets it, whatever an index says
+            n_q = self.q.count() if self.n else 0
+            self.cells = pd.DataFrame({"_cell": [0], "group": [0], "rows": [self.n]})
+            self.met = self.q.withColumn("_groups", F.array(F.lit(0)))
+            self.ref = r.withColumn("_cell", F.lit(0))
+            self.plan = pd.DataFrame({"group": [0], "rows": [self.n], "visits": [n_q], "nr": [1], "nq": [-(-n_q // block)], "first": [0]})
+            self.parts = int(n_q > 0)
+            return
         want = math.isqrt(self.n) + 1 if pivots is None else pivots
         want = max(1, min(want, MAX_PIVOTS, PIVOT_BYTES // (8 * d)))
         finite = F.forall("_f", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -253,7 +262,6 @@ class _Index:
                    .select(*keys, F.explode("least").alias("_d")))
         least = few.groupBy("_cell").agg(F.array_sort(F.collect_list("_d")).alias("least"))
         span = self.ref.groupBy("_cell").agg(F.count(F.lit(1)).alias("rows"), F.min("_d").alias("lo"), F.max("_d").alias("hi"))
-        block = max(1, block_bytes // (8 * d))
         self.cells = _groups(span.join(least, "_cell").toPandas(), pivot, block)
         self.met = materialize(self.q.mapInPandas(_visits(bc, self.cells, k), "_qid long, _f array<double>, _groups array<int>"))
         seen = self.met.select(F.explode("_groups").alias("group")).groupBy("group").count().toPandas()
