@@ -185,6 +185,17 @@ def test_licenses_wrapped_notices(spark):
     assert got == {i: (f, 1, 0) for i, f in enumerate(parts.values())} | {i: ("", 0, 0) for i in (10, 11, 12, 13)}
 
 
+def test_licenses_common_words_are_no_notice(spark):
+    """A few words of a notice count as unknown or as nothing; titles, identifiers and disclaimers count."""
+    scanner = licenses.train(docs(spark))
+    none = ["under the terms of the", "free software you can", "a copy of the license", "file in the project root", "of this software and"]
+    some = {"The MIT License (MIT)": "MIT", "SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND': "MIT", "All rights reserved.": "proprietary",
+            "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions": "BSD"}
+    got = {r["id"]: r["families"] for r in licenses.documents(licenses.scan(edge(spark, list(enumerate([*none, *some]))), scanner)).collect()}
+    assert got == dict(enumerate([*[""] * len(none), *some.values()]))
+
+
 # ------------------------------------------------------------------ 4 sharding
 
 def check_shards(rows, n, whole=True):
@@ -205,6 +216,11 @@ def test_sharding(spark):
     mean = sum(size.values()) / 24
     assert len(rows) == 1000 and max(size.values()) < 1.03 * mean and min(size.values()) > 0.97 * mean
     assert max(count.values()) < 1.15 * 1000 / 24 and all(len(s) == 1 for s in keys.values())
+    words = {r["doc_id"]: len((r["text"] or "").encode().split()) + 1 for r in docs(spark, MEDIUM).collect()}
+    tokens = collections.Counter()
+    for r in rows:
+        tokens[r["shard"]] += words[r["id"]]
+    assert max(tokens.values()) < 1.05 * sum(tokens.values()) / 24
 
 
 def test_sharding_edges(spark):
@@ -381,6 +397,32 @@ def test_vectors(spark, block):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_recall_at_the_default(spark):
+    """Planted pairs just above the threshold among unrelated vectors, at the recall that the query uses."""
+    rng = np.random.default_rng(5)
+    n, dim = 1500, 64
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.standard_normal((n, dim))
+    off -= (off * a).sum(1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cos = rng.uniform(0.9502, 0.953, (n, 1))
+    b = cos * a + np.sqrt(1 - cos ** 2) * off
+    rows = [(i, list(map(float, v))) for i, v in enumerate(np.concatenate([a, b]))]
+    out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in out.collect()}
+    found = sum(got[i] == (1, i) and got[n + i] == (1, i) for i in range(n))
+    assert found >= 0.985 * n and all(links <= 1 for links, _ in got.values())
+
+
+def test_vectors_null_and_repeated_ids(spark):
+    """A vector without an id links with nothing; one id on two equal rows counts both rows."""
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(None, v), (1, v), (2, v), (2, v), (3, w)], "vec_id bigint, embedding array<double>")
+    got = sorted((r["id"] or 0, r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect())
+    assert got == [(0, 0, None), (1, 2, 1), (2, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
 # ------------------------------------------------------------------ 8 language model
 
 def brute_trie(texts):
