@@ -8,12 +8,13 @@ rules on the row id, so every query still reads the whole table.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lowdata.functions.columns import keep_families, positives, spread_vector, to_bool, to_num
+from lowdata.functions.columns import keep_families, positives, require_columns, results_mode, spread_vector, to_bool, to_num
 from lowdata.functions.hashing import md5_bucket, round_half_up, sql_md5_bucket, sql_round_half_up, sql_uniform
 from lowdata.operators import relational as rl
 from lowdata.operators import splits as sp
@@ -372,6 +373,41 @@ def q_run_ledger(spark, sf):
     return mine.read(raw.schema).select("tag", "variant", round_half_up(F.col("auc"), 6).alias("auc"), "run_idx")
 
 
+@reg("required_columns", """
+SELECT 'events' AS source, '' AS missing, count(*) AS n FROM events UNION ALL SELECT 'documents', 'event_type,ts', count(*) FROM documents""")
+def q_required_columns(spark, sf):
+    """Which required columns a table lacks, beside its rows."""
+    parts = []
+    for name, at in (("events", "event_id"), ("documents", "doc_id")):
+        d = spark.read.parquet(f"{sf}/{name}.parquet")
+        try:
+            missing = ""
+            require_columns(d, [at, "event_type", "ts"])
+        except ValueError as e:
+            missing = ",".join(re.findall(r"'(\w+)'", str(e)))
+        parts.append(d.agg(F.lit(name).alias("source"), F.lit(missing).alias("missing"), F.count(F.lit(1)).alias("n")))
+    return parts[0].unionByName(parts[1])
+
+
+def _sql_results_mode() -> str:
+    from lowdata.plans.q_results import SQL_PAIRED, SQL_PAIRED_CV_BODY
+    return (SQL_PAIRED + ", cv AS (" + SQL_PAIRED_CV_BODY + ") SELECT 'raw' AS mode, count(*) AS n FROM res UNION ALL "
+            "SELECT 'paired_cv', count(*) FROM cv")
+
+
+def q_results_mode(spark, sf):
+    """Raw results and paired means are told apart by their columns."""
+    from lowdata.operators import pairing as pa
+    from lowdata.plans.q_results import results
+    raw = results(spark, sf)
+    tables = (raw, pa.mean_std(pa.pair(raw)))
+    return tables[0].agg(F.lit(results_mode(tables[0])).alias("mode"), F.count(F.lit(1)).alias("n")).unionByName(
+        tables[1].agg(F.lit(results_mode(tables[1])).alias("mode"), F.count(F.lit(1)).alias("n")))
+
+
+QUERIES["results_mode"] = (q_results_mode, _sql_results_mode())
+
+
 # ------------------------------------------------------------------ G1 / G6 / G8 / G9 / G10
 
 @reg("profile_table", """
