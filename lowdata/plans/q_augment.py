@@ -188,10 +188,10 @@ def scarce_train(spark, sf):
 SQL_SCARCE = """(SELECT s.* FROM (SELECT event_id AS row_id, CAST(event_type = 'error' AS INTEGER) AS y, value, CAST(user_id AS DOUBLE) AS uid_d
   FROM events WHERE ts IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00') s
   JOIN ({scarce}) k ON s.row_id = k.row_id)"""
-#: Rows after oversampling as a share of the train part, of which the scarce set is a twentieth.
+#: Rows added by oversampling as a share of the train part, of which the scarce set is a twentieth.
 OS_SHARE = 0.25
 SQL_EV_TRAIN_ROWS = "(SELECT count(*) FROM events WHERE ts IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00')"
-SQL_OS_TARGET = f"CAST(floor({OS_SHARE} * {SQL_EV_TRAIN_ROWS}) AS BIGINT)"
+SQL_OS_TARGET = f"n + CAST(floor({OS_SHARE} * {SQL_EV_TRAIN_ROWS}) AS BIGINT)"
 
 
 def _sql_scarce_ids():
@@ -214,12 +214,13 @@ SQL_OVERSAMPLE = sql_oversample(SQL_OS_TARGET)
 
 
 def oversampled(spark, sf):
-    return au.oversample_to_const(scarce_train(spark, sf), int(OS_SHARE * ev_train(spark, sf).count()), SEED)
+    tr = scarce_train(spark, sf)
+    return au.oversample_to_const(tr, tr.count() + int(OS_SHARE * ev_train(spark, sf).count()), SEED)
 
 
 @reg("oversample", f"WITH {SQL_OVERSAMPLE} SELECT uid, src_row_id, x0, x1 FROM syn")
 def q_oversample(spark, sf):
-    """A1: scarce temporal train set grown to a quarter of the train part by drawing its positives."""
+    """A1: scarce temporal train set grown by a quarter of the train part's rows, drawn from its positives."""
     a = oversampled(spark, sf).filter("is_synth")
     return a.select("uid", "src_row_id", F.col("features")[0].alias("x0"), F.col("features")[1].alias("x1"))
 

@@ -172,7 +172,7 @@ def q_min_split_check(spark, sf):
     """M7 min samples split: a forest cut at 20 rows has no inner node of fewer, keeps every other split, and scores every row."""
     e = fx.embeddings(spark, sf).withColumn("y", F.col("y").cast("double"))
     full = md.forest(12, None, 42).fit(md.with_vector(e))
-    cut = md.cut_small_splits(full, 20)
+    cut = md.cut_small_splits(full, 20, spark)
     a, b = (scratch_path(spark, f"forest-check-{uuid.uuid4().hex}") for _ in range(2))
     full.write().overwrite().save(a)
     cut.write().overwrite().save(b)
