@@ -196,6 +196,20 @@ def test_licenses_common_words_are_no_notice(spark):
     assert got == dict(enumerate([*[""] * len(none), *some.values()]))
 
 
+def test_licenses_whole_texts_and_unlisted_ones(spark):
+    """Hard-wrapped licence paragraphs count once each, comment marks or not; licences that are not listed are unknown."""
+    scanner = licenses.train(docs(spark))
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+           "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+           "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n"
+           "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.")
+    texts = [mit, "\n".join("# " + line for line in mit.split("\n")), "Distributed under the Boost Software License, Version 1.0.",
+             "This work is released under the terms of the Perl Artistic License 2.0 by its authors"]
+    got = {r["id"]: (r["families"], r["n_license"], r["n_unknown"]) for r in licenses.documents(licenses.scan(edge(spark, list(enumerate(texts))), scanner)).collect()}
+    assert got == {0: ("MIT", 2, 0), 1: ("MIT", 2, 0), 2: ("", 0, 1), 3: ("", 0, 1)}
+    assert 0.5 <= scanner.least <= 1
+
+
 # ------------------------------------------------------------------ 4 sharding
 
 def check_shards(rows, n, whole=True):
