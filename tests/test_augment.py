@@ -105,3 +105,19 @@ def test_pivot_index_odd_rows(spark):
     got = {(x["q_id"], x["nbr_rank"]): (x["nbr_id"], x["dist"]) for x in kn.knn(q, r, 2, pivots=2).collect()}
     assert got[0, 1] == (0, 1.0) and got[0, 2] == (3, 1.0) and got[2, 1] == (2, 1.0)
     assert kn.knn(q, r, 9).where("q_id = 0").count() == 4
+
+
+def test_random_draws_are_independent_and_with_replacement(spark):
+    tr = frame(spark, np.arange(82).reshape(41, 2), [1] * 40 + [0])
+    syn = au.oversample_to_const(tr, 41 + 400, seed=3, draws="random").where("is_synth")
+    assert sorted(int(r["uid"][3:]) for r in syn.collect()) == list(range(400))
+    per = [r["count"] for r in syn.groupBy("src_row_id").count().collect()]
+    assert sum(per) == 400 and max(per) - min(per) > 5  # dealt evenly, all would be 10
+    one = au.oversample_to_const(tr.where("row_id IN (0, 40)"), 1002, draws="random").where("is_synth")
+    assert one.where("features = array(0D, 1D) AND src_row_id = 0").count() == 1000
+
+
+def test_grown_oversampling_draws_with_replacement(spark):
+    rows = qa.q_oversample_grown(spark, "/root/testdata/sf0.01").groupBy("src_row_id").count().collect()
+    per = [r["count"] for r in rows]
+    assert max(per) - min(per) > 1
