@@ -30,7 +30,7 @@ from lowdata.operators import evaluation as ev
 from lowdata.operators import model as md
 from lowdata.operators import sampling as sa
 from lowdata.operators import splits as sp
-from lowdata.session import cut_lineage, scratch_path
+from lowdata.session import cut_lineage, materialize, scratch_path
 from lowdata.sources.io import AUDIT_SCHEMA
 from lowdata.sources.ledger import RunLedger
 
@@ -216,8 +216,8 @@ def evaluate_runs(samples: DataFrame, runs: Sequence[RunSpec], windows: DataFram
         rows.append((done[rid]["attempt"], i, spec.tag, spec.variant, float(spec.frac), int(spec.seed), facts["threshold"]))
         told.append({"run_id": i, "tag": spec.tag, "threshold": facts["threshold"], "n_train_real": audit["train_total_before_aug"],
                      "n_train_synth": facts["need"], "n_train_total": audit["train_total_after_aug"], "audit": audit})
-    # one row a run; a run given twice reads the same files twice
-    of = spark.createDataFrame(rows, "attempt string, run_id int, tag string, variant string, frac double, seed int, threshold double")
+    # one row a run; a run given twice reads the same files twice; written, so that Spark knows that it is small and no run's rows meet in one task
+    of = materialize(spark.createDataFrame(rows, "attempt string, run_id int, tag string, variant string, frac double, seed int, threshold double").coalesce(1))
     members = stored("members", "row_id bigint, part string").join(of, "attempt").select("run_id", "row_id", "part")
     leaks = sp.audit_runs(members, tested.select("row_id", "sha"), samples.select("row_id", "sha"), "run_id", strict)
     audits = spark.createDataFrame(told, AUDITS).join(leaks, "run_id", "left")
