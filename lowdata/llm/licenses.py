@@ -114,10 +114,18 @@ def paragraphs(text_col: str = "text") -> Column:
 
 
 def holds_run(text: Column, runs: list[str]) -> Column:
-    """Does the text hold one of these runs of four words (a text of fewer: is it one)?"""
+    """Does the text hold one of these runs of four words (a text of fewer: is it one)?
+
+    A run is put together only where its first two words are those of some given run.
+    """
+    heads = [(r.split(" ") + [""])[:2] for r in runs]
+    first, second = (sorted({h[i] for h in heads}) for i in range(2))
+
     def of(w: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1)))
-        return F.exists(at, lambda i: F.array_join(F.slice(w, i, F.lit(4)), " ").isin(*runs))  # isin looks up a hash set made once
+        word = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+        return F.exists(at, lambda i: word(i - 1).isin(*first) & word(i).isin(*second)  # isin looks up a hash set made once
+                        & F.array_join(F.slice(w, i, F.lit(4)), " ").isin(*runs))
     return F.exists(F.array(words(text)), of)  # bound once, not once a word
 
 

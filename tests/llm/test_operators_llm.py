@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their edge cases on small tables."""
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -198,6 +199,20 @@ def test_licenses_learn_other_text_from_all_paragraphs(spark, monkeypatch):
     assert 4000 < n < 5000 and abs(weight - licenses.OTHER_WEIGHT) < 1e-6
 
 
+def test_licenses_runs_of_four_words(spark):
+    """Against every run of every text put together."""
+    runs = ["a b c d", "b c d e", "one", "two words", "a b a b", "three words now"]
+    texts = [" ".join(t) for n in range(6) for t in itertools.product("abcde", repeat=n)][:2000]
+    texts += [*runs, "ONE", "one more", "x two words", "two, words", "...", " ", "a a b c d x", "x b c d e", "a b c e d", "three words"]
+
+    def holds(text):
+        w = re.sub(r"[^a-z]+", " ", text.lower()).split()
+        return any(" ".join(w[i:i + 4]) in runs for i in range(max(len(w) - 3, 1)))
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").select("text", licenses.holds_run(F.col("text"), runs).alias("got")).collect()
+    assert len(rows) == len(texts) + 1 and all(r["got"] is holds(r["text"] or "") for r in rows)
+    assert sum(r["got"] for r in rows) > 8
+
+
 def test_licenses_wrapped_notices(spark):
     scanner = licenses.train(docs(spark))
     parts = {"modification, are permitted provided that the following conditions are met": "BSD", "to deal in the Software without restriction": "MIT",
