@@ -4,6 +4,7 @@ import collections
 import itertools
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -213,6 +214,51 @@ def test_licenses_runs_of_four_words(spark):
     assert sum(r["got"] for r in rows) > 8
 
 
+def test_licenses_other_text_takes_little_disk(spark, monkeypatch):
+    """Paragraphs were shuffled as texts and stored with all their grams: more than twice the input."""
+    class Enough(Exception):
+        pass
+
+    kept, store = {}, licenses.store
+
+    def keep(df, name, *a, **k):
+        kept[name] = df._jdf.queryExecution().optimizedPlan().toString(), store(df, name, *a, **k)
+        return kept[name][1]
+
+    def fit(*a):
+        raise Enough
+    monkeypatch.setattr(licenses, "store", keep)
+    monkeypatch.setattr(licenses, "fit", fit)
+    draw = random.Random(3)
+    known = sorted({w for _, t in licenses.TEMPLATES for w in re.findall("[a-z]+", t.lower()) if not re.search(licenses.STEMS, w)})
+    new = ["".join(draw.choices("abcdefghij", k=8)) for _ in range(3000)]
+    texts = ["\n".join(" ".join(draw.choice(known if draw.random() < 0.5 else new) for _ in range(40)) for _ in range(40)) for _ in range(100)]
+    rows = [*enumerate(texts), *enumerate(texts), (None, None), (7, "")]
+    with pytest.raises(Enough):
+        licenses.train(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2))
+    plan, others = kept["license-others"]
+    assert others.count() == sum(not re.search(licenses.GATE, x) for t in texts for x in t.split("\n")) > 3900
+    keys = re.findall(r"Aggregate \[([^\]]*)\]", plan)
+    assert keys and not any(re.match(r"p#", k.strip()) for key in keys for k in key.split(","))
+    assert sum(os.path.getsize(re.sub("^file:/*", "/", f)) for f in others.inputFiles()) < 0.25 * sum(map(len, texts))
+
+
+def test_licenses_grams_of_known_texts(spark):
+    """Against every 1- to 3-gram of the words put together."""
+    grams = licenses.Grams(spark, [["a", "b", "c"], ["b", "a"], ["d"], []])
+    given = {"a", "b", "c", "d", "a b", "b c", "b a", "a b c"}
+    texts = [" ".join(t) for n in range(6) for t in itertools.product("abcdx", repeat=n)][:1500]
+
+    def held(text):
+        w = text.split()
+        return sorted({g for n in (1, 2, 3) for i in range(len(w) - n + 1) if (g := " ".join(w[i:i + n])) in given})
+    rows = spark.createDataFrame([(t, held(t)) for t in [*texts, None] if t is not None] + [(None, [])], "text string, held array<string>")
+    got = rows.select(grams.numbers(licenses.words(F.col("text"))).alias("n"), F.transform("held", lambda g: F.hash(g)).alias("want"))
+    assert got.where(F.array_sort("n") == F.array_sort("want")).count() == len(texts) + 1
+    assert got.agg(F.max(F.size("n"))).first()[0] > 5
+    assert {int(v["x"].numNonzeros()) - v["k"] for v in grams.vector(got, "n").select("x", F.size("n").alias("k")).collect()} == {0}
+
+
 def test_licenses_wrapped_notices(spark):
     scanner = licenses.train(docs(spark))
     parts = {"modification, are permitted provided that the following conditions are met": "BSD", "to deal in the Software without restriction": "MIT",
