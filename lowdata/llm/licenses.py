@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 from lowdata.llm.common import store
 from lowdata.llm.license_texts import TEMPLATES, UNLISTED
 
-GATE = r"(?i)licen[sc]|copyright|creative commons|\bcc[ -]?(by|0)|permission is hereby|redistribut|public domain|all rights reserved"
+# the lookahead changes no match: it passes a place at once where none of the words starts
+GATE = r"(?i)(?=[lcpra])(?:licen[sc]|copyright|creative commons|\bcc[ -]?(by|0)|permission is hereby|redistribut|public domain|all rights reserved)"
 STEMS = r"licen[sc]|copyright|redistribut"  # each alone passes GATE
 OTHER, UNKNOWN = "other", "unknown"
 OTHER_WEIGHT, UNKNOWN_RATE, MIN_OVERLAP = 2000.0, 0.01, 0.8
@@ -94,15 +95,22 @@ def confirmable(text: Column, forms: list[list[str]], min_overlap: float) -> Col
         return F.when(F.size(F.filter(p, lambda k: k.isin(*every))) >= need(F.size(p), group),
                       F.exists(known, lambda t: shared(p, t) >= min_overlap)).otherwise(F.lit(False))
 
-    def by_words(w: Column) -> Column:
+    def vocabulary(group) -> list[str]:
+        return sorted({x for f in group for k in f for x in k.split(" ")})
+
+    def by_words(b: Column) -> Column:
+        w, known, n = b["w"], b["known"], b["n"]
         found = F.lit(False)
         for group in groups:
-            vocabulary = sorted({x for f in group for k in f for x in k.split(" ")})
-            hits = F.size(F.filter(w, lambda x: x.isin(*vocabulary)))
-            found = found | F.when(hits > need(F.size(F.array_distinct(w)) - 1, group),
+            mine = vocabulary(group)
+            hits = F.size(F.filter(known, lambda x: x.isin(*mine)))
+            found = found | F.when(hits > need(n - 1, group),
                                    F.exists(F.transform(F.array(w), word_pairs), lambda p: by_pairs(p, group))).otherwise(F.lit(False))
         return found
-    return F.exists(F.array(words(text)), by_words)  # bound once, not once a word
+    every = vocabulary([f for group in groups for f in group])
+    # each is bound once: the words, those of any template, and the number of distinct words
+    bound = F.transform(F.array(words(text)), lambda w: F.struct(w.alias("w"), F.filter(w, lambda x: x.isin(*every)).alias("known"), F.size(F.array_distinct(w)).alias("n")))
+    return F.exists(bound, by_words)
 
 
 def templates(spark: SparkSession, given=TEMPLATES) -> DataFrame:
@@ -117,10 +125,12 @@ def paragraphs(text_col: str = "text") -> Column:
 
 
 def holds_run(text: Column, runs: list[str]) -> Column:
-    """Does the text hold one of these runs of four words (a text of fewer: is it one)?
+    """Does the text hold one of these runs of four words (a text of fewer: is it one)?"""
+    return F.exists(F.array(words(text)), run_among(runs))  # bound once, not once a word
 
-    A run is put together only where its first two words are those of some given run.
-    """
+
+def run_among(runs: list[str]):
+    """``holds_run`` of bound words: a run is put together only where its first two words are those of some given run."""
     heads = [(r.split(" ") + [""])[:2] for r in runs]
     first, second = (sorted({h[i] for h in heads}) for i in range(2))
 
@@ -129,7 +139,7 @@ def holds_run(text: Column, runs: list[str]) -> Column:
         word = lambda i: F.coalesce(F.get(w, i), F.lit(""))
         return F.exists(at, lambda i: word(i - 1).isin(*first) & word(i).isin(*second)  # isin looks up a hash set made once
                         & F.array_join(F.slice(w, i, F.lit(4)), " ").isin(*runs))
-    return F.exists(F.array(words(text)), of)  # bound once, not once a word
+    return of
 
 
 class Grams:
@@ -143,6 +153,10 @@ class Grams:
 
     def numbers(self, w: Column) -> Column:
         """The hashes of the given grams that the words hold, each once."""
+        return F.transform(F.array(w), self.numbers_of())[0]  # bound once, not once a word
+
+    def numbers_of(self):
+        """``numbers`` of bound words."""
         def joined(w: Column, n: int) -> Column:
             """The runs of n words put together, only where each word is known at its place; else null."""
             at = [sorted({g.split(" ")[k] for g in self.sets[n - 1]}) for k in range(n)]
@@ -152,10 +166,10 @@ class Grams:
                 return F.when(functools.reduce(operator.and_, (o.isin(*a) for o, a in zip(own, at))), F.concat_ws(" ", *own))
             return F.transform(w, of)
 
-        def held(w: Column) -> Column:
+        def of(w: Column) -> Column:
             found = [F.filter(w if n == 1 else joined(w, n), functools.partial(lambda grams, g: g.isin(*grams), grams)) for n, grams in enumerate(self.sets, 1) if grams]
             return F.transform(F.array_distinct(F.concat(*found)), lambda g: F.hash(g))
-        return F.transform(F.array(w), held)[0]  # bound once, not once a word
+        return of
 
     def vector(self, df: DataFrame, numbers: str) -> DataFrame:
         """Adds x, the vector of the column ``numbers``."""
@@ -243,8 +257,10 @@ def train(docs: DataFrame, text_col: str = "text", given=TEMPLATES, unlisted=UNL
     runs = sorted({" ".join(r["words"][i:i + 4]) for r in known.collect() for i in range(max(len(r["words"]) - 3, 1))})
     grams = Grams(spark, [r["words"] for r in known.select("words").unionByName(foreign.select("words")).collect()])
     # equal paragraphs have one MD5 and the same numbers: what is shuffled is much smaller than the texts
-    others = (lines.where(~F.col("p").rlike(GATE) & ~holds_run(F.col("p"), runs))
-              .select(F.unhex(F.md5("p")).alias("md5"), grams.numbers(words(F.col("p"))).alias("n"), F.pmod(F.xxhash64("p", F.lit(1)), F.lit(2)).cast("byte").alias("i"))
+    in_run = run_among(runs)
+    numbers = F.transform(F.filter(F.array(words(F.col("p"))), lambda w: ~in_run(w)), grams.numbers_of())  # of one paragraph or none: its words are split once
+    others = (lines.where(~F.col("p").rlike(GATE))
+              .select(F.unhex(F.md5("p")).alias("md5"), F.explode(numbers).alias("n"), F.pmod(F.xxhash64("p", F.lit(1)), F.lit(2)).cast("byte").alias("i"))
               .distinct())
     others = store(grams.vector(others, "n").select("x", "i"), "license-others")
     plain = others.where("i = 0").select("x")
