@@ -114,14 +114,17 @@ def phrase_hits(index: DataFrame, positions: DataFrame, window: int = WINDOW) ->
     # lists of the rarest terms, moved back to diagonals; a window is a candidate on the diagonals that hold both of its rare terms
     diagonals = store(index.join(lookups, "tid").select("row", "item", (F.col("pos") - F.col("q")).alias("d"), "q"), "decon-diagonals")
     first = diagonals.withColumnRenamed("q", "q1").join(alive, ["item", "q1"])
-    candidates = store(first.join(diagonals.withColumnRenamed("q", "q2"), ["row", "item", "d", "q2"], "left_semi")
+    # stored tables are far smaller than their rows (a candidate is 4 bytes, spread over its words 1500 in memory): both sides of joins
+    # with them are dealt, a broadcast chosen by their bytes would put rows that grow with the texts into the driver
+    candidates = store(first.join(diagonals.withColumnRenamed("q", "q2").hint("merge"), ["row", "item", "d", "q2"], "left_semi")
                        .select("row", "item", "d", "s", "len"), "decon-candidates")
     offsets = F.explode(F.sequence("s", F.col("s") + F.col("len") - 1)).alias("q")
-    needed = (candidates.select("row", "item", "d", offsets).distinct().join(known.select("item", "q", "tid"), ["item", "q"])
-              .select("row", (F.col("d") + F.col("q")).alias("pos"), "tid", "item", "d", "q"))
+    # every such word is in the items; a left join, and kept one, can broadcast the items only
+    needed = (candidates.select("row", "item", "d", offsets).distinct().join(known.select("item", "q", "tid"), ["item", "q"], "left")
+              .select("row", (F.col("d") + F.col("q")).alias("pos"), F.coalesce("tid", F.lit(ROW_TERM - 1)).alias("tid"), "item", "d", "q"))
     # both sides are dealt by word at every size: a long text or a frequent term is many tasks
     matched = needed.join(index.select("row", "pos", "tid").hint("merge"), ["row", "pos", "tid"]).select("row", "item", "d", "q")
-    found = (candidates.select("*", offsets).join(matched, ["row", "item", "d", "q"])
+    found = (candidates.select("*", offsets).join(matched.hint("merge"), ["row", "item", "d", "q"])
              .groupBy("row", "item", "d", "s", "len").agg(F.count("*").alias("met")).where("met = len"))
     ids = known.select("item", "item_id").distinct()
     return found.join(ids, "item").select("row", "item_id", (F.col("d") + F.col("s")).alias("start"),
@@ -161,6 +164,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
              .distinct().groupBy("row").agg(F.count("*").alias("n_hit")))
     met = hits.select("row", "item_id").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
     rows = index.where(F.col("tid") == ROW_TERM).select("row", "id", F.col("pos").cast("long").alias("n_words"))
-    return (rows.join(words, "row", "left").join(met, "row", "left")
+    return (rows.join(words.hint("merge"), "row", "left").join(met.hint("merge"), "row", "left")
             .select("row", "id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))

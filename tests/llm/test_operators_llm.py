@@ -116,6 +116,29 @@ def test_decontamination_words_by_pieces(spark):
         assert (r["last"] or "") == (words[-1] if words else "")
 
 
+def test_decontamination_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """Stored candidates and hits are few bytes and many rows, more so spread over their words: no join of them goes through the driver."""
+    plans, keep = [], dc.store
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(dc, "store", lambda df, *args, **kw: keep(plan(df), *args, **kw))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.maxMetadataStringLength", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        plan(dc.decontaminate(docs(spark), table(spark, SMALL, "benchmark")))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    depth = lambda line: len(re.match(r"[\s:|+-]*", line)[0])
+    sent = []
+    for lines in (p.split("\n") for p in plans):
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                sent += itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1:])
+    assert any("decon-" in x for p in plans for x in p.split("\n")) and sent
+    assert not [x for x in sent if re.search("tables/decon-(candidates|hits)", x)]
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x x b y y c"), (2, "c b a"), (3, "a b"), (4, "a x x x x x b c"), (5, None)], "doc_id int, text string")
     pos = dc.test_positions(spark.createDataFrame([(1, "a b c")], "item_id int, text string"))
