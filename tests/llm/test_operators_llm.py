@@ -116,8 +116,8 @@ def test_decontamination_words_by_pieces(spark):
         assert (r["last"] or "") == (words[-1] if words else "")
 
 
-def test_decontamination_broadcasts_nothing_that_grows(spark, monkeypatch):
-    """Stored candidates and hits are few bytes and many rows, more so spread over their words: no join of them goes through the driver."""
+def sent_by_broadcast(spark, monkeypatch, make):
+    """Plan lines below the broadcasts of ``make()`` and of all tables that decontamination stores for it, at Spark's default threshold."""
     plans, keep = [], dc.store
     plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
     monkeypatch.setattr(dc, "store", lambda df, *args, **kw: keep(plan(df), *args, **kw))
@@ -125,7 +125,7 @@ def test_decontamination_broadcasts_nothing_that_grows(spark, monkeypatch):
     try:
         spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
-        plan(dc.decontaminate(docs(spark), table(spark, SMALL, "benchmark")))
+        plan(make())
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
@@ -135,8 +135,16 @@ def test_decontamination_broadcasts_nothing_that_grows(spark, monkeypatch):
         for i, line in enumerate(lines):
             if "BroadcastExchange" in line:
                 sent += itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1:])
-    assert any("decon-" in x for p in plans for x in p.split("\n")) and sent
-    assert not [x for x in sent if re.search("tables/decon-(candidates|hits)", x)]
+    assert any("tables/decon-" in x for p in plans for x in p.split("\n")) and sent
+    return sent
+
+
+GROWS = "tables/decon-(candidates|hits)"  # few bytes and many rows, more so spread over their words
+
+
+def test_decontamination_broadcasts_nothing_that_grows(spark, monkeypatch):
+    sent = sent_by_broadcast(spark, monkeypatch, lambda: dc.decontaminate(docs(spark), table(spark, SMALL, "benchmark")))
+    assert not [x for x in sent if re.search(GROWS, x)]
 
 
 def test_proximity(spark):

@@ -1,10 +1,12 @@
 """The corpus pipeline, stage by stage, against brute force on its own input."""
 
+import re
+
 import corpus_pipeline as cp
 from lowdata.llm import pii, toxicity
 from lowdata.llm.common import table
 from tests.conftest import SMALL
-from tests.llm.test_operators_llm import brute_decon, brute_simhash, edge, empty
+from tests.llm.test_operators_llm import GROWS, brute_decon, brute_simhash, edge, empty, sent_by_broadcast
 
 
 def rows(df):
@@ -43,3 +45,8 @@ def test_contaminated_rows_leave_by_row(spark):
     bench = table(spark, SMALL, "benchmark").first()["text"]
     docs = spark.createDataFrame([(1, "start " + bench + " end"), (1, "clean text"), (None, bench), (None, "fine"), (2, None)], "doc_id bigint, text string")
     assert sorted(rows(cp.remove_contaminated(spark, docs, SMALL)), key=str) == sorted([(1, "clean text"), (None, "fine"), (2, None)], key=str)
+
+
+def test_decontamination_stage_broadcasts_nothing_that_grows(spark, monkeypatch):
+    sent = sent_by_broadcast(spark, monkeypatch, lambda: cp.remove_contaminated(spark, table(spark, SMALL, "documents"), SMALL))
+    assert not [x for x in sent if re.search(GROWS, x)]
